@@ -74,14 +74,18 @@ def route_table(marked: DataFrame) -> DataFrame:
     start_info = F.struct(F.col("BaseDateTime").alias("start_time"), F.col("next_time").alias("end_time"),
                           F.col("PortName").alias("start_port"), F.col("next_port").alias("end_port"),
                           F.col("next_state").alias("end_state"), F.col("next_co2").alias("next_co2"))
+    # collect_list keeps both levels hash-based (max over a struct or a
+    # string would fall back to a sort-based aggregate); each list holds at
+    # most one element, the route's start row.
     lvl1 = (marked.groupBy(*ROUTE_KEY, "State")
             .agg(F.max("year").alias("year"), F.sum("CO2").alias("co2"), F.min("seq").alias("first_seq"),
                  F.bool_or("stay_start").alias("has_start"),
-                 F.max(F.when(F.col("stay_start"), start_info)).alias("info")))
+                 F.collect_list(F.when(F.col("stay_start"), start_info)).alias("info")))
     lvl2 = (lvl1.groupBy(*ROUTE_KEY)
             .agg(F.max("year").alias("year"), F.sum("co2").alias("co2"),
-                 F.max("info").alias("info"),
-                 F.max(F.when(F.col("has_start"), F.col("State"))).alias("start_state"),
+                 F.try_element_at(F.flatten(F.collect_list("info")), F.lit(1)).alias("info"),
+                 F.try_element_at(F.collect_list(F.when(F.col("has_start"), F.col("State"))), F.lit(1))
+                 .alias("start_state"),
                  F.collect_list(F.when(F.col("State").isNotNull(),
                                        F.struct("first_seq", F.col("State").alias("state"),
                                                 F.col("co2").alias("emissions")))).alias("_per_state")))
