@@ -34,7 +34,10 @@ _EPS = 1e-9
 def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast a dimension-derived table only if its row count is bounded.
 
-    The count runs on the small dimension side, never on track rows."""
+    The count runs on the small dimension side, never on track rows; the
+    table is persisted first so that the count and the broadcast share one
+    computation."""
+    df = df.persist()
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
 
