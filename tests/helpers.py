@@ -33,4 +33,5 @@ def ports(spark, ps):
 
 def track(mmsi, points, vtype=70, t0=T0):
     """points: (minutes from t0, lat, lon, sog)."""
-    return [(mmsi, t0 + dt.timedelta(minutes=m), la, lo, s, vtype) for m, la, lo, s in points]
+    f = lambda v: None if v is None else float(v)
+    return [(mmsi, t0 + dt.timedelta(minutes=m), f(la), f(lo), f(s), vtype) for m, la, lo, s in points]
