@@ -16,10 +16,10 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         # tests only: a scratch folder stands in for the cluster's shared one
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="vf-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):  # tests only: no shared folder configured
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="vf-test-ckpt-"))
     yield s
     s.stop()
 

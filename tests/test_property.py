@@ -94,3 +94,32 @@ def test_pipeline_matches_sequential_model(spark, seed, gap):
             assert order == list(e[6])
         n_routes += len(exp_r)
     assert n_routes > 20  # the random tracks do exercise routes
+
+
+def _snapshot(s):
+    traj = sorted(tuple(r) for r in s.marked.select(
+        "MMSI", "seq", "BaseDateTime", "LAT", "LON", "SOG", "Label", "TimeDiff", "CO2", "State", "PortName",
+        "stay_start", "route_key").collect())
+    tab = sorted((r["MMSI"], r["start_time"], r["end_time"], r["start_port"], r["end_port"], r["start_state"],
+                  r["end_state"], round(r["total_emissions"], 9),
+                  tuple((t["state"], round(t["emissions"], 9)) for t in r["transit"]))
+                 for r in s.table.collect())
+    runs = sorted(tuple(r) for r in s.runs.select("MMSI", "seq", "slow", "run_first", "run_last", "run_start_seq",
+                                                  "qualified", "new_stop").collect())
+    return traj, tab, runs
+
+
+@pytest.mark.parametrize("hot_rows,chunk_rows", [(0, 3), (20, 4), (0, 1)])
+def test_hot_vessel_split_equals_plain_plan(spark, hot_rows, chunk_rows):
+    rows = random_tracks(7, 120)
+    df = spark.createDataFrame(rows, AIS_SCHEMA)
+    plain = build_stages(df, rings(spark, POLYS), ports(spark, PORTS), DEFAULT.with_(split_hot=False))
+    p = DEFAULT.with_(hot_vessel_rows=hot_rows, chunk_rows=chunk_rows, max_total_chunks=10**6)
+    chunked = build_stages(df, rings(spark, POLYS), ports(spark, PORTS), p)
+    assert chunked.persisted, "the split path did not run"
+    a, b = _snapshot(plain), _snapshot(chunked)
+    for x, y, what in zip(a, b, ("trajectory", "routes", "runs")):
+        assert len(x) == len(y), what
+        for u, v in zip(x, y):
+            assert u == v, (what, u, v)
+    chunked.release()

@@ -18,20 +18,31 @@ TRAJECTORY_COLUMNS = ["MMSI", "BaseDateTime", "LAT", "LON", "SOG", "VesselType",
                       "Label", "TimeDiff", "CO2", "State", "PortName"]
 
 
-def estimate_co2(kept: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def estimate_co2(kept: DataFrame, p: Params = DEFAULT, key=KEY) -> DataFrame:
     """Adds ``prev_time``, ``next_LAT/LON/SOG``, ``TimeDiff`` (h, first row 0),
     ``distance_nm``, ``speed_mean``, ``tanker``, ``CO2`` (t) and ``rejected``
     (the vessel has a stop row without coordinates)."""
-    w = w_desc()
+    w = w_desc(key)
     df = kept.select(
         "*",
         F.lead("BaseDateTime", 1).over(w).alias("prev_time"),
         F.lag("LAT", 1).over(w).alias("next_LAT"),
         F.lag("LON", 1).over(w).alias("next_LON"),
         F.lag("SOG", 1).over(w).alias("next_SOG"),
-        F.bool_or((F.col("Label") == "1") & (F.col("LAT").isNull() | F.col("LON").isNull()))
-        .over(w_vessel()).alias("rejected"),
+        F.bool_or(bad_stop_row()).over(w_vessel(key)).alias("rejected"),
     )
+    return co2_columns(df, p)
+
+
+def bad_stop_row():
+    """A stop row without coordinates: the reference's nearest-port query
+    fails on it and the vessel is dropped (R-Q7)."""
+    return (F.col("Label") == "1") & (F.col("LAT").isNull() | F.col("LON").isNull())
+
+
+def co2_columns(df: DataFrame, p: Params) -> DataFrame:
+    """TimeDiff, distance, mean speed and CO2 from ``prev_time`` and the
+    ``next_*`` columns."""
     td = F.coalesce(micros_between(F.col("prev_time"), F.col("BaseDateTime"))
                     / F.lit(float(MICROS_PER_HOUR)), F.lit(0.0))
     dist = F.coalesce(F.nanvl(haversine_nm("LAT", "LON", "next_LAT", "next_LON", p.earth_radius_nm),

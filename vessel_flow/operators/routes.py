@@ -22,13 +22,17 @@ from .tracks import BEFORE, w_desc
 ROUTE_KEY = [*KEY, "route_key"]
 
 
-def mark_stays(traj: DataFrame) -> DataFrame:
+def at_port():
+    """An at-port row: a stop end point matched to a port (F8)."""
+    return (F.col("Label") == "1") & F.col("PortName").isNotNull()
+
+
+def mark_stays(traj: DataFrame, key=KEY) -> DataFrame:
     """Adds ``at_port``, ``stay_start``, ``route_key`` and, on stay starts,
     ``next_time``, ``next_port``, ``next_state``, ``next_co2`` of the next
     stay start (W9, W10, F8)."""
-    w = w_desc()
-    at_port = (F.col("Label") == "1") & F.col("PortName").isNotNull()
-    df = traj.withColumn("at_port", at_port)
+    w = w_desc(key)
+    df = traj.withColumn("at_port", at_port())
     df = df.withColumn("stay_start", F.col("at_port")
                        & ~F.coalesce(F.lead("at_port", 1).over(w), F.lit(False)))
     after = w.rowsBetween(*BEFORE)
@@ -60,7 +64,7 @@ def stay_pairs(marked: DataFrame) -> DataFrame:
                     F.col("next_port").alias("end_port"), F.col("next_state").alias("end_state")))
 
 
-def route_table(marked: DataFrame) -> DataFrame:
+def route_table(marked: DataFrame, key=KEY) -> DataFrame:
     """One row per route (C5, A2, A3, A4, P11) from a two-level aggregation
     that keeps the vessel partitioning (no exchange, no self-join):
 
@@ -77,11 +81,12 @@ def route_table(marked: DataFrame) -> DataFrame:
     # collect_list keeps both levels hash-based (max over a struct or a
     # string would fall back to a sort-based aggregate); each list holds at
     # most one element, the route's start row.
-    lvl1 = (marked.groupBy(*ROUTE_KEY, "State")
+    rk = [*key, "route_key"]
+    lvl1 = (marked.groupBy(*rk, "State")
             .agg(F.max("year").alias("year"), F.sum("CO2").alias("co2"), F.min("seq").alias("first_seq"),
                  F.bool_or("stay_start").alias("has_start"),
                  F.collect_list(F.when(F.col("stay_start"), start_info)).alias("info")))
-    lvl2 = (lvl1.groupBy(*ROUTE_KEY)
+    lvl2 = (lvl1.groupBy(*rk)
             .agg(F.max("year").alias("year"), F.sum("co2").alias("co2"),
                  F.try_element_at(F.flatten(F.collect_list("info")), F.lit(1)).alias("info"),
                  F.try_element_at(F.collect_list(F.when(F.col("has_start"), F.col("State"))), F.lit(1))
@@ -91,7 +96,7 @@ def route_table(marked: DataFrame) -> DataFrame:
                                                 F.col("co2").alias("emissions")))).alias("_per_state")))
     r = (lvl2.filter(F.col("info").isNotNull() & F.col("info.end_time").isNotNull()
                      & F.col("start_state").isNotNull() & F.col("info.end_state").isNotNull())
-         .select(*ROUTE_KEY, "year", "info.start_time", "info.end_time", "info.start_port", "start_state",
+         .select(*rk, "year", "info.start_time", "info.end_time", "info.start_port", "start_state",
                  "info.end_port", "info.end_state",
                  (F.col("co2") + F.col("info.next_co2")).alias("total_emissions"), "_per_state"))
     transit = F.array_sort(F.filter(F.col("_per_state"), lambda e: (e.state != F.col("start_state"))

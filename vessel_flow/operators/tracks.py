@@ -27,21 +27,21 @@ ORDER = ["BaseDateTime", "raw_LAT", "raw_LON", "raw_SOG", "VesselType"]
 MICROS_PER_HOUR = 3_600_000_000
 
 
-def w_raw():
+def w_raw(key=KEY):
     """Raw time order (see ORDER)."""
-    return Window.partitionBy(*KEY).orderBy(*[F.col(c).asc_nulls_last() for c in ORDER])
+    return Window.partitionBy(*key).orderBy(*[F.col(c).asc_nulls_last() for c in ORDER])
 
 
-def w_asc():
-    return Window.partitionBy(*KEY).orderBy(F.col("seq").asc())
+def w_asc(key=KEY):
+    return Window.partitionBy(*key).orderBy(F.col("seq").asc())
 
 
-def w_desc():
-    return Window.partitionBy(*KEY).orderBy(F.col("seq").desc())
+def w_desc(key=KEY):
+    return Window.partitionBy(*key).orderBy(F.col("seq").desc())
 
 
-def w_vessel():
-    return Window.partitionBy(*KEY)
+def w_vessel(key=KEY):
+    return Window.partitionBy(*key)
 
 
 RUNNING = (Window.unboundedPreceding, Window.currentRow)
@@ -63,28 +63,28 @@ def _median3(prev: Column, cur: Column, nxt: Column) -> Column:
     return F.when(n == 3, mid3).when(n == 2, s / 2).when(n == 1, F.coalesce(prev, cur, nxt))
 
 
-def _rolling_median(c: str, window: int) -> Column:
+def _rolling_median(c: str, window: int, key=KEY) -> Column:
     lo, hi = -(window // 2), window - 1 - window // 2
     if window == 3:
-        w = w_raw()
+        w = w_raw(key)
         return _median3(F.lag(c, 1).over(w), F.col(c), F.lead(c, 1).over(w))
-    return F.percentile(F.col(c), 0.5).over(w_raw().rowsBetween(lo, hi))
+    return F.percentile(F.col(c), 0.5).over(w_raw(key).rowsBetween(lo, hi))
 
 
-def smooth_tracks(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def smooth_tracks(df: DataFrame, p: Params = DEFAULT, key=KEY) -> DataFrame:
     """Number rows in time order and smooth LAT/LON/SOG with a centred rolling
     median for vessels with more than 3 rows (C1: A12, W1, U2).
 
     Adds ``seq`` (1-based, fixed on raw rows), ``n_rows`` and
     ``first_type`` (VesselType of the first row, A11)."""
     df = df.withColumnsRenamed({c: f"raw_{c}" for c in ("LAT", "LON", "SOG")})
-    w = w_raw()
+    w = w_raw(key)
     out = df.select(
         "*",
         F.row_number().over(w).alias("seq"),
-        F.count(F.lit(1)).over(w_vessel()).alias("n_rows"),
+        F.count(F.lit(1)).over(w_vessel(key)).alias("n_rows"),
         F.first("VesselType").over(w.rowsBetween(*RUNNING)).alias("first_type"),
-        *[_rolling_median(f"raw_{c}", p.smooth_window).alias(f"_m_{c}") for c in ("LAT", "LON", "SOG")],
+        *[_rolling_median(f"raw_{c}", p.smooth_window, key).alias(f"_m_{c}") for c in ("LAT", "LON", "SOG")],
     )
     gate = F.col("n_rows") >= p.smooth_min_rows
     for c in ("LAT", "LON", "SOG"):
@@ -92,7 +92,7 @@ def smooth_tracks(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return out
 
 
-def mark_runs(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def mark_runs(df: DataFrame, p: Params = DEFAULT, key=KEY) -> DataFrame:
     """Slow runs and merge decisions on smoothed rows, ascending pass
     (W2, A7, W3).  Adds:
 
@@ -103,7 +103,7 @@ def mark_runs(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
       or the gap from its end is >= the merge gap).
     """
     # same order as the smoothing window: no second sort
-    w = w_raw()
+    w = w_raw(key)
     df = df.withColumn("slow", is_slow(F.col("SOG"), p))
     df = df.select("*",
                    F.coalesce(F.lag("slow", 1).over(w), F.lit(False)).alias("_prev_slow"),
@@ -111,6 +111,12 @@ def mark_runs(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     df = (df.withColumn("run_first", F.col("slow") & ~F.col("_prev_slow"))
             .withColumn("run_last", F.col("slow") & ~F.col("_next_slow"))
             .drop("_prev_slow", "_next_slow"))
+    return mark_qualified(df, p, w)
+
+
+def mark_qualified(df: DataFrame, p: Params, w) -> DataFrame:
+    """Run start, duration, qualification and merge decision from the run
+    marks, by running frames of the ascending window ``w``."""
     df = df.select(
         "*",
         F.when(F.col("slow"), F.last(F.when(F.col("run_first"), F.col("seq")), True)
@@ -130,18 +136,24 @@ def mark_runs(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
                               | (micros_between(prev_end, F.col("run_start_ts")) >= F.lit(gap_us))))
 
 
-def mark_stops(df: DataFrame) -> DataFrame:
+def mark_stops(df: DataFrame, key=KEY) -> DataFrame:
     """Descending pass: stop membership and end points.
 
     For each row, the nearest qualified run whose last row is at or after it
     decides: the row is inside that run, or in the gap before it, and that
     gap is inside a stop iff the run merges into the previous one.  Adds
     ``in_stop``, ``stop_start``, ``stop_end``, ``keep`` and ``Label``."""
-    w = w_desc()
+    w = w_desc(key)
     q_start = F.last(F.when(F.col("qualified"), F.col("run_start_seq")), True).over(w.rowsBetween(*RUNNING))
     q_new = F.last(F.when(F.col("qualified"), F.col("new_stop")), True).over(w.rowsBetween(*RUNNING))
     q_new_after = F.last(F.when(F.col("qualified"), F.col("new_stop")), True).over(w.rowsBetween(*BEFORE))
     df = df.select("*", q_start.alias("_q_start"), q_new.alias("_q_new"), q_new_after.alias("_q_new_after"))
+    return stop_flags(df)
+
+
+def stop_flags(df: DataFrame) -> DataFrame:
+    """Stop membership from the nearest following qualified run
+    (``_q_start``, ``_q_new``, ``_q_new_after``)."""
     in_run = F.coalesce(F.col("_q_start") <= F.col("seq"), F.lit(False))
     in_gap = F.coalesce((F.col("_q_start") > F.col("seq")) & ~F.col("_q_new"), F.lit(False))
     stop_start = in_run & F.col("_q_new") & (F.col("seq") == F.col("_q_start"))

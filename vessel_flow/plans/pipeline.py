@@ -17,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import emissions, geo, ingest, matrix, routes, tracks
+from ..operators import emissions, geo, ingest, matrix, routes, split, tracks
 from ..params import DEFAULT, Params
 
 TRAJECTORY_COLUMNS = emissions.TRAJECTORY_COLUMNS
@@ -37,11 +37,27 @@ class Stages:
     trajectory: DataFrame    # + port match: enriched trajectory (all columns)
     marked: DataFrame        # + stays and route keys
     table: DataFrame         # one row per route, with transit array
+    persisted: list = None   # intermediates of the hot-vessel path
+
+    def release(self) -> None:
+        for df in self.persisted or []:
+            df.unpersist()
 
 
 def build_stages(ais: DataFrame, state_rings: DataFrame, ports: DataFrame,
                  p: Params = DEFAULT) -> Stages:
-    ing = ingest.partition_by_vessel(ingest.ingest(ais, p))
+    """All stages as lazy DataFrames.
+
+    With ``p.split_hot`` a pre-pass counts rows per vessel-period (a partial
+    aggregate of two columns); if some vessel-period is hot, the plan splits
+    it into time chunks (see ``operators.split``), otherwise the plan below
+    runs unchanged."""
+    ing0 = ingest.ingest(ais, p)
+    if p.split_hot:
+        plan = split.plan_chunks(ais.sparkSession, split.vessel_stats(ing0), p)
+        if plan is not None:
+            return _split_stages(ing0, plan, state_rings, ports, p)
+    ing = ingest.partition_by_vessel(ing0)
     sm = tracks.smooth_tracks(ing, p)
     runs = tracks.mark_runs(sm, p)
     stops = tracks.mark_stops(runs)
@@ -55,6 +71,44 @@ def build_stages(ais: DataFrame, state_rings: DataFrame, ports: DataFrame,
     return Stages(p, ing, sm, runs, stops, kept, co2, rejects, st, traj, marked, table)
 
 
+def _union(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b.select(*a.columns))
+
+
+def _split_stages(ing0: DataFrame, plan: DataFrame, state_rings: DataFrame, ports: DataFrame,
+                  p: Params) -> Stages:
+    """One exchange on (period, MMSI, chunk); ordinary vessels (chunk 0) take
+    the plain windows keyed by it, hot vessels the chunked rounds."""
+    ck = split.CKEY
+    ex = split.assign_chunks(ing0, plan).repartition(*[F.col(c) for c in ck])
+    cold = ex.filter(~F.col("hot")).drop("hot", "n_total")
+    hot = ex.filter(F.col("hot")).drop("hot")
+    sm = tracks.smooth_tracks(cold, p, ck)
+    runs = tracks.mark_runs(sm, p, ck)
+    stops = tracks.mark_stops(runs, ck)
+    kept = stops.filter(F.col("keep"))
+    co2 = emissions.estimate_co2(kept, p, ck)
+    hs = split.hot_tracks(hot, p)
+    s_cells, p_cells = geo.state_cells(state_rings, p), geo.port_cells(ports, p)
+
+    def tag(df):
+        return geo.match_ports(geo.tag_states(df, s_cells, p), p_cells, p)
+
+    ok_c, rej_c = emissions.split_rejects(co2)
+    ok_h, rej_h = emissions.split_rejects(hs.co2.drop("lseq", "lcnt", "n_total"))
+    st_c = geo.tag_states(ok_c, s_cells, p)
+    traj_c = geo.match_ports(st_c, p_cells, p)
+    traj_h = tag(ok_h)
+    marked_c = routes.mark_stays(traj_c, ck)
+    marked_h = split.hot_stays(traj_h, hs.persisted)
+    table = _union(routes.route_table(marked_c, ck).drop("chunk"),
+                   routes.route_table(marked_h, split.VKEY))
+    return Stages(p, _union(cold, hot.drop("n_total")), _union(sm, hs.smoothed), _union(runs, hs.runs),
+                  _union(stops, hs.stops), _union(kept, hs.kept), _union(co2, hs.co2), _union(rej_c, rej_h),
+                  _union(st_c, geo.tag_states(ok_h, s_cells, p)), _union(traj_c, traj_h),
+                  _union(marked_c, marked_h), table, hs.persisted)
+
+
 def trajectory_output(traj: DataFrame) -> DataFrame:
     """The enriched trajectory in the reference's column order (+ keys)."""
     return traj.select("period", "year", *TRAJECTORY_COLUMNS)

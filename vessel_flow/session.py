@@ -34,14 +34,23 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a scratch folder is taken.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    A scratch folder is taken only when the setting is unset and Spark runs
+    in local mode (tests); on a cluster an unset setting is an error, since a
+    machine-local folder would not survive the loss of an executor."""
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         d = tempfile.mkdtemp(prefix="vf-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into ``spark.checkpoint.dir`` (never a local one):
+    the plan below is truncated and the data survives executor loss.  The
+    result keeps the partitioning and sort order of ``df``."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
