@@ -57,7 +57,10 @@ def build_stages(ais: DataFrame, state_rings: DataFrame, ports: DataFrame,
         plan = split.plan_chunks(ais.sparkSession, split.vessel_stats(ing0), p)
         if plan is not None:
             return _split_stages(ing0, plan, state_rings, ports, p)
-    ing = ingest.partition_by_vessel(ing0)
+    return _plain_stages(ingest.partition_by_vessel(ing0), state_rings, ports, p)
+
+
+def _plain_stages(ing: DataFrame, state_rings: DataFrame, ports: DataFrame, p: Params) -> Stages:
     sm = tracks.smooth_tracks(ing, p)
     runs = tracks.mark_runs(sm, p)
     stops = tracks.mark_stops(runs)
@@ -77,36 +80,25 @@ def _union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def _split_stages(ing0: DataFrame, plan: DataFrame, state_rings: DataFrame, ports: DataFrame,
                   p: Params) -> Stages:
-    """One exchange on (period, MMSI, chunk); ordinary vessels (chunk 0) take
-    the plain windows keyed by it, hot vessels the chunked rounds."""
-    ck = split.CKEY
-    ex = split.assign_chunks(ing0, plan).repartition(*[F.col(c) for c in ck])
-    cold = ex.filter(~F.col("hot")).drop("hot", "n_total")
-    hot = ex.filter(F.col("hot")).drop("hot")
-    sm = tracks.smooth_tracks(cold, p, ck)
-    runs = tracks.mark_runs(sm, p, ck)
-    stops = tracks.mark_stops(runs, ck)
-    kept = stops.filter(F.col("keep"))
-    co2 = emissions.estimate_co2(kept, p, ck)
+    """Rows are told apart before any shuffle (a broadcast join on the bounded
+    chunk plan): ordinary vessels take the plain plan with its exchange on
+    (period, MMSI); hot vessels are shuffled on (period, MMSI, chunk) and take
+    the chunked rounds.  Each row is shuffled once."""
+    ch = split.assign_chunks(ing0, plan)
+    cold = ingest.partition_by_vessel(ch.filter(~F.col("hot")).drop("hot", "n_total", "chunk"))
+    hot = ch.filter(F.col("hot")).drop("hot").repartition(*[F.col(c) for c in split.CKEY])
+    c = _plain_stages(cold, state_rings, ports, p)
     hs = split.hot_tracks(hot, p)
     s_cells, p_cells = geo.state_cells(state_rings, p), geo.port_cells(ports, p)
-
-    def tag(df):
-        return geo.match_ports(geo.tag_states(df, s_cells, p), p_cells, p)
-
-    ok_c, rej_c = emissions.split_rejects(co2)
     ok_h, rej_h = emissions.split_rejects(hs.co2.drop("lseq", "lcnt", "n_total"))
-    st_c = geo.tag_states(ok_c, s_cells, p)
-    traj_c = geo.match_ports(st_c, p_cells, p)
-    traj_h = tag(ok_h)
-    marked_c = routes.mark_stays(traj_c, ck)
+    st_h = geo.tag_states(ok_h, s_cells, p)
+    traj_h = geo.match_ports(st_h, p_cells, p)
     marked_h = split.hot_stays(traj_h, hs.persisted)
-    table = _union(routes.route_table(marked_c, ck).drop("chunk"),
-                   routes.route_table(marked_h, split.VKEY))
-    return Stages(p, _union(cold, hot.drop("n_total")), _union(sm, hs.smoothed), _union(runs, hs.runs),
-                  _union(stops, hs.stops), _union(kept, hs.kept), _union(co2, hs.co2), _union(rej_c, rej_h),
-                  _union(st_c, geo.tag_states(ok_h, s_cells, p)), _union(traj_c, traj_h),
-                  _union(marked_c, marked_h), table, hs.persisted)
+    table_h = routes.route_table(marked_h, split.VKEY)
+    return Stages(p, _union(c.ingested, hot), _union(c.smoothed, hs.smoothed), _union(c.runs, hs.runs),
+                  _union(c.stops, hs.stops), _union(c.kept, hs.kept), _union(c.co2, hs.co2),
+                  _union(c.rejects, rej_h), _union(c.states, st_h), _union(c.trajectory, traj_h),
+                  _union(c.marked, marked_h), _union(c.table, table_h), hs.persisted)
 
 
 def trajectory_output(traj: DataFrame) -> DataFrame:
