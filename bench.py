@@ -38,9 +38,10 @@ def main():
 
     times = {}
     for name in HEADLINE:
-        df = queries.SPARK[name](spark, sf_dir)
+        # building a query runs small jobs too (row-count pre-pass, size checks
+        # of the broadcast cell tables), so the clock starts before it
         t = time.perf_counter()
-        run_noop(df)
+        run_noop(queries.SPARK[name](spark, sf_dir))
         times[name] = round(time.perf_counter() - t, 3)
 
     ev = fx.table(spark, sf_dir, "events")

@@ -11,8 +11,6 @@ by state pair shuffles again (a small, partially aggregated shuffle).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,24 +21,45 @@ from ..params import DEFAULT, Params
 TRAJECTORY_COLUMNS = emissions.TRAJECTORY_COLUMNS
 
 
-@dataclass
+STAGE_NAMES = ("ingested", "smoothed", "runs", "stops", "kept", "co2", "accepted", "rejects", "states",
+               "trajectory", "marked", "table")
+
+
 class Stages:
-    params: Params
-    ingested: DataFrame      # typed, filtered, keyed, hash-partitioned rows
-    smoothed: DataFrame      # + seq, n_rows, first_type, smoothed LAT/LON/SOG
-    runs: DataFrame          # + slow-run marks (ascending pass)
-    stops: DataFrame         # + stop marks, all rows (descending pass)
-    kept: DataFrame          # stop interiors dropped
-    co2: DataFrame           # + TimeDiff, next point, CO2, rejected
-    rejects: DataFrame       # one row per rejected vessel
-    states: DataFrame        # + State from polygons
-    trajectory: DataFrame    # + port match: enriched trajectory (all columns)
-    marked: DataFrame        # + stays and route keys
-    table: DataFrame         # one row per route, with transit array
-    persisted: list = None   # intermediates of the hot-vessel path
+    """Every stage of the pipeline as a lazy DataFrame, built on first use:
+    a query that reads ``smoothed`` never builds (or checks the broadcast
+    size of) the geometry tables.
+
+    ingested   typed, filtered, keyed, hash-partitioned rows
+    smoothed   + seq, n_rows, first_type, smoothed LAT/LON/SOG
+    runs       + slow-run marks (ascending pass)
+    stops      + stop marks, all rows (descending pass)
+    kept       stop interiors dropped
+    co2        + TimeDiff, next point, CO2, rejected
+    accepted   co2 rows of vessels that are not rejected
+    rejects    one row per rejected vessel
+    states     + State from polygons
+    trajectory + port match: the enriched trajectory (all columns)
+    marked     + stays and route keys
+    table      one row per route, with the transit array
+    """
+
+    def __init__(self, params: Params, builders: dict, persisted: list | None = None):
+        self.params = params
+        self._builders = builders
+        self._built: dict[str, DataFrame] = {}
+        self.persisted = persisted or []
+
+    def __getattr__(self, name):
+        builders = self.__dict__.get("_builders", {})
+        if name not in builders:
+            raise AttributeError(name)
+        if name not in self._built:
+            self._built[name] = builders[name](self)
+        return self._built[name]
 
     def release(self) -> None:
-        for df in self.persisted or []:
+        for df in self.persisted:
             df.unpersist()
 
 
@@ -50,7 +69,7 @@ def build_stages(ais: DataFrame, state_rings: DataFrame, ports: DataFrame,
 
     With ``p.split_hot`` a pre-pass counts rows per vessel-period (a partial
     aggregate of two columns); if some vessel-period is hot, the plan splits
-    it into time chunks (see ``operators.split``), otherwise the plan below
+    it into time chunks (see ``operators.split``), otherwise the plain plan
     runs unchanged."""
     ing0 = ingest.ingest(ais, p)
     if p.split_hot:
@@ -61,17 +80,20 @@ def build_stages(ais: DataFrame, state_rings: DataFrame, ports: DataFrame,
 
 
 def _plain_stages(ing: DataFrame, state_rings: DataFrame, ports: DataFrame, p: Params) -> Stages:
-    sm = tracks.smooth_tracks(ing, p)
-    runs = tracks.mark_runs(sm, p)
-    stops = tracks.mark_stops(runs)
-    kept = stops.filter(F.col("keep"))
-    co2 = emissions.estimate_co2(kept, p)
-    ok, rejects = emissions.split_rejects(co2)
-    st = geo.tag_states(ok, geo.state_cells(state_rings, p), p)
-    traj = geo.match_ports(st, geo.port_cells(ports, p), p)
-    marked = routes.mark_stays(traj)
-    table = routes.route_table(marked)
-    return Stages(p, ing, sm, runs, stops, kept, co2, rejects, st, traj, marked, table)
+    return Stages(p, {
+        "ingested": lambda s: ing,
+        "smoothed": lambda s: tracks.smooth_tracks(s.ingested, p),
+        "runs": lambda s: tracks.mark_runs(s.smoothed, p),
+        "stops": lambda s: tracks.mark_stops(s.runs),
+        "kept": lambda s: s.stops.filter(F.col("keep")),
+        "co2": lambda s: emissions.estimate_co2(s.kept, p),
+        "accepted": lambda s: emissions.split_rejects(s.co2)[0],
+        "rejects": lambda s: emissions.split_rejects(s.co2)[1],
+        "states": lambda s: geo.tag_states(s.accepted, geo.state_cells(state_rings, p), p),
+        "trajectory": lambda s: geo.match_ports(s.states, geo.port_cells(ports, p), p),
+        "marked": lambda s: routes.mark_stays(s.trajectory),
+        "table": lambda s: routes.route_table(s.marked),
+    })
 
 
 def _union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -94,11 +116,11 @@ def _split_stages(ing0: DataFrame, plan: DataFrame, state_rings: DataFrame, port
     st_h = geo.tag_states(ok_h, s_cells, p)
     traj_h = geo.match_ports(st_h, p_cells, p)
     marked_h = split.hot_stays(traj_h, hs.persisted)
-    table_h = routes.route_table(marked_h, split.VKEY)
-    return Stages(p, _union(c.ingested, hot), _union(c.smoothed, hs.smoothed), _union(c.runs, hs.runs),
-                  _union(c.stops, hs.stops), _union(c.kept, hs.kept), _union(c.co2, hs.co2),
-                  _union(c.rejects, rej_h), _union(c.states, st_h), _union(c.trajectory, traj_h),
-                  _union(c.marked, marked_h), _union(c.table, table_h), hs.persisted)
+    hot_parts = {"ingested": hot, "smoothed": hs.smoothed, "runs": hs.runs, "stops": hs.stops, "kept": hs.kept,
+                 "co2": hs.co2, "accepted": ok_h, "rejects": rej_h, "states": st_h, "trajectory": traj_h,
+                 "marked": marked_h, "table": routes.route_table(marked_h, split.VKEY)}
+    return Stages(p, {name: (lambda s, n=name: _union(getattr(c, n), hot_parts[n])) for name in STAGE_NAMES},
+                  hs.persisted)
 
 
 def trajectory_output(traj: DataFrame) -> DataFrame:
