@@ -155,3 +155,19 @@ def test_pipeline_sinks_round_trip(spark, scratch):
     wanted = spark.createDataFrame([(2023,), (2024,)], "period int")
     assert [x["period"] for x in sinks.pending_periods(spark, wanted, f"{scratch}/done").collect()] == [2023]
     out["route_table"].unpersist()
+
+
+def test_incremental_ingest_skips_files_done(spark, scratch):
+    from vessel_flow.streaming import incremental_ingest
+    src, dest = f"{scratch}/in", f"{scratch}/out"
+    os.makedirs(src)
+    _write(f"{src}/AIS_2024_01_01.csv", STD + "1,2024-01-01T00:00:00,30.0,-80.0,0.1,0,70,1\n")
+    _write(f"{src}/AIS_2024_01_02.csv", "BaseDateTime,MMSI,LAT,LON,SOG,VesselType\n2024-01-02T00:00:00,2,31,-81,5,80\n")
+    ck = f"{scratch}/ckpt"
+    assert incremental_ingest(spark, src, dest, checkpoint=ck)["files"] == 2
+    assert incremental_ingest(spark, src, dest, checkpoint=ck)["files"] == 0   # nothing new
+    _write(f"{src}/AIS_2024_01_03.csv", STD + "3,2024-01-03T00:00:00,32.0,-82.0,0.1,0,60,1\n"
+                                              "4,2024-01-03T01:00:00,32.0,-82.0,0.1,0,89,1\n")
+    assert incremental_ingest(spark, src, dest, checkpoint=ck)["files"] == 1
+    got = sorted((r["MMSI"], r["LAT"]) for r in spark.read.parquet(dest).collect())
+    assert got == [(1, 30.0), (2, 31.0), (4, 32.0)]   # type 60 filtered out, columns read by name

@@ -43,8 +43,10 @@ def _read_first_lines(it):
         yield pd.DataFrame(out, columns=["path", "header", "error"])
 
 
-def file_headers(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """(path, header, error) for every file under ``path`` matching ``glob``."""
+def file_headers(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> DataFrame:
+    """(path, header, error) for every file under ``path`` (a folder, or a
+    list of files) matching ``glob``.  Only file metadata is listed; the
+    first bytes of each file are read on the executors."""
     listing = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
                .option("recursiveFileLookup", "true").load(path).select("path"))
     return listing.mapInPandas(_read_first_lines, HEADER_SCHEMA)
@@ -56,7 +58,7 @@ class CsvScan:
     rejects: DataFrame   # (path, reason)
 
 
-def read_ais_csv(spark: SparkSession, path: str, glob: str = "AIS_*.csv",
+def read_ais_csv(spark: SparkSession, path: str | list[str], glob: str = "AIS_*.csv",
                  required: list[str] = AIS_COLUMNS) -> CsvScan:
     """Scan a directory (or year folder) of daily AIS CSVs, all columns as
     text; pick files by name with ``glob`` (S2, e.g. ``AIS_2024_03_*.csv``).
