@@ -151,6 +151,20 @@ def q_routes(spark, sf):
     return rounded(routes.routes(stages(spark, sf).table).select(*ROUTE_OUT))
 
 
+# Every vessel above 40 rows is treated as hot and cut into chunks of about
+# 16 rows: the chunked scans must give exactly the plain routes.
+PSPLIT = DEFAULT.with_(hot_vessel_rows=40, chunk_rows=16)
+
+
+def q_routes_split(spark, sf):
+    return rounded(routes.routes(stages(spark, sf, PSPLIT).table).select(*ROUTE_OUT))
+
+
+def q_row_co2_split(spark, sf):
+    return rounded(stages(spark, sf, PSPLIT).co2.select(*ROW, "LAT", "LON", "SOG", "VesselType", "Label",
+                                                        "TimeDiff", "CO2"))
+
+
 def q_route_state_list(spark, sf):
     return routes.route_state_lists(stages(spark, sf).table).drop("route_key")
 
@@ -255,6 +269,8 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stays": q_stays,
     "stay_pairs": q_stay_pairs,
     "routes": q_routes,
+    "routes_split": q_routes_split,
+    "row_co2_split": q_row_co2_split,
     "route_state_list": q_route_state_list,
     "transit_emissions": q_transit_emissions,
     "flows": q_flows,
@@ -319,6 +335,7 @@ def _sql() -> dict[str, str]:
                                 ("distance_nm", "speed_mean", "CO2")))
     q["row_co2"] = c(_row(rowc + ["LAT", "LON", "SOG", "VesselType", "Label", "TimeDiff", "CO2"], "co2",
                           doubles=("LAT", "LON", "SOG", "TimeDiff", "CO2")))
+    q["row_co2_split"] = q["row_co2"]
     q["state_tag"] = c("SELECT period, MMSI, BaseDateTime, poly_state AS State FROM traj")
     q["port_tag"] = c(_row(["period", "year", "MMSI", "BaseDateTime", "LAT", "LON", "SOG", "VesselType",
                             "Label", "TimeDiff", "CO2", "State", "PortName"], "traj",
@@ -327,6 +344,7 @@ def _sql() -> dict[str, str]:
     q["stay_pairs"] = c("SELECT period, MMSI, year, start_time, end_time, start_port, start_state, "
                         "end_port, end_state FROM pairs")
     q["routes"] = c(_row(ROUTE_OUT, "routes", doubles=("total_emissions",)))
+    q["routes_split"] = q["routes"]
     q["route_state_list"] = c("""
       SELECT period, MMSI, year, start_time, string_agg(DISTINCT row_state, ',' ORDER BY row_state) AS states
       FROM route_rows WHERE row_state IS NOT NULL GROUP BY period, MMSI, year, start_time""")
