@@ -17,7 +17,7 @@ def test_one_exchange_two_sorts_before_route_aggregates(spark):
     plan = plan_of(routes.routes(s.table))
     track_side = [l for l in plan.splitlines() if "hashpartitioning(period" in l]
     assert len(track_side) == 1, plan                      # the only shuffle of track rows
-    assert "REPARTITION_BY_COL" in track_side[0]
+    assert "REPARTITION_BY_NUM" in track_side[0]             # not coalesced by AQE
     sorts = re.findall(r"Sort \[period#\d+ ASC NULLS FIRST, MMSI#\d+L? ASC NULLS FIRST", plan)
     assert len(sorts) == 2, plan                           # ascending pass + descending pass
     assert "SortAggregate" not in plan

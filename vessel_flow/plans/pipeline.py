@@ -108,7 +108,7 @@ def _split_stages(ing0: DataFrame, plan: DataFrame, state_rings: DataFrame, port
     the chunked rounds.  Each row is shuffled once."""
     ch = split.assign_chunks(ing0, plan)
     cold = ingest.partition_by_vessel(ch.filter(~F.col("hot")).drop("hot", "n_total", "chunk"))
-    hot = ch.filter(F.col("hot")).drop("hot").repartition(*[F.col(c) for c in split.CKEY])
+    hot = ingest.partition_by_vessel(ch.filter(F.col("hot")).drop("hot"), split.CKEY)
     c = _plain_stages(cold, state_rings, ports, p)
     hs = split.hot_tracks(hot, p)
     s_cells, p_cells = geo.state_cells(state_rings, p), geo.port_cells(ports, p)
