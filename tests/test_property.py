@@ -123,3 +123,40 @@ def test_hot_vessel_split_equals_plain_plan(spark, hot_rows, chunk_rows):
         for u, v in zip(x, y):
             assert u == v, (what, u, v)
     chunked.release()
+
+
+def test_pipeline_with_stage_dir_and_split_equals_plain(spark, scratch):
+    from vessel_flow.plans.pipeline import emission_pipeline
+    rows = random_tracks(11, 60)
+    df = spark.createDataFrame(rows, AIS_SCHEMA)
+
+    def outputs(p, stage):
+        out = emission_pipeline(spark, df, ports(spark, PORTS), rings(spark, POLYS), p, stage_dir=stage)
+        r = sorted((x["MMSI"], x["start_time"], x["end_port"], round(x["total_emissions"], 9))
+                   for x in out["routes"].collect())
+        t = sorted((x["source_state"], x["dest_state"], round(x["amount"], 9)) for x in out["transfers"].collect())
+        out["route_table"].unpersist()
+        return r, t
+
+    plain = outputs(DEFAULT.with_(split_hot=False), None)
+    split = outputs(DEFAULT.with_(hot_vessel_rows=5, chunk_rows=4, max_total_chunks=10**6), f"{scratch}/stage")
+    assert plain == split and plain[0]
+
+
+def test_merged_stops_match_the_fold(spark):
+    from vessel_flow.operators.tracks import merged_stops
+    rows = random_tracks(5, 200)
+    s = build_stages(spark.createDataFrame(rows, AIS_SCHEMA), rings(spark, POLYS), ports(spark, PORTS),
+                     DEFAULT.with_(split_hot=False))
+    got = sorted((r["MMSI"], r["start_time"], r["end_time"]) for r in merged_stops(s.runs).collect())
+    exp = []
+    by_v = {}
+    for r in rows:
+        by_v.setdefault(r[0], []).append(dict(zip(["MMSI", "BaseDateTime", "LAT", "LON", "SOG", "VesselType"], r)))
+    for mmsi, vrows in by_v.items():
+        k = model.collapse(model.smooth(sorted(vrows, key=lambda r: r["BaseDateTime"])))
+        labelled = [r for r in k if r["Label"] == "1"]
+        # with a 1 h minimum a stop has two end rows: (start, end) pairs in order
+        for a, b in zip(labelled[0::2], labelled[1::2]):
+            exp.append((mmsi, a["BaseDateTime"], b["BaseDateTime"]))
+    assert got == sorted(exp) and got

@@ -182,16 +182,19 @@ def slow_runs(marked: DataFrame) -> DataFrame:
                     F.col("qualified")))
 
 
-def merged_stops(marked_stops: DataFrame) -> DataFrame:
+def merged_stops(marked_runs: DataFrame) -> DataFrame:
     """One row per merged stop (W3): start / end time and the number of slow
-    runs it absorbed, from the output of ``mark_stops`` (kept or not)."""
-    w = w_desc()
-    end_ts = F.last(F.when(F.col("stop_end"), F.col("BaseDateTime")), True).over(w.rowsBetween(*RUNNING))
-    # qualified runs whose last row is at or after this row
-    runs_after = F.sum(F.col("qualified").cast("int")).over(w.rowsBetween(*RUNNING))
-    df = marked_stops.select("*", end_ts.alias("_end_ts"), runs_after.alias("_runs"))
-    df = df.select("*", F.last(F.when(F.col("stop_end"), F.col("_runs")), True)
-                   .over(w.rowsBetween(*RUNNING)).alias("_runs_at_end"))
-    return (df.filter(F.col("stop_start"))
-            .select(*KEY, F.col("BaseDateTime").alias("start_time"), F.col("_end_ts").alias("end_time"),
-                    (F.col("_runs") - F.col("_runs_at_end") + 1).alias("n_runs")))
+    runs it absorbed, from the output of ``mark_runs``.
+
+    Only qualified runs take part (one row each, at the run's last row).  They
+    are disjoint and each lasts at least ``min_stop_hours``, so a vessel-year
+    has at most 8,784 / min_stop_hours + 1 of them: the window below has a
+    bounded group even for a hot vessel.  The stop number is a running count
+    of ``new_stop``."""
+    q = marked_runs.filter(F.col("qualified")).select(*KEY, "seq", "run_start_ts", "BaseDateTime", "new_stop")
+    w = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(*RUNNING)
+    q = q.withColumn("_stop", F.sum(F.col("new_stop").cast("int")).over(w))
+    return (q.groupBy(*KEY, "_stop")
+            .agg(F.min("run_start_ts").alias("start_time"), F.max("BaseDateTime").alias("end_time"),
+                 F.count(F.lit(1)).alias("n_runs"))
+            .drop("_stop"))

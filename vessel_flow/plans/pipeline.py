@@ -143,8 +143,11 @@ def emission_pipeline(spark: SparkSession, ais: DataFrame, ports: DataFrame, sta
     if stage_dir:
         (marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("period").parquet(stage_dir))
-        marked = ingest.partition_by_vessel(spark.read.parquet(stage_dir))
-    table = routes.route_table(marked).persist(StorageLevel.MEMORY_AND_DISK)
+        # no re-partitioning by vessel: the route sums aggregate partially
+        # per input split and shuffle only (route, state) partials, so a hot
+        # vessel's routes spread over many tasks
+        marked = spark.read.parquet(stage_dir)
+    table = (routes.route_table(marked) if stage_dir else s.table).persist(StorageLevel.MEMORY_AND_DISK)
     transit = routes.transit_emissions(table)
     flows = routes.transfer_flows(transit)
     return {

@@ -79,11 +79,11 @@ def q_slow_runs(spark, sf):
 
 
 def q_merged_stops(spark, sf):
-    return tracks.merged_stops(stages(spark, sf).stops)
+    return tracks.merged_stops(stages(spark, sf).runs)
 
 
 def q_merged_stops_12h(spark, sf):
-    return tracks.merged_stops(stages(spark, sf, P12).stops)
+    return tracks.merged_stops(stages(spark, sf, P12).runs)
 
 
 def q_collapsed_track(spark, sf):
