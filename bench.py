@@ -26,8 +26,6 @@ def run_noop(df):
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    from pyspark.sql import functions as F
-
     from vessel_flow.plans import pipeline, queries
     from vessel_flow.session import get_spark
     from vessel_flow.sources import fixtures as fx

@@ -6,7 +6,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 import model
 from helpers import AIS_SCHEMA, box, ports, rings

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import routes as R
-
 
 def vessel_counts(ingested: DataFrame) -> DataFrame:
     """Records and distinct vessels per period (A5)."""

@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..params import DEFAULT, Params
 from .ingest import KEY
 from .tracks import BEFORE, w_desc
 

@@ -40,7 +40,7 @@ from ..params import DEFAULT, Params
 from ..session import cut_lineage
 from .emissions import bad_stop_row, co2_columns
 from .routes import at_port
-from .tracks import BEFORE, RUNNING, _median3, mark_qualified, stop_flags, w_desc, w_raw, w_vessel
+from .tracks import BEFORE, RUNNING, _median3, stop_flags, w_desc, w_raw, w_vessel
 
 VKEY = ["period", "MMSI"]
 CKEY = ["period", "MMSI", "chunk"]
