@@ -16,11 +16,11 @@ a lost executor costs only the current round):
 
 1. halo: the two rows on each side of a chunk (smoothing and slow flags),
    row offsets (global ``seq``) and the vessel's first type;
-2. start of a slow run that is open when the chunk begins;
-3. end of the last qualified run before the chunk (merge decision);
-4. nearest qualified run at or after the chunk end (stop membership);
-5. neighbouring kept rows (time difference, next point) and the reject flag;
-6. stays: the previous kept row's at-port flag, stay starts and the next
+2. start of a slow run that is open when the chunk begins, and end of the
+   last qualified run before the chunk (merge decision);
+3. nearest qualified run at or after the chunk end (stop membership);
+4. neighbouring kept rows (time difference, next point) and the reject flag;
+5. stays: the previous kept row's at-port flag, stay starts and the next
    stay start after the chunk (route keys).
 
 Routes of hot vessels are then summed with a partial aggregate per chunk
@@ -117,7 +117,7 @@ def _carry(df: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def hot_tracks(h: DataFrame, p: Params = DEFAULT) -> HotStages:
-    """Rounds 1-5 on hot rows partitioned by (period, MMSI, chunk)."""
+    """Rounds 1-4 on hot rows partitioned by (period, MMSI, chunk)."""
     if p.smooth_window != 3:
         raise ValueError("hot-vessel splitting supports the 3-row median only")
     bag: list = []
@@ -186,30 +186,37 @@ def hot_tracks(h: DataFrame, p: Params = DEFAULT) -> HotStages:
     h = _keep(h, bag)
     smoothed = h
 
-    # --- round 2: open slow run at the chunk start -------------------------------
-    s2 = (h.groupBy(*CKEY).agg(F.max(F.when(F.col("run_first"), F.col("seq"))).alias("rf_seq"),
-                               F.max(F.when(F.col("run_first"), F.col("BaseDateTime"))).alias("rf_ts"))
-          .select(*CKEY, F.last("rf_seq", True).over(ca.rowsBetween(*BEFORE)).alias("_c_seq"),
+    # --- round 2: open run at the chunk start and last qualified end before it --
+    # A run that starts in the chunk is measured locally.  The chunk's leading
+    # run (open when the chunk begins) needs the start carried in; whether it
+    # qualifies is resolved on the chunk table together with that carry.
+    min_us = int(round(p.min_stop_hours * 3_600_000_000))
+    gap_us = int(round(p.merge_gap_hours * 3_600_000_000))
+    running = wl.rowsBetween(*RUNNING)
+    h = h.select("*",
+                 F.last(F.when(F.col("run_first"), F.col("seq")), True).over(running).alias("_ls"),
+                 F.last(F.when(F.col("run_first"), F.col("BaseDateTime")), True).over(running).alias("_lt"))
+    local_q = F.col("run_last") & F.col("_lt").isNotNull() & (
+        F.timestamp_diff("MICROSECOND", F.col("_lt"), F.col("BaseDateTime")) >= F.lit(min_us))
+    s2 = (h.groupBy(*CKEY)
+          .agg(F.max(F.when(F.col("run_first"), F.col("seq"))).alias("rf_seq"),
+               F.max(F.when(F.col("run_first"), F.col("BaseDateTime"))).alias("rf_ts"),
+               F.min(F.when(F.col("run_last") & F.col("_lt").isNull(), F.col("BaseDateTime"))).alias("lead_end"),
+               F.max(F.when(local_q, F.col("BaseDateTime"))).alias("local_qe"))
+          .select("*", F.last("rf_seq", True).over(ca.rowsBetween(*BEFORE)).alias("_c_seq"),
                   F.last("rf_ts", True).over(ca.rowsBetween(*BEFORE)).alias("_c_ts")))
+    lead_q = F.col("lead_end").isNotNull() & F.col("_c_ts").isNotNull() & (
+        F.timestamp_diff("MICROSECOND", F.col("_c_ts"), F.col("lead_end")) >= F.lit(min_us))
+    s2 = s2.withColumn("chunk_qe", F.coalesce(F.col("local_qe"), F.when(lead_q, F.col("lead_end"))))
+    s2 = s2.select(*CKEY, "_c_seq", "_c_ts",
+                   F.last("chunk_qe", True).over(ca.rowsBetween(*BEFORE)).alias("_c_qe"))
     h = _carry(h, s2)
-    h = h.select("*",
-                 F.last(F.when(F.col("run_first"), F.col("seq")), True).over(wl.rowsBetween(*RUNNING)).alias("_ls"),
-                 F.last(F.when(F.col("run_first"), F.col("BaseDateTime")), True)
-                 .over(wl.rowsBetween(*RUNNING)).alias("_lt"))
     h = (h.withColumn("run_start_seq", F.when(F.col("slow"), F.coalesce("_ls", "_c_seq")))
           .withColumn("run_start_ts", F.when(F.col("slow"), F.coalesce("_lt", "_c_ts")))
           .drop("_ls", "_lt", "_c_seq", "_c_ts"))
-    min_us = int(round(p.min_stop_hours * 3_600_000_000))
-    gap_us = int(round(p.merge_gap_hours * 3_600_000_000))
     h = (h.withColumn("run_micros", F.when(F.col("run_last"), F.timestamp_diff(
             "MICROSECOND", F.col("run_start_ts"), F.col("BaseDateTime"))))
           .withColumn("qualified", F.coalesce(F.col("run_micros") >= F.lit(min_us), F.lit(False))))
-    h = _keep(h, bag)
-
-    # --- round 3: last qualified run end before the chunk ------------------------
-    s3 = (h.groupBy(*CKEY).agg(F.max(F.when(F.col("qualified"), F.col("BaseDateTime"))).alias("qe"))
-          .select(*CKEY, F.last("qe", True).over(ca.rowsBetween(*BEFORE)).alias("_c_qe")))
-    h = _carry(h, s3)
     prev_end = F.coalesce(F.last(F.when(F.col("qualified"), F.col("BaseDateTime")), True)
                           .over(wl.rowsBetween(*BEFORE)), F.col("_c_qe"))
     h = h.withColumn("new_stop", F.col("qualified") & (prev_end.isNull() | (
@@ -217,7 +224,7 @@ def hot_tracks(h: DataFrame, p: Params = DEFAULT) -> HotStages:
     h = _keep(h, bag)
     runs = h
 
-    # --- round 4: nearest qualified run at or after the chunk end ----------------
+    # --- round 3: nearest qualified run at or after the chunk end ----------------
     # every chunk needs a carry, also those without a qualified run
     chunks = h.groupBy(*CKEY).agg(F.count(F.lit(1)).alias("_n"))
     fq = (h.filter("qualified").groupBy(*CKEY)
@@ -235,7 +242,7 @@ def hot_tracks(h: DataFrame, p: Params = DEFAULT) -> HotStages:
     h = stop_flags(h.drop("_c_fq"))
     stops = h
 
-    # --- round 5: neighbouring kept rows, reject flag ----------------------------
+    # --- round 4: neighbouring kept rows, reject flag ----------------------------
     k = h.filter(F.col("keep"))
     k = k.select("*", F.lead("seq", 1).over(wd).alias("_pseq"), F.lead("BaseDateTime", 1).over(wd).alias("_pt"),
                  F.lag("seq", 1).over(wd).alias("_nseq"),
@@ -260,7 +267,7 @@ def hot_tracks(h: DataFrame, p: Params = DEFAULT) -> HotStages:
 
 
 def hot_stays(traj: DataFrame, bag: list) -> DataFrame:
-    """Round 6 on hot, tagged rows: stay starts and route keys across chunks
+    """Round 5 on hot, tagged rows: stay starts and route keys across chunks
     (same columns as ``routes.mark_stays``)."""
     ca, cd = _chunk_windows()
     wd = w_desc(CKEY)
