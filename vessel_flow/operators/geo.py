@@ -3,8 +3,8 @@
 Both are equi-joins on a grid cell against a dimension-sized cell table:
 
 * states: each polygon ring's bounding box is spread over the cells it
-  covers; a cell row holds the candidate polygons (ordinal, name, all edges)
-  sorted by ordinal.  The exact test is a closed point-in-polygon over the
+  covers; a cell row holds the candidate polygons (ordinal, name, and the
+  polygon's edges that meet the cell's latitude band) sorted by ordinal.  The exact test is a closed point-in-polygon over the
   edges; the lowest ordinal among matches wins (R-Q20).
 * ports: each port is spread over the cells its 0.2 degree cap touches
   (longitude half-width asin(sin r / cos lat), wrapped at +-180).  The exact
@@ -67,7 +67,14 @@ def state_cells(rings: DataFrame, p: Params = DEFAULT) -> DataFrame:
              .select("ordinal", "cell_y", F.pmod("cx", F.lit(int(round(360 / s)))).alias("cell_x"))
              .distinct())
     polys = rings.groupBy("ordinal", "name").agg(F.flatten(F.collect_list("edges")).alias("edges"))
+    # Only edges whose latitude range meets the cell's band can be crossed by
+    # the test ray of a point in the cell, or hold it: keeping just those is
+    # exact and shrinks both the broadcast and the per-point work.
+    y0 = F.col("cell_y") * F.lit(float(s)) - _EPS
+    y1 = (F.col("cell_y") + 1) * F.lit(float(s)) + _EPS
+    band = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= y0) & (F.least(e["y1"], e["y2"]) <= y1))
     return (cover.join(polys, "ordinal")
+            .select("cell_y", "cell_x", "ordinal", "name", band.alias("edges"))
             .groupBy("cell_y", "cell_x")
             .agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "edges"))).alias("cands")))
 
