@@ -161,3 +161,22 @@ def test_vessel_class_from_first_row(spark):
     s = run(spark, rows)
     assert {r["first_type"] for r in s.co2.collect()} == {79}
     assert not any(r["tanker"] for r in s.co2.collect())
+
+
+def test_periods_cut_tracks_and_many_years_run_in_one_plan(spark):
+    import datetime as dt
+    # slow from 22:50 to 01:00 across a period boundary (R-Q14, U4)
+    pts = [(0, .5, .5, 9), (10, .5, .5, 9), (20, .5, .5, .1), (60, .5, .5, .1), (90, .5, .5, .1),
+           (120, .5, .5, .1), (150, .5, .5, .1), (160, .5, .5, 9), (170, .5, .5, 9)]
+
+    def qualified(rows, p=DEFAULT):
+        s = run(spark, rows, p=p)
+        return sorted((r["period"], r["hours"]) for r in s.runs.filter("qualified").select(
+            "period", (F.col("run_micros") / 3.6e9).alias("hours")).collect())
+
+    new_year = track(5, pts, t0=dt.datetime(2023, 12, 31, 22, 30))
+    # two years in one plan: 40 min before midnight (no stop), exactly 1 h after it (a stop)
+    assert qualified(new_year) == [(2024, 1.0)]
+    mid_year = track(6, pts, t0=dt.datetime(2024, 6, 30, 22, 30))
+    assert qualified(mid_year) == [(2024, 130 / 60)]                          # a year keeps the voyage
+    assert qualified(mid_year, DEFAULT.with_(period="month")) == [(202407, 1.0)]  # a month cuts it
