@@ -22,8 +22,18 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def central_angle_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """Great-circle angle in radians (haversine form) as a SQL expression over
+    column names or lambda fields; one parse instead of dozens of calls."""
+    p1, l1, p2, l2 = (f"radians({v})" for v in (lat1, lon1, lat2, lon2))
+    return (f"(asin(sqrt(pow(sin(({p2} - {p1}) / 2), 2) + cos({p1}) * cos({p2}) * "
+            f"pow(sin(({l2} - {l1}) / 2), 2))) * 2)")
+
+
 def central_angle(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle angle in radians (haversine form)."""
+    if all(isinstance(v, str) for v in (lat1, lon1, lat2, lon2)):
+        return F.expr(central_angle_sql(lat1, lon1, lat2, lon2))
     p1, l1, p2, l2 = (F.radians(_c(v)) for v in (lat1, lon1, lat2, lon2))
     dlon = l2 - l1
     dlat = p2 - p1
@@ -36,6 +46,17 @@ def haversine_nm(lat1, lon1, lat2, lon2, radius_nm: float = 3440.0) -> Column:
     return central_angle(lat1, lon1, lat2, lon2) * F.lit(float(radius_nm))
 
 
+def point_in_edges_sql(edges: str, x: str, y: str) -> str:
+    """SQL form of ``point_in_edges`` (same tests, same evaluation order)."""
+    on_edge = (f"(({x} - e.x1) * (e.y2 - e.y1) = ({y} - e.y1) * (e.x2 - e.x1) "
+               f"AND {x} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) "
+               f"AND {y} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2))")
+    crosses = (f"((e.y1 > {y}) != (e.y2 > {y}) "
+               f"AND {x} < (e.x2 - e.x1) * ({y} - e.y1) / nullif(e.y2 - e.y1, 0D) + e.x1)")
+    return (f"(exists({edges}, e -> {on_edge}) OR "
+            f"aggregate({edges}, 0, (acc, e) -> acc + CASE WHEN {crosses} THEN 1 ELSE 0 END) % 2 = 1)")
+
+
 def point_in_edges(edges: Column, x: Column, y: Column) -> Column:
     """Closed point-in-polygon test: on an edge, or odd number of crossings.
 

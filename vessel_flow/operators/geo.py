@@ -24,8 +24,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import (cell_index, central_angle, lon_cell_index, lon_half_width_deg,
-                             point_in_edges)
+from ..functions.geo import (cell_index, central_angle_sql, lon_cell_index, lon_half_width_deg,
+                             point_in_edges_sql)
 from ..params import DEFAULT, Params
 
 _EPS = 1e-9
@@ -87,7 +87,7 @@ def tag_states(df: DataFrame, cells: DataFrame, p: Params = DEFAULT,
     pts = df.withColumn("_cy", cell_index(F.col(lat), s)).withColumn("_cx", lon_cell_index(F.col(lon), s))
     c = checked_broadcast(cells, p.broadcast_max_rows)
     j = pts.join(c, (pts["_cy"] == c["cell_y"]) & (pts["_cx"] == c["cell_x"]), "left")
-    hit = F.filter(F.col("cands"), lambda k: point_in_edges(k["edges"], F.col(lon), F.col(lat)))
+    hit = F.expr(f"filter(cands, k -> {point_in_edges_sql('k.edges', f'`{lon}`', f'`{lat}`')})")
     return (j.withColumn(out, F.try_element_at(hit, F.lit(1)).getField("name"))
              .drop("_cy", "_cx", "cell_y", "cell_x", "cands"))
 
@@ -122,10 +122,9 @@ def match_ports(df: DataFrame, cells: DataFrame, p: Params = DEFAULT) -> DataFra
     c = checked_broadcast(cells, p.broadcast_max_rows)
     j = pts.join(c, (pts["_cy"] == c["cell_y"]) & (pts["_cx"] == c["cell_x"])
                  & (pts["Label"] == F.lit("1")), "left")
-    scored = F.transform(F.col("ports"), lambda q: F.struct(
-        central_angle(F.col("LAT"), F.col("LON"), q["lat"], q["lon"]).alias("d"),
-        q["ordinal"].alias("ordinal"), q["name"].alias("name"), q["state"].alias("state")))
-    best = F.array_min(F.filter(scored, lambda q: q["d"] <= F.lit(limit)))
+    angle = central_angle_sql("LAT", "LON", "q.lat", "q.lon")
+    best = F.expr(f"array_min(filter(transform(ports, q -> named_struct('d', {angle}, 'ordinal', q.ordinal, "
+                  f"'name', q.name, 'state', q.state)), q -> q.d <= {limit!r}D))")
     j = j.withColumn("_best", best)
     return (j.withColumn("PortName", F.col("_best").getField("name"))
              .withColumn("State", F.coalesce(F.col("_best").getField("state"), F.col("State")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import cell_index, lon_cell_index, point_in_edges
+from ..functions.geo import cell_index, lon_cell_index, point_in_edges_sql
 from ..params import DEFAULT, Params
 from .geo import checked_broadcast, state_cells
 
@@ -40,6 +40,6 @@ def build_ports(raw: DataFrame, rings: DataFrame, p: Params = DEFAULT) -> DataFr
     pts = us.withColumn("_cy", cell_index(F.col("Latitude"), s)) \
             .withColumn("_cx", lon_cell_index(F.col("Longitude"), s))
     j = pts.join(cells, (pts["_cy"] == cells["cell_y"]) & (pts["_cx"] == cells["cell_x"]), "inner")
-    hits = F.filter(F.col("cands"), lambda k: point_in_edges(k["edges"], F.col("Longitude"), F.col("Latitude")))
+    hits = F.expr(f"filter(cands, k -> {point_in_edges_sql('k.edges', 'Longitude', 'Latitude')})")
     return (j.select("*", F.explode(hits).alias("_hit"))
             .select("Main Port Name", F.col("_hit")["name"].alias("state"), "Latitude", "Longitude"))

@@ -63,11 +63,25 @@ def _median3(prev: Column, cur: Column, nxt: Column) -> Column:
     return F.when(n == 3, mid3).when(n == 2, s / 2).when(n == 1, F.coalesce(prev, cur, nxt))
 
 
+def _median3_sql(prev: str, cur: str, nxt: str) -> str:
+    """SQL form of ``_median3`` (same cases, same arithmetic order)."""
+    n = " + ".join(f"CASE WHEN {v} IS NOT NULL THEN 1 ELSE 0 END" for v in (prev, cur, nxt))
+    mid3 = f"greatest(least({prev}, {cur}), least(greatest({prev}, {cur}), {nxt}))"
+    total = f"coalesce({prev}, 0D) + coalesce({cur}, 0D) + coalesce({nxt}, 0D)"
+    return (f"CASE WHEN ({n}) = 3 THEN {mid3} WHEN ({n}) = 2 THEN ({total}) / 2 "
+            f"WHEN ({n}) = 1 THEN coalesce({prev}, {cur}, {nxt}) END")
+
+
+def _raw_order_sql(key) -> str:
+    return (f"PARTITION BY {', '.join(key)} ORDER BY "
+            + ", ".join(f"{c} ASC NULLS LAST" for c in ORDER))
+
+
 def _rolling_median(c: str, window: int, key=KEY) -> Column:
     lo, hi = -(window // 2), window - 1 - window // 2
     if window == 3:
-        w = w_raw(key)
-        return _median3(F.lag(c, 1).over(w), F.col(c), F.lead(c, 1).over(w))
+        spec = _raw_order_sql(key)
+        return F.expr(_median3_sql(f"lag({c}, 1) OVER ({spec})", c, f"lead({c}, 1) OVER ({spec})"))
     return F.percentile(F.col(c), 0.5).over(w_raw(key).rowsBetween(lo, hi))
 
 
