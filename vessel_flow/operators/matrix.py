@@ -7,6 +7,7 @@ states, which is bounded by the polygon map.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,9 @@ def transfer_matrix(transfers: DataFrame, dests: list[str] | None = None) -> Dat
 
     ``dests`` fixes the columns; by default they are the destinations seen."""
     if dests is None:
+        # the column list needs one pass over the input; the input is one row
+        # per state pair, so keep it for the pivot instead of computing it twice
+        transfers = transfers.persist(StorageLevel.MEMORY_AND_DISK)
         dests = distinct_values(transfers, "dest_state")
     fixed = ["year", "source_state"]
     if not dests:
@@ -52,6 +56,9 @@ def wide_routes(table: DataFrame, states: list[str] | None = None,
                         F.explode_outer("transit").alias("_t"))
     base = base.select("*", F.col("_t.state").alias("_state"), F.col("_t.emissions").alias("_em")).drop("_t")
     if states is None:
+        # one row per (route, transit state): kept for the pivot so that the
+        # column list does not cost a second run of the whole plan
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
         states = distinct_values(base, "_state")
     group = [*ROUTE_KEY, *[c for c in keep if c not in ROUTE_KEY]]
     if not states:
