@@ -14,7 +14,7 @@ def vessel_counts(ingested: DataFrame) -> DataFrame:
 
 def run_metrics(stages) -> DataFrame:
     """Records, vessels, kept rows, stop rows, routes and flows per period."""
-    base = stages.ingested.groupBy("period").agg(F.count(F.lit(1)).alias("records"),
+    base = stages.typed.groupBy("period").agg(F.count(F.lit(1)).alias("records"),
                                                  F.count_distinct("MMSI").alias("vessels"))
     kept = stages.trajectory.groupBy("period").agg(F.count(F.lit(1)).alias("kept_rows"),
                                                    F.count_if(F.col("Label") == "1").alias("stop_rows"))

@@ -30,7 +30,8 @@ class Stages:
     a query that reads ``smoothed`` never builds (or checks the broadcast
     size of) the geometry tables.
 
-    ingested   typed, filtered, keyed, hash-partitioned rows
+    typed      typed, filtered, keyed rows before any shuffle
+    ingested   the same rows hash-partitioned by vessel
     smoothed   + seq, n_rows, first_type, smoothed LAT/LON/SOG
     runs       + slow-run marks (ascending pass)
     stops      + stop marks, all rows (descending pass)
@@ -72,11 +73,15 @@ def build_stages(ais: DataFrame, state_rings: DataFrame, ports: DataFrame,
     it into time chunks (see ``operators.split``), otherwise the plain plan
     runs unchanged."""
     ing0 = ingest.ingest(ais, p)
+    out = None
     if p.split_hot:
         plan = split.plan_chunks(ais.sparkSession, split.vessel_stats(ing0), p)
         if plan is not None:
-            return _split_stages(ing0, plan, state_rings, ports, p)
-    return _plain_stages(ingest.partition_by_vessel(ing0), state_rings, ports, p)
+            out = _split_stages(ing0, plan, state_rings, ports, p)
+    if out is None:
+        out = _plain_stages(ingest.partition_by_vessel(ing0), state_rings, ports, p)
+    out.typed = ing0  # typed, filtered rows before the vessel exchange (for counts)
+    return out
 
 
 def _plain_stages(ing: DataFrame, state_rings: DataFrame, ports: DataFrame, p: Params) -> Stages:

@@ -54,7 +54,7 @@ def q_freight_filter(spark, sf):
 
 def q_vessel_counts(spark, sf):
     s = stages(spark, sf)
-    return metrics.vessel_counts(s.ingested)
+    return metrics.vessel_counts(s.typed)
 
 
 def q_run_metrics(spark, sf):
