@@ -171,3 +171,20 @@ def test_incremental_ingest_skips_files_done(spark, scratch):
     assert incremental_ingest(spark, src, dest, checkpoint=ck)["files"] == 1
     got = sorted((r["MMSI"], r["LAT"]) for r in spark.read.parquet(dest).collect())
     assert got == [(1, 30.0), (2, 31.0), (4, 32.0)]   # type 60 filtered out, columns read by name
+
+
+def test_header_fallback_when_a_file_cannot_be_opened_directly(spark, scratch, monkeypatch):
+    from vessel_flow.sources import ais_csv as mod
+    d = f"{scratch}/y"
+    os.makedirs(d)
+    _write(f"{d}/AIS_2024_01_01.csv", "LAT,MMSI,BaseDateTime,LON,SOG,VesselType\n30.5,9,2024-01-01T00:00:00,-80,0.1,70\n")
+    _write(f"{d}/AIS_2024_01_02.csv", "MMSI,LAT\n1,2\n")
+
+    def unreadable(it):  # as if the file system were unknown to pyarrow
+        import pandas as pd
+        for pdf in it:
+            yield pd.DataFrame({"path": pdf["path"], "header": None, "error": "ArrowInvalid: unknown scheme"})
+    monkeypatch.setattr(mod, "_read_first_lines", unreadable)
+    scan = mod.read_ais_csv(spark, d)
+    assert [(r["MMSI"], r["LAT"]) for r in scan.rows.collect()] == [("9", "30.5")]
+    assert [os.path.basename(r["path"]) for r in scan.rejects.collect()] == ["AIS_2024_01_02.csv"]

@@ -52,6 +52,29 @@ def file_headers(spark: SparkSession, path: str | list[str], glob: str = "*.csv"
     return listing.mapInPandas(_read_first_lines, HEADER_SCHEMA)
 
 
+def _same_file(path: str) -> str:
+    """One spelling per file: listings write ``file:/x``, ``input_file_name``
+    writes ``file:///x`` and escapes some characters."""
+    from urllib.parse import unquote
+    p = unquote(path)
+    return "file:/" + p[len("file:///"):] if p.startswith("file:///") else p
+
+
+def _headers_by_scan(spark: SparkSession, paths: list[str], required: list[str]) -> dict[str, str]:
+    """Fallback for files the executors could not open directly (a file
+    system that pyarrow does not know, such as ``s3a://``): Spark's own text
+    reader finds the header line of each file, the one line that names the
+    required columns.  This reads those files once more, so it is only used
+    for them."""
+    toks = F.transform(F.split(F.col("value"), ","), lambda t: F.trim(F.regexp_replace(t, '"', "")))
+    lines = spark.read.text(paths).select(F.input_file_name().alias("path"), "value", toks.alias("t"))
+    cond = F.array_contains("t", required[0])
+    for c in required[1:]:
+        cond = cond & F.array_contains("t", c)
+    return {r["path"]: r["header"] for r in
+            lines.where(cond).groupBy("path").agg(F.first("value").alias("header")).collect()}
+
+
 @dataclass
 class CsvScan:
     rows: DataFrame      # string columns: AIS_COLUMNS + optional ones present, + source_file
@@ -65,10 +88,15 @@ def read_ais_csv(spark: SparkSession, path: str | list[str], glob: str = "AIS_*.
 
     The header variants (a handful) and their file lists come to the driver:
     that is file metadata, bounded by the number of files, not by rows."""
-    heads = file_headers(spark, path, glob)
+    heads = file_headers(spark, path, glob).collect()
+    unread = [r["path"] for r in heads if r["error"] and not r["error"].startswith("empty")]
+    if unread:
+        found = {_same_file(f): h for f, h in _headers_by_scan(spark, unread, required).items()}
+        heads = [r if _same_file(r["path"]) not in found else
+                 {"path": r["path"], "header": found[_same_file(r["path"])], "error": None} for r in heads]
     variants: dict[str, list[str]] = {}
     rejects = []
-    for r in heads.collect():
+    for r in heads:
         if r["error"] or not r["header"]:
             rejects.append((r["path"], r["error"] or "no header"))
             continue
