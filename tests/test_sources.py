@@ -188,3 +188,17 @@ def test_header_fallback_when_a_file_cannot_be_opened_directly(spark, scratch, m
     scan = mod.read_ais_csv(spark, d)
     assert [(r["MMSI"], r["LAT"]) for r in scan.rows.collect()] == [("9", "30.5")]
     assert [os.path.basename(r["path"]) for r in scan.rejects.collect()] == ["AIS_2024_01_02.csv"]
+
+
+def test_ingest_manifest(spark, scratch):
+    csv_dir, zip_dir = f"{scratch}/csv", f"{scratch}/zip"
+    os.makedirs(csv_dir)
+    os.makedirs(zip_dir)
+    _write(f"{csv_dir}/AIS_2023_12_31.csv", STD + "1,2023-12-31T00:00:00,30,-80,0.1,0,70,1\n")
+    with zipfile.ZipFile(f"{zip_dir}/AIS_2023_01_01.zip", "w") as z:
+        z.writestr("AIS_2023_01_01.csv", STD)
+    m = manifest.ingest_manifest(spark, csv_dir, [2023], zip_dir)
+    assert {r["status"]: r["files"] for r in m["tally"].collect()} == {"SKIPPED": 1, "SUCCESS": 1, "FAILED": 363}
+    assert m["todo"].count() == 364
+    failed = m["status"].filter("status = 'FAILED'").select("file_stem").limit(1).collect()[0][0]
+    assert failed.startswith("AIS_2023_")

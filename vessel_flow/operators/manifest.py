@@ -61,3 +61,22 @@ def ingest_status(cal: DataFrame, present: DataFrame, archives: DataFrame | None
 
 def tally(status: DataFrame) -> DataFrame:
     return status.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+
+
+def ingest_manifest(spark: SparkSession, csv_dir: str, years: list[int],
+                    zip_dir: str | None = None) -> dict[str, DataFrame]:
+    """C11: expected daily files of ``years`` against what is present.
+
+    Returns ``status`` (one row per day: SKIPPED / SUCCESS / FAILED),
+    ``tally`` (files per status), ``todo`` (days without a non-empty CSV) and,
+    with ``zip_dir``, ``archives`` (one status row per zip).  The years are a
+    handful of ints from the caller, the rest are Spark listings and joins."""
+    from ..sources.ais_csv import read_zipped_ais
+    cal = calendar(spark.createDataFrame([(int(y),) for y in years], "year int"))
+    present = listing(spark, csv_dir)
+    archives = read_zipped_ais(spark, zip_dir)[1] if zip_dir else None
+    status = ingest_status(cal, present, archives)
+    out = {"status": status, "tally": tally(status), "todo": missing_days(cal, present)}
+    if archives is not None:
+        out["archives"] = archives
+    return out
