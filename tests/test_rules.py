@@ -180,3 +180,17 @@ def test_periods_cut_tracks_and_many_years_run_in_one_plan(spark):
     mid_year = track(6, pts, t0=dt.datetime(2024, 6, 30, 22, 30))
     assert qualified(mid_year) == [(2024, 130 / 60)]                          # a year keeps the voyage
     assert qualified(mid_year, DEFAULT.with_(period="month")) == [(202407, 1.0)]  # a month cuts it
+
+
+def test_empty_period_gives_empty_tables_with_schema(spark, scratch):
+    from vessel_flow import sinks
+    from vessel_flow.plans.pipeline import emission_pipeline
+    empty = ais(spark, [])
+    out = emission_pipeline(spark, empty, ports(spark, PORTS), rings(spark, RINGS))
+    for name in ("trajectory", "routes", "transit", "flows", "transfers", "rejects"):
+        assert out[name].count() == 0, name
+    assert {"MMSI", "start_state", "end_state", "total_emissions"} <= set(out["routes"].columns)
+    assert out["trajectory"].columns[:3] == ["period", "year", "MMSI"]
+    sinks.mark_done(spark, [2024], f"{scratch}/done")  # the empty period is still marked done (R-Q12)
+    assert spark.read.parquet(f"{scratch}/done").count() == 1
+    out["route_table"].unpersist()
