@@ -78,13 +78,14 @@ def ingest(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return keyed(freight_filter(typed_ais(df, p), p), p)
 
 
-def partition_by_vessel(df: DataFrame, keys: list[str] = KEY) -> DataFrame:
+def partition_by_vessel(df: DataFrame, keys: list[str] = KEY, n: int | None = None) -> DataFrame:
     """The one hash exchange of the pipeline: every later window and group
     (on period, MMSI, ...) reuses this partitioning.
 
     The partition count is fixed to ``spark.sql.shuffle.partitions``: the
     stage after this exchange is CPU-heavy (two sorts, a dozen window
     functions, geometry tests) for few shuffled bytes, and AQE would
-    otherwise coalesce it by bytes into a handful of tasks."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    otherwise coalesce it by bytes into a handful of tasks.  ``n`` (from
+    ``Params.track_partitions``) sizes it apart from the small shuffles."""
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *[F.col(k) for k in keys])

@@ -35,6 +35,7 @@ class Params:
     state_cell_deg: float = 1.0        # grid cell for the polygon join
     port_cell_deg: float = 0.5         # grid cell for the port join
     broadcast_max_rows: int = 2_000_000  # cell tables above this use a shuffle join
+    track_partitions: int | None = None  # partitions of the vessel exchange (None: spark.sql.shuffle.partitions)
     split_hot: bool = True             # split vessel-periods with very many rows into time chunks
     hot_vessel_rows: int = 5_000_000   # a vessel-period above this many rows is "hot"
     chunk_rows: int = 2_000_000        # target rows per chunk of a hot vessel

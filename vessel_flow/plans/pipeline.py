@@ -79,7 +79,7 @@ def build_stages(ais: DataFrame, state_rings: DataFrame, ports: DataFrame,
         if plan is not None:
             out = _split_stages(ing0, plan, state_rings, ports, p)
     if out is None:
-        out = _plain_stages(ingest.partition_by_vessel(ing0), state_rings, ports, p)
+        out = _plain_stages(ingest.partition_by_vessel(ing0, n=p.track_partitions), state_rings, ports, p)
     out.typed = ing0  # typed, filtered rows before the vessel exchange (for counts)
     return out
 
@@ -112,8 +112,9 @@ def _split_stages(ing0: DataFrame, plan: DataFrame, state_rings: DataFrame, port
     (period, MMSI); hot vessels are shuffled on (period, MMSI, chunk) and take
     the chunked rounds.  Each row is shuffled once."""
     ch = split.assign_chunks(ing0, plan)
-    cold = ingest.partition_by_vessel(ch.filter(~F.col("hot")).drop("hot", "n_total", "chunk"))
-    hot = ingest.partition_by_vessel(ch.filter(F.col("hot")).drop("hot"), split.CKEY)
+    cold = ingest.partition_by_vessel(ch.filter(~F.col("hot")).drop("hot", "n_total", "chunk"),
+                                      n=p.track_partitions)
+    hot = ingest.partition_by_vessel(ch.filter(F.col("hot")).drop("hot"), split.CKEY, n=p.track_partitions)
     c = _plain_stages(cold, state_rings, ports, p)
     hs = split.hot_tracks(hot, p)
     s_cells, p_cells = geo.state_cells(state_rings, p), geo.port_cells(ports, p)
