@@ -30,8 +30,10 @@ def test_irregular_polygons_match_brute_force(spark):
     pts += [(rnd.uniform(175, 180), rnd.uniform(-3, 3)) for _ in range(300)] + [(-180.0, 0.0), (180.0, 0.5)]
     df = spark.createDataFrame([(float(x), float(y)) for x, y in pts], "LON double, LAT double")
     p = DEFAULT.with_(state_cell_deg=0.25)
-    got = {(r["LON"], r["LAT"]): r["State"]
-           for r in tag_states(df, state_cells(rings(spark, polys), p), p).collect()}
+    cells = state_cells(rings(spark, polys), p)
+    uniform = {r["uniform_state"] for r in cells.filter("uniform").collect()}
+    assert {"A", "B", None} <= uniform        # interior cells of both shapes and of the hole
+    got = {(r["LON"], r["LAT"]): r["State"] for r in tag_states(df, cells, p).collect()}
     bad = [(x, y) for x, y in pts
            if got[(x, y)] != next((n for o, n, e in polys if model.point_in_poly(e, x, y)), None)]
     assert not bad, bad[:5]

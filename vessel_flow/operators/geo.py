@@ -4,8 +4,10 @@ Both are equi-joins on a grid cell against a dimension-sized cell table:
 
 * states: each polygon ring's bounding box is spread over the cells it
   covers; a cell row holds the candidate polygons (ordinal, name, and the
-  polygon's edges that meet the cell's latitude band) sorted by ordinal.  The exact test is a closed point-in-polygon over the
-  edges; the lowest ordinal among matches wins (R-Q20).
+  polygon's edges that meet the cell's latitude band) sorted by ordinal.
+  The exact test is a closed point-in-polygon over the edges; the lowest
+  ordinal among matches wins (R-Q20).  A cell that no edge touches is
+  decided once, at its centre.
 * ports: each port is spread over the cells its 0.2 degree cap touches
   (longitude half-width asin(sin r / cos lat), wrapped at +-180).  The exact
   test is the great-circle angle <= r; the minimum of (angle, ordinal) wins,
@@ -64,7 +66,7 @@ def state_cells(rings: DataFrame, p: Params = DEFAULT) -> DataFrame:
                                                         cell_index(F.col("ymax") + _EPS, s))))
              .withColumn("cx", F.explode(F.sequence(cell_index(F.col("xmin") - _EPS, s),
                                                     cell_index(F.col("xmax") + _EPS, s))))
-             .select("ordinal", "cell_y", F.pmod("cx", F.lit(int(round(360 / s)))).alias("cell_x"))
+             .select("ordinal", "cell_y", "cx", F.pmod("cx", F.lit(int(round(360 / s)))).alias("cell_x"))
              .distinct())
     polys = rings.groupBy("ordinal", "name").agg(F.flatten(F.collect_list("edges")).alias("edges"))
     # Only edges whose latitude range meets the cell's band can be crossed by
@@ -73,10 +75,23 @@ def state_cells(rings: DataFrame, p: Params = DEFAULT) -> DataFrame:
     y0 = F.col("cell_y") * F.lit(float(s)) - _EPS
     y1 = (F.col("cell_y") + 1) * F.lit(float(s)) + _EPS
     band = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= y0) & (F.least(e["y1"], e["y2"]) <= y1))
-    return (cover.join(polys, "ordinal")
-            .select("cell_y", "cell_x", "ordinal", "name", band.alias("edges"))
-            .groupBy("cell_y", "cell_x")
-            .agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "edges"))).alias("cands")))
+    rows = cover.join(polys, "ordinal").select("cell_y", "cell_x", "cx", "ordinal", "name", band.alias("edges"))
+    # A cell that no candidate edge touches (edge boxes against the closed
+    # cell, a superset test) has one answer for all its points: the lowest
+    # polygon containing its centre.  Points there skip the edge test.
+    x0, y0c, half = f"(cx * {float(s)!r}D)", f"(cell_y * {float(s)!r}D)", f"{float(s) / 2!r}D"
+    touch = F.expr(f"exists(edges, e -> greatest(e.x1, e.x2) >= {x0} - {_EPS!r}D "
+                   f"AND least(e.x1, e.x2) <= {x0} + {float(s)!r}D + {_EPS!r}D "
+                   f"AND greatest(e.y1, e.y2) >= {y0c} - {_EPS!r}D "
+                   f"AND least(e.y1, e.y2) <= {y0c} + {float(s)!r}D + {_EPS!r}D)")
+    centre = F.expr(point_in_edges_sql("edges", f"({x0} + {half})", f"({y0c} + {half})"))
+    rows = rows.select("*", touch.alias("_touch"), centre.alias("_centre"))
+    return (rows.groupBy("cell_y", "cell_x")
+            .agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "edges"))).alias("cands"),
+                 (~F.bool_or("_touch") & (F.count_distinct("cx") == 1)).alias("uniform"),
+                 F.min("cx").alias("ucx"),
+                 F.array_min(F.collect_list(F.when(F.col("_centre"), F.struct("ordinal", "name"))))
+                 .getField("name").alias("uniform_state")))
 
 
 def tag_states(df: DataFrame, cells: DataFrame, p: Params = DEFAULT,
@@ -88,8 +103,10 @@ def tag_states(df: DataFrame, cells: DataFrame, p: Params = DEFAULT,
     c = checked_broadcast(cells, p.broadcast_max_rows)
     j = pts.join(c, (pts["_cy"] == c["cell_y"]) & (pts["_cx"] == c["cell_x"]), "left")
     hit = F.expr(f"filter(cands, k -> {point_in_edges_sql('k.edges', f'`{lon}`', f'`{lat}`')})")
-    return (j.withColumn(out, F.try_element_at(hit, F.lit(1)).getField("name"))
-             .drop("_cy", "_cx", "cell_y", "cell_x", "cands"))
+    same_cell = F.col("uniform") & (cell_index(F.col(lon), s) == F.col("ucx"))
+    state = F.when(same_cell, F.col("uniform_state")).otherwise(F.try_element_at(hit, F.lit(1)).getField("name"))
+    return (j.withColumn(out, state)
+             .drop("_cy", "_cx", "cell_y", "cell_x", "cands", "uniform", "ucx", "uniform_state"))
 
 
 def port_cells(ports: DataFrame, p: Params = DEFAULT) -> DataFrame:
