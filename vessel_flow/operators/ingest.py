@@ -24,10 +24,23 @@ def _to_ntz(df: DataFrame, name: str) -> Column:
     return c.cast(T.TimestampNTZType())
 
 
-def _num(c: Column, t: T.DataType) -> Column:
-    v = c.try_cast(t)
-    if isinstance(t, T.DoubleType):
-        v = F.nanvl(v, F.lit(None).cast(t))  # NaN -> NULL at ingest
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+
+
+def _num(df: DataFrame, name: str, t: T.DataType) -> Column:
+    """Text -> number with ``try_cast`` (bad text becomes NULL).  A column that
+    is numeric already keeps a plain widening cast, which Catalyst can unwrap
+    so that filters on it reach the Parquet scan."""
+    src = df.schema[name].dataType
+    c = F.col(name)
+    if src == t:
+        v = c
+    elif isinstance(src, _NUMERIC) and not (isinstance(t, T.LongType) and isinstance(src, (T.FloatType, T.DoubleType))):
+        v = c.cast(t)
+    else:
+        v = c.try_cast(t)
+    if isinstance(t, T.DoubleType) and isinstance(src, (T.StringType, T.FloatType, T.DoubleType)):
+        v = F.nanvl(v, F.lit(None).cast(t))  # NaN -> NULL at ingest (integers hold no NaN)
     return v
 
 
@@ -49,12 +62,12 @@ def typed_ais(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     not a whole number becomes NULL.  Optional columns are kept if present.
     """
     cols = [
-        _num(F.col("MMSI"), T.LongType()).alias("MMSI"),
+        _num(df, "MMSI", T.LongType()).alias("MMSI"),
         _to_ntz(df, "BaseDateTime").alias("BaseDateTime"),
-        _num(F.col("LAT"), T.DoubleType()).alias("LAT"),
-        _num(F.col("LON"), T.DoubleType()).alias("LON"),
-        _num(F.col("SOG"), T.DoubleType()).alias("SOG"),
-        _num(F.col("VesselType"), T.DoubleType()).alias("VesselType"),
+        _num(df, "LAT", T.DoubleType()).alias("LAT"),
+        _num(df, "LON", T.DoubleType()).alias("LON"),
+        _num(df, "SOG", T.DoubleType()).alias("SOG"),
+        _num(df, "VesselType", T.DoubleType()).alias("VesselType"),
     ]
     cols += [F.col(c) for c in OPTIONAL_COLUMNS if c in df.columns]
     return df.select(*cols)
