@@ -38,3 +38,16 @@ def test_transfer_sum_is_partial_then_final(spark):
     plan = plan_of(matrix.transfer_long(routes.transfer_flows(t)))
     assert "partial_sum" in plan
     assert "hashpartitioning(year" in plan
+
+
+def test_typed_parquet_input_pushes_filters_and_prunes_columns(spark, scratch):
+    from vessel_flow.operators import ingest, metrics
+    from vessel_flow.sources import fixtures as fx
+    fx.ais_from_events(fx.table(spark, SF, "events")).write.parquet(f"{scratch}/ais")
+    typed = ingest.ingest(spark.read.parquet(f"{scratch}/ais"))
+    scan = [l for l in plan_of(typed).splitlines() if "FileScan" in l][0]
+    for f in ("GreaterThanOrEqual(VesselType,70)", "LessThanOrEqual(VesselType,89)"):
+        assert f in scan, scan
+    counts = [l for l in plan_of(metrics.vessel_counts(typed)).splitlines() if "FileScan" in l][0]
+    read = re.search(r"ReadSchema: struct<([^>]*)>", counts).group(1)
+    assert "LAT" not in read and "SOG" not in read, read   # only the columns the counts need
