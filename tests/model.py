@@ -22,9 +22,11 @@ def smooth(rows, p=DEFAULT):
     out = [dict(r) for r in rows]
     if n < p.smooth_min_rows:
         return out
+    w = p.smooth_window
+    lo, hi = -(w // 2), w - 1 - w // 2     # pandas' centred window
     for c in ("LAT", "LON", "SOG"):
         for i in range(n):
-            out[i][c] = median([rows[j][c] for j in (i - 1, i, i + 1) if 0 <= j < n])
+            out[i][c] = median([rows[j][c] for j in range(i + lo, i + hi + 1) if 0 <= j < n])
     return out
 
 

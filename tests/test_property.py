@@ -159,3 +159,20 @@ def test_merged_stops_match_the_fold(spark):
         for a, b in zip(labelled[0::2], labelled[1::2]):
             exp.append((mmsi, a["BaseDateTime"], b["BaseDateTime"]))
     assert got == sorted(exp) and got
+
+
+@pytest.mark.parametrize("window", [4, 5])
+def test_other_smoothing_windows_match_the_model(spark, window):
+    p = DEFAULT.with_(smooth_window=window)
+    rows = random_tracks(13, 80)
+    s = build_stages(spark.createDataFrame(rows, AIS_SCHEMA), rings(spark, POLYS), ports(spark, PORTS), p)
+    got = {(r["MMSI"], r["seq"]): (r["LAT"], r["LON"], r["SOG"]) for r in s.smoothed.collect()}
+    by_v = {}
+    for r in rows:
+        by_v.setdefault(r[0], []).append(dict(zip(["MMSI", "BaseDateTime", "LAT", "LON", "SOG", "VesselType"], r)))
+    for mmsi, vrows in by_v.items():
+        exp = model.smooth(sorted(vrows, key=lambda r: r["BaseDateTime"]), p)
+        for i, e in enumerate(exp, start=1):
+            g = got[(mmsi, i)]
+            for a, b in zip(g, (e["LAT"], e["LON"], e["SOG"])):
+                assert (a is None and b is None) or _close(a, b), (mmsi, i, g, e)

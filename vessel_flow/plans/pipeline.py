@@ -74,7 +74,8 @@ def build_stages(ais: DataFrame, state_rings: DataFrame, ports: DataFrame,
     runs unchanged."""
     ing0 = ingest.ingest(ais, p)
     out = None
-    if p.split_hot:
+    # the chunk halo covers the 3-row median; other windows keep vessels whole
+    if p.split_hot and p.smooth_window == 3:
         plan = split.plan_chunks(ais.sparkSession, split.vessel_stats(ing0), p)
         if plan is not None:
             out = _split_stages(ing0, plan, state_rings, ports, p)
