@@ -202,3 +202,24 @@ def test_ingest_manifest(spark, scratch):
     assert m["todo"].count() == 364
     failed = m["status"].filter("status = 'FAILED'").select("file_stem").limit(1).collect()[0][0]
     assert failed.startswith("AIS_2023_")
+
+
+def test_emission_job_runs_pending_periods_only(spark, scratch):
+    import datetime as dt
+    from vessel_flow.plans.job import run_emission_job
+    from vessel_flow.params import DEFAULT
+    rg = rings(spark, [(0, "A", box(0, 0, 1, 1)), (1, "B", box(1, 0, 2, 1)), (2, "C", box(2, 0, 3, 1))])
+    ps = ports(spark, [(0, "PA", "A", 0.5, 0.5), (1, "PC", "C", 0.5, 2.5)])
+    pts = [(0, 0.5, 0.5, 0.1), (90, 0.5, 0.5, 0.1), (150, 0.5, 1.5, 10.0), (180, 0.5, 1.5, 10.0),
+           (210, 0.5, 1.6, 10.0), (270, 0.5, 2.5, 0.1), (400, 0.5, 2.5, 0.1), (430, 0.5, 1.5, 10.0)]
+    jan = track(1, pts, t0=dt.datetime(2024, 1, 10))
+    feb = track(1, pts, t0=dt.datetime(2024, 2, 10))
+    p = DEFAULT.with_(period="month")
+    out = f"{scratch}/job"
+    assert run_emission_job(spark, ais(spark, jan), ps, rg, out, p) == [202401]
+    assert run_emission_job(spark, ais(spark, jan + feb), ps, rg, out, p) == [202402]   # January is done
+    assert run_emission_job(spark, ais(spark, jan + feb), ps, rg, out, p) == []
+    r = spark.read.parquet(f"{out}/routes")
+    assert sorted((x["period"], x["start_state"], x["end_state"]) for x in r.collect()) == \
+        [(202401, "A", "C"), (202402, "A", "C")]
+    assert sorted(x["period"] for x in spark.read.parquet(f"{out}/done").collect()) == [202401, 202402]

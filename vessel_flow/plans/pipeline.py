@@ -136,7 +136,8 @@ def trajectory_output(traj: DataFrame) -> DataFrame:
 
 
 def emission_pipeline(spark: SparkSession, ais: DataFrame, ports: DataFrame, state_rings: DataFrame,
-                      p: Params = DEFAULT, stage_dir: str | None = None) -> dict[str, DataFrame]:
+                      p: Params = DEFAULT, stage_dir: str | None = None,
+                      periods: list[int] | None = None) -> dict[str, DataFrame]:
     """All outputs of one run: trajectory, routes (with state map), transit
     states, flows, transfer sums and rejects.
 
@@ -144,7 +145,8 @@ def emission_pipeline(spark: SparkSession, ais: DataFrame, ports: DataFrame, sta
     outputs read it.  With ``stage_dir`` (a shared folder) the enriched
     trajectory is written there, partitioned by period, and routes are
     computed from the written copy: lineage is cut and a lost executor
-    only costs the tasks after that point."""
+    only costs the tasks after that point.  ``periods`` names the periods
+    of this run, so that the re-read skips other periods of the folder."""
     s = build_stages(ais, state_rings, ports, p)
     marked = s.marked
     if stage_dir:
@@ -154,6 +156,8 @@ def emission_pipeline(spark: SparkSession, ais: DataFrame, ports: DataFrame, sta
         # per input split and shuffle only (route, state) partials, so a hot
         # vessel's routes spread over many tasks
         marked = spark.read.parquet(stage_dir)
+        if periods is not None:  # partition pruning: only the periods of this run
+            marked = marked.where(F.col("period").isin([int(x) for x in periods]))
     table = (routes.route_table(marked) if stage_dir else s.table).persist(StorageLevel.MEMORY_AND_DISK)
     transit = routes.transit_emissions(table)
     flows = routes.transfer_flows(transit)
