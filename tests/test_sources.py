@@ -1,6 +1,7 @@
 """Sources and sinks: round trips in scratch folders."""
 
 import json
+import math
 import os
 import zipfile
 
@@ -223,3 +224,8 @@ def test_emission_job_runs_pending_periods_only(spark, scratch):
     assert sorted((x["period"], x["start_state"], x["end_state"]) for x in r.collect()) == \
         [(202401, "A", "C"), (202402, "A", "C")]
     assert sorted(x["period"] for x in spark.read.parquet(f"{out}/done").collect()) == [202401, 202402]
+    # the yearly transfer sums hold both months, not only the last run's
+    flows = spark.read.parquet(f"{out}/flows")
+    t = {(x["source_state"], x["dest_state"]): x["amount"] for x in spark.read.parquet(f"{out}/transfers").collect()}
+    assert set(flows.select("period").distinct().toPandas()["period"]) == {202401, 202402}
+    assert math.isclose(sum(t.values()), flows.agg(F.sum("amount")).first()[0], rel_tol=1e-12)

@@ -3,8 +3,9 @@
 Only periods without a done marker are processed: the input is cut to them
 by a semi-join on the (bounded) list of pending periods, the pipeline runs
 as one plan with a staged trajectory, the outputs overwrite just their own
-period partitions, and a marker per period is written last, also when a
-period produced no route (R-Q12).  A failed run leaves no marker, so the
+period partitions, the yearly transfer sums are merged again from all
+stored periods of the touched years (C9), and a marker per period is
+written last, also when a period produced no route (R-Q12).  A failed run leaves no marker, so the
 next run redoes exactly the unfinished periods.
 """
 
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks
-from ..operators import ingest
+from ..operators import ingest, matrix
 from ..params import DEFAULT, Params
+from ..sources.dimensions import read_period_outputs
 from .pipeline import emission_pipeline
 
 
@@ -41,7 +43,11 @@ def run_emission_job(spark: SparkSession, ais: DataFrame, ports: DataFrame, stat
     res = emission_pipeline(spark, cut, ports, state_rings, p, stage_dir=f"{out}/trajectory", periods=todo)
     sinks.write_routes(res["route_table"], f"{out}/routes")
     sinks.write_flows(res["flows"], f"{out}/flows")
-    sinks.write_transfers(res["transfers"], f"{out}/transfers")
     res["route_table"].unpersist()
+    # transfers are sums per year: merge all stored periods of the touched
+    # years (C9), not only this run's, then replace those years
+    years = sorted({t // 100 if p.period == "month" else t for t in todo})
+    flows = read_period_outputs(spark, f"{out}/flows").where(F.col("year").isin(years))
+    sinks.write_transfers(matrix.merge_periods(flows), f"{out}/transfers")
     sinks.mark_done(spark, todo, f"{out}/done")
     return sorted(todo)
