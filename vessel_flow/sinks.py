@@ -24,7 +24,11 @@ def write_routes(route_table: DataFrame, path: str) -> None:
 
 
 def write_transfers(transfers: DataFrame, path: str) -> None:
-    """K2: summed transfers (year, source_state, dest_state, amount)."""
+    """K2: summed transfers (year, source_state, dest_state, amount).
+
+    A year's partition is replaced as a whole, so ``transfers`` must cover
+    whole years; month-by-month runs merge the stored flows first
+    (``plans.job.run_emission_job`` does)."""
     _parquet(transfers.select("year", "source_state", "dest_state", "amount"), path, ["year"])
 
 
