@@ -100,7 +100,7 @@ class HotStages:
     stops: DataFrame
     kept: DataFrame
     co2: DataFrame
-    persisted: list = field(default_factory=list)
+    persisted: list = field(default_factory=list)   # the round checkpoints
 
 
 def _keep(df: DataFrame, bag: list) -> DataFrame:
@@ -229,9 +229,9 @@ def hot_tracks(h: DataFrame, p: Params = DEFAULT) -> HotStages:
     chunks = h.groupBy(*CKEY).agg(F.count(F.lit(1)).alias("_n"))
     fq = (h.filter("qualified").groupBy(*CKEY)
           .agg(F.min_by(F.struct("run_start_seq", "new_stop"), "seq").alias("fq")))
-    s4 = (chunks.join(fq, CKEY, "left")
+    s3 = (chunks.join(fq, CKEY, "left")
           .select(*CKEY, F.last("fq", True).over(cd.rowsBetween(*BEFORE)).alias("_c_fq")))
-    h = _carry(h, s4)
+    h = _carry(h, s3)
     h = h.select("*",
                  F.coalesce(F.last(F.when(F.col("qualified"), F.col("run_start_seq")), True)
                             .over(wd.rowsBetween(*RUNNING)), F.col("_c_fq.run_start_seq")).alias("_q_start"),
@@ -248,13 +248,13 @@ def hot_tracks(h: DataFrame, p: Params = DEFAULT) -> HotStages:
                  F.lag("seq", 1).over(wd).alias("_nseq"),
                  *[F.lag(c, 1).over(wd).alias(f"_n_{c}") for c in ("LAT", "LON", "SOG")])
     k = _keep(k, bag)
-    s5 = (k.groupBy(*CKEY).agg(F.max("BaseDateTime").alias("last_ts"),
+    s4 = (k.groupBy(*CKEY).agg(F.max("BaseDateTime").alias("last_ts"),
                                F.min_by(F.struct("LAT", "LON", "SOG"), "seq").alias("first_row"),
                                F.bool_or(bad_stop_row()).alias("bad"))
           .select(*CKEY, F.last("last_ts", True).over(ca.rowsBetween(*BEFORE)).alias("_c_pt"),
                   F.last("first_row", True).over(cd.rowsBetween(*BEFORE)).alias("_c_n"),
                   F.bool_or("bad").over(Window.partitionBy(*VKEY)).alias("rejected")))
-    k = _carry(k, s5)
+    k = _carry(k, s4)
     first_kept = F.col("_pseq").isNull()
     last_kept = F.col("_nseq").isNull()
     k = k.withColumns({
@@ -263,6 +263,7 @@ def hot_tracks(h: DataFrame, p: Params = DEFAULT) -> HotStages:
            for c in ("LAT", "LON", "SOG")}})
     k = k.drop("_pseq", "_pt", "_nseq", "_n_LAT", "_n_LON", "_n_SOG", "_c_pt", "_c_n")
     co2 = co2_columns(k, p)
+    # the kept rows, with their CO2 columns already (a superset of the plain 'kept' stage)
     return HotStages(smoothed, runs, stops, co2, co2, bag)
 
 
