@@ -39,9 +39,13 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     The count runs on the small dimension side, never on track rows; the
     table is persisted first so that the count and the broadcast share one
     computation."""
+    if getattr(df, "_vf_checked", False):  # checked once already, shared by several joins
+        return df
     df = df.persist()
     n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    out = F.broadcast(df) if n <= max_rows else df
+    out._vf_checked = True
+    return out
 
 
 def _ring_bbox(edges):

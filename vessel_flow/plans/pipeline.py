@@ -85,7 +85,9 @@ def build_stages(ais: DataFrame, state_rings: DataFrame, ports: DataFrame,
     return out
 
 
-def _plain_stages(ing: DataFrame, state_rings: DataFrame, ports: DataFrame, p: Params) -> Stages:
+def _plain_stages(ing: DataFrame, state_rings: DataFrame, ports: DataFrame, p: Params,
+                  cells: tuple[DataFrame, DataFrame] | None = None) -> Stages:
+    s_cells, p_cells = cells or (None, None)
     return Stages(p, {
         "ingested": lambda s: ing,
         "smoothed": lambda s: tracks.smooth_tracks(s.ingested, p),
@@ -95,8 +97,8 @@ def _plain_stages(ing: DataFrame, state_rings: DataFrame, ports: DataFrame, p: P
         "co2": lambda s: emissions.estimate_co2(s.kept, p),
         "accepted": lambda s: emissions.split_rejects(s.co2)[0],
         "rejects": lambda s: emissions.split_rejects(s.co2)[1],
-        "states": lambda s: geo.tag_states(s.accepted, geo.state_cells(state_rings, p), p),
-        "trajectory": lambda s: geo.match_ports(s.states, geo.port_cells(ports, p), p),
+        "states": lambda s: geo.tag_states(s.accepted, s_cells or geo.state_cells(state_rings, p), p),
+        "trajectory": lambda s: geo.match_ports(s.states, p_cells or geo.port_cells(ports, p), p),
         "marked": lambda s: routes.mark_stays(s.trajectory),
         "table": lambda s: routes.route_table(s.marked),
     })
@@ -116,9 +118,11 @@ def _split_stages(ing0: DataFrame, plan: DataFrame, state_rings: DataFrame, port
     cold = ingest.partition_by_vessel(ch.filter(~F.col("hot")).drop("hot", "n_total", "chunk"),
                                       n=p.track_partitions)
     hot = ingest.partition_by_vessel(ch.filter(F.col("hot")).drop("hot"), split.CKEY, n=p.track_partitions)
-    c = _plain_stages(cold, state_rings, ports, p)
+    # one copy of each cell table for both branches (persisted by the size check)
+    s_cells = geo.checked_broadcast(geo.state_cells(state_rings, p), p.broadcast_max_rows)
+    p_cells = geo.checked_broadcast(geo.port_cells(ports, p), p.broadcast_max_rows)
+    c = _plain_stages(cold, state_rings, ports, p, (s_cells, p_cells))
     hs = split.hot_tracks(hot, p)
-    s_cells, p_cells = geo.state_cells(state_rings, p), geo.port_cells(ports, p)
     ok_h, rej_h = emissions.split_rejects(hs.co2.drop("lseq", "lcnt", "n_total"))
     st_h = geo.tag_states(ok_h, s_cells, p)
     traj_h = geo.match_ports(st_h, p_cells, p)
