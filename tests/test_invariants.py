@@ -42,3 +42,14 @@ def test_rerunning_a_period_changes_nothing(spark, scratch):
         sinks.write_transfers(tr, f"{scratch}/transfers")
     assert spark.read.parquet(f"{scratch}/routes").count() == s.table.count()
     assert spark.read.parquet(f"{scratch}/transfers").count() == tr.count()
+
+
+def test_observed_run_counters_come_with_the_write(spark):
+    from vessel_flow.operators import metrics
+    s = stages(spark, SF)
+    df, obs = metrics.observe_run(s.trajectory)
+    df.write.format("noop").mode("overwrite").save()
+    got = obs.get
+    assert got["rows"] == s.trajectory.count()
+    assert got["stop_rows"] == s.trajectory.filter("Label = '1'").count()
+    assert abs(got["vessels_approx"] - s.trajectory.select("MMSI").distinct().count()) <= 3
