@@ -261,3 +261,22 @@ def test_daily_csv_files_give_the_same_routes_as_the_tables(spark, scratch):
                       for r in R.routes(t).collect())
     a, b = key(via_csv), key(direct)
     assert a == b and len(a) == 48
+
+
+def test_trajectory_and_port_tables_round_trip(spark, scratch):
+    from vessel_flow.plans.queries import stages
+    from vessel_flow.plans.pipeline import trajectory_output
+    from vessel_flow.sources import fixtures as fx
+    sf = "/root/testdata/sf0.001"
+    traj = trajectory_output(stages(spark, sf).trajectory)
+    sinks.write_trajectory(traj, f"{scratch}/traj")
+    back = dimensions.read_trajectory(spark, f"{scratch}/traj")
+    assert back.count() == traj.count() and set(back.columns) == set(traj.columns)
+    raw = fx.world_ports_from_supplier(fx.table(spark, sf, "supplier"))
+    raw.write.option("header", True).csv(f"{scratch}/wpi")
+    ports_df = build_ports(dimensions.read_world_ports(spark, f"{scratch}/wpi"),
+                           fx.states_from_nation(fx.table(spark, sf, "nation")))
+    sinks.write_ports_csv(ports_df, f"{scratch}/ports_csv")
+    again = dimensions.read_ports_csv(spark, f"{scratch}/ports_csv")
+    assert again.count() == ports_df.count() > 0
+    assert set(again.columns) == {"ordinal", "name", "state", "lat", "lon"}
