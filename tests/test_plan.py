@@ -51,3 +51,18 @@ def test_typed_parquet_input_pushes_filters_and_prunes_columns(spark, scratch):
     counts = [l for l in plan_of(metrics.vessel_counts(typed)).splitlines() if "FileScan" in l][0]
     read = re.search(r"ReadSchema: struct<([^>]*)>", counts).group(1)
     assert "LAT" not in read and "SOG" not in read, read   # only the columns the counts need
+
+
+def test_split_plan_spreads_hot_vessels_over_chunks(spark):
+    from vessel_flow.plans.queries import PSPLIT
+    s = stages(spark, SF, PSPLIT)
+    assert s.persisted                                          # the chunked rounds ran
+    # each round ends in a reliable checkpoint: its plan is a scan of the saved rows
+    assert all("Scan ExistingRDD" in plan_of(d) for d in s.persisted)
+    # the hot rows' windows after the last checkpoint are keyed by chunk
+    stops = plan_of(s.stops)
+    hot_windows = [l for l in stops.splitlines() if "Window [" in l and "chunk" in l]
+    assert hot_windows, stops
+    # route sums of hot vessels: partial aggregate, then an exchange on the route key
+    table = plan_of(s.table)
+    assert "partial_sum" in table and "hashpartitioning(period" in table
