@@ -194,3 +194,22 @@ def test_empty_period_gives_empty_tables_with_schema(spark, scratch):
     sinks.mark_done(spark, [2024], f"{scratch}/done")  # the empty period is still marked done (R-Q12)
     assert spark.read.parquet(f"{scratch}/done").count() == 1
     out["route_table"].unpersist()
+
+
+def test_staged_pipeline_rejects_from_the_written_copy(spark, scratch):
+    from vessel_flow.plans.pipeline import emission_pipeline
+    bad = track(1, [(0, .5, .5, 9), (10, None, .5, .1), (40, .5, .5, .1), (80, .5, .5, .1), (90, .5, .5, 9),
+                    (95, .5, .5, 9)])
+    good = track(2, [(0, .5, .5, .1), (90, .5, .5, .1), (100, .5, 1.5, 9), (110, .5, 1.5, 9), (120, .5, 1.5, 9),
+                     (200, .5, 2.5, .1), (300, .5, 2.5, .1)])
+    p = DEFAULT.with_(smooth_min_rows=100)  # keep the null through smoothing
+    df = ais(spark, bad + good)
+    outs = []
+    for stage in (None, f"{scratch}/stage"):
+        o = emission_pipeline(spark, df, ports(spark, PORTS), rings(spark, RINGS), p, stage_dir=stage)
+        outs.append(([tuple(r) for r in o["rejects"].orderBy("MMSI").collect()],
+                     sorted(r["MMSI"] for r in o["trajectory"].collect()),
+                     [(r["start_port"], r["end_port"]) for r in o["routes"].collect()]))
+        o["route_table"].unpersist()
+    assert outs[0] == outs[1]
+    assert [r[1] for r in outs[0][0]] == [1] and set(outs[0][1]) == {2} and outs[0][2] == [("PA", "PC")]

@@ -22,7 +22,7 @@ TRAJECTORY_COLUMNS = emissions.TRAJECTORY_COLUMNS
 
 
 STAGE_NAMES = ("ingested", "smoothed", "runs", "stops", "kept", "co2", "accepted", "rejects", "states",
-               "trajectory", "marked", "table")
+               "trajectory", "marked_all", "marked", "table")
 
 
 class Stages:
@@ -97,9 +97,14 @@ def _plain_stages(ing: DataFrame, state_rings: DataFrame, ports: DataFrame, p: P
         "co2": lambda s: emissions.estimate_co2(s.kept, p),
         "accepted": lambda s: emissions.split_rejects(s.co2)[0],
         "rejects": lambda s: emissions.split_rejects(s.co2)[1],
-        "states": lambda s: geo.tag_states(s.accepted, s_cells or geo.state_cells(state_rings, p), p),
-        "trajectory": lambda s: geo.match_ports(s.states, p_cells or geo.port_cells(ports, p), p),
-        "marked": lambda s: routes.mark_stays(s.trajectory),
+        # geometry and stays run on all rows; a rejected vessel is one whole
+        # window partition, so dropping it afterwards changes no other vessel
+        "states_all": lambda s: geo.tag_states(s.co2, s_cells or geo.state_cells(state_rings, p), p),
+        "trajectory_all": lambda s: geo.match_ports(s.states_all, p_cells or geo.port_cells(ports, p), p),
+        "marked_all": lambda s: routes.mark_stays(s.trajectory_all),
+        "states": lambda s: s.states_all.filter(~F.col("rejected")),
+        "trajectory": lambda s: s.trajectory_all.filter(~F.col("rejected")),
+        "marked": lambda s: s.marked_all.filter(~F.col("rejected")),
         "table": lambda s: routes.route_table(s.marked),
     })
 
@@ -123,13 +128,16 @@ def _split_stages(ing0: DataFrame, plan: DataFrame, state_rings: DataFrame, port
     p_cells = geo.checked_broadcast(geo.port_cells(ports, p), p.broadcast_max_rows)
     c = _plain_stages(cold, state_rings, ports, p, (s_cells, p_cells))
     hs = split.hot_tracks(hot, p)
-    ok_h, rej_h = emissions.split_rejects(hs.co2.drop("lseq", "lcnt", "n_total"))
-    st_h = geo.tag_states(ok_h, s_cells, p)
-    traj_h = geo.match_ports(st_h, p_cells, p)
-    marked_h = split.hot_stays(traj_h, hs.persisted)
+    co2_h = hs.co2.drop("lseq", "lcnt", "n_total")
+    ok_h, rej_h = emissions.split_rejects(co2_h)
+    st_all = geo.tag_states(co2_h, s_cells, p)
+    traj_all = geo.match_ports(st_all, p_cells, p)
+    marked_all = split.hot_stays(traj_all, hs.persisted)
+    marked_h = marked_all.filter(~F.col("rejected"))
     hot_parts = {"ingested": hot, "smoothed": hs.smoothed, "runs": hs.runs, "stops": hs.stops, "kept": hs.kept,
-                 "co2": hs.co2, "accepted": ok_h, "rejects": rej_h, "states": st_h, "trajectory": traj_h,
-                 "marked": marked_h, "table": routes.route_table(marked_h, split.VKEY)}
+                 "co2": hs.co2, "accepted": ok_h, "rejects": rej_h,
+                 "states": st_all.filter(~F.col("rejected")), "trajectory": traj_all.filter(~F.col("rejected")),
+                 "marked_all": marked_all, "marked": marked_h, "table": routes.route_table(marked_h, split.VKEY)}
     return Stages(p, {name: (lambda s, n=name: _union(getattr(c, n), hot_parts[n])) for name in STAGE_NAMES},
                   hs.persisted)
 
@@ -152,16 +160,20 @@ def emission_pipeline(spark: SparkSession, ais: DataFrame, ports: DataFrame, sta
     only costs the tasks after that point.  ``periods`` names the periods
     of this run, so that the re-read skips other periods of the folder."""
     s = build_stages(ais, state_rings, ports, p)
-    marked = s.marked
+    marked, rejects = s.marked, s.rejects
     if stage_dir:
-        (marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        # one write holds every kept row with its vessel's ``rejected`` flag,
+        # so routes and rejects are both filters of the written copy
+        (s.marked_all.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("period").parquet(stage_dir))
         # no re-partitioning by vessel: the route sums aggregate partially
         # per input split and shuffle only (route, state) partials, so a hot
         # vessel's routes spread over many tasks
-        marked = spark.read.parquet(stage_dir)
+        staged = spark.read.parquet(stage_dir)
         if periods is not None:  # partition pruning: only the periods of this run
-            marked = marked.where(F.col("period").isin([int(x) for x in periods]))
+            staged = staged.where(F.col("period").isin([int(x) for x in periods]))
+        marked = staged.filter(~F.col("rejected"))
+        rejects = emissions.split_rejects(staged)[1]
     table = (routes.route_table(marked) if stage_dir else s.table).persist(StorageLevel.MEMORY_AND_DISK)
     transit = routes.transit_emissions(table)
     flows = routes.transfer_flows(transit)
@@ -171,6 +183,6 @@ def emission_pipeline(spark: SparkSession, ais: DataFrame, ports: DataFrame, sta
         "transit": transit,
         "flows": flows,
         "transfers": matrix.transfer_long(flows),
-        "rejects": s.rejects,
+        "rejects": rejects,
         "route_table": table,
     }
