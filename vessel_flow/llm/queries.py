@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, license_rules, repetition, secrets, sharding
+import public_tokenizers
 
-#: Secrets: digest columns first, as the contract lists them.
+from . import common, license_rules, packing, quality_ftrl, repetition, secrets, sharding
+
+PACKING = packing.Params(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                         public_tokenizers.PATTERN)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,14 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.scan(common.read(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ftrl.classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.read(spark, sf_dir, "documents"), PACKING)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(common.read(spark, sf_dir, "documents")).drop("key", "live_spans")
 
@@ -31,6 +42,8 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_repetition": op3_repetition,
     "op5_licenses": op5_licenses,
+    "op7_quality": op7_quality,
+    "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
 }
 
