@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import common, license_rules, packing, quality_ftrl, repetition, secrets, sharding
+from . import common, license_rules, packing, quality_ftrl, repetition, secrets, sharding, winnow
 
 PACKING = packing.Params(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                          public_tokenizers.PATTERN)
@@ -38,6 +38,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(common.read(spark, sf_dir, "documents")).drop("key", "live_spans")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.decontaminate(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_repetition": op3_repetition,
@@ -45,6 +49,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
