@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import common, license_rules, packing, quality_ftrl, repetition, secrets, sharding, winnow
+from . import common, jaccard, license_rules, packing, quality_ftrl, repetition, secrets, sharding, winnow
 
 PACKING = packing.Params(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                          public_tokenizers.PATTERN)
@@ -26,6 +26,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.scan(common.read(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(common.read(spark, sf_dir, "documents")).drop("k")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ftrl.classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_repetition": op3_repetition,
     "op5_licenses": op5_licenses,
+    "op6_jaccard": op6_jaccard,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
