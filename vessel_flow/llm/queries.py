@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import common, jaccard, license_rules, packing, quality_ftrl, repetition, secrets, sharding, winnow
+from . import arc_warc, common, html_model, jaccard, license_rules, packing, quality_ftrl, repetition, secrets, sharding, winnow
 
 PACKING = packing.Params(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                          public_tokenizers.PATTERN)
@@ -18,10 +18,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_model.extract(common.read(spark, sf_dir, "pages"))
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(common.read(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_warc.round_trip(common.read(spark, sf_dir, "pages")).drop("url")
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.scan(common.read(spark, sf_dir, "documents"))
 
@@ -48,7 +56,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_html": op2_html,
     "op3_repetition": op3_repetition,
+    "op4_warc": op4_warc,
     "op5_licenses": op5_licenses,
     "op6_jaccard": op6_jaccard,
     "op7_quality": op7_quality,
