@@ -9,9 +9,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vessel_flow.llm import common
+from vessel_flow.llm import common, jaccard, packing, quality_ftrl, secrets, winnow
+from vessel_flow.llm.queries import PACKING
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on their own labelled rows, accepts."""
+    return quality_ftrl.accept(docs, common.read(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: the one with the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return winnow.clean(docs, common.read(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, live credentials replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences."""
+    return packing.pack(docs, PACKING)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secret_scan),
+    ("packing", pack),
+]
 
 #: The classifier's scores and the tokenizer's ids have no SQL form.
 ORACLE_SQL = None
