@@ -235,7 +235,7 @@ def roles(index: DataFrame, least_bytes: int = 0) -> DataFrame:
     same = ["payload_digest", "payload_bytes"]
     groups = (index.where(F.col("payload_bytes") >= least_bytes).groupBy(*same)
               .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-              .select(*same, "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt")))
+              .select(*same, "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")))
     first = F.col("first").isNull() | F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
     return (index.withColumn("salt", F.col("ord") % SALTS).join(groups, [*same, "salt"], "left")
             .select("path", "ord", F.when(first, "response").otherwise("revisit").alias("record_type"),

@@ -9,6 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+#: Characters between words: ASCII other than letters and digits.
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+
 #: One place: start, end (exclusive), length of the value at its end.
 PLACE = "struct<s:int,e:int,n:int>"
 
@@ -40,6 +44,12 @@ def places(text: Column, pattern: Column, group: int = 0) -> Column:
                        step, lambda acc: acc["out"])
 
 
+def words(text: Column) -> Column:
+    """All words in order, before lower-casing: the class holds both cases of
+    A-Z.  (Splitting takes linear time; extracting all matches does not.)"""
+    return F.array_remove(F.split(text, NOT_WORD + "+"), "")
+
+
 def holds_any(low: Column, words: list[str]) -> Column:
     out = F.contains(low, F.lit(words[0]))
     for w in words[1:]:

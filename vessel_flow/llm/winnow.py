@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
-from .spans import let
+from .spans import let, words
 
 K, W = 5, 6
 WINDOW = K + W - 1
@@ -33,11 +33,6 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words(text: Column) -> Column:
-    """Words before lower-casing: the class holds both cases of A-Z."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-
-
 def exact(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.translate(w, UPPER, LOWER))
 
@@ -63,7 +58,7 @@ def fingerprints(tokens: Column, length: int = WINDOW) -> Column:
 
 def _exploded(rows: DataFrame, length: int, *keep: str) -> DataFrame:
     """One row a fingerprint: hash, position, length."""
-    return (rows.select(*keep, F.explode(fingerprints(words(F.col("text")), length)).alias("f"))
+    return (rows.select(*keep, F.explode(fingerprints(words(F.coalesce("text", F.lit(""))), length)).alias("f"))
             .select(*keep, F.shiftright("f", 32).cast("int").alias("hash"),
                     F.col("f").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"), F.lit(length).alias("length")))
 
@@ -73,7 +68,7 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     """key -> n_hit, items: hit words and sorted item ids of contaminated rows."""
     items = common.stored(
         bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"),
-                     F.col("text")).withColumn("words", exact(words(F.col("text"))))
+                     F.col("text")).withColumn("words", exact(words(F.coalesce("text", F.lit("")))))
         .where(F.size("words") > 0).withColumn("length", F.least(F.size("words"), F.lit(WINDOW))), "bench-items")
     windows = common.stored(
         items.select("item", F.explode(F.transform(
@@ -101,7 +96,7 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
         return F.transform(F.sequence(F.greatest(x["at"] - back, F.lit(0)), last),
                            lambda i: F.struct(i.alias("at"), x["length"].alias("length")))
 
-    spread = (rows.join(near, "key").select("key", "found", exact(words(F.col("text"))).alias("words"))
+    spread = (rows.join(near, "key").select("key", "found", exact(words(F.coalesce("text", F.lit("")))).alias("words"))
               .select("key", F.explode(let(F.col("words"), lambda ws: F.transform(
                   F.array_distinct(F.flatten(F.transform("found", around))),
                   lambda x: F.struct(x["at"].alias("at"), x["length"].alias("length"),
@@ -119,7 +114,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     """One row of counts for each row of ``docs``."""
     none = F.array().cast("array<string>")
     return (docs.select(F.col(id_col).alias("doc_id"), common.row_key(F.col(id_col), F.col(text_col)).alias("key"),
-                        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+                        F.size(words(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("n_words"))
             .join(hits(docs, bench, id_col, text_col), "key", "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
