@@ -253,7 +253,8 @@ def linked(pairs: DataFrame, nodes: DataFrame, params: Params) -> DataFrame:
 
 
 def classes(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, k, n_shingles, component_id) of every row; k is the hash of its text."""
+    """(doc_id, n_shingles, component_id, k, root) of every row; k is the hash
+    of its text, root names its component (null without shingles)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("text"))
     found = common.stored(sets(docs, params), "jaccard-sets")
     keys = common.stored(shared_keys(docs, params), "jaccard-keys")
@@ -294,18 +295,17 @@ def classes(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id",
         "doc_id", "k", "n", "sid", F.coalesce("root", "sid").alias("root"))
     first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
     return named.join(first, "root", "left").select(
-        "doc_id", "k", F.col("n").alias("n_shingles"),
-        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"), "k", "root")
 
 
 def one_of_each(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """The row with the smallest id of each group, with its columns; rows
     without shingles all stay."""
     k = F.xxhash64("text")
-    keep = classes(docs, params).where("doc_id <=> component_id and n_shingles > 0")
+    keep = classes(docs, params).where("doc_id <=> component_id and root is not null")
     # of equal ids in one group the text with the smallest hash, and of equal rows one
-    keep = keep.groupBy("doc_id", "component_id").agg(F.min("k").alias("__k")).select(
-        F.col("doc_id").alias("__id"), "__k")
+    keep = keep.groupBy("doc_id", "root").agg(F.min("k").alias("__k")).select(F.col("doc_id").alias("__id"), "__k")
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     rows = docs.where(has_words).withColumn("__k", k)
     kept = rows.join(keep, (rows["doc_id"].eqNullSafe(keep["__id"])) & (rows["__k"] == keep["__k"]), "left_semi")

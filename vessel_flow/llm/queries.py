@@ -35,7 +35,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(common.read(spark, sf_dir, "documents")).drop("k")
+    return jaccard.classes(common.read(spark, sf_dir, "documents")).drop("k", "root")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +67,59 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op4_warc": """
+      WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+      firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+      bits AS (
+        SELECT *, array_to_string(list_transform(string_split(lower(sha1(payload)), ''), lambda c: substr(
+          '0000000100100011010001010110011110001001101010111100110111101111',
+          4 * (strpos('0123456789abcdef', c) - 1) + 1, 4)), '') AS b FROM firsts)
+      SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+        array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+          + 16 * CAST(substr(b, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(b, 5 * i + 2, 1) AS INT)
+          + 4 * CAST(substr(b, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(b, 5 * i + 4, 1) AS INT)
+          + CAST(substr(b, 5 * i + 5, 1) AS INT) AS INT), 1)), '') AS payload_digest,
+        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> first THEN first END AS refers_to
+      FROM bits""",
+    "op6_jaccard": rf"""
+      WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+      sets AS (
+        SELECT doc_id, CASE WHEN len(w) >= 5
+          THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+      flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+      both_in AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n
+        FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+      links AS (SELECT a, b FROM both_in WHERE 100 * n >= 80 * (na + nb - n)),
+      edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+      reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+      least_of AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+      SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id
+      FROM sets s JOIN least_of l ON s.doc_id = l.a""",
+    "op10_decontamination": rf"""
+      WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+      b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+      bw AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS x
+        FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) t(i) WHERE len(w) > 0),
+      dw AS (
+        SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS x
+        FROM d, (SELECT DISTINCT n FROM bw) l, unnest(range(1, len(w) - n + 2)) t(i)),
+      hits AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.x = bw.x AND dw.n = bw.n),
+      words AS (
+        SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, n)) t(k) GROUP BY doc_id),
+      items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+      SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AS contaminated
+      FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+}
