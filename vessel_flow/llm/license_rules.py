@@ -2,7 +2,7 @@
 
 A rule is (label, priority, keyword, pattern).  A text is tested for a few
 words that every rule needs; then each rule's keyword decides whether its
-pattern runs at all.  Detections are resolved by intervals: sorted by start
+pattern is tried, and places are taken only where it is found.  Detections are resolved by intervals: sorted by start
 and falling length, one that lies inside an earlier one is dropped; of equal
 intervals the one with the higher priority, then the earlier rule, stays.
 
@@ -18,10 +18,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .spans import holds_any, let, places, walk
-
-NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+from .spans import NOT_WORD, WORD, holds_any, let, places, walk, words
 
 BASE = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
 
@@ -45,13 +42,20 @@ bsd-4-clause|BSD-4-Clause|bsd|(original|4-clause|four-clause) bsd|bsd[ -](4|four
 bsd-0-clause|0BSD|bsd|zero[ -]clause bsd|0bsd
 bsd-patent|BSD-2-Clause-Patent|bsd|bsd[ -+]+patent
 bsd|BSD|bsd|bsd licen[sc]e
-gpl-1.0|GPL-1.0|g|gnu general public licen[sc]e,? (version |v)1|gpl-?v?1(\.0)?
-gpl-2.0|GPL-2.0|g|gnu general public licen[sc]e,? (version |v)2|gpl-?v?2(\.0)?
-gpl-3.0|GPL-3.0|g|gnu general public licen[sc]e,? (version |v)3|gpl-?v?3(\.0)?
-lgpl-2.0|LGPL-2.0|l|gnu library general public licen[sc]e|lgpl-?v?2\.0
-lgpl-2.1|LGPL-2.1|l|gnu lesser general public licen[sc]e,? (version |v)2\.1|lgpl-?v?2\.1
-lgpl-3.0|LGPL-3.0|l|gnu lesser general public licen[sc]e,? (version |v)3|lgpl-?v?3(\.0)?
-agpl-3.0|AGPL-3.0|a|gnu affero general public licen[sc]e|agpl-?v?3(\.0)?
+gpl-1.0|GPL-1.0|general public|gnu general public licen[sc]e,? (version |v)1
+gpl-1.0|GPL-1.0|gpl|gpl-?v?1(\.0)?
+gpl-2.0|GPL-2.0|general public|gnu general public licen[sc]e,? (version |v)2
+gpl-2.0|GPL-2.0|gpl|gpl-?v?2(\.0)?
+gpl-3.0|GPL-3.0|general public|gnu general public licen[sc]e,? (version |v)3
+gpl-3.0|GPL-3.0|gpl|gpl-?v?3(\.0)?
+lgpl-2.0|LGPL-2.0|library general|gnu library general public licen[sc]e
+lgpl-2.0|LGPL-2.0|lgpl|lgpl-?v?2\.0
+lgpl-2.1|LGPL-2.1|lesser general|gnu lesser general public licen[sc]e,? (version |v)2\.1
+lgpl-2.1|LGPL-2.1|lgpl|lgpl-?v?2\.1
+lgpl-3.0|LGPL-3.0|lesser general|gnu lesser general public licen[sc]e,? (version |v)3
+lgpl-3.0|LGPL-3.0|lgpl|lgpl-?v?3(\.0)?
+agpl-3.0|AGPL-3.0|affero|gnu affero general public licen[sc]e
+agpl-3.0|AGPL-3.0|agpl|agpl-?v?3(\.0)?
 gfdl-1.2|GFDL-1.2|documentation|gnu free documentation licen[sc]e,? (version |v)1\.2
 gfdl-1.3|GFDL-1.3|documentation|gnu free documentation licen[sc]e,? (version |v)1\.3
 gfdl|GFDL|documentation|gnu free documentation licen[sc]e
@@ -203,33 +207,33 @@ def rule_table() -> list[dict]:
         label, priority, keyword, pattern = line.split("|", 3)
         add(label, int(priority), keyword, pattern)
     names = [line.split("|", 3) for line in _NAMES.strip().splitlines()]
-    for label, ident, _, _ in names:
+    for label, ident in dict.fromkeys((n[0], n[1]) for n in names):
         end = r"(?![\w.+-])" if not ident[-1].isdigit() else r"(-only|-or-later|\+)?(?![\w.+])"
         add(label, 100, "spdx-license-identifier",
             r"spdx-license-identifier:\s*\(?" + ident.replace(".", r"\.") + end)
     for label, _, keyword, pattern in names:
-        add(label, 80, "under", _UNDER + f"({pattern})(?!\\w)")
+        add(label, 80, keyword, _UNDER + f"({pattern})(?!\\w)")
     for label, _, keyword, pattern in names:
         add(label, 60, keyword, f"(?<!\\w)({pattern})(?!\\w)")
     return out
 
 
-def base_pattern(words: tuple[str, ...]) -> str:
-    return f"(?i)(?<!{WORD})" + f"{NOT_WORD}+".join(words) + f"(?!{WORD})"
+def base_pattern(phrase: tuple[str, ...]) -> str:
+    return f"(?i)(?<!{WORD})" + f"{NOT_WORD}+".join(phrase) + f"(?!{WORD})"
 
 
 def _base(text: Column) -> Column:
     """struct(label, n, first, last) of each base phrase; starts count words."""
-    def one(label: str, words: tuple[str, ...]) -> Column:
+    def one(label: str, phrase: tuple[str, ...]) -> Column:
         def tell(found: Column) -> Column:
             n = F.size(found)
             ahead = F.aggregate(found, F.lit(0), lambda a, x: a + F.char_length(x["p"]) + F.char_length(x["m"]))
-            word_no = lambda part: F.regexp_count(part, F.lit(WORD + "+")).cast("long")
+            word_no = lambda part: F.size(words(part)).cast("long")
             last = F.substring(text, F.lit(1), ahead - F.char_length(F.element_at(found, -1)["m"]))
             return F.struct(F.lit(label).alias("label"), n.alias("n"),
                             F.when(n > 0, word_no(found[0]["p"])).alias("first"),
                             F.when(n > 0, word_no(last)).alias("last"))
-        return let(walk(text, F.lit(base_pattern(words))), tell)
+        return let(walk(text, F.lit(base_pattern(phrase))), tell)
     return F.array(*[one(k, w) for k, w in BASE.items()])
 
 
@@ -246,7 +250,7 @@ def _detections(text: Column, low: Column) -> Column:
             x["s"].alias("s"), (x["s"] - x["e"]).alias("len"), (-r["prio"]).alias("prio"), r["o"].alias("o"),
             r["label"].alias("label")))
 
-    found = F.array_sort(F.flatten(F.transform(F.filter(rules, lambda r: F.contains(low, r["kw"])), of_rule)))
+    found = F.array_sort(F.flatten(F.transform(F.filter(rules, lambda r: F.contains(low, r["kw"]) & F.rlike(text, r["rx"])), of_rule)))
 
     def keep(acc: Column, d: Column) -> Column:
         inside = d["s"] - d["len"] <= acc["end"]
@@ -264,7 +268,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     gated = let(F.lower(text), lambda low: F.when(holds_any(low, GATES), F.struct(
         _base(text).alias("base"), _detections(text, low).alias("rules"))))
     rows = docs.select(F.col(id_col).alias("doc_id"),
-                       F.regexp_count(text, F.lit(WORD + "+")).cast("long").alias("n_words"), gated.alias("found"))
+                       F.size(words(text)).cast("long").alias("n_words"), gated.alias("found"))
     hits = F.filter(F.coalesce(F.col("found.base"), F.array().cast(
         "array<struct<label:string,n:int,first:bigint,last:bigint>>")), lambda b: b["n"] > 0)
     rows = rows.select("doc_id", "n_words", hits.alias("hits"), F.col("found.rules").alias("rules"))
