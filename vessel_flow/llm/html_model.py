@@ -31,6 +31,9 @@ Weights = dict[str, float]
 
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _NAMED = ("class", "id", "role")
+#: Elements that begin a part of their own, as any element with a name does;
+#: others mostly share their parent's label.
+_PARTS = frozenset("html head body nav header footer aside article main section form dialog".split())
 
 
 def _bucket(n: float, *bounds: float) -> int:
@@ -40,16 +43,16 @@ def _bucket(n: float, *bounds: float) -> int:
 def features(node: dom.Node) -> tuple[list[str], str]:
     """Features of a node, and the kind of the edge to its parent."""
     out = ["bias", f"tag={node.tag}"]
-    named = False
+    part = node.tag in _PARTS
     if node.attrs:
         values = node.attributes()
         tokens = {t.lower() for a in _NAMED for t in _TOKEN.findall(values.get(a, ""))}
         out += [f"name={t}" for t in sorted(tokens) if len(t) > 1]
-        named = bool(tokens)
+        part = part or bool(tokens)
     out.append(f"chars={_bucket(node.chars, 1, 40, 120, 300)}")
     if node.chars:
         out.append(f"links={_bucket(node.link_chars / node.chars, 0.01, 0.5)}")
-    return out, "named" if named else "plain"
+    return out, "part" if part else "flow"
 
 
 def _add(a: float, b: float) -> float:
@@ -64,7 +67,7 @@ def marginals(page: dom.Page, w: Weights) -> tuple[list[float], list[tuple[float
     nodes = page.nodes
     told = [features(n) for n in nodes]
     up = [[0.0, sum(w.get(f, 0.0) for f in fs)] for fs, _ in told]  # evidence at and below a node
-    pair = {k: [[w.get(f"edge={k}{a}{b}", 0.0) for b in (0, 1)] for a in (0, 1)] for k in ("named", "plain")}
+    pair = {k: [[w.get(f"edge={k}{a}{b}", 0.0) for b in (0, 1)] for a in (0, 1)] for k in ("part", "flow")}
     sent = [(0.0, 0.0)] * len(nodes)
     for c in range(len(nodes) - 1, 0, -1):  # children come after their parents
         e, (u0, u1) = pair[told[c][1]], up[c]
@@ -99,7 +102,7 @@ def truth(page: dom.Page) -> list[int]:
     return out
 
 
-def train(sources: list[str], rounds: int = 60, rate: float = 0.2, decay: float = 0.002) -> Weights:
+def train(sources: list[str], rounds: int = 80, rate: float = 0.3, decay: float = 0.001) -> Weights:
     """Weights that climb the pages' likelihood (full gradients, AdaGrad)."""
     pages = [dom.parse(s) for s in sources]
     labels = [truth(p) for p in pages]

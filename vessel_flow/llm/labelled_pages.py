@@ -6,6 +6,7 @@ paragraph's text, ``{l}`` a list of links, ``{w}`` a word."""
 from __future__ import annotations
 
 import random
+import re
 
 # what stands around an article, by the part it plays
 _AROUND = [
@@ -48,6 +49,12 @@ _AROUND = [
 _ARTICLE = [
     '<article data-y="1"><h1>{h}</h1><p>{p}</p><p>{s}</p><p>{p}</p></article>',
     '<article data-y="1"><h1>{h}</h1><p>{s}</p></article>',
+    '<article data-y="1"><h1>{h}</h1><p>{s}</p><p>{s}</p>{in}</article>',
+    '<article data-y="1">{in}<h1>{h}</h1><p>{w}</p>{in}<p>{s}</p></article>',
+    '<article data-y="1"><p>{s}</p></article>',
+    '<article data-y="1"><h1>{h}</h1></article>',
+    '<main data-y="1"><h1>{h}</h1><p>{s}</p>{in}<p>{w}</p></main>',
+    '<div class="content" data-y="1"><h1>{h}</h1><p>{s}</p>{in}<p>{s}</p></div>',
     '<article data-y="1"><h1>{h}</h1><p>{p}</p>{in}<p>{p}</p><p>{s}</p></article>',
     '<article class="post" data-y="1"><h1>{h}</h1><h2>{h}</h2><p>{p}</p><ul><li>{s}</li><li>{p}</li></ul></article>',
     '<main><article data-y="1"><h1>{h}</h1><p>{p}</p><blockquote>{s}</blockquote><pre>{s}</pre></article></main>',
@@ -71,10 +78,9 @@ def _words(r: random.Random, n: int) -> str:
 
 
 def _fill(template: str, r: random.Random) -> str:
-    while "{in}" in template:
-        template = template.replace("{in}", f'<div data-y="0">{r.choice(_AROUND)}</div>'.replace(
-            '<div data-y="0"><div', '<div data-y="0"').replace("</div></div>", "</div>")
-            if r.random() < 0.5 else "", 1)
+    while "{in}" in template:  # now and then a part that is not content stands inside the article
+        part = re.sub(r"^<(\w+)", r'<\1 data-y="0"', r.choice(_AROUND)) if r.random() < 0.6 else ""
+        template = template.replace("{in}", part, 1)
     out = template
     makers = {"{h}": lambda: _words(r, r.randint(2, 10)), "{p}": lambda: _words(r, r.randint(20, 90)) + ".",
               "{s}": lambda: _words(r, r.randint(1, 12)) + ".", "{w}": lambda: _words(r, r.randint(1, 2)),
@@ -86,8 +92,8 @@ def _fill(template: str, r: random.Random) -> str:
     return out
 
 
-def pages(n: int = 60, seed: int = 7) -> list[str]:
-    """``n`` pages, every article form and every surrounding part among them."""
+def pages(n: int = 80, seed: int = 7) -> list[str]:
+    """``n`` pages, each article form and every surrounding part among them."""
     r = random.Random(seed)
     out = []
     for k in range(n):
