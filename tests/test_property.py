@@ -113,7 +113,7 @@ def test_hot_vessel_split_equals_plain_plan(spark, hot_rows, chunk_rows):
     rows = random_tracks(7, 120)
     df = spark.createDataFrame(rows, AIS_SCHEMA)
     plain = build_stages(df, rings(spark, POLYS), ports(spark, PORTS), DEFAULT.with_(split_hot=False))
-    p = DEFAULT.with_(hot_vessel_rows=hot_rows, chunk_rows=chunk_rows, max_total_chunks=10**6)
+    p = DEFAULT.with_(hot_vessel_rows=hot_rows, chunk_rows=chunk_rows)
     chunked = build_stages(df, rings(spark, POLYS), ports(spark, PORTS), p)
     assert chunked.persisted, "the split path did not run"
     a, b = _snapshot(plain), _snapshot(chunked)
@@ -138,7 +138,7 @@ def test_pipeline_with_stage_dir_and_split_equals_plain(spark, scratch):
         return r, t
 
     plain = outputs(DEFAULT.with_(split_hot=False), None)
-    split = outputs(DEFAULT.with_(hot_vessel_rows=5, chunk_rows=4, max_total_chunks=10**6), f"{scratch}/stage")
+    split = outputs(DEFAULT.with_(hot_vessel_rows=5, chunk_rows=4), f"{scratch}/stage")
     assert plain == split and plain[0]
 
 

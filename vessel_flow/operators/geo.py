@@ -15,8 +15,8 @@ Both are equi-joins on a grid cell against a dimension-sized cell table:
 
 A cell table has one row per cell, so the left join never multiplies track
 rows, and its size depends only on the map and the port list.  It is
-broadcast after its row count is checked against ``broadcast_max_rows``;
-beyond that the join falls back to a shuffle join on the cell key.
+broadcast after its bytes are checked against ``broadcast_max_bytes``; a
+larger one is joined by a shuffle on the cell key.
 """
 
 from __future__ import annotations
@@ -29,23 +29,22 @@ from pyspark.sql import functions as F
 from ..functions.geo import (cell_index, central_angle_sql, lon_cell_index, lon_half_width_deg,
                              point_in_edges_sql)
 from ..params import DEFAULT, Params
+from ..session import cut_lineage
 
 _EPS = 1e-9
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a dimension-derived table only if its row count is bounded.
-
-    The count runs on the small dimension side, never on track rows; the
-    table is persisted first so that the count and the broadcast share one
-    computation."""
-    if getattr(df, "_vf_checked", False):  # checked once already, shared by several joins
-        return df
-    df = df.persist()
-    n = df.count()
-    out = F.broadcast(df) if n <= max_rows else df
-    out._vf_checked = True
-    return out
+def bounded_broadcast(cells: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """A cell table with a broadcast hint if its rows (a fixed part for each
+    cell and candidate, 32 bytes for each edge) stay within the bound.  The
+    table is saved first, so that the check and the joins compute it once."""
+    cells = cut_lineage(cells)
+    if "cands" in cells.columns:
+        size = F.aggregate("cands", F.lit(0).cast("long"), lambda a, c: a + 96 + 32 * F.size(c["edges"]))
+    else:
+        size = F.size("ports").cast("long") * 96
+    total = cells.agg(F.sum(size + 64)).first()[0] or 0
+    return F.broadcast(cells) if total <= p.broadcast_max_bytes else cells
 
 
 def _ring_bbox(edges):
@@ -104,7 +103,7 @@ def tag_states(df: DataFrame, cells: DataFrame, p: Params = DEFAULT,
     point (boundary included), null at sea or without coordinates (J1, W11)."""
     s = p.state_cell_deg
     pts = df.withColumn("_cy", cell_index(F.col(lat), s)).withColumn("_cx", lon_cell_index(F.col(lon), s))
-    c = checked_broadcast(cells, p.broadcast_max_rows)
+    c = cells
     j = pts.join(c, (pts["_cy"] == c["cell_y"]) & (pts["_cx"] == c["cell_x"]), "left")
     hit = F.expr(f"filter(cands, k -> {point_in_edges_sql('k.edges', f'`{lon}`', f'`{lat}`')})")
     same_cell = F.col("uniform") & (cell_index(F.col(lon), s) == F.col("ucx"))
@@ -140,7 +139,7 @@ def match_ports(df: DataFrame, cells: DataFrame, p: Params = DEFAULT) -> DataFra
     limit = math.radians(p.port_radius_deg)
     pts = (df.withColumn("_cy", cell_index(F.col("LAT"), s))
              .withColumn("_cx", lon_cell_index(F.col("LON"), s)))
-    c = checked_broadcast(cells, p.broadcast_max_rows)
+    c = cells
     j = pts.join(c, (pts["_cy"] == c["cell_y"]) & (pts["_cx"] == c["cell_x"])
                  & (pts["Label"] == F.lit("1")), "left")
     angle = central_angle_sql("LAT", "LON", "q.lat", "q.lon")

@@ -35,6 +35,10 @@ def _num(df: DataFrame, name: str, t: T.DataType) -> Column:
     c = F.col(name)
     if src == t:
         v = c
+    elif isinstance(t, T.LongType) and isinstance(src, (T.StringType, T.FloatType, T.DoubleType)):
+        # "367000000.0" is a whole number too; anything with a fraction is not
+        d = c.try_cast(T.DecimalType(38, 10))
+        v = F.when(d == F.floor(d), d).try_cast(t)
     elif isinstance(src, _NUMERIC) and not (isinstance(t, T.LongType) and isinstance(src, (T.FloatType, T.DoubleType))):
         v = c.cast(t)
     else:
@@ -55,6 +59,16 @@ def period_columns(ts: Column, period: str) -> list[Column]:
     return [per.cast("int").alias("period"), year.cast("int").alias("year")]
 
 
+def only_periods(df: DataFrame, periods: list[int], p: Params = DEFAULT) -> DataFrame:
+    """Raw rows of the named periods.  A ``period`` column of the input (of
+    the same kind, as ``streaming.incremental_ingest`` partitions by) prunes
+    the scan; otherwise the time decides."""
+    wanted = [int(x) for x in periods]
+    if "period" in df.columns:
+        return df.where(F.col("period").isin(wanted))
+    return df.where(period_columns(_to_ntz(df, "BaseDateTime"), p.period)[0].isin(wanted))
+
+
 def typed_ais(df: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """String or typed AIS rows -> typed rows.
 

@@ -2,15 +2,15 @@
 
 Pivots run on aggregated data (one row per state pair or per route), never
 on track rows; their column list is the distinct destination / transit
-states, which is bounded by the polygon map.
+states, which is bounded by the polygon map (a caller that has the map names them).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .routes import ROUTE_KEY
 
 
@@ -24,9 +24,7 @@ def transfer_matrix(transfers: DataFrame, dests: list[str] | None = None) -> Dat
 
     ``dests`` fixes the columns; by default they are the destinations seen."""
     if dests is None:
-        # the column list needs one pass over the input; the input is one row
-        # per state pair, so keep it for the pivot instead of computing it twice
-        transfers = transfers.persist(StorageLevel.MEMORY_AND_DISK)
+        transfers = cut_lineage(transfers)  # one row per state pair, read again for the columns
         dests = distinct_values(transfers, "dest_state")
     fixed = ["year", "source_state"]
     if not dests:
@@ -56,9 +54,7 @@ def wide_routes(table: DataFrame, states: list[str] | None = None,
                         F.explode_outer("transit").alias("_t"))
     base = base.select("*", F.col("_t.state").alias("_state"), F.col("_t.emissions").alias("_em")).drop("_t")
     if states is None:
-        # one row per (route, transit state): kept for the pivot so that the
-        # column list does not cost a second run of the whole plan
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+        base = cut_lineage(base)  # one row per (route, transit state), read again for the columns
         states = distinct_values(base, "_state")
     group = [*ROUTE_KEY, *[c for c in keep if c not in ROUTE_KEY]]
     if not states:
@@ -79,5 +75,6 @@ def union_wide(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
-    dtypes = dict(out.dtypes)
-    return out.na.fill(0.0, subset=[c for c, t in dtypes.items() if t == "double"])
+    known = {*WIDE_FIXED, *ROUTE_KEY, "start_time", "end_time", "source_state"}
+    states = sorted(c for c in out.columns if c not in known)
+    return out.select(*[c for c in out.columns if c in known], *states).na.fill(0.0, subset=states)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import cell_index, lon_cell_index, point_in_edges_sql
 from ..params import DEFAULT, Params
-from .geo import checked_broadcast, state_cells
+from .geo import bounded_broadcast, state_cells
 
 REQUIRED = ["PORT_NAME", "LATITUDE", "LONGITUDE", "COUNTRY"]
 PORT_COLUMNS = ["Main Port Name", "state", "Latitude", "Longitude"]
@@ -36,7 +36,7 @@ def build_ports(raw: DataFrame, rings: DataFrame, p: Params = DEFAULT) -> DataFr
                   F.col("LATITUDE").cast("double").alias("Latitude"),
                   F.col("LONGITUDE").cast("double").alias("Longitude")))
     s = p.state_cell_deg
-    cells = checked_broadcast(state_cells(rings, p), p.broadcast_max_rows)
+    cells = bounded_broadcast(state_cells(rings, p), p)
     pts = us.withColumn("_cy", cell_index(F.col("Latitude"), s)) \
             .withColumn("_cx", lon_cell_index(F.col("Longitude"), s))
     j = pts.join(cells, (pts["_cy"] == cells["cell_y"]) & (pts["_cx"] == cells["cell_x"]), "inner")

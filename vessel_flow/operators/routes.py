@@ -12,12 +12,8 @@ by a running ``last(..., ignorenulls)``.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .ingest import KEY
 from .tracks import BEFORE, w_desc
@@ -130,27 +126,14 @@ def transit_emissions(table: DataFrame) -> DataFrame:
                     "_t.first_seq", "_t.state", "_t.emissions"))
 
 
-@F.pandas_udf(T.StringType())
-def _json_text(states: pd.Series, amounts: pd.Series) -> pd.Series:
-    """The transit map as the reference writes it: ``json.dumps`` of an
-    ordered dict of floats (Python float repr, ", " and ": " separators)."""
-    return pd.Series([json.dumps({k: float(v) for k, v in zip(ks, vs)}) if ks is not None and len(ks) else None
-                      for ks, vs in zip(states, amounts)])
-
-
 def routes_with_state_map(table: DataFrame) -> DataFrame:
     """Routes plus ``state_emissions`` map (null when none), first-seen order,
-    and its JSON text for sinks (A10, F13).
-
-    The text is made by a small Arrow-batched UDF on route rows (one per
-    route, not per position), so that numbers and separators are written
-    exactly as the reference writes them."""
+    and its JSON text for sinks (A10, F13): the same keys, numbers and order
+    as the reference's text, without its blanks after separators."""
     entries = F.transform(F.col("transit"), lambda e: F.struct(e.state.alias("key"),
                                                                e.emissions.alias("value")))
     m = F.when(F.size("transit") > 0, F.map_from_entries(entries))
-    text = _json_text(F.transform("transit", lambda e: e["state"]),
-                      F.transform("transit", lambda e: e["emissions"]))
-    return table.select(*ROUTE_COLUMNS, m.alias("state_emissions"), text.alias("state_emissions_json"))
+    return table.select(*ROUTE_COLUMNS, m.alias("state_emissions"), F.to_json(m).alias("state_emissions_json"))
 
 
 def transfer_flows(transit: DataFrame) -> DataFrame:

@@ -1,21 +1,24 @@
-"""Hot-vessel splitting: exact window scans over time chunks.
+"""Hot-vessel splitting: exact window scans over row chunks.
 
 All track windows are partitioned by (period, MMSI), so one vessel-period
 is one task.  A key that holds a large share of all rows (a default MMSI
 used by many transponders, say) would then run on a single executor.  Such
-vessels are split into time chunks of about ``chunk_rows`` rows, and the
-same scans run per chunk in parallel.  Whatever a scan needs from beyond its
-chunk is a *carry*: each round aggregates a small summary per chunk (no
-exchange: the rows are partitioned by chunk), resolves the carries with a
-window over the chunks of a vessel, and broadcasts them back (the summaries
-hold one row per hot chunk, bounded by ``max_total_chunks``).
+vessels are split into chunks of ``chunk_rows`` rows, and the same scans run
+per chunk in parallel.  Whatever a scan needs from beyond its chunk is a
+*carry*: each round aggregates a small summary per chunk (no exchange: the
+rows are partitioned by chunk), resolves the carries with a window over the
+chunks of a vessel, and joins them back.
 
 Rounds (each ends with a reliable checkpoint in ``spark.checkpoint.dir``, so
 that the summary and the next round read it once, the plan stays small and
-a lost executor costs only the current round):
-
-1. halo: the two rows on each side of a chunk (smoothing and slow flags),
-   row offsets (global ``seq``) and the vessel's first type;
+a lost executor costs only the current round; a round runs when a stage that
+needs it is first asked for):
+
+0. row numbers: hot rows are range-partitioned in track order, so bursts are
+   cut by rows and not by time; a running sum of the slices' counts gives
+   every row its global ``seq``, and ``chunk`` = (seq - 1) / chunk_rows;
+1. halo: rows near a chunk's edge are copied to the chunks beside it
+   (smoothing and slow flags, for any smoothing window);
 2. start of a slow run that is open when the chunk begins, and end of the
    last qualified run before the chunk (merge decision);
 3. nearest qualified run at or after the chunk end (stop membership);
@@ -25,66 +28,47 @@ a lost executor costs only the current round):
 
 Routes of hot vessels are then summed with a partial aggregate per chunk
 and one small exchange on the route key.
+
+Bounds: there are at most rows / ``hot_vessel_rows`` hot vessel-periods and
+rows / ``chunk_rows`` + that many chunks.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.emission import is_slow
 from ..params import DEFAULT, Params
 from ..session import cut_lineage
 from .emissions import bad_stop_row, co2_columns
+from .ingest import partition_by_vessel
 from .routes import at_port
-from .tracks import BEFORE, RUNNING, _median3, stop_flags, w_desc, w_raw, w_vessel
+from .tracks import BEFORE, RUNNING, rolling_median, stop_flags, w_asc, w_desc
 
 VKEY = ["period", "MMSI"]
 CKEY = ["period", "MMSI", "chunk"]
-_EPOCH = "1970-01-01 00:00:00"
+RAW_ORDER = ["BaseDateTime", "LAT", "LON", "SOG", "VesselType"]
 
 
-def micros(ts):
-    return F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit(_EPOCH)), ts)
+def vessel_stats(ing: DataFrame) -> DataFrame:
+    """Rows per vessel-period (partial + final aggregate)."""
+    return ing.groupBy(*VKEY).agg(F.count(F.lit(1)).alias("n"))
 
 
-def vessel_stats(ing: DataFrame) -> DataFrame:
-    """Rows and time span per vessel-period (partial + final aggregate)."""
-    return ing.groupBy(*VKEY).agg(F.count(F.lit(1)).alias("n"),
-                                  F.min(micros(F.col("BaseDateTime"))).alias("min_us"),
-                                  F.max(micros(F.col("BaseDateTime"))).alias("max_us"))
-
-
-def plan_chunks(spark: SparkSession, stats: DataFrame, p: Params = DEFAULT) -> DataFrame | None:
-    """Chunk plan for hot vessel-periods, or None when there is none.
-
-    At most ``max_hot_vessels`` rows come to the driver (a top-k of per-vessel
-    counts).  A vessel gets ceil(n / chunk_rows) chunks of equal time width;
-    the target grows if the total would pass ``max_total_chunks``, so every
-    carry table has a proven size bound."""
-    hot = (stats.filter(F.col("n") > p.hot_vessel_rows)
-           .orderBy(F.col("n").desc(), *VKEY).limit(p.max_hot_vessels).collect())
-    if not hot:
-        return None
-    target = max(p.chunk_rows, math.ceil(sum(r["n"] for r in hot) / p.max_total_chunks))
-    out = []
-    for r in hot:
-        k = max(1, math.ceil(r["n"] / target))
-        width = max(1, math.ceil((r["max_us"] - r["min_us"] + 1) / k))
-        out.append((r["period"], r["MMSI"], r["n"], r["min_us"], width))
-    return spark.createDataFrame(out, "period int, MMSI long, n_total long, min_us long, width long")
-
-
-def assign_chunks(ing: DataFrame, plan: DataFrame) -> DataFrame:
-    """``chunk`` (0 for ordinary vessels), ``hot`` and ``n_total``."""
-    j = ing.join(F.broadcast(plan), VKEY, "left")
-    hot = F.col("width").isNotNull()
-    chunk = F.when(hot, F.floor((micros(F.col("BaseDateTime")) - F.col("min_us")) / F.col("width")))
-    return (j.withColumn("chunk", F.coalesce(chunk, F.lit(0)).cast("int"))
-             .withColumn("hot", hot).drop("min_us", "width"))
+def hot_vessels(stats: DataFrame, p: Params = DEFAULT) -> DataFrame | None:
+    """(period, MMSI, n_total) of every hot vessel-period, or None without any."""
+    hot = cut_lineage(stats.filter(F.col("n") > p.hot_vessel_rows).withColumnRenamed("n", "n_total"))
+    return None if hot.isEmpty() else hot
+
+
+def mark_hot(ing: DataFrame, hot: DataFrame) -> DataFrame:
+    """``hot`` and ``n_total``.  The broadcast side has one row for each
+    vessel-period above ``hot_vessel_rows`` rows: at most rows / that many."""
+    return ing.join(F.broadcast(hot), VKEY, "left").withColumn("hot", F.col("n_total").isNotNull())
 
 
 def _chunk_windows():
@@ -93,16 +77,6 @@ def _chunk_windows():
     return asc, desc
 
 
-@dataclass
-class HotStages:
-    smoothed: DataFrame
-    runs: DataFrame
-    stops: DataFrame
-    kept: DataFrame
-    co2: DataFrame
-    persisted: list = field(default_factory=list)   # the round checkpoints
-
-
 def _keep(df: DataFrame, bag: list) -> DataFrame:
     """End of a round: checkpoint into the shared folder.  A summary and the
     next round both read the result, and each round's plan would otherwise
@@ -113,158 +87,153 @@ def _keep(df: DataFrame, bag: list) -> DataFrame:
 
 
 def _carry(df: DataFrame, summary: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(summary), CKEY, "left")
-
+    """One summary row a chunk.  Both sides are partitioned by chunk, so the
+    join moves no rows; Spark broadcasts the summaries where they are small."""
+    return df.join(summary, CKEY, "left")
 
-def hot_tracks(h: DataFrame, p: Params = DEFAULT) -> HotStages:
-    """Rounds 1-4 on hot rows partitioned by (period, MMSI, chunk)."""
-    if p.smooth_window != 3:
-        raise ValueError("hot-vessel splitting supports the 3-row median only")
-    bag: list = []
-    ca, cd = _chunk_windows()
-    wl = w_raw(CKEY)
-    wd = w_desc(CKEY)
 
-    # --- round 1: halo rows, offsets, first type ---------------------------------
-    h = h.withColumnsRenamed({c: f"raw_{c}" for c in ("LAT", "LON", "SOG")})
-    raw = ["raw_LAT", "raw_LON", "raw_SOG"]
-    h = h.select("*", F.row_number().over(wl).alias("lseq"), F.count(F.lit(1)).over(w_vessel(CKEY)).alias("lcnt"),
-                 *[F.lag(c, k).over(wl).alias(f"_lag{k}_{c}") for c in raw for k in (1, 2)],
-                 *[F.lead(c, k).over(wl).alias(f"_lead{k}_{c}") for c in raw for k in (1, 2)])
-    h = _keep(h, bag)
-    row = F.struct(*[F.col(c) for c in raw])
-    edge = (h.filter((F.col("lseq") <= 2) | (F.col("lseq") > F.col("lcnt") - 2))
-            .groupBy(*CKEY)
-            .agg(F.max("lcnt").alias("cnt"),
-                 F.max(F.when(F.col("lseq") == 1, F.col("VesselType"))).alias("f_type"),
-                 F.array_sort(F.collect_list(F.when(F.col("lseq") <= 2, F.struct(
-                     F.col("lseq").alias("i"), row.alias("r"))))).alias("head"),
-                 F.array_sort(F.collect_list(F.when(F.col("lseq") > F.col("lcnt") - 2, F.struct(
-                     F.col("lseq").alias("i"), row.alias("r"))))).alias("tail")))
-    edge = edge.select(*CKEY, "cnt", "f_type", F.transform("head", lambda e: e["r"]).alias("head"),
-                       F.transform("tail", lambda e: e["r"]).alias("tail"))
-    none = F.array().cast("array<struct<raw_LAT:double,raw_LON:double,raw_SOG:double>>")
-    prevs = F.concat(F.coalesce(F.lag("tail", 2).over(ca), none), F.coalesce(F.lag("tail", 1).over(ca), none))
-    nexts = F.concat(F.coalesce(F.lead("head", 1).over(ca), none), F.coalesce(F.lead("head", 2).over(ca), none))
-    s1 = edge.select(*CKEY,
-                     F.coalesce(F.sum("cnt").over(ca.rowsBetween(*BEFORE)), F.lit(0)).alias("_offset"),
-                     F.first("f_type").over(ca.rowsBetween(*RUNNING)).alias("first_type"),
-                     F.try_element_at(prevs, F.lit(-1)).alias("_P1"), F.try_element_at(prevs, F.lit(-2)).alias("_P2"),
-                     F.try_element_at(nexts, F.lit(1)).alias("_N1"), F.try_element_at(nexts, F.lit(2)).alias("_N2"))
-    h = _carry(h, s1)
-    lseq, lcnt = F.col("lseq"), F.col("lcnt")
-
-    def lag1(c):
-        return F.when(lseq == 1, F.col("_P1")[c]).otherwise(F.col(f"_lag1_{c}"))
-
-    def lag2(c):
-        return F.when(lseq == 1, F.col("_P2")[c]).when(lseq == 2, F.col("_P1")[c]).otherwise(F.col(f"_lag2_{c}"))
-
-    def lead1(c):
-        return F.when(lseq == lcnt, F.col("_N1")[c]).otherwise(F.col(f"_lead1_{c}"))
-
-    def lead2(c):
-        return F.when(lseq == lcnt, F.col("_N2")[c]).when(lseq == lcnt - 1, F.col("_N1")[c]) \
-            .otherwise(F.col(f"_lead2_{c}"))
-
-    gate = F.col("n_total") >= p.smooth_min_rows
-    seq = F.col("_offset") + lseq
-    cols = {"seq": seq.cast("int"), "n_rows": F.col("n_total")}
-    for c in ("LAT", "LON", "SOG"):
-        r = f"raw_{c}"
-        cols[c] = F.when(gate, _median3(lag1(r), F.col(r), lead1(r))).otherwise(F.col(r))
-    prev_sog = F.when(gate, _median3(lag2("raw_SOG"), lag1("raw_SOG"), F.col("raw_SOG"))).otherwise(lag1("raw_SOG"))
-    next_sog = F.when(gate, _median3(F.col("raw_SOG"), lead1("raw_SOG"), lead2("raw_SOG"))).otherwise(lead1("raw_SOG"))
-    cols["_prev_slow"] = (seq > 1) & is_slow(prev_sog, p)
-    cols["_next_slow"] = (seq < F.col("n_total")) & is_slow(next_sog, p)
-    h = h.withColumns(cols)
-    h = (h.withColumn("slow", is_slow(F.col("SOG"), p))
-          .withColumn("run_first", F.col("slow") & ~F.col("_prev_slow"))
-          .withColumn("run_last", F.col("slow") & ~F.col("_next_slow")))
-    h = h.drop(*[c for c in h.columns if c.startswith("_lag") or c.startswith("_lead")],
-               "_P1", "_P2", "_N1", "_N2", "_offset", "_prev_slow", "_next_slow")
-    h = _keep(h, bag)
-    smoothed = h
-
-    # --- round 2: open run at the chunk start and last qualified end before it --
-    # A run that starts in the chunk is measured locally.  The chunk's leading
-    # run (open when the chunk begins) needs the start carried in; whether it
-    # qualifies is resolved on the chunk table together with that carry.
-    min_us = int(round(p.min_stop_hours * 3_600_000_000))
-    gap_us = int(round(p.merge_gap_hours * 3_600_000_000))
-    running = wl.rowsBetween(*RUNNING)
-    h = h.select("*",
-                 F.last(F.when(F.col("run_first"), F.col("seq")), True).over(running).alias("_ls"),
-                 F.last(F.when(F.col("run_first"), F.col("BaseDateTime")), True).over(running).alias("_lt"))
-    local_q = F.col("run_last") & F.col("_lt").isNotNull() & (
-        F.timestamp_diff("MICROSECOND", F.col("_lt"), F.col("BaseDateTime")) >= F.lit(min_us))
-    s2 = (h.groupBy(*CKEY)
-          .agg(F.max(F.when(F.col("run_first"), F.col("seq"))).alias("rf_seq"),
-               F.max(F.when(F.col("run_first"), F.col("BaseDateTime"))).alias("rf_ts"),
-               F.min(F.when(F.col("run_last") & F.col("_lt").isNull(), F.col("BaseDateTime"))).alias("lead_end"),
-               F.max(F.when(local_q, F.col("BaseDateTime"))).alias("local_qe"))
-          .select("*", F.last("rf_seq", True).over(ca.rowsBetween(*BEFORE)).alias("_c_seq"),
-                  F.last("rf_ts", True).over(ca.rowsBetween(*BEFORE)).alias("_c_ts")))
-    lead_q = F.col("lead_end").isNotNull() & F.col("_c_ts").isNotNull() & (
-        F.timestamp_diff("MICROSECOND", F.col("_c_ts"), F.col("lead_end")) >= F.lit(min_us))
-    s2 = s2.withColumn("chunk_qe", F.coalesce(F.col("local_qe"), F.when(lead_q, F.col("lead_end"))))
-    s2 = s2.select(*CKEY, "_c_seq", "_c_ts",
-                   F.last("chunk_qe", True).over(ca.rowsBetween(*BEFORE)).alias("_c_qe"))
-    h = _carry(h, s2)
-    h = (h.withColumn("run_start_seq", F.when(F.col("slow"), F.coalesce("_ls", "_c_seq")))
-          .withColumn("run_start_ts", F.when(F.col("slow"), F.coalesce("_lt", "_c_ts")))
-          .drop("_ls", "_lt", "_c_seq", "_c_ts"))
-    h = (h.withColumn("run_micros", F.when(F.col("run_last"), F.timestamp_diff(
-            "MICROSECOND", F.col("run_start_ts"), F.col("BaseDateTime"))))
-          .withColumn("qualified", F.coalesce(F.col("run_micros") >= F.lit(min_us), F.lit(False))))
-    prev_end = F.coalesce(F.last(F.when(F.col("qualified"), F.col("BaseDateTime")), True)
-                          .over(wl.rowsBetween(*BEFORE)), F.col("_c_qe"))
-    h = h.withColumn("new_stop", F.col("qualified") & (prev_end.isNull() | (
-        F.timestamp_diff("MICROSECOND", prev_end, F.col("run_start_ts")) >= F.lit(gap_us)))).drop("_c_qe")
-    h = _keep(h, bag)
-    runs = h
-
-    # --- round 3: nearest qualified run at or after the chunk end ----------------
-    # every chunk needs a carry, also those without a qualified run
-    chunks = h.groupBy(*CKEY).agg(F.count(F.lit(1)).alias("_n"))
-    fq = (h.filter("qualified").groupBy(*CKEY)
-          .agg(F.min_by(F.struct("run_start_seq", "new_stop"), "seq").alias("fq")))
-    s3 = (chunks.join(fq, CKEY, "left")
-          .select(*CKEY, F.last("fq", True).over(cd.rowsBetween(*BEFORE)).alias("_c_fq")))
-    h = _carry(h, s3)
-    h = h.select("*",
-                 F.coalesce(F.last(F.when(F.col("qualified"), F.col("run_start_seq")), True)
-                            .over(wd.rowsBetween(*RUNNING)), F.col("_c_fq.run_start_seq")).alias("_q_start"),
-                 F.coalesce(F.last(F.when(F.col("qualified"), F.col("new_stop")), True)
-                            .over(wd.rowsBetween(*RUNNING)), F.col("_c_fq.new_stop")).alias("_q_new"),
-                 F.coalesce(F.last(F.when(F.col("qualified"), F.col("new_stop")), True)
-                            .over(wd.rowsBetween(*BEFORE)), F.col("_c_fq.new_stop")).alias("_q_new_after"))
-    h = stop_flags(h.drop("_c_fq"))
-    stops = h
-
-    # --- round 4: neighbouring kept rows, reject flag ----------------------------
-    k = h.filter(F.col("keep"))
-    k = k.select("*", F.lead("seq", 1).over(wd).alias("_pseq"), F.lead("BaseDateTime", 1).over(wd).alias("_pt"),
-                 F.lag("seq", 1).over(wd).alias("_nseq"),
-                 *[F.lag(c, 1).over(wd).alias(f"_n_{c}") for c in ("LAT", "LON", "SOG")])
-    k = _keep(k, bag)
-    s4 = (k.groupBy(*CKEY).agg(F.max("BaseDateTime").alias("last_ts"),
-                               F.min_by(F.struct("LAT", "LON", "SOG"), "seq").alias("first_row"),
-                               F.bool_or(bad_stop_row()).alias("bad"))
-          .select(*CKEY, F.last("last_ts", True).over(ca.rowsBetween(*BEFORE)).alias("_c_pt"),
-                  F.last("first_row", True).over(cd.rowsBetween(*BEFORE)).alias("_c_n"),
-                  F.bool_or("bad").over(Window.partitionBy(*VKEY)).alias("rejected")))
-    k = _carry(k, s4)
-    first_kept = F.col("_pseq").isNull()
-    last_kept = F.col("_nseq").isNull()
-    k = k.withColumns({
-        "prev_time": F.when(first_kept, F.col("_c_pt")).otherwise(F.col("_pt")),
-        **{f"next_{c}": F.when(last_kept, F.col("_c_n")[c]).otherwise(F.col(f"_n_{c}"))
-           for c in ("LAT", "LON", "SOG")}})
-    k = k.drop("_pseq", "_pt", "_nseq", "_n_LAT", "_n_LON", "_n_SOG", "_c_pt", "_c_n")
-    co2 = co2_columns(k, p)
-    # the kept rows, with their CO2 columns already (a superset of the plain 'kept' stage)
-    return HotStages(smoothed, runs, stops, co2, co2, bag)
+class HotStages:
+    """The stages of hot rows, each round run when it is first asked for.
+    ``persisted`` holds the rounds' checkpoints."""
+
+    def __init__(self, hot_rows: DataFrame, hot: DataFrame, p: Params = DEFAULT):
+        self.p, self.persisted = p, []
+        total = hot.agg(F.sum("n_total")).first()[0]
+        self.ingested = self._numbered(hot_rows, math.ceil(total / p.chunk_rows))
+
+    def _numbered(self, rows: DataFrame, slices: int) -> DataFrame:
+        """Round 0: ``seq`` in track order and the row's ``chunk``."""
+        order = [F.col(c).asc_nulls_last() for c in RAW_ORDER]
+        # the range bounds are sampled anew for each plan, so the slices are fixed by a checkpoint
+        h = _keep(rows.repartitionByRange(slices, *VKEY, *order).withColumn("slice", F.spark_partition_id()),
+                  self.persisted)
+        count = h.groupBy(*VKEY, "slice").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy(*VKEY).orderBy("slice").rowsBetween(*BEFORE)
+        offset = count.select(*VKEY, "slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        place = F.row_number().over(Window.partitionBy(*VKEY, "slice").orderBy(*order))
+        # a slice is about one chunk of rows: as many summaries as slices and hot vessels
+        h = h.withColumn("_place", place).join(F.broadcast(offset), [*VKEY, "slice"])
+        h = h.withColumn("seq", (F.col("_offset") + F.col("_place")).cast("int")).drop("slice", "_place", "_offset")
+        chunk = F.floor((F.col("seq") - 1) / self.p.chunk_rows).cast("int")
+        return _keep(h.withColumn("chunk", chunk), self.persisted)
+
+    @cached_property
+    def smoothed(self) -> DataFrame:
+        """Round 1: rows within ``halo`` rows of a chunk are copied into it;
+        the windows of its own rows are then whole."""
+        p = self.p
+        halo, size = p.smooth_window // 2 + 1, p.chunk_rows
+        of = lambda seq: F.floor((seq - 1) / size).cast("int")
+        first = self.ingested.where("seq = 1").select(*VKEY, F.col("VesselType").alias("first_type"))
+        near = F.sequence(F.greatest(of(F.col("seq") - halo), F.lit(0)),
+                          of(F.least(F.col("seq") + halo, F.col("n_total"))))
+        h = (self.ingested.withColumnsRenamed({c: f"raw_{c}" for c in ("LAT", "LON", "SOG")})
+             .withColumnRenamed("chunk", "_own").withColumn("chunk", F.explode(near)))
+        h = partition_by_vessel(h, CKEY, n=p.track_partitions)
+        w, gate = w_asc(CKEY), F.col("n_total") >= p.smooth_min_rows
+        h = h.select("*", *[F.when(gate, rolling_median(f"raw_{c}", p.smooth_window, CKEY, ["seq"]))
+                            .otherwise(F.col(f"raw_{c}")).alias(c) for c in ("LAT", "LON", "SOG")])
+        h = h.withColumn("slow", is_slow(F.col("SOG"), p))
+        h = h.select("*", F.coalesce(F.lag("slow", 1).over(w), F.lit(False)).alias("_prev_slow"),
+                     F.coalesce(F.lead("slow", 1).over(w), F.lit(False)).alias("_next_slow"))
+        h = h.where("chunk = _own").join(F.broadcast(first), VKEY)  # one row for each hot vessel-period
+        h = (h.withColumn("run_first", F.col("slow") & ~F.col("_prev_slow"))
+              .withColumn("run_last", F.col("slow") & ~F.col("_next_slow"))
+              .withColumnRenamed("n_total", "n_rows").drop("_own", "_prev_slow", "_next_slow"))
+        return _keep(h, self.persisted)
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        h, p, w = self.smoothed, self.p, w_asc(CKEY)
+        ca, _ = _chunk_windows()
+        # --- round 2: open run at the chunk start and last qualified end before it --
+        # A run that starts in the chunk is measured locally.  The chunk's leading
+        # run (open when the chunk begins) needs the start carried in; whether it
+        # qualifies is resolved on the chunk table together with that carry.
+        min_us = int(round(p.min_stop_hours * 3_600_000_000))
+        gap_us = int(round(p.merge_gap_hours * 3_600_000_000))
+        running = w.rowsBetween(*RUNNING)
+        h = h.select("*",
+                     F.last(F.when(F.col("run_first"), F.col("seq")), True).over(running).alias("_ls"),
+                     F.last(F.when(F.col("run_first"), F.col("BaseDateTime")), True).over(running).alias("_lt"))
+        local_q = F.col("run_last") & F.col("_lt").isNotNull() & (
+            F.timestamp_diff("MICROSECOND", F.col("_lt"), F.col("BaseDateTime")) >= F.lit(min_us))
+        s2 = (h.groupBy(*CKEY)
+              .agg(F.max(F.when(F.col("run_first"), F.col("seq"))).alias("rf_seq"),
+                   F.max(F.when(F.col("run_first"), F.col("BaseDateTime"))).alias("rf_ts"),
+                   F.min(F.when(F.col("run_last") & F.col("_lt").isNull(), F.col("BaseDateTime"))).alias("lead_end"),
+                   F.max(F.when(local_q, F.col("BaseDateTime"))).alias("local_qe"))
+              .select("*", F.last("rf_seq", True).over(ca.rowsBetween(*BEFORE)).alias("_c_seq"),
+                      F.last("rf_ts", True).over(ca.rowsBetween(*BEFORE)).alias("_c_ts")))
+        lead_q = F.col("lead_end").isNotNull() & F.col("_c_ts").isNotNull() & (
+            F.timestamp_diff("MICROSECOND", F.col("_c_ts"), F.col("lead_end")) >= F.lit(min_us))
+        s2 = s2.withColumn("chunk_qe", F.coalesce(F.col("local_qe"), F.when(lead_q, F.col("lead_end"))))
+        s2 = s2.select(*CKEY, "_c_seq", "_c_ts",
+                       F.last("chunk_qe", True).over(ca.rowsBetween(*BEFORE)).alias("_c_qe"))
+        h = _carry(h, s2)
+        h = (h.withColumn("run_start_seq", F.when(F.col("slow"), F.coalesce("_ls", "_c_seq")))
+              .withColumn("run_start_ts", F.when(F.col("slow"), F.coalesce("_lt", "_c_ts")))
+              .drop("_ls", "_lt", "_c_seq", "_c_ts"))
+        h = (h.withColumn("run_micros", F.when(F.col("run_last"), F.timestamp_diff(
+                "MICROSECOND", F.col("run_start_ts"), F.col("BaseDateTime"))))
+              .withColumn("qualified", F.coalesce(F.col("run_micros") >= F.lit(min_us), F.lit(False))))
+        prev_end = F.coalesce(F.last(F.when(F.col("qualified"), F.col("BaseDateTime")), True)
+                              .over(w.rowsBetween(*BEFORE)), F.col("_c_qe"))
+        h = h.withColumn("new_stop", F.col("qualified") & (prev_end.isNull() | (
+            F.timestamp_diff("MICROSECOND", prev_end, F.col("run_start_ts")) >= F.lit(gap_us)))).drop("_c_qe")
+        return _keep(h, self.persisted)
+
+    @cached_property
+    def stops(self) -> DataFrame:
+        h, wd = self.runs, w_desc(CKEY)
+        _, cd = _chunk_windows()
+        # --- round 3: nearest qualified run at or after the chunk end ----------------
+        # every chunk needs a carry, also those without a qualified run
+        chunks = h.groupBy(*CKEY).agg(F.count(F.lit(1)).alias("_n"))
+        fq = (h.filter("qualified").groupBy(*CKEY)
+              .agg(F.min_by(F.struct("run_start_seq", "new_stop"), "seq").alias("fq")))
+        s3 = (chunks.join(fq, CKEY, "left")
+              .select(*CKEY, F.last("fq", True).over(cd.rowsBetween(*BEFORE)).alias("_c_fq")))
+        h = _carry(h, s3)
+        h = h.select("*",
+                     F.coalesce(F.last(F.when(F.col("qualified"), F.col("run_start_seq")), True)
+                                .over(wd.rowsBetween(*RUNNING)), F.col("_c_fq.run_start_seq")).alias("_q_start"),
+                     F.coalesce(F.last(F.when(F.col("qualified"), F.col("new_stop")), True)
+                                .over(wd.rowsBetween(*RUNNING)), F.col("_c_fq.new_stop")).alias("_q_new"),
+                     F.coalesce(F.last(F.when(F.col("qualified"), F.col("new_stop")), True)
+                                .over(wd.rowsBetween(*BEFORE)), F.col("_c_fq.new_stop")).alias("_q_new_after"))
+        return stop_flags(h.drop("_c_fq"))
+
+    @cached_property
+    def co2(self) -> DataFrame:
+        wd = w_desc(CKEY)
+        ca, cd = _chunk_windows()
+        # --- round 4: neighbouring kept rows, reject flag ----------------------------
+        k = self.stops.filter(F.col("keep"))
+        k = k.select("*", F.lead("seq", 1).over(wd).alias("_pseq"), F.lead("BaseDateTime", 1).over(wd).alias("_pt"),
+                     F.lag("seq", 1).over(wd).alias("_nseq"),
+                     *[F.lag(c, 1).over(wd).alias(f"_n_{c}") for c in ("LAT", "LON", "SOG")])
+        k = _keep(k, self.persisted)
+        s4 = (k.groupBy(*CKEY).agg(F.max("BaseDateTime").alias("last_ts"),
+                                   F.min_by(F.struct("LAT", "LON", "SOG"), "seq").alias("first_row"),
+                                   F.bool_or(bad_stop_row()).alias("bad"))
+              .select(*CKEY, F.last("last_ts", True).over(ca.rowsBetween(*BEFORE)).alias("_c_pt"),
+                      F.last("first_row", True).over(cd.rowsBetween(*BEFORE)).alias("_c_n"),
+                      F.bool_or("bad").over(Window.partitionBy(*VKEY)).alias("rejected")))
+        k = _carry(k, s4)
+        first_kept = F.col("_pseq").isNull()
+        last_kept = F.col("_nseq").isNull()
+        k = k.withColumns({
+            "prev_time": F.when(first_kept, F.col("_c_pt")).otherwise(F.col("_pt")),
+            **{f"next_{c}": F.when(last_kept, F.col("_c_n")[c]).otherwise(F.col(f"_n_{c}"))
+               for c in ("LAT", "LON", "SOG")}})
+        k = k.drop("_pseq", "_pt", "_nseq", "_n_LAT", "_n_LON", "_n_SOG", "_c_pt", "_c_n")
+        # the kept rows with their CO2 columns (a superset of the plain 'kept' stage)
+        return co2_columns(k, self.p)
+
+    @property
+    def kept(self) -> DataFrame:
+        return self.co2
 
 
 def hot_stays(traj: DataFrame, bag: list) -> DataFrame:

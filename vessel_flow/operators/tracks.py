@@ -53,18 +53,9 @@ def micros_between(a: Column, b: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", a, b)
 
 
-def _median3(prev: Column, cur: Column, nxt: Column) -> Column:
+def _median3_sql(prev: str, cur: str, nxt: str) -> str:
     """Median of the non-null values among three (pandas rolling median,
     min_periods=1): 3 values -> middle, 2 -> mean, 1 -> itself."""
-    n = (F.when(prev.isNotNull(), 1).otherwise(0) + F.when(cur.isNotNull(), 1).otherwise(0)
-         + F.when(nxt.isNotNull(), 1).otherwise(0))
-    mid3 = F.greatest(F.least(prev, cur), F.least(F.greatest(prev, cur), nxt))
-    s = F.coalesce(prev, F.lit(0.0)) + F.coalesce(cur, F.lit(0.0)) + F.coalesce(nxt, F.lit(0.0))
-    return F.when(n == 3, mid3).when(n == 2, s / 2).when(n == 1, F.coalesce(prev, cur, nxt))
-
-
-def _median3_sql(prev: str, cur: str, nxt: str) -> str:
-    """SQL form of ``_median3`` (same cases, same arithmetic order)."""
     n = " + ".join(f"CASE WHEN {v} IS NOT NULL THEN 1 ELSE 0 END" for v in (prev, cur, nxt))
     mid3 = f"greatest(least({prev}, {cur}), least(greatest({prev}, {cur}), {nxt}))"
     total = f"coalesce({prev}, 0D) + coalesce({cur}, 0D) + coalesce({nxt}, 0D)"
@@ -72,17 +63,13 @@ def _median3_sql(prev: str, cur: str, nxt: str) -> str:
             f"WHEN ({n}) = 1 THEN coalesce({prev}, {cur}, {nxt}) END")
 
 
-def _raw_order_sql(key) -> str:
-    return (f"PARTITION BY {', '.join(key)} ORDER BY "
-            + ", ".join(f"{c} ASC NULLS LAST" for c in ORDER))
-
-
-def _rolling_median(c: str, window: int, key=KEY) -> Column:
-    lo, hi = -(window // 2), window - 1 - window // 2
+def rolling_median(c: str, window: int, key=KEY, order=ORDER) -> Column:
+    """Centred rolling median over ``window`` rows of a track in ``order``."""
     if window == 3:
-        spec = _raw_order_sql(key)
+        spec = (f"PARTITION BY {', '.join(key)} ORDER BY " + ", ".join(f"{o} ASC NULLS LAST" for o in order))
         return F.expr(_median3_sql(f"lag({c}, 1) OVER ({spec})", c, f"lead({c}, 1) OVER ({spec})"))
-    return F.percentile(F.col(c), 0.5).over(w_raw(key).rowsBetween(lo, hi))
+    w = Window.partitionBy(*key).orderBy(*[F.col(o).asc_nulls_last() for o in order])
+    return F.percentile(F.col(c), 0.5).over(w.rowsBetween(-(window // 2), window - 1 - window // 2))
 
 
 def smooth_tracks(df: DataFrame, p: Params = DEFAULT, key=KEY) -> DataFrame:
@@ -98,7 +85,7 @@ def smooth_tracks(df: DataFrame, p: Params = DEFAULT, key=KEY) -> DataFrame:
         F.row_number().over(w).alias("seq"),
         F.count(F.lit(1)).over(w_vessel(key)).alias("n_rows"),
         F.first("VesselType").over(w.rowsBetween(*RUNNING)).alias("first_type"),
-        *[_rolling_median(f"raw_{c}", p.smooth_window, key).alias(f"_m_{c}") for c in ("LAT", "LON", "SOG")],
+        *[rolling_median(f"raw_{c}", p.smooth_window, key).alias(f"_m_{c}") for c in ("LAT", "LON", "SOG")],
     )
     gate = F.col("n_rows") >= p.smooth_min_rows
     for c in ("LAT", "LON", "SOG"):

@@ -34,13 +34,11 @@ class Params:
     period: str = "year"               # "year" or "month": voyages never cross a period
     state_cell_deg: float = 1.0        # grid cell for the polygon join
     port_cell_deg: float = 0.5         # grid cell for the port join
-    broadcast_max_rows: int = 2_000_000  # cell tables above this use a shuffle join
+    broadcast_max_bytes: int = 256 << 20  # cell tables above this use a shuffle join
     track_partitions: int | None = None  # partitions of the vessel exchange (None: spark.sql.shuffle.partitions)
-    split_hot: bool = True             # split vessel-periods with very many rows into time chunks
+    split_hot: bool = True             # split vessel-periods with very many rows into row chunks
     hot_vessel_rows: int = 5_000_000   # a vessel-period above this many rows is "hot"
-    chunk_rows: int = 2_000_000        # target rows per chunk of a hot vessel
-    max_hot_vessels: int = 10_000      # top-k hot vessels split (bounds the chunk plan)
-    max_total_chunks: int = 200_000    # bounds every per-chunk carry table
+    chunk_rows: int = 2_000_000        # rows per chunk of a hot vessel
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

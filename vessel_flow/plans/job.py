@@ -1,12 +1,12 @@
-"""A whole run over many periods (C10 with K1, K2, K4, K9).
-
-Only periods without a done marker are processed: the input is cut to them
-by a semi-join on the (bounded) list of pending periods, the pipeline runs
-as one plan with a staged trajectory, the outputs overwrite just their own
-period partitions, the yearly transfer sums are merged again from all
-stored periods of the touched years (C9), and a marker per period is
-written last, also when a period produced no route (R-Q12).  A failed run leaves no marker, so the
-next run redoes exactly the unfinished periods.
+"""A whole run over many periods (C10 with K1, K2, K4, K7, K9, X5).
+
+Only periods without a done marker are processed: the scan is cut to them by
+literal periods (pruned where the input is partitioned by period), the
+pipeline runs once with a staged copy, the outputs replace just their own
+periods, the yearly transfer sums are merged again from all stored periods of
+the touched years (C9), and a marker per period is written last, also when a
+period produced no row (R-Q12).  A failed run leaves no marker, so the next
+run redoes exactly the unfinished periods.
 """
 
 from __future__ import annotations
@@ -17,37 +17,45 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..operators import ingest, matrix
 from ..params import DEFAULT, Params
-from ..sources.dimensions import read_period_outputs
+from ..session import checkpoint_dir
 from .pipeline import emission_pipeline
 
 
+def input_periods(ais: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The periods of the input, from its ``period`` column if it has one."""
+    if "period" in ais.columns:
+        return ais.select(F.col("period").cast("int")).distinct()
+    return ingest.keyed(ingest.typed_ais(ais, p), p).select("period").distinct()
+
+
 def run_emission_job(spark: SparkSession, ais: DataFrame, ports: DataFrame, state_rings: DataFrame,
-                     out_dir: str, p: Params = DEFAULT) -> list[int]:
-    """Process the pending periods of ``ais`` into ``out_dir``; returns them.
+                     out_dir: str, p: Params = DEFAULT, years: list[int] | None = None) -> list[int]:
+    """Process the pending periods of ``ais`` (of ``years``, if given) into
+    ``out_dir``; returns them.
 
-    Layout: ``trajectory/``, ``routes/``, ``flows/``, ``transfers/`` (Parquet,
-    partitioned by year / period) and ``done/`` (markers)."""
+    Layout: ``trajectory/`` (the 11 columns, keys and ``seq`` of accepted
+    vessels), ``rejects/``, ``routes/``, ``flows/``, ``transfers/`` (Parquet,
+    partitioned by year / period), ``done/`` (markers), and ``stage/``, the
+    working copy of the last run, which is emptied at its end."""
+    checkpoint_dir(spark)  # a missing setting shows at the start, not in the middle of a run
     out = out_dir.rstrip("/")
-    keyed = ingest.keyed(ingest.typed_ais(ais, p), p)
-    wanted = keyed.select("period").distinct()
+    year_of = (lambda t: t // 100) if p.period == "month" else (lambda t: t)
     # one row per period: a handful per year of data
-    todo = [r["period"] for r in sinks.pending_periods(spark, wanted, f"{out}/done").collect()]
+    todo = sorted(r["period"] for r in sinks.pending_periods(spark, input_periods(ais, p), f"{out}/done").collect()
+                  if years is None or year_of(r["period"]) in years)
     if not todo:
         return []
-    pending = spark.createDataFrame([(int(t),) for t in todo], "period int")
-    # the period column is recomputed from the raw rows, so cut by the same rule
-    period_of = ingest.period_columns(ingest._to_ntz(ais, "BaseDateTime"), p.period)[0]
-    cut = (ais.withColumn("_period", period_of)
-           .join(F.broadcast(pending.withColumnRenamed("period", "_period")), "_period", "left_semi")
-           .drop("_period"))
-    res = emission_pipeline(spark, cut, ports, state_rings, p, stage_dir=f"{out}/trajectory", periods=todo)
-    sinks.write_routes(res["route_table"], f"{out}/routes")
-    sinks.write_flows(res["flows"], f"{out}/flows")
+    res = emission_pipeline(spark, ais, ports, state_rings, p, stage_dir=f"{out}/stage", periods=todo)
+    sinks.write_trajectory(res["trajectory"], f"{out}/trajectory", todo)
+    sinks.write_rejects(res["rejects"], f"{out}/rejects", todo)
+    sinks.write_routes(res["route_table"], f"{out}/routes", todo)
+    sinks.write_flows(res["flows"], f"{out}/flows", todo)
     res["route_table"].unpersist()
     # transfers are sums per year: merge all stored periods of the touched
     # years (C9), not only this run's, then replace those years
-    years = sorted({t // 100 if p.period == "month" else t for t in todo})
-    flows = read_period_outputs(spark, f"{out}/flows").where(F.col("year").isin(years))
-    sinks.write_transfers(matrix.merge_periods(flows), f"{out}/transfers")
+    touched = sorted({year_of(t) for t in todo})
+    flows = sinks.stored(spark, f"{out}/flows", sinks.FLOW_SCHEMA).where(F.col("year").isin(touched))
+    sinks.write_transfers(matrix.merge_periods(flows), f"{out}/transfers", touched)
     sinks.mark_done(spark, todo, f"{out}/done")
-    return sorted(todo)
+    sinks.drop_partitions(spark, f"{out}/stage", "period", todo)
+    return todo

@@ -12,9 +12,10 @@ by state pair shuffles again (a small, partially aggregated shuffle).
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..operators import emissions, geo, ingest, matrix, routes, split, tracks
 from ..params import DEFAULT, Params
 
@@ -73,21 +74,21 @@ def build_stages(ais: DataFrame, state_rings: DataFrame, ports: DataFrame,
     it into time chunks (see ``operators.split``), otherwise the plain plan
     runs unchanged."""
     ing0 = ingest.ingest(ais, p)
+    # built and size-checked when first read, shared by all joins of the run
+    cells = Stages(p, {"states": lambda s: geo.bounded_broadcast(geo.state_cells(state_rings, p), p),
+                       "ports": lambda s: geo.bounded_broadcast(geo.port_cells(ports, p), p)})
     out = None
-    # the chunk halo covers the 3-row median; other windows keep vessels whole
-    if p.split_hot and p.smooth_window == 3:
-        plan = split.plan_chunks(ais.sparkSession, split.vessel_stats(ing0), p)
-        if plan is not None:
-            out = _split_stages(ing0, plan, state_rings, ports, p)
+    if p.split_hot:
+        hot = split.hot_vessels(split.vessel_stats(ing0), p)
+        if hot is not None:
+            out = _split_stages(ing0, hot, cells, p)
     if out is None:
-        out = _plain_stages(ingest.partition_by_vessel(ing0, n=p.track_partitions), state_rings, ports, p)
+        out = _plain_stages(ingest.partition_by_vessel(ing0, n=p.track_partitions), cells, p)
     out.typed = ing0  # typed, filtered rows before the vessel exchange (for counts)
     return out
 
 
-def _plain_stages(ing: DataFrame, state_rings: DataFrame, ports: DataFrame, p: Params,
-                  cells: tuple[DataFrame, DataFrame] | None = None) -> Stages:
-    s_cells, p_cells = cells or (None, None)
+def _plain_stages(ing: DataFrame, cells: Stages, p: Params) -> Stages:
     return Stages(p, {
         "ingested": lambda s: ing,
         "smoothed": lambda s: tracks.smooth_tracks(s.ingested, p),
@@ -99,8 +100,8 @@ def _plain_stages(ing: DataFrame, state_rings: DataFrame, ports: DataFrame, p: P
         "rejects": lambda s: emissions.split_rejects(s.co2)[1],
         # geometry and stays run on all rows; a rejected vessel is one whole
         # window partition, so dropping it afterwards changes no other vessel
-        "states_all": lambda s: geo.tag_states(s.co2, s_cells or geo.state_cells(state_rings, p), p),
-        "trajectory_all": lambda s: geo.match_ports(s.states_all, p_cells or geo.port_cells(ports, p), p),
+        "states_all": lambda s: geo.tag_states(s.co2, cells.states, p),
+        "trajectory_all": lambda s: geo.match_ports(s.states_all, cells.ports, p),
         "marked_all": lambda s: routes.mark_stays(s.trajectory_all),
         "states": lambda s: s.states_all.filter(~F.col("rejected")),
         "trajectory": lambda s: s.trajectory_all.filter(~F.col("rejected")),
@@ -113,38 +114,53 @@ def _union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b.select(*a.columns))
 
 
-def _split_stages(ing0: DataFrame, plan: DataFrame, state_rings: DataFrame, ports: DataFrame,
-                  p: Params) -> Stages:
-    """Rows are told apart before any shuffle (a broadcast join on the bounded
-    chunk plan): ordinary vessels take the plain plan with its exchange on
-    (period, MMSI); hot vessels are shuffled on (period, MMSI, chunk) and take
-    the chunked rounds.  Each row is shuffled once."""
-    ch = split.assign_chunks(ing0, plan)
-    cold = ingest.partition_by_vessel(ch.filter(~F.col("hot")).drop("hot", "n_total", "chunk"),
-                                      n=p.track_partitions)
-    hot = ingest.partition_by_vessel(ch.filter(F.col("hot")).drop("hot"), split.CKEY, n=p.track_partitions)
-    # one copy of each cell table for both branches (persisted by the size check)
-    s_cells = geo.checked_broadcast(geo.state_cells(state_rings, p), p.broadcast_max_rows)
-    p_cells = geo.checked_broadcast(geo.port_cells(ports, p), p.broadcast_max_rows)
-    c = _plain_stages(cold, state_rings, ports, p, (s_cells, p_cells))
-    hs = split.hot_tracks(hot, p)
-    co2_h = hs.co2.drop("lseq", "lcnt", "n_total")
-    ok_h, rej_h = emissions.split_rejects(co2_h)
-    st_all = geo.tag_states(co2_h, s_cells, p)
-    traj_all = geo.match_ports(st_all, p_cells, p)
-    marked_all = split.hot_stays(traj_all, hs.persisted)
-    marked_h = marked_all.filter(~F.col("rejected"))
-    hot_parts = {"ingested": hot, "smoothed": hs.smoothed, "runs": hs.runs, "stops": hs.stops, "kept": hs.kept,
-                 "co2": hs.co2, "accepted": ok_h, "rejects": rej_h,
-                 "states": st_all.filter(~F.col("rejected")), "trajectory": traj_all.filter(~F.col("rejected")),
-                 "marked_all": marked_all, "marked": marked_h, "table": routes.route_table(marked_h, split.VKEY)}
-    return Stages(p, {name: (lambda s, n=name: _union(getattr(c, n), hot_parts[n])) for name in STAGE_NAMES},
-                  hs.persisted)
+def _split_stages(ing0: DataFrame, hot: DataFrame, cells: Stages, p: Params) -> Stages:
+    """Rows are told apart before any shuffle (a broadcast join on the hot
+    vessel-periods): ordinary vessels take the plain plan with its exchange on
+    (period, MMSI); hot vessels take the chunked rounds, each of which runs
+    when a stage that needs it is first read."""
+    marked = split.mark_hot(ing0, hot)
+    cold = ingest.partition_by_vessel(marked.filter(~F.col("hot")).drop("hot", "n_total"), n=p.track_partitions)
+    c = _plain_stages(cold, cells, p)
+    h = split.HotStages(marked.filter(F.col("hot")).drop("hot"), hot, p)
+    accepted = lambda df: df.filter(~F.col("rejected"))
+    hot_part = Stages(p, {
+        "ingested": lambda s: h.ingested,
+        "smoothed": lambda s: h.smoothed,
+        "runs": lambda s: h.runs,
+        "stops": lambda s: h.stops,
+        "kept": lambda s: h.kept,
+        "co2": lambda s: h.co2,
+        "accepted": lambda s: emissions.split_rejects(s.co2)[0],
+        "rejects": lambda s: emissions.split_rejects(s.co2)[1],
+        "states_all": lambda s: geo.tag_states(s.co2, cells.states, p),
+        "trajectory_all": lambda s: geo.match_ports(s.states_all, cells.ports, p),
+        "marked_all": lambda s: split.hot_stays(s.trajectory_all, h.persisted),
+        "states": lambda s: accepted(s.states_all),
+        "trajectory": lambda s: accepted(s.trajectory_all),
+        "marked": lambda s: accepted(s.marked_all),
+        "table": lambda s: routes.route_table(s.marked, split.VKEY),
+    })
+    return Stages(p, {name: (lambda s, n=name: _union(getattr(c, n), getattr(hot_part, n))) for name in STAGE_NAMES},
+                  h.persisted)
 
 
 def trajectory_output(traj: DataFrame) -> DataFrame:
-    """The enriched trajectory in the reference's column order (+ keys)."""
-    return traj.select("period", "year", *TRAJECTORY_COLUMNS)
+    """The enriched trajectory in the reference's column order (+ keys and
+    ``seq``, from which routes can be computed again)."""
+    return traj.select("period", "year", *TRAJECTORY_COLUMNS, "seq")
+
+
+def routes_from_trajectory(traj: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The route table from a saved trajectory in the 11-column schema.
+    Keys are derived from the time, ``seq`` from the sort order where absent."""
+    if "period" not in traj.columns:
+        traj = traj.select(*ingest.period_columns(F.col("BaseDateTime"), p.period), *traj.columns)
+    traj = ingest.partition_by_vessel(traj, n=p.track_partitions)
+    if "seq" not in traj.columns:
+        order = [F.col(c).asc_nulls_last() for c in ("BaseDateTime", "LAT", "LON", "SOG")]
+        traj = traj.withColumn("seq", F.row_number().over(Window.partitionBy(*ingest.KEY).orderBy(*order)))
+    return routes.route_table(routes.mark_stays(traj))
 
 
 def emission_pipeline(spark: SparkSession, ais: DataFrame, ports: DataFrame, state_rings: DataFrame,
@@ -153,25 +169,26 @@ def emission_pipeline(spark: SparkSession, ais: DataFrame, ports: DataFrame, sta
     """All outputs of one run: trajectory, routes (with state map), transit
     states, flows, transfer sums and rejects.
 
-    The route table is persisted (one row per route, small) because four
-    outputs read it.  With ``stage_dir`` (a shared folder) the enriched
-    trajectory is written there, partitioned by period, and routes are
-    computed from the written copy: lineage is cut and a lost executor
-    only costs the tasks after that point.  ``periods`` names the periods
-    of this run, so that the re-read skips other periods of the folder."""
+    ``periods`` selects the input's periods, in every mode.  The route table
+    is persisted (one row per route, small) because four outputs read it.
+    With ``stage_dir`` (a shared folder) every kept row is written there with
+    its vessel's ``rejected`` flag, partitioned by period, and the outputs are
+    computed from the written copy of this run's periods: lineage is cut and a
+    lost executor only costs the tasks after that point."""
+    if periods is not None:
+        ais = ingest.only_periods(ais, periods, p)
     s = build_stages(ais, state_rings, ports, p)
     marked, rejects = s.marked, s.rejects
     if stage_dir:
-        # one write holds every kept row with its vessel's ``rejected`` flag,
-        # so routes and rejects are both filters of the written copy
-        (s.marked_all.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("period").parquet(stage_dir))
+        if periods is None:
+            periods = sorted(r["period"] for r in s.typed.select("period").distinct().collect())
+        names = [f.name for f in s.marked_all.schema.fields]
+        sinks.replace_periods(s.marked_all, stage_dir, periods)
         # no re-partitioning by vessel: the route sums aggregate partially
         # per input split and shuffle only (route, state) partials, so a hot
         # vessel's routes spread over many tasks
-        staged = spark.read.parquet(stage_dir)
-        if periods is not None:  # partition pruning: only the periods of this run
-            staged = staged.where(F.col("period").isin([int(x) for x in periods]))
+        staged = (spark.read.schema(s.marked_all.schema).parquet(stage_dir)
+                  .where(F.col("period").isin([int(x) for x in periods])).select(*names))
         marked = staged.filter(~F.col("rejected"))
         rejects = emissions.split_rejects(staged)[1]
     table = (routes.route_table(marked) if stage_dir else s.table).persist(StorageLevel.MEMORY_AND_DISK)

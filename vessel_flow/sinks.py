@@ -1,45 +1,97 @@
-"""Sinks (K1-K9).  Parquet outputs are partitioned by year (and period) and
-overwritten per partition (dynamic overwrite), so re-running one period
-replaces only that period.  Wide CSV forms keep the reference's headers."""
+"""Sinks (K1-K9).  Parquet outputs are partitioned by year (and period); a
+write names its periods and replaces exactly their partitions, also where the
+new result is smaller or empty.  Wide CSV forms keep the reference's headers."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import matrix, routes as R
 
 
-def _parquet(df: DataFrame, path: str, parts: list[str]) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*parts).parquet(path))
+ROUTE_SCHEMA = ("year int, period int, mmsi long, start_port string, start_state string, end_port string, "
+                "end_state string, total_emissions double, state_emissions string")
+FLOW_SCHEMA = "year int, period int, source_state string, dest_state string, amount double"
+TRANSFER_SCHEMA = "year int, source_state string, dest_state string, amount double"
+TRAJECTORY_SCHEMA = ("period int, year int, seq int, MMSI long, BaseDateTime timestamp_ntz, LAT double, LON double, "
+                     "SOG double, VesselType int, Label string, TimeDiff double, CO2 double, State string, "
+                     "PortName string")
+REJECT_SCHEMA = "period int, MMSI long, rows long, stop_rows_without_position long, reason string"
+DONE_SCHEMA = "period int, finished_at timestamp"
 
 
-def write_routes(route_table: DataFrame, path: str) -> None:
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of these sinks; no rows where nothing was ever written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def replace_periods(df: DataFrame, path: str, periods: list[int] | None = None, key: str = "period",
+                    parts: list[str] | None = None) -> None:
+    """Writes ``df`` partitioned by ``parts`` (default: ``key``) and replaces
+    the partitions of all ``periods`` (default: those in ``df``), also of
+    those that have no row any more.
+
+    Rows are dealt by partition and a salt, so that a period is written by
+    several tasks with a file each, and not by every task of the plan."""
+    parts, spark = parts or [key], df.sparkSession
+    if periods is None:
+        periods = [r[0] for r in df.select(key).distinct().collect()]  # a handful a year
+    drop_partitions(spark, path, key, periods)
+    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(periods)))
+    plain = [F.col(c) for c, t in df.dtypes if c not in parts and "<" not in t]
+    (df.repartition(*parts, F.pmod(F.xxhash64(*plain), F.lit(salts)))
+     .write.mode("append").partitionBy(*parts).parquet(path))
+
+
+def drop_partitions(spark: SparkSession, path: str, key: str, values: list[int]) -> None:
+    """Removes the partitions ``key=value`` of the named values below ``path``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for value in values:
+        for pattern in (f"{key}={value}", f"*=*/{key}={value}"):
+            for found in fs.globStatus(hadoop.Path(root, pattern)) or []:
+                fs.delete(found.getPath(), True)
+
+
+def write_routes(route_table: DataFrame, path: str, periods: list[int] | None = None) -> None:
     """K1: routes, long form; the transit map as JSON text (null if none)."""
     out = R.routes_with_state_map(route_table).select(
         "year", "period", F.col("MMSI").alias("mmsi"), "start_port", "start_state", "end_port", "end_state",
         "total_emissions", F.col("state_emissions_json").alias("state_emissions"))
-    _parquet(out, path, ["year", "period"])
+    replace_periods(out, path, periods, parts=["year", "period"])
 
 
-def write_transfers(transfers: DataFrame, path: str) -> None:
+def write_transfers(transfers: DataFrame, path: str, years: list[int] | None = None) -> None:
     """K2: summed transfers (year, source_state, dest_state, amount).
 
     A year's partition is replaced as a whole, so ``transfers`` must cover
     whole years; month-by-month runs merge the stored flows first
     (``plans.job.run_emission_job`` does)."""
-    _parquet(transfers.select("year", "source_state", "dest_state", "amount"), path, ["year"])
+    replace_periods(transfers.select("year", "source_state", "dest_state", "amount"), path, years, key="year")
 
 
-def write_flows(flows: DataFrame, path: str) -> None:
+def write_flows(flows: DataFrame, path: str, periods: list[int] | None = None) -> None:
     """K4: raw (unsummed) flows per period, for a later merge."""
-    _parquet(flows.select("year", "period", "source_state", "dest_state", "amount"), path, ["year", "period"])
+    replace_periods(flows.select("year", "period", "source_state", "dest_state", "amount"), path, periods,
+                    parts=["year", "period"])
+
 
+def write_trajectory(traj: DataFrame, path: str, periods: list[int] | None = None) -> None:
+    """K7: the trajectory of accepted vessels, partitioned by period."""
+    replace_periods(traj, path, periods)
 
-def write_trajectory(traj: DataFrame, path: str) -> None:
-    """K7: the staged trajectory, partitioned by period."""
-    _parquet(traj, path, ["period"])
+
+def write_rejects(rejects: DataFrame, path: str, periods: list[int] | None = None) -> None:
+    """One row per rejected vessel."""
+    replace_periods(rejects, path, periods)
 
 
 def _csv(df: DataFrame, path: str, single_file: bool) -> None:
@@ -79,8 +131,4 @@ def mark_done(spark: SparkSession, periods: list[int], path: str) -> None:
 
 def pending_periods(spark: SparkSession, wanted: DataFrame, done_path: str) -> DataFrame:
     """Periods still to run: wanted ``left_anti`` the done markers (K9)."""
-    try:
-        done = spark.read.parquet(done_path).select("period").distinct()
-    except Exception:  # no marker written yet
-        return wanted
-    return wanted.join(done, "period", "left_anti")
+    return wanted.join(stored(spark, done_path, DONE_SCHEMA).select("period").distinct(), "period", "left_anti")
