@@ -24,9 +24,38 @@ def _rd(expr: str, alias: str) -> str:
     return f"round({expr}, {R}) AS {alias}"
 
 
-def ais_sql(type_rule: str = "freight", vessel: str = "user") -> str:
+#: Polygon of a state as a condition on a row ``a`` and the state's box ``b``.
+BOX = "a.LON BETWEEN b.x0 AND b.x0 + 2 AND a.LAT BETWEEN b.y0 AND b.y0 + 2"
+IRREGULAR = """a.LON >= b.x0 - 0.005 AND a.LAT <= b.y0 + 1.995 AND CASE WHEN b.ordinal % 2 = 0
+  THEN a.LAT - b.y0 + 0.005 >= a.LON - b.x0 + 0.012
+  ELSE a.LON <= b.x0 + 2.005 AND a.LAT >= b.y0 - 0.005 AND NOT (a.LON BETWEEN b.x0 + 1.105 AND b.x0 + 1.505
+       AND a.LAT BETWEEN b.y0 + 1.305 AND b.y0 + 1.605) END"""
+NATION_PORTS = """
+      SELECT n_nationkey AS ordinal, 'PORT ' || n_name AS name, n_name AS state,
+             CAST(25 + 2 * (n_nationkey // 5) + 1 AS DOUBLE) AS lat,
+             CAST(-95 + 2 * (n_nationkey % 5) + 1 AS DOUBLE) AS lon
+      FROM nation"""
+SUPPLIER_PORTS = """
+      SELECT s_suppkey AS ordinal, s_name AS name, 'NATION_' || s_nationkey AS state,
+             CAST(2500 + (s_suppkey * 37) % 1000 AS DOUBLE) / CAST(100 AS DOUBLE) AS lat,
+             CAST(-9500 + (s_suppkey * 53) % 1000 AS DOUBLE) / CAST(100 AS DOUBLE) AS lon
+      FROM supplier"""
+
+
+BURST = """(SELECT * REPLACE (CASE WHEN user_id % 10 <> 0 THEN TIMESTAMP '2024-01-15 12:00:00'
+  + to_microseconds((event_id * 7919) % 60000000) ELSE ts END AS ts) FROM events)"""
+
+
+def ais_sql(type_rule: str = "freight", vessel: str = "user", nulls: bool = False, events: str = "events") -> str:
     vt = "70 + user_id % 20" if type_rule == "freight" else "60 + user_id % 40"
-    mmsi = "user_id" if vessel == "user" else "user_id * 1000 + dayofyear(ts)"
+    mmsi = {"user": "user_id", "user_day": "user_id * 1000 + dayofyear(ts)", "one": "1"}[vessel]
+    if nulls:
+        return f"""
+    SELECT MMSI, BaseDateTime, CASE WHEN NOT lost THEN LAT END AS LAT, CASE WHEN NOT lost THEN LON END AS LON,
+      CASE WHEN event_id % 11 <> 5 THEN SOG END AS SOG, VesselType
+    FROM (SELECT a.*, e.event_id, e.user_id % 10 = 3 AND day(e.ts) % 3 = 0 AS lost
+          FROM ({ais_sql(type_rule, vessel).replace("SELECT CAST(", "SELECT event_id AS eid, CAST(", 1)}) a
+          JOIN events e ON a.eid = e.event_id)"""
     return f"""
     SELECT CAST({mmsi} AS BIGINT) AS MMSI, ts AS BaseDateTime,
       CAST(2600 + 200 * (pk // 5) + CASE WHEN slow0 THEN 6 * (event_id % 5) ELSE 30 + event_id % 50 END
@@ -35,10 +64,11 @@ def ais_sql(type_rule: str = "freight", vessel: str = "user") -> str:
            AS DOUBLE) / CAST(100 AS DOUBLE) AS LON,
       CASE WHEN slow0 THEN {_d(0.1)} ELSE value / CAST(10 AS DOUBLE) END AS SOG,
       CAST({vt} AS INTEGER) AS VesselType
-    FROM (SELECT *, value < 60 AS slow0, (user_id + day(ts) // 3) % 25 AS pk FROM events) e"""
+    FROM (SELECT *, value < 60 AS slow0, (user_id + day(ts) // 3) % 25 AS pk FROM {events} s) e"""
 
 
-def chain(p: Params = DEFAULT, type_rule: str = "freight", vessel: str = "user") -> str:
+def chain(p: Params = DEFAULT, type_rule: str = "freight", vessel: str = "user", nulls: bool = False,
+          inside: str = BOX, ports: str = NATION_PORTS, events: str = "events") -> str:
     """CTEs from events to routes; each query selects from one of them."""
     per = "CAST(year(BaseDateTime) AS INTEGER)" if p.period == "year" else \
         "CAST(year(BaseDateTime) * 100 + month(BaseDateTime) AS INTEGER)"
@@ -52,7 +82,7 @@ def chain(p: Params = DEFAULT, type_rule: str = "freight", vessel: str = "user")
     ra_c, ra_t = _d(p.aux_rate(False)), _d(p.aux_rate(True))
     rm_c, rm_t = _d(p.main_rate(False)), _d(p.main_rate(True))
     return f"""
-    ais AS ({ais_sql(type_rule, vessel)}),
+    ais AS ({ais_sql(type_rule, vessel, nulls, events)}),
     typed AS (
       SELECT {per} AS period, CAST(year(BaseDateTime) AS INTEGER) AS year, *
       FROM ais
@@ -130,15 +160,11 @@ def chain(p: Params = DEFAULT, type_rule: str = "freight", vessel: str = "user")
       SELECT n_nationkey AS ordinal, n_name AS name,
              CAST(-95 + 2 * (n_nationkey % 5) AS DOUBLE) AS x0, CAST(25 + 2 * (n_nationkey // 5) AS DOUBLE) AS y0
       FROM nation),
-    ports AS (
-      SELECT n_nationkey AS ordinal, 'PORT ' || n_name AS name, n_name AS state,
-             CAST(25 + 2 * (n_nationkey // 5) + 1 AS DOUBLE) AS lat,
-             CAST(-95 + 2 * (n_nationkey % 5) + 1 AS DOUBLE) AS lon
-      FROM nation),
+    ports AS ({ports}),
     poly AS (
       SELECT a.period, a.MMSI, a.seq, arg_min(b.name, b.ordinal) AS poly_state
       FROM accepted a JOIN boxes b
-        ON a.LON BETWEEN b.x0 AND b.x0 + 2 AND a.LAT BETWEEN b.y0 AND b.y0 + 2
+        ON {inside}
       GROUP BY a.period, a.MMSI, a.seq),
     cand AS (
       SELECT a.period, a.MMSI, a.seq, q.name, q.state, q.ordinal,

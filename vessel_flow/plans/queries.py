@@ -18,11 +18,12 @@ from ..operators import emissions, ingest, manifest, matrix, metrics, ports, rou
 from ..params import DEFAULT, Params
 from ..sources import fixtures as fx
 from . import oracle as O
-from .pipeline import Stages, build_stages
+from .pipeline import Stages, build_stages, routes_from_trajectory
 
 R = O.R
 P12 = DEFAULT.with_(merge_gap_hours=12.0)
 PMONTH = DEFAULT.with_(period="month")
+PWIDE = DEFAULT.with_(port_radius_deg=1.0)  # several ports in reach
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -32,11 +33,13 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def stages(spark: SparkSession, sf: str, p: Params = DEFAULT, type_rule: str = "freight",
-           vessel: str = "user") -> Stages:
+           vessel: str = "user", nulls: bool = False, irregular: bool = False,
+           many_ports: bool = False) -> Stages:
     ev = fx.table(spark, sf, "events")
     nat = fx.table(spark, sf, "nation")
-    return build_stages(fx.ais_from_events(ev, type_rule, vessel), fx.states_from_nation(nat),
-                        fx.ports_from_nation(nat), p)
+    ports_ = fx.ports_from_supplier(fx.table(spark, sf, "supplier")) if many_ports else fx.ports_from_nation(nat)
+    return build_stages(fx.ais_from_events(ev, type_rule, vessel, nulls),
+                        fx.irregular_states(nat) if irregular else fx.states_from_nation(nat), ports_, p)
 
 
 ROW = ["period", "MMSI", "BaseDateTime"]
@@ -194,13 +197,92 @@ def q_transfer_long(spark, sf):
 
 
 def q_transfer_matrix(spark, sf):
-    return rounded(matrix.transfer_matrix(_transfers(spark, sf)))
+    return rounded(matrix.transfer_matrix(_transfers(spark, sf), fx.STATE_NAMES))
+
+
+WIDE_KEEP = ["year", "MMSI", "start_time", "start_port", "start_state", "end_port", "end_state", "total_emissions"]
 
 
 def q_routes_wide(spark, sf):
-    keep = ["year", "MMSI", "start_time", "start_port", "start_state", "end_port", "end_state",
-            "total_emissions"]
-    return rounded(matrix.wide_routes(stages(spark, sf).table, keep=keep))
+    return rounded(matrix.wide_routes(stages(spark, sf).table, fx.STATE_NAMES, WIDE_KEEP))
+
+
+def q_routes_wide_merge(spark, sf):
+    """Wide tables of two groups of vessels, the latter with just the states
+    they pass, united by name."""
+    table = stages(spark, sf, PMONTH).table
+    return rounded(matrix.union_wide([
+        matrix.wide_routes(table.where("MMSI % 2 = 1"), fx.STATE_NAMES, WIDE_KEEP),
+        matrix.wide_routes(table.where("MMSI % 2 = 0"), keep=WIDE_KEEP)]))
+
+
+def q_smooth_nulls(spark, sf):
+    return _smooth_out(stages(spark, sf, nulls=True))
+
+
+def q_row_co2_nulls(spark, sf):
+    return rounded(stages(spark, sf, nulls=True).co2.select(*ROW, "LAT", "LON", "SOG", "Label", "TimeDiff",
+                                                            "distance_nm", "speed_mean", "CO2"))
+
+
+def q_rejects_nulls(spark, sf):
+    return stages(spark, sf, vessel="user_day", nulls=True).rejects
+
+
+def q_routes_nulls(spark, sf):
+    return rounded(routes.routes(stages(spark, sf, nulls=True).table).select(*ROUTE_OUT))
+
+
+def q_nearest_of_many(spark, sf):
+    return stages(spark, sf, PWIDE, many_ports=True).trajectory.select(*ROW, "Label", "State", "PortName")
+
+
+def q_state_tag_irregular(spark, sf):
+    return stages(spark, sf, irregular=True).states.select(*ROW, "State")
+
+
+def q_transit_map(spark, sf):
+    """The JSON transit map, parsed again into ordered key / value rows."""
+    out = routes.routes_with_state_map(stages(spark, sf).table)
+    m = F.from_json("state_emissions_json", "map<string,double>")
+    return rounded(out.select("period", "MMSI", "start_time", F.posexplode(F.map_entries(m)).alias("pos", "e"))
+                   .select("period", "MMSI", "start_time", "pos", F.col("e.key").alias("state"),
+                           F.col("e.value").alias("emissions")))
+
+
+def q_routes_from_trajectory(spark, sf):
+    """Routes from the 11 saved columns alone (step re-entry)."""
+    saved = stages(spark, sf).trajectory.select(*emissions.TRAJECTORY_COLUMNS)
+    return rounded(routes.routes(routes_from_trajectory(saved)).select(*ROUTE_OUT))
+
+
+def q_ingest_tally_archives(spark, sf):
+    """Days of even number have a file, days whose number 3 divides an archive."""
+    ev = fx.table(spark, sf, "events")
+    cal = manifest.calendar(ev.select(F.year("ts").alias("year")))
+    days = ev.select(F.to_date("ts").alias("day"))
+    have = manifest.listing_from_days(days.where(F.dayofmonth("day") % 2 == 0))
+    archives = days.select("day", (F.dayofmonth("day") % 3 == 0).alias("has_csv")).distinct()
+    return manifest.tally(manifest.ingest_status(cal, have, archives))
+
+
+# One vessel holds all rows, most of them in one minute.
+PBURST = DEFAULT.with_(hot_vessel_rows=100, chunk_rows=200)
+
+
+def burst_stages(spark, sf, p=PBURST):
+    nat = fx.table(spark, sf, "nation")
+    ais = fx.ais_from_events(fx.burst_events(fx.table(spark, sf, "events")), vessel="one")
+    return build_stages(ais, fx.states_from_nation(nat), fx.ports_from_nation(nat), p)
+
+
+def q_routes_split_burst(spark, sf):
+    return rounded(routes.routes(burst_stages(spark, sf).table).select(*ROUTE_OUT))
+
+
+def q_row_co2_burst(spark, sf):
+    return rounded(burst_stages(spark, sf).co2.select(*ROW, "LAT", "LON", "SOG", "VesselType", "Label", "TimeDiff",
+                                                      "CO2"))
 
 
 def q_period_merge(spark, sf):
@@ -284,6 +366,18 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "missing_days": q_missing_days,
     "ingest_tally": q_ingest_tally,
     "rejects": q_rejects,
+    "routes_split_burst": q_routes_split_burst,
+    "row_co2_burst": q_row_co2_burst,
+    "routes_wide_merge": q_routes_wide_merge,
+    "smooth_nulls": q_smooth_nulls,
+    "row_co2_nulls": q_row_co2_nulls,
+    "rejects_nulls": q_rejects_nulls,
+    "routes_nulls": q_routes_nulls,
+    "nearest_of_many": q_nearest_of_many,
+    "state_tag_irregular": q_state_tag_irregular,
+    "transit_map": q_transit_map,
+    "routes_from_trajectory": q_routes_from_trajectory,
+    "ingest_tally_archives": q_ingest_tally_archives,
 }
 
 
@@ -352,27 +446,38 @@ def _sql() -> dict[str, str]:
     q["flows"] = c(_row(FLOW_OUT, "flows", doubles=("amount",)))
     q["transfer_long"] = c(_row(["year", "source_state", "dest_state", "amount"], "transfers",
                                 doubles=("amount",)))
-    # dense (source x dest) grid so that every pivot cell gets a value, gaps 0
-    q["transfer_matrix"] = f"""
-      WITH {O.chain()},
-      dense AS (
-        SELECT s.year, s.source_state, d.dest_state, coalesce(t.amount, 0) AS amount
-        FROM (SELECT DISTINCT year, source_state FROM transfers) s
-        CROSS JOIN (SELECT DISTINCT dest_state FROM transfers) d
-        LEFT JOIN transfers t ON t.year = s.year AND t.source_state = s.source_state
-                              AND t.dest_state = d.dest_state)
-      PIVOT (SELECT year, source_state, dest_state, round(amount, {R}) AS amount FROM dense)
-      ON dest_state USING sum(amount) GROUP BY year, source_state"""
-    q["routes_wide"] = f"""
-      WITH {O.chain()},
-      dense AS (
-        SELECT r.year, r.MMSI, r.start_time, r.start_port, r.start_state, r.end_port, r.end_state,
-               round(r.total_emissions, {R}) AS total_emissions, s.state, round(coalesce(t.emissions, 0), {R}) AS em
-        FROM routes r CROSS JOIN (SELECT DISTINCT state FROM transit) s
-        LEFT JOIN transit t ON t.period = r.period AND t.MMSI = r.MMSI AND t.start_time = r.start_time
-                           AND t.state = s.state)
-      PIVOT dense ON state USING sum(em)
-      GROUP BY year, MMSI, start_time, start_port, start_state, end_port, end_state, total_emissions"""
+    per_state = lambda value, col: ", ".join(  # noqa: E731  one column a state, gaps 0
+        f"coalesce(round(sum({value}) FILTER (WHERE {col} = '{n}'), {R}), 0) AS \"{n}\"" for n in fx.STATE_NAMES)
+    q["transfer_matrix"] = c(f"SELECT year, source_state, {per_state('amount', 'dest_state')} "
+                             "FROM transfers GROUP BY year, source_state")
+    wide = f"""
+      SELECT r.year, r.MMSI, r.start_time, r.start_port, r.start_state, r.end_port, r.end_state,
+             round(any_value(r.total_emissions), {R}) AS total_emissions, {per_state('t.emissions', 't.state')}
+      FROM routes r LEFT JOIN transit t ON t.period = r.period AND t.MMSI = r.MMSI AND t.start_time = r.start_time
+      GROUP BY r.period, r.year, r.MMSI, r.start_time, r.end_time, r.start_port, r.start_state, r.end_port,
+               r.end_state"""
+    q["routes_wide"] = c(wide)
+    q["routes_wide_merge"] = c(wide, PMONTH)
+    burst_ = {"vessel": "one", "events": O.BURST}
+    q["routes_split_burst"] = c(_row(ROUTE_OUT, "routes", doubles=("total_emissions",)), **burst_)
+    q["row_co2_burst"] = c(_row(rowc + ["LAT", "LON", "SOG", "VesselType", "Label", "TimeDiff", "CO2"], "co2",
+                                doubles=("LAT", "LON", "SOG", "TimeDiff", "CO2")), **burst_)
+    q["smooth_nulls"] = c(sm, nulls=True)
+    q["row_co2_nulls"] = c(_row(rowc + ["LAT", "LON", "SOG", "Label", "TimeDiff", "distance_nm", "speed_mean", "CO2"],
+                                "co2", doubles=("LAT", "LON", "SOG", "TimeDiff", "distance_nm", "speed_mean", "CO2")),
+                           nulls=True)
+    q["routes_nulls"] = c(_row(ROUTE_OUT, "routes", doubles=("total_emissions",)), nulls=True)
+    q["nearest_of_many"] = c(_row(rowc + ["Label", "State", "PortName"], "traj"), PWIDE, ports=O.SUPPLIER_PORTS)
+    q["state_tag_irregular"] = c("SELECT period, MMSI, BaseDateTime, poly_state AS State FROM traj",
+                                 inside=O.IRREGULAR)
+    q["transit_map"] = c(f"""
+      SELECT period, MMSI, start_time, CAST(row_number() OVER (PARTITION BY period, MMSI, start_time
+               ORDER BY first_seq) - 1 AS INTEGER) AS pos, state, round(emissions, {R}) AS emissions
+      FROM (SELECT period, MMSI, start_time, row_state AS state, sum(row_co2) AS emissions, min(row_seq) AS first_seq
+            FROM route_rows
+            WHERE row_state IS NOT NULL AND row_state <> start_state AND row_state <> end_state
+            GROUP BY period, MMSI, start_time, row_state HAVING sum(row_co2) > 0)""")
+    q["routes_from_trajectory"] = q["routes"]
     q["period_merge"] = c(_row(["year", "source_state", "dest_state", "amount"], "transfers",
                                doubles=("amount",)), PMONTH)
     q["monthly_routes"] = c(_row(ROUTE_OUT, "routes", doubles=("total_emissions",)), PMONTH)
@@ -396,11 +501,18 @@ def _sql() -> dict[str, str]:
     q["ingest_tally"] = cal + f"""
       SELECT CASE WHEN p.day IS NOT NULL THEN 'SKIPPED' ELSE 'FAILED' END AS status, count(*) AS files
       FROM named n LEFT JOIN {present} p ON n.day = p.day GROUP BY 1"""
-    q["rejects"] = c("""
+    q["ingest_tally_archives"] = cal + """
+      , e AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)
+      SELECT CASE WHEN day(e.day) % 2 = 0 THEN 'SKIPPED' WHEN day(e.day) % 3 = 0 THEN 'SUCCESS' ELSE 'FAILED' END
+               AS status, count(*) AS files
+      FROM named n LEFT JOIN e ON n.day = e.day GROUP BY 1"""
+    rejects = """
       SELECT period, MMSI, count(*) AS rows,
              count(*) FILTER (WHERE Label = '1' AND (LAT IS NULL OR LON IS NULL)) AS stop_rows_without_position,
              'stop row without coordinates' AS reason
-      FROM co2 WHERE (period, MMSI) IN (SELECT (period, MMSI) FROM rejected) GROUP BY period, MMSI""")
+      FROM co2 WHERE (period, MMSI) IN (SELECT (period, MMSI) FROM rejected) GROUP BY period, MMSI"""
+    q["rejects"] = c(rejects)
+    q["rejects_nulls"] = c(rejects, vessel="user_day", nulls=True)
     return q
 
 

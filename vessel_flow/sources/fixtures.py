@@ -11,23 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import box_edges
+from ..functions.geo import box_edges, ring_edges
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+#: Names of the fixture's states, in the order of ``n_nationkey``.
+STATE_NAMES = [f"NATION_{k}" for k in range(25)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def burst_events(events: DataFrame) -> DataFrame:
+    """``events`` with nine of ten users' rows moved into one minute."""
+    minute = F.to_timestamp_ntz(F.lit("2024-01-15 12:00:00"))
+    moved = F.timestamp_add("MICROSECOND", (F.col("event_id") * 7919) % 60_000_000, minute)
+    ts = F.col("ts").cast("timestamp_ntz")
+    return events.withColumn("ts", F.when(F.col("user_id") % 10 != 0, moved).otherwise(ts))
+
+
 def ais_from_events(events: DataFrame, type_rule: str = "freight",
-                    vessel: str = "user") -> DataFrame:
+                    vessel: str = "user", nulls: bool = False) -> DataFrame:
     """events -> AIS rows (MMSI, BaseDateTime, LAT, LON, SOG, VesselType).
 
     ``type_rule`` 'freight': 70 + user_id % 20; 'mixed': 60 + user_id % 40
     (half of the vessels fail the freight filter).  ``vessel`` 'user': one
-    vessel per user; 'user_day': one per user and day (short tracks)."""
+    vessel per user; 'user_day': one per user and day (short tracks); 'one': a single one.  With
+    ``nulls`` some rows have no speed, and every tenth vessel has no position
+    on every third day, so that the null rules and the reject rule apply."""
     uid = F.col("user_id")
     eid = F.col("event_id")
     ts = F.col("ts").cast("timestamp_ntz")
@@ -36,13 +46,18 @@ def ais_from_events(events: DataFrame, type_rule: str = "freight",
     lat_h = 2600 + 200 * F.floor(pk / 5) + F.when(slow0, 6 * (eid % 5)).otherwise(30 + eid % 50)
     lon_h = -9400 + 200 * (pk % 5) + F.when(slow0, F.lit(0)).otherwise(2 * (eid % 60))
     vtype = (70 + uid % 20) if type_rule == "freight" else (60 + uid % 40)
-    mmsi = uid if vessel == "user" else uid * 1000 + F.dayofyear(ts)
+    mmsi = {"user": uid, "user_day": uid * 1000 + F.dayofyear(ts), "one": F.lit(1)}[vessel]
+    sog = F.when(slow0, F.lit(0.1)).otherwise(F.col("value") / 10.0)
+    if nulls:
+        lost = (uid % 10 == 3) & (F.dayofmonth(ts) % 3 == 0)
+        lat_h, lon_h = F.when(~lost, lat_h), F.when(~lost, lon_h)
+        sog = F.when(eid % 11 != 5, sog)
     return events.select(
         mmsi.cast("long").alias("MMSI"),
         ts.alias("BaseDateTime"),
         (lat_h.cast("double") / 100.0).alias("LAT"),
         (lon_h.cast("double") / 100.0).alias("LON"),
-        F.when(slow0, F.lit(0.1)).otherwise(F.col("value") / 10.0).alias("SOG"),
+        sog.alias("SOG"),
         vtype.cast("int").alias("VesselType"),
     )
 
@@ -61,6 +76,34 @@ def states_from_nation(nation: DataFrame) -> DataFrame:
                          box_edges(x0, y0, x1, y1).alias("edges"))
 
 
+def irregular_states(nation: DataFrame) -> DataFrame:
+    """Triangles (even keys) and boxes with a hole (odd keys): one row per
+    ring.  No position lies on an edge, so any exact test gives one answer."""
+    k = F.col("n_nationkey")
+    x0, y0, x1, y1 = _box(k)
+
+    def ring(*points):
+        return ring_edges(F.array(*[F.array(x, y) for x, y in points]))
+
+    low, high = y0 - 0.005, y0 + 1.995
+    outer = F.when(k % 2 == 0, ring((x0 - 0.012, low), (x0 + 1.988, high), (x0 - 0.012, high))).otherwise(
+        ring((x0 - 0.005, low), (x0 + 2.005, low), (x0 + 2.005, high), (x0 - 0.005, high)))
+    hx0, hx1, hy0, hy1 = x0 + 1.105, x0 + 1.505, y0 + 1.305, y0 + 1.605
+    hole = F.when(k % 2 == 1, ring((hx0, hy0), (hx1, hy0), (hx1, hy1), (hx0, hy1)))
+    rings = nation.select(k.cast("int").alias("ordinal"), F.col("n_name").alias("name"),
+                          F.explode(F.array(outer, hole)).alias("edges"))
+    return rings.where(F.col("edges").isNotNull())
+
+
+def ports_from_supplier(supplier: DataFrame) -> DataFrame:
+    """One port per supplier, so that several are in reach of one position."""
+    k = F.col("s_suppkey")
+    return supplier.select(k.cast("int").alias("ordinal"), F.col("s_name").alias("name"),
+                           F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("state"),
+                           ((2500 + (k * 37) % 1000).cast("double") / 100.0).alias("lat"),
+                           ((-9500 + (k * 53) % 1000).cast("double") / 100.0).alias("lon"))
+
+
 def ports_from_nation(nation: DataFrame) -> DataFrame:
     """One port per nation at its box centre: (ordinal, name, state, lat, lon)."""
     k = F.col("n_nationkey")
