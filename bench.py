@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -28,7 +27,7 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from vessel_flow.plans import pipeline, queries
-    from vessel_flow.session import get_spark
+    from vessel_flow.session import checkpoint_dir, get_spark
     from vessel_flow.sources import fixtures as fx
 
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app="vessel_flow_bench")
@@ -47,7 +46,7 @@ def main():
     nat = fx.table(spark, sf_dir, "nation")
     # production mode: the enriched trajectory is written once to a staging
     # folder (an output anyway) and the routes are computed from that copy
-    stage = tempfile.mkdtemp(prefix="vf-bench-stage-", dir=os.environ.get("TMPDIR", "/tmp"))
+    stage = f"{checkpoint_dir(spark)}/bench-{time.time_ns()}"
     t = time.perf_counter()
     outs = pipeline.emission_pipeline(spark, fx.ais_from_events(ev), fx.ports_from_nation(nat),
                                       fx.states_from_nation(nat), stage_dir=f"{stage}/trajectory")

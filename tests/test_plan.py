@@ -27,7 +27,8 @@ def test_one_exchange_two_sorts_before_route_aggregates(spark):
 
 def test_no_python_in_pipeline(spark):
     s = stages(spark, SF)
-    for df in (s.trajectory, s.table):
+    for df in (s.trajectory, s.table, routes.routes_with_state_map(s.table), s.rejects,
+               matrix.transfer_long(routes.transfer_flows(routes.transit_emissions(s.table)))):
         plan = plan_of(df)
         assert "Python" not in plan and "ArrowEval" not in plan and "BatchEval" not in plan
 

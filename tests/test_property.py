@@ -108,12 +108,12 @@ def _snapshot(s):
     return traj, tab, runs
 
 
-@pytest.mark.parametrize("hot_rows,chunk_rows", [(0, 3), (20, 4), (0, 1)])
-def test_hot_vessel_split_equals_plain_plan(spark, hot_rows, chunk_rows):
+@pytest.mark.parametrize("hot_rows,chunk_rows,window", [(0, 3, 3), (20, 4, 3), (0, 1, 3), (0, 2, 5), (10, 7, 4)])
+def test_hot_vessel_split_equals_plain_plan(spark, hot_rows, chunk_rows, window):
     rows = random_tracks(7, 120)
     df = spark.createDataFrame(rows, AIS_SCHEMA)
-    plain = build_stages(df, rings(spark, POLYS), ports(spark, PORTS), DEFAULT.with_(split_hot=False))
-    p = DEFAULT.with_(hot_vessel_rows=hot_rows, chunk_rows=chunk_rows)
+    plain = build_stages(df, rings(spark, POLYS), ports(spark, PORTS), DEFAULT.with_(split_hot=False, smooth_window=window))
+    p = DEFAULT.with_(hot_vessel_rows=hot_rows, chunk_rows=chunk_rows, smooth_window=window)
     chunked = build_stages(df, rings(spark, POLYS), ports(spark, PORTS), p)
     assert chunked.persisted, "the split path did not run"
     a, b = _snapshot(plain), _snapshot(chunked)

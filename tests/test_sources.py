@@ -280,3 +280,168 @@ def test_trajectory_and_port_tables_round_trip(spark, scratch):
     again = dimensions.read_ports_csv(spark, f"{scratch}/ports_csv")
     assert again.count() == ports_df.count() > 0
     assert set(again.columns) == {"ordinal", "name", "state", "lat", "lon"}
+
+
+# --- faults, empty periods, re-entry -----------------------------------------
+
+def test_zip_member_faults_are_told(spark, scratch):
+    good = "AIS_2024_01_01.csv", STD + "7,2024-01-01T00:00:00,30.0,-80.0,0.1,0,80,5\n"
+    with zipfile.ZipFile(f"{scratch}/AIS_2024_01_01.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(*good)
+        z.writestr("b.csv", STD + "8,2024-01-01T00:00:00,30.0,-80.0,0.1,0,80,5\n" * 500)
+    data = bytearray(open(f"{scratch}/AIS_2024_01_01.zip", "rb").read())
+    at = data.index(b"b.csv") + 25
+    data[at:at + 4] = b"\xff\xff\xff\xff"
+    with open(f"{scratch}/AIS_2024_01_01.zip", "wb") as f:
+        f.write(data)
+    with zipfile.ZipFile(f"{scratch}/AIS_2024_01_02.zip", "w") as z:  # another order, and IMO
+        z.writestr("a.csv", "IMO,VesselType,MMSI,BaseDateTime,SOG,LON,LAT\nIMO9,70,9,2024-01-02T00:00:00,1,-80,30\n")
+    with zipfile.ZipFile(f"{scratch}/AIS_2024_01_03.zip", "w") as z:
+        z.writestr("a.csv", "MMSI,LAT\n1,2\n")
+    rows, status = ais_csv.read_zipped_ais(spark, scratch)
+    st = {r["day"].day: r for r in status.collect()}
+    assert not st[1]["has_csv"] and "b.csv" in st[1]["error"]
+    assert st[2]["has_csv"] and st[2]["error"] is None and st[2]["lines"] == 1
+    assert not st[3]["has_csv"] and "missing columns" in st[3]["error"]
+    got = {r["MMSI"]: r for r in rows.collect()}
+    assert got["9"]["IMO"] == "IMO9" and got["9"]["LAT"] == "30" and got["9"]["VesselType"] == "70"
+    assert got["7"]["Status"] == "5"
+    cal = manifest.calendar(spark.createDataFrame([(2024,)], "year int"))
+    none = manifest.listing_from_days(spark.createDataFrame([], "day date"))
+    tally = {r["status"]: r["files"] for r in manifest.tally(manifest.ingest_status(cal, none, status)).collect()}
+    assert tally == {"SUCCESS": 1, "FAILED": 365}
+
+
+def test_dropped_and_malformed_rows_are_counted(spark, scratch):
+    _write(f"{scratch}/AIS_2024_01_01.csv", STD + "1,2024-01-01T00:00:00,30,-80,0.1,0,70,1\n"
+           "x,2024-01-01T00:00:00,30,-80,0.1,0,70,1\n2,noon,30,-80,0.1,0,70,1\n3,2024-01-01T00:00:00,30\n"
+           "367000000.0,2024-01-01T00:00:00,30,-80,0.1,0,70,1\n5.5,2024-01-01T00:00:00,30,-80,0.1,0,70,1\n")
+    scan = ais_csv.read_ais_csv(spark, scratch)
+    r = manifest.ingest_manifest(spark, scratch, [2024], report=True)["dropped"].first()
+    assert (r["rows"], r["malformed"], r["no_vessel"], r["no_time"], r["dropped"]) == (6, 1, 2, 1, 3)
+    assert sorted(x["MMSI"] for x in ingest.ingest(scan.rows).collect()) == [1, 367000000]
+
+
+def test_a_long_header_is_read_to_its_end(spark, scratch):
+    extra = ",".join(f"c{i}" for i in range(20000))
+    _write(f"{scratch}/AIS_2024_01_01.csv", f"{extra},MMSI,BaseDateTime,LAT,LON,SOG,VesselType\n")
+    assert len(ais_csv.file_headers(spark, scratch).first()["header"]) > 1 << 16
+
+
+JOB_RINGS = [(0, "A", box(0, 0, 1, 1)), (1, "B", box(1, 0, 2, 1)), (2, "C", box(2, 0, 3, 1))]
+JOB_PORTS = [(0, "PA", "A", 0.5, 0.5), (1, "PC", "C", 0.5, 2.5)]
+JOB_TRACK = [(0, 0.5, 0.5, 0.1), (90, 0.5, 0.5, 0.1), (150, 0.5, 1.5, 10.0), (180, 0.5, 1.5, 10.0),
+             (210, 0.5, 1.6, 10.0), (270, 0.5, 2.5, 0.1), (400, 0.5, 2.5, 0.1), (430, 0.5, 1.5, 10.0)]
+
+
+def _job(spark, rows, out, **kw):
+    from vessel_flow.params import DEFAULT
+    from vessel_flow.plans.job import run_emission_job
+    frame = rows if not isinstance(rows, list) else ais(spark, rows)
+    return run_emission_job(spark, frame, ports(spark, JOB_PORTS), rings(spark, JOB_RINGS), out,
+                            DEFAULT.with_(period="month"), **kw)
+
+
+def test_job_without_flows_or_rows_writes_its_marker(spark, scratch):
+    import datetime as dt
+    t = lambda m: dt.datetime(2024, m, 10)
+    still = track(1, JOB_TRACK[:2], t0=t(1))                      # a stay, no route
+    out = f"{scratch}/job"
+    assert _job(spark, still, out) == [202401]
+    lost = track(2, [(0, None, None, 0.1), (90, None, None, 0.1)], t0=t(2))  # a rejected vessel, nothing kept
+    assert _job(spark, still + lost, out) == [202402]
+    other = [(*r[:5], 30) for r in track(3, JOB_TRACK, t0=t(3))]   # no freight at all
+    assert _job(spark, still + lost + other, out) == [202403]
+    assert _job(spark, still + lost + other, out) == []
+    assert sinks.stored(spark, f"{out}/flows", sinks.FLOW_SCHEMA).count() == 0
+    assert sinks.stored(spark, f"{out}/transfers", sinks.TRANSFER_SCHEMA).count() == 0
+    rej = sinks.stored(spark, f"{out}/rejects", sinks.REJECT_SCHEMA).collect()
+    assert [(r["period"], r["MMSI"]) for r in rej] == [(202402, 2)]
+    traj = dimensions.read_trajectory(spark, f"{out}/trajectory")
+    assert {r["MMSI"] for r in traj.collect()} == {1}
+    assert set(traj.columns) == {"period", "year", "seq", "MMSI", "BaseDateTime", "LAT", "LON", "SOG", "VesselType",
+                                 "Label", "TimeDiff", "CO2", "State", "PortName"}
+
+
+def test_redo_with_a_smaller_result_leaves_nothing_stale(spark, scratch):
+    import datetime as dt
+    out = f"{scratch}/job"
+    both = track(1, JOB_TRACK, t0=dt.datetime(2024, 1, 10)) + track(1, JOB_TRACK, t0=dt.datetime(2024, 2, 10))
+    assert _job(spark, both, out) == [202401, 202402]
+    before = sinks.stored(spark, f"{out}/transfers", sinks.TRANSFER_SCHEMA).agg(F.sum("amount")).first()[0]
+    os.rename(f"{out}/done", f"{out}/done_before")
+    sinks.mark_done(spark, [202401], f"{out}/done")
+    rest = track(1, JOB_TRACK[:2], t0=dt.datetime(2024, 2, 10))
+    assert _job(spark, both[:8] + rest, out) == [202402]
+    flows = sinks.stored(spark, f"{out}/flows", sinks.FLOW_SCHEMA)
+    assert {r["period"] for r in flows.collect()} == {202401}
+    after = sinks.stored(spark, f"{out}/transfers", sinks.TRANSFER_SCHEMA).agg(F.sum("amount")).first()[0]
+    assert math.isclose(after, before / 2, rel_tol=1e-12)
+
+
+def test_job_prunes_a_partitioned_input(spark, scratch):
+    import datetime as dt
+    rows = track(1, JOB_TRACK, t0=dt.datetime(2023, 5, 10)) + track(1, JOB_TRACK, t0=dt.datetime(2024, 5, 10))
+    month = F.year("BaseDateTime") * 100 + F.month("BaseDateTime")
+    ais(spark, rows).withColumn("period", month).write.partitionBy("period").parquet(f"{scratch}/in")
+    table = spark.read.parquet(f"{scratch}/in")
+    cut = ingest.ingest(ingest.only_periods(table, [202405]))
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "202405" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert plan.count("FileScan") == 1
+    assert _job(spark, table, f"{scratch}/job", years=[2024]) == [202405]
+    out = emission_pipeline(spark, ais(spark, rows), ports(spark, JOB_PORTS), rings(spark, JOB_RINGS), periods=[2024])
+    assert {r["year"] for r in out["routes"].collect()} == {2024}
+    out["route_table"].unpersist()
+
+
+def test_staged_run_reads_its_own_periods(spark, scratch):
+    import datetime as dt
+    run = lambda y: emission_pipeline(
+        spark, ais(spark, track(1, JOB_TRACK, t0=dt.datetime(y, 5, 10))), ports(spark, JOB_PORTS),
+        rings(spark, JOB_RINGS), stage_dir=f"{scratch}/stage")
+    run(2023)["route_table"].unpersist()
+    out = run(2024)
+    assert {r["period"] for r in out["routes"].collect()} == {2024}
+    out["route_table"].unpersist()
+
+
+def test_geojson_lines_get_dense_ordinals(spark, scratch):
+    os.makedirs(f"{scratch}/g")
+    for part in range(3):
+        with open(f"{scratch}/g/part-{part}.json", "w") as f:
+            for k in range(4):
+                n = part * 4 + k
+                ring = [[n, 0], [n + 1, 0], [n + 1, 1], [n, 1], [n, 0]]
+                f.write(json.dumps({"type": "Feature", "properties": {"name": f"S{n}"},
+                                    "geometry": {"type": "Polygon", "coordinates": [ring]}}) + "\n")
+    got = dimensions.read_states_geojson(spark, f"{scratch}/g", one_feature_per_line=True).collect()
+    assert sorted((r["ordinal"], r["name"]) for r in got) == [(n, f"S{n}") for n in range(12)]
+
+
+def test_routes_from_a_saved_csv_trajectory(spark, scratch):
+    from vessel_flow.operators import routes as R
+    from vessel_flow.plans.pipeline import routes_from_trajectory
+    from vessel_flow.plans.queries import stages
+    s = stages(spark, "/root/testdata/sf0.001")
+    saved = s.trajectory.select("MMSI", "BaseDateTime", "LAT", "LON", "SOG", "VesselType", "Label", "TimeDiff", "CO2",
+                                "State", "PortName")
+    (saved.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(f"{scratch}/t"))
+    key = lambda t: sorted((r["MMSI"], r["start_time"], r["end_port"], round(r["total_emissions"], 6))
+                           for r in R.routes(t).collect())
+    again = dimensions.read_trajectory(spark, f"{scratch}/t", "csv")
+    assert again.schema["LAT"].dataType.simpleString() == "double"
+    assert key(routes_from_trajectory(again)) == key(s.table)
+
+
+def test_burst_is_cut_by_rows(spark):
+    from vessel_flow.operators import split
+    from vessel_flow.plans.queries import PBURST
+    from vessel_flow.sources import fixtures as fx
+    events = fx.burst_events(fx.table(spark, "/root/testdata/sf0.001", "events"))
+    rows = ingest.ingest(fx.ais_from_events(events, vessel="one"))
+    hot = split.hot_vessels(split.vessel_stats(rows), PBURST)
+    h = split.HotStages(split.mark_hot(rows, hot).where("hot").drop("hot"), hot, PBURST)
+    sizes = [r["count"] for r in h.ingested.groupBy("chunk").count().collect()]
+    assert len(sizes) == math.ceil(rows.count() / PBURST.chunk_rows) and max(sizes) <= PBURST.chunk_rows
+    assert [r["seq"] for r in h.ingested.orderBy("BaseDateTime").collect()] == list(range(1, rows.count() + 1))

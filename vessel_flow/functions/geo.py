@@ -47,7 +47,11 @@ def haversine_nm(lat1, lon1, lat2, lon2, radius_nm: float = 3440.0) -> Column:
 
 
 def point_in_edges_sql(edges: str, x: str, y: str) -> str:
-    """SQL form of ``point_in_edges`` (same tests, same evaluation order)."""
+    """Closed point-in-polygon test as SQL: on an edge, or an odd number of
+    crossings.  ``edges`` is an array of ``struct<x1,y1,x2,y2>``.  The ray goes
+    towards +x; a horizontal edge never counts as crossed (``nullif`` keeps
+    ANSI division safe), and the half-open rule ``(y1 > y) != (y2 > y)`` counts
+    a vertex once."""
     on_edge = (f"(({x} - e.x1) * (e.y2 - e.y1) = ({y} - e.y1) * (e.x2 - e.x1) "
                f"AND {x} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) "
                f"AND {y} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2))")
@@ -57,27 +61,6 @@ def point_in_edges_sql(edges: str, x: str, y: str) -> str:
             f"aggregate({edges}, 0, (acc, e) -> acc + CASE WHEN {crosses} THEN 1 ELSE 0 END) % 2 = 1)")
 
 
-def point_in_edges(edges: Column, x: Column, y: Column) -> Column:
-    """Closed point-in-polygon test: on an edge, or odd number of crossings.
-
-    ``edges`` is an array of ``struct<x1,y1,x2,y2>``.  The ray goes towards
-    +x; a horizontal edge never counts as crossed (``nullif`` keeps ANSI
-    division safe), and the half-open rule ``(y1 > y) != (y2 > y)`` counts a
-    vertex once.
-    """
-    def on_edge(e):
-        return ((x - e.x1) * (e.y2 - e.y1) == (y - e.y1) * (e.x2 - e.x1)) & \
-            x.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2)) & \
-            y.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2))
-
-    def crosses(e):
-        x_at = (e.x2 - e.x1) * (y - e.y1) / F.nullif(e.y2 - e.y1, F.lit(0.0)) + e.x1
-        return ((e.y1 > y) != (e.y2 > y)) & (x < x_at)
-
-    n_cross = F.aggregate(edges, F.lit(0), lambda acc, e: acc + F.when(crosses(e), 1).otherwise(0))
-    return F.exists(edges, on_edge) | (n_cross % 2 == 1)
-
-
 def ring_edges(ring: Column) -> Column:
     """``array<array<double>>`` ring of ``[x, y]`` vertices -> edge array.
 

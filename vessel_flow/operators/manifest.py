@@ -64,14 +64,16 @@ def tally(status: DataFrame) -> DataFrame:
 
 
 def ingest_manifest(spark: SparkSession, csv_dir: str, years: list[int],
-                    zip_dir: str | None = None) -> dict[str, DataFrame]:
+                    zip_dir: str | None = None, report: bool = False) -> dict[str, DataFrame]:
     """C11: expected daily files of ``years`` against what is present.
 
     Returns ``status`` (one row per day: SKIPPED / SUCCESS / FAILED),
     ``tally`` (files per status), ``todo`` (days without a non-empty CSV) and,
-    with ``zip_dir``, ``archives`` (one status row per zip).  The years are a
-    handful of ints from the caller, the rest are Spark listings and joins."""
-    from ..sources.ais_csv import read_zipped_ais
+    with ``zip_dir``, ``archives`` (one status row per zip); with ``report``,
+    ``dropped`` (rows, malformed rows and rows without vessel or time per
+    file, R-Q15) and ``rejects`` (files that could not be read).  The years are
+    a handful of ints from the caller, the rest are Spark listings and joins."""
+    from ..sources.ais_csv import ingest_report, read_ais_csv, read_zipped_ais
     cal = calendar(spark.createDataFrame([(int(y),) for y in years], "year int"))
     present = listing(spark, csv_dir)
     archives = read_zipped_ais(spark, zip_dir)[1] if zip_dir else None
@@ -79,4 +81,7 @@ def ingest_manifest(spark: SparkSession, csv_dir: str, years: list[int],
     out = {"status": status, "tally": tally(status), "todo": missing_days(cal, present)}
     if archives is not None:
         out["archives"] = archives
+    if report:
+        scan = read_ais_csv(spark, csv_dir)
+        out["dropped"], out["rejects"] = ingest_report(scan.rows), scan.rejects
     return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .routes import route_table
+
 
 def vessel_counts(ingested: DataFrame) -> DataFrame:
     """Records and distinct vessels per period (A5)."""
@@ -13,15 +15,20 @@ def vessel_counts(ingested: DataFrame) -> DataFrame:
 
 
 def run_metrics(stages) -> DataFrame:
-    """Records, vessels, kept rows, stop rows, routes and flows per period."""
+    """Records, vessels, kept rows, stop rows, routes and flows per period.
+
+    One pass over the tracks: the marked rows are summed per route and state
+    (as the route table does) with their row counts, per vessel first."""
     base = stages.typed.groupBy("period").agg(F.count(F.lit(1)).alias("records"),
-                                                 F.count_distinct("MMSI").alias("vessels"))
-    kept = stages.trajectory.groupBy("period").agg(F.count(F.lit(1)).alias("kept_rows"),
-                                                   F.count_if(F.col("Label") == "1").alias("stop_rows"))
-    routes = stages.table.groupBy("period").agg(F.count(F.lit(1)).alias("routes"),
-                                                (F.sum(F.size("transit")) * 2).alias("flows"))
-    return (base.join(kept, "period", "left").join(routes, "period", "left")
-            .select("period", "records", "vessels", "kept_rows", "stop_rows", "routes", "flows"))
+                                              F.count_distinct("MMSI").alias("vessels"))
+    per_route = route_table(stages.marked.withColumn("_stop", (F.col("Label") == "1").cast("long")), counts=True)
+    rest = per_route.groupBy("period").agg(
+        F.sum("kept_rows").alias("kept_rows"), F.sum("stop_rows").alias("stop_rows"),
+        F.count_if("is_route").alias("routes"),
+        (F.sum(F.when(F.col("is_route"), F.size("transit"))) * 2).alias("flows"))
+    return (base.join(rest, "period", "left")
+            .select("period", "records", "vessels", "kept_rows", "stop_rows",
+                    F.when(F.col("routes") > 0, F.col("routes")).alias("routes"), "flows"))
 
 
 def observe_run(df: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:

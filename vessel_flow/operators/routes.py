@@ -63,7 +63,7 @@ def stay_pairs(marked: DataFrame) -> DataFrame:
                     F.col("next_port").alias("end_port"), F.col("next_state").alias("end_state")))
 
 
-def route_table(marked: DataFrame, key=KEY) -> DataFrame:
+def route_table(marked: DataFrame, key=KEY, counts: bool = False) -> DataFrame:
     """One row per route (C5, A2, A3, A4, P11) from a two-level aggregation
     that keeps the vessel partitioning (no exchange, no self-join):
 
@@ -73,7 +73,9 @@ def route_table(marked: DataFrame, key=KEY) -> DataFrame:
        emissions) for states other than start and end with a positive sum,
        in first-seen order (P12, R-Q6); ``states_seen`` = all states.
 
-    Routes with a null start or end state are skipped, as in the reference."""
+    Routes with a null start or end state are skipped, as in the reference.
+    With ``counts`` every group of rows stays, with ``kept_rows``,
+    ``stop_rows`` (from a column ``_stop``) and ``is_route``."""
     start_info = F.struct(F.col("BaseDateTime").alias("start_time"), F.col("next_time").alias("end_time"),
                           F.col("PortName").alias("start_port"), F.col("next_port").alias("end_port"),
                           F.col("next_state").alias("end_state"), F.col("next_co2").alias("next_co2"))
@@ -84,7 +86,8 @@ def route_table(marked: DataFrame, key=KEY) -> DataFrame:
     lvl1 = (marked.groupBy(*rk, "State")
             .agg(F.max("year").alias("year"), F.sum("CO2").alias("co2"), F.min("seq").alias("first_seq"),
                  F.bool_or("stay_start").alias("has_start"),
-                 F.collect_list(F.when(F.col("stay_start"), start_info)).alias("info")))
+                 F.collect_list(F.when(F.col("stay_start"), start_info)).alias("info"),
+                 *([F.count(F.lit(1)).alias("_n"), F.sum("_stop").alias("_s")] if counts else [])))
     lvl2 = (lvl1.groupBy(*rk)
             .agg(F.max("year").alias("year"), F.sum("co2").alias("co2"),
                  F.try_element_at(F.flatten(F.collect_list("info")), F.lit(1)).alias("info"),
@@ -92,12 +95,15 @@ def route_table(marked: DataFrame, key=KEY) -> DataFrame:
                  .alias("start_state"),
                  F.collect_list(F.when(F.col("State").isNotNull(),
                                        F.struct("first_seq", F.col("State").alias("state"),
-                                                F.col("co2").alias("emissions")))).alias("_per_state")))
-    r = (lvl2.filter(F.col("info").isNotNull() & F.col("info.end_time").isNotNull()
-                     & F.col("start_state").isNotNull() & F.col("info.end_state").isNotNull())
+                                                F.col("co2").alias("emissions")))).alias("_per_state"),
+                 *([F.sum("_n").alias("kept_rows"), F.sum("_s").alias("stop_rows")] if counts else [])))
+    whole = (F.col("info").isNotNull() & F.col("info.end_time").isNotNull()
+             & F.col("start_state").isNotNull() & F.col("info.end_state").isNotNull())
+    extra = ["kept_rows", "stop_rows", whole.alias("is_route")] if counts else []
+    r = ((lvl2 if counts else lvl2.filter(whole))
          .select(*rk, "year", "info.start_time", "info.end_time", "info.start_port", "start_state",
                  "info.end_port", "info.end_state",
-                 (F.col("co2") + F.col("info.next_co2")).alias("total_emissions"), "_per_state"))
+                 (F.col("co2") + F.col("info.next_co2")).alias("total_emissions"), "_per_state", *extra))
     transit = F.array_sort(F.filter(F.col("_per_state"), lambda e: (e.state != F.col("start_state"))
                                     & (e.state != F.col("end_state")) & (e.emissions > 0)))
     seen = F.array_sort(F.array_union(F.transform(F.col("_per_state"), lambda e: e.state),

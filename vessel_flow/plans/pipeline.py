@@ -147,8 +147,11 @@ def _split_stages(ing0: DataFrame, hot: DataFrame, cells: Stages, p: Params) ->
 
 def trajectory_output(traj: DataFrame) -> DataFrame:
     """The enriched trajectory in the reference's column order (+ keys and
-    ``seq``, from which routes can be computed again)."""
-    return traj.select("period", "year", *TRAJECTORY_COLUMNS, "seq")
+    ``seq``, from which routes can be computed again).  A column that the
+    input lacks is null (P8)."""
+    types = dict(c.split() for c in sinks.TRAJECTORY_SCHEMA.split(", "))
+    return traj.select(*[F.col(c) if c in traj.columns else F.lit(None).cast(types[c]).alias(c)
+                         for c in ("period", "year", *TRAJECTORY_COLUMNS, "seq")])
 
 
 def routes_from_trajectory(traj: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -2,13 +2,15 @@
 
 Spark's CSV reader takes the first file's header for all files and reads the
 rest by position, so a directory whose headers differ in order is silently
-misread.  Here every file's header is read on the executors (a few bytes per
-file, from a metadata-only ``binaryFile`` listing), files are grouped by
-header variant, and each group is read by Spark's CSV reader with that
-header as an all-string schema; the groups are then united by name.  Files
-that lack a required column, or whose header cannot be read, are returned
-as a reject table instead of failing the job (S5).  Zero-length files hold
-no split, so they add no rows and no reject.
+misread.  Here every file's header is read on the executors and the headers
+are counted.  The most frequent one reads the whole folder; only files with
+another header are named one by one (the driver sees the variants, and the
+paths of files that differ from the majority).  Files that lack a required
+column, or whose header cannot be read, are returned as a reject table instead
+of failing the job (S5).  Rows that do not fit their header are kept and
+marked ``malformed``; ``ingest_report`` counts them and the rows that the
+ingest drops, per file.  Zero-length files hold no split, so they add no rows
+and no reject.
 """
 
 from __future__ import annotations
@@ -20,26 +22,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ingest import AIS_COLUMNS, OPTIONAL_COLUMNS
+from ..operators.ingest import AIS_COLUMNS, OPTIONAL_COLUMNS, typed_ais
+from ..session import cut_lineage
 
 HEADER_SCHEMA = "path string, header string, error string"
 
 
-def _read_first_lines(it):
-    """mapInPandas body: first line of each listed file, read through
-    pyarrow's filesystem layer (local, HDFS or object stores)."""
+def _opened(path: str):
+    """An input stream through pyarrow's filesystem layer (local, HDFS, object
+    stores; ``s3a`` is Hadoop's name for ``s3``)."""
     from pyarrow import fs as pafs
+    f, p = pafs.FileSystem.from_uri("s3://" + path[6:] if path.startswith("s3a://") else path)
+    return f.open_input_stream(p)
+
+
+def _first_line(path: str) -> str:
+    head = b""
+    with _opened(path) as s:
+        while b"\n" not in head and (more := s.read(1 << 16)):
+            head += more
+    return head.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+
+
+def _read_first_lines(it):
+    """mapInPandas body: first line of each listed file."""
     for pdf in it:
         out = []
         for path in pdf["path"]:
             try:
-                f, p = pafs.FileSystem.from_uri(path)
-                with f.open_input_stream(p) as s:
-                    head = s.read(1 << 16)
-                line = head.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+                line = _first_line(path)
                 out.append((path, line, None if line else "empty file"))
             except Exception as e:  # unreadable file -> reject, not a failed job
-                out.append((path, None, f"{type(e).__name__}: {e}"[:300]))
+                out.append((path, None, f"{type(e).__name__}: {e}"))
         yield pd.DataFrame(out, columns=["path", "header", "error"])
 
 
@@ -52,136 +66,171 @@ def file_headers(spark: SparkSession, path: str | list[str], glob: str = "*.csv"
     return listing.mapInPandas(_read_first_lines, HEADER_SCHEMA)
 
 
-def _same_file(path: str) -> str:
-    """One spelling per file: listings write ``file:/x``, ``input_file_name``
-    writes ``file:///x`` and escapes some characters."""
-    from urllib.parse import unquote
-    p = unquote(path)
-    return "file:/" + p[len("file:///"):] if p.startswith("file:///") else p
+def _same_file(path):
+    """One spelling per file, as a column: listings write ``file:/x``, file
+    metadata ``file:///x`` with some characters escaped."""
+    return F.regexp_replace(F.try_url_decode(F.regexp_replace(path, r"\+", "%2B")), "^file:///", "file:/")
 
 
-def _headers_by_scan(spark: SparkSession, paths: list[str], required: list[str]) -> dict[str, str]:
+def _headers_by_scan(spark: SparkSession, paths: list[str], required: list[str]) -> DataFrame:
     """Fallback for files the executors could not open directly (a file
-    system that pyarrow does not know, such as ``s3a://``): Spark's own text
-    reader finds the header line of each file, the one line that names the
-    required columns.  This reads those files once more, so it is only used
-    for them."""
+    system that pyarrow does not know): Spark's own text reader finds the
+    header line of each file, the one line that names the required columns.
+    This reads those files once more, so it is only used for them."""
     toks = F.transform(F.split(F.col("value"), ","), lambda t: F.trim(F.regexp_replace(t, '"', "")))
-    lines = spark.read.text(paths).select(F.input_file_name().alias("path"), "value", toks.alias("t"))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value", toks.alias("t"))
     cond = F.array_contains("t", required[0])
     for c in required[1:]:
         cond = cond & F.array_contains("t", c)
-    return {r["path"]: r["header"] for r in
-            lines.where(cond).groupBy("path").agg(F.first("value").alias("header")).collect()}
+    return (lines.where(cond).groupBy("path").agg(F.first("value").alias("header"))
+            .select(_same_file(F.col("path")).alias("path"), F.col("header").alias("found")))
 
 
 @dataclass
 class CsvScan:
-    rows: DataFrame      # string columns: AIS_COLUMNS + optional ones present, + source_file
+    rows: DataFrame      # string columns: AIS_COLUMNS + optional ones present, + source_file, malformed
     rejects: DataFrame   # (path, reason)
 
 
 def read_ais_csv(spark: SparkSession, path: str | list[str], glob: str = "AIS_*.csv",
                  required: list[str] = AIS_COLUMNS) -> CsvScan:
     """Scan a directory (or year folder) of daily AIS CSVs, all columns as
-    text; pick files by name with ``glob`` (S2, e.g. ``AIS_2024_03_*.csv``).
-
-    The header variants (a handful) and their file lists come to the driver:
-    that is file metadata, bounded by the number of files, not by rows."""
-    heads = file_headers(spark, path, glob).collect()
-    unread = [r["path"] for r in heads if r["error"] and not r["error"].startswith("empty")]
-    if unread:
-        found = {_same_file(f): h for f, h in _headers_by_scan(spark, unread, required).items()}
-        heads = [r if _same_file(r["path"]) not in found else
-                 {"path": r["path"], "header": found[_same_file(r["path"])], "error": None} for r in heads]
-    variants: dict[str, list[str]] = {}
-    rejects = []
-    for r in heads:
-        if r["error"] or not r["header"]:
-            rejects.append((r["path"], r["error"] or "no header"))
-            continue
-        cols = [c.strip().strip('"') for c in r["header"].split(",")]
-        missing = [c for c in required if c not in cols]
-        if missing:
-            rejects.append((r["path"], f"missing columns {missing}; found {cols}"))
-            continue
-        variants.setdefault(",".join(cols), []).append(r["path"])
+    text; pick files by name with ``glob`` (S2, e.g. ``AIS_2024_03_*.csv``)."""
+    heads = cut_lineage(file_headers(spark, path, glob))
+    unread = heads.where("error is not null and error not like 'empty%'").select("path")
+    # files that pyarrow cannot open: all of them on an unknown file system, else a few bad ones
+    if not unread.isEmpty():
+        everything = path if heads.where("error is null").isEmpty() else [r["path"] for r in unread.collect()]
+        scanned = _headers_by_scan(spark, [everything] if isinstance(everything, str) else everything, required)
+        heads = cut_lineage(
+            heads.withColumn("_same", _same_file(F.col("path")))
+            .join(scanned.withColumnRenamed("path", "_same"), "_same", "left")
+            .select("path", F.coalesce("found", "header").alias("header"),
+                    F.when(F.col("found").isNull(), F.col("error")).alias("error")))
+    cols = F.transform(F.split("header", ","), lambda c: F.trim(F.trim(c), F.lit('"')))
+    missing = F.array_except(F.array(*[F.lit(c) for c in required]), F.col("cols"))
+    heads = heads.withColumn("cols", F.when(F.col("error").isNull(), cols)).withColumn(
+        "reason", F.when(F.col("error").isNotNull(), F.col("error")).when(
+            F.size(missing) > 0, F.concat(F.lit("missing columns "), F.array_join(missing, ", "), F.lit("; found "),
+                                          F.array_join("cols", ", "))))
+    rejects = heads.where("reason is not null").select("path", "reason")
+    # one row per header variant: a handful
+    variants = [list(r["cols"]) for r in heads.where("reason is null").groupBy("cols").count()
+                .orderBy(F.desc("count"), "cols").collect()]
     keep = list(required) + [c for c in OPTIONAL_COLUMNS if c not in required]
     parts = []
-    for header, files in sorted(variants.items()):
-        cols = header.split(",")
-        schema = T.StructType([T.StructField(f"_c{i}" if not c else c, T.StringType()) for i, c in enumerate(cols)])
-        df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-              .option("mode", "PERMISSIVE").csv(files))
-        sel = [F.col(c) if c in cols else F.lit(None).cast("string").alias(c) for c in keep]
-        parts.append(df.select(*sel, F.input_file_name().alias("source_file")))
+    for k, names in enumerate(variants):
+        fields = [T.StructField(f"_c{i}" if not c else c, T.StringType()) for i, c in enumerate(names)]
+        reader = (spark.read.schema(T.StructType([*fields, T.StructField("_malformed", T.StringType())]))
+                  .option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
+                  .option("columnNameOfCorruptRecord", "_malformed").option("columnPruning", False))
+        mine = F.coalesce(F.col("cols") == F.array(*[F.lit(c) for c in names]), F.lit(False)) & F.col("reason").isNull()
+        if k == 0:  # the majority: the whole folder without the files that differ
+            others = [r[0] for r in heads.where(~mine).select(_same_file(F.col("path"))).collect()]
+            df = (reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").csv(path)
+                  .withColumn("source_file", F.col("_metadata.file_path")))
+            if others:
+                df = df.where(~_same_file(F.col("source_file")).isin(others))
+        else:
+            df = reader.csv([r["path"] for r in heads.where(mine).select("path").collect()])
+            df = df.withColumn("source_file", F.col("_metadata.file_path"))
+        sel = [F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in keep]
+        parts.append(df.select(*sel, "source_file", F.col("_malformed").isNotNull().alias("malformed")))
     if parts:
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
     else:
         rows = spark.createDataFrame([], T.StructType(
-            [T.StructField(c, T.StringType()) for c in keep] + [T.StructField("source_file", T.StringType())]))
-    rej = spark.createDataFrame(rejects, "path string, reason string")
-    return CsvScan(rows, rej)
+            [T.StructField(c, T.StringType()) for c in keep]
+            + [T.StructField("source_file", T.StringType()), T.StructField("malformed", T.BooleanType())]))
+    return CsvScan(rows, rejects)
 
 
-ZIP_ROW_SCHEMA = T.StructType([T.StructField("archive", T.StringType()),
-                               T.StructField("member", T.StringType())]
-                              + [T.StructField(c, T.StringType()) for c in AIS_COLUMNS])
-ZIP_STATUS_SCHEMA = "archive string, members int, csv_members int, error string"
+def ingest_report(rows: DataFrame) -> DataFrame:
+    """Per file: rows, rows that do not fit their header, and rows that the
+    ingest drops for want of a vessel or a time (R-Q15)."""
+    typed = typed_ais(rows, extra=["source_file", "malformed"])
+    both = typed.select("source_file", "malformed", F.col("MMSI").isNull().alias("no_vessel"),
+                        F.col("BaseDateTime").isNull().alias("no_time"))
+    return both.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("malformed").alias("malformed"),
+        F.count_if("no_vessel").alias("no_vessel"), F.count_if("no_time").alias("no_time"),
+        F.count_if(F.col("no_vessel") | F.col("no_time")).alias("dropped"))
 
 
-def _unzip_rows(it):
-    """mapInPandas body: every ``.csv`` member of each archive, in chunks."""
-    import io
-    import zipfile
-    cols = ["archive", "member", *AIS_COLUMNS]
-    for pdf in it:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if not name.endswith(".csv"):
-                            continue
-                        with z.open(name) as f:
-                            for chunk in pd.read_csv(f, dtype=str, chunksize=200_000,
-                                                     usecols=lambda c: c.strip() in AIS_COLUMNS):
-                                chunk.columns = [c.strip() for c in chunk.columns]
-                                for c in AIS_COLUMNS:
-                                    if c not in chunk.columns:
-                                        chunk[c] = None
-                                chunk["archive"], chunk["member"] = path, name
-                                yield chunk[cols]
-            except Exception:  # reported by zip_status
-                continue
-
-
-def _zip_status(it):
+ZIP_SCHEMA = "archive string, member string, line_no long, header string, line string, error string"
+
+
+def _inflate(it):
+    """mapInPandas body: the lines of every ``.csv`` member, and one row
+    without a line at the end of each member, or for an archive without any:
+    its ``error`` says what went wrong."""
     import io
     import zipfile
+    cols = ["archive", "member", "line_no", "header", "line", "error"]
+    end = lambda path, name, n, head, why: pd.DataFrame([(path, name, n, head, None, why)], columns=cols)
     for pdf in it:
-        out = []
         for path, content in zip(pdf["path"], pdf["content"]):
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = z.namelist()
-                n_csv = sum(n.endswith(".csv") for n in names)
-                out.append((path, len(names), n_csv, None if n_csv else "No CSV found in zip"))
+                    members = [n for n in z.namelist() if n.endswith(".csv")]
+                    if not members:
+                        yield end(path, None, 0, None, "No CSV found in zip")
+                    for name in members:
+                        n, head, held = 0, None, []
+                        try:
+                            with z.open(name) as f:
+                                for line in io.TextIOWrapper(f, "utf-8-sig", newline="\n"):
+                                    line = line.rstrip("\r\n")
+                                    if head is None:
+                                        head = line
+                                    elif line:
+                                        n += 1
+                                        held.append((path, name, n, head, line, None))
+                                    if len(held) >= 50_000:
+                                        yield pd.DataFrame(held, columns=cols)
+                                        held = []
+                            why = None if head else "empty file"
+                        except Exception as e:  # a broken member: the lines before the fault, and the fault
+                            why = f"{type(e).__name__}: {e}"
+                        if held:
+                            yield pd.DataFrame(held, columns=cols)
+                        yield end(path, name, n, head, why)
             except Exception as e:
-                out.append((path, 0, 0, f"{type(e).__name__}: {e}"[:300]))
-        yield pd.DataFrame(out, columns=["archive", "members", "csv_members", "error"])
+                yield end(path, None, 0, None, f"{type(e).__name__}: {e}")
 
 
 def read_zipped_ais(spark: SparkSession, path: str, glob: str = "AIS_*.zip") -> tuple[DataFrame, DataFrame]:
-    """Rows of every CSV member of daily zip archives (S11), and one status
-    row per archive (a zip without CSV is a failure, as in the reference).
+    """Rows of every CSV member of daily zip archives (S11), as text like
+    ``read_ais_csv``'s, and one status row per archive.
 
-    One archive is one task; its bytes stay on that executor."""
+    Archives are read once: Python only inflates them to lines, which are
+    saved in the shared folder; Spark parses the lines by their member's
+    header and counts the status.  An archive counts as holding a CSV only if
+    every member was read to its end and has the required columns."""
     z = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
          .option("recursiveFileLookup", "true").load(path).select("path", "content"))
-    rows = z.mapInPandas(_unzip_rows, ZIP_ROW_SCHEMA)
-    status = (z.mapInPandas(_zip_status, ZIP_STATUS_SCHEMA)
-              .withColumn("day", F.to_date(F.regexp_extract("archive", r"AIS_(\d{4}_\d{2}_\d{2})", 1), "yyyy_MM_dd"))
-              .withColumn("has_csv", F.col("csv_members") > 0))
+    lines = cut_lineage(z.mapInPandas(_inflate, ZIP_SCHEMA))
+    cols = F.transform(F.split("header", ","), lambda c: F.trim(F.trim(c), F.lit('"')))
+    ends = lines.where("line is null").withColumn("cols", cols)
+    missing = F.array_except(F.array(*[F.lit(c) for c in AIS_COLUMNS]), F.col("cols"))
+    why = F.coalesce("error", F.when(F.size(missing) > 0, F.concat(F.lit("missing columns "), F.array_join(missing, ", "))))
+    status = (ends.groupBy("archive").agg(
+        F.count("member").cast("int").alias("csv_members"), F.sum("line_no").alias("lines"),
+        F.array_join(F.array_sort(F.collect_list(F.when(why.isNotNull(), F.concat_ws(": ", "member", why)))), "; ")
+        .alias("error"))
+        .withColumn("error", F.when(F.col("error") != "", F.col("error")))
+        .withColumn("day", F.to_date(F.regexp_extract("archive", r"AIS_(\d{4}_\d{2}_\d{2})", 1), "yyyy_MM_dd"))
+        .withColumn("has_csv", F.col("error").isNull() & (F.col("csv_members") > 0)))
+    keep = [*AIS_COLUMNS, *OPTIONAL_COLUMNS]
+    found = lines.where("line is not null").withColumn("cols", cols)
+    width = ends.agg(F.max(F.size("cols"))).first()[0] or 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    found = found.withColumn("f", F.from_csv("line", schema))
+    values = F.array(*[F.col(f"f.c{i}") for i in range(width)])
+    at = lambda c: F.array_position("cols", F.lit(c)).cast("int")
+    rows = found.select("archive", "member", "cols", values.alias("v")).select(
+        "archive", "member", *[F.when(at(c) > 0, F.try_element_at("v", F.greatest(at(c), F.lit(1)))).alias(c)
+                               for c in keep])
     return rows, status

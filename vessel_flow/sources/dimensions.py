@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import ring_edges
+from ..sinks import TRAJECTORY_SCHEMA
 
 PORT_CSV_SCHEMA = "`Main Port Name` string, state string, Latitude double, Longitude double"
 
@@ -35,8 +36,11 @@ def read_states_geojson(spark: SparkSession, path: str, name_field: str = "name"
     feature's position (the shared-border rule, R-Q20).  Coordinates are
     planar degrees (EPSG:4326), as GeoJSON defines."""
     if one_feature_per_line:
-        feats = (spark.read.schema(FEATURE_SCHEMA).json(path)
-                 .withColumn("ordinal", F.monotonically_increasing_id()).select("ordinal", F.struct("*").alias("f")))
+        # a dense number in the order of file, split and row; a map has a bounded number of features
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+        lines = (spark.read.schema(FEATURE_SCHEMA).json(path)
+                 .select(place.alias("place"), F.struct("type", "properties", "geometry").alias("f")))
+        feats = lines.select((F.row_number().over(Window.orderBy("place")) - 1).alias("ordinal"), "f")
     else:
         fc = spark.read.schema(GEOJSON_SCHEMA).option("multiLine", True).json(path)
         feats = fc.select(F.posexplode("features").alias("ordinal", "f"))
@@ -59,8 +63,11 @@ def read_world_ports(spark: SparkSession, path: str) -> DataFrame:
 def read_trajectory(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A staged trajectory (S9), written by ``sinks.write_trajectory``."""
     if fmt == "parquet":
-        return spark.read.parquet(path)
-    return spark.read.option("header", True).csv(path)
+        return spark.read.schema(TRAJECTORY_SCHEMA).parquet(path)
+    # the 11 columns, in the file's own order of columns, with their types
+    text = spark.read.option("header", True).csv(path)
+    types = {c.split()[0]: c.split()[1] for c in TRAJECTORY_SCHEMA.split(", ")}
+    return text.select(*[F.col(c).try_cast(types[c]).alias(c) for c in text.columns if c in types])
 
 
 def read_period_outputs(spark: SparkSession, path: str) -> DataFrame:

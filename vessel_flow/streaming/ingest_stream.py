@@ -9,6 +9,8 @@ retried micro-batch replaces, rather than duplicates, its output.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ def incremental_ingest(spark: SparkSession, src: str, dest: str, name: str = "ai
              .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
              .load(src).select("path"))
     done = {"batches": 0, "files": 0}
+    # batch numbers start again under a new checkpoint: name the stream by its checkpoint
+    stream = f"{name}-{zlib.crc32(ckpt.encode()):08x}"
 
     def run_batch(batch: DataFrame, epoch: int) -> None:
         # the file names of one micro-batch: metadata bounded by maxFilesPerTrigger
@@ -42,10 +46,10 @@ def incremental_ingest(spark: SparkSession, src: str, dest: str, name: str = "ai
         if not paths:
             return
         scan = read_ais_csv(spark, paths, glob)
-        rows = ingest(scan.rows, p).withColumn("batch", F.lit(int(epoch)))
+        rows = ingest(scan.rows, p).withColumn("batch", F.lit(f"{stream}-{epoch}"))
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("period", "batch").parquet(dest))
-        (scan.rejects.withColumn("batch", F.lit(int(epoch))).write.mode("overwrite")
+        (scan.rejects.withColumn("batch", F.lit(f"{stream}-{epoch}")).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(dest + "_rejects"))
         done["batches"] += 1
         done["files"] += len(paths)
