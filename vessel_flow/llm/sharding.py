@@ -10,7 +10,8 @@ whatever the input).  There the overflow is resolved into pieces
 ``(cell, from byte, to byte, shard)``, again bounded by cells and points, and
 broadcast; rows find their piece by their byte position inside their cell.
 A row lies where its middle byte falls, so a shard's load differs from its
-bound by less than one row for each piece.
+bound by less than one row for each piece; a cell with a single row is never
+cut, and its shard is charged with the whole of it.
 
 Defined cases: a null text has size 16 and checksum 0; null and repeated ids
 are placed like any other row; rows that agree in id, size and checksum are
@@ -61,9 +62,10 @@ class Ring:
         return F.pmod(F.xxhash64(*key, F.lit("ring")), F.lit(self.cells)).cast("int")
 
 
-def resolve(ring: Ring, loads: dict[int, int], slack: float) -> list[tuple[int, int, int, int]]:
+def resolve(ring: Ring, loads: dict[int, int], slack: float,
+            single: frozenset[int] = frozenset()) -> list[tuple[int, int, int, int]]:
     """Pieces (cell, lo, hi, shard) covering the load of every cell; the last
-    piece of a cell is open-ended."""
+    piece of a cell is open-ended.  Cells in ``single`` stay whole."""
     points = ring.points()
     first = ring.first_point(points)
     total = sum(loads.values())
@@ -83,20 +85,35 @@ def resolve(ring: Ring, loads: dict[int, int], slack: float) -> list[tuple[int,
             ahead[k % len(points)], k = root, ahead[k % len(points)]
         return root
 
+    def charge(cell: int, lo: int, hi: int, s: int) -> None:
+        pieces.append((cell, lo, hi, s))
+        room[s] -= hi - lo
+        if room[s] <= 0 and any(x > 0 for x in room):
+            for p in of_shard[s]:
+                ahead[p] = (p + 1) % len(points)
+
     def put(cell: int, lo: int, hi: int, k: int) -> int:
         s = points[k][1]
-        take = min(hi - lo, room[s])
+        take = min(hi - lo, max(room[s], 0))
         if take:
-            pieces.append((cell, lo, lo + take, s))
-            room[s] -= take
-            if not room[s] and any(room):
-                for p in of_shard[s]:
-                    ahead[p] = (p + 1) % len(points)
+            charge(cell, lo, lo + take, s)
         return lo + take
 
+    def put_whole(cell: int, load: int, k: int) -> None:
+        """Clockwise to the first shard that has room for it, else to
+        the one with most room."""
+        for _ in points:
+            k = with_room(k)
+            if load <= room[points[k][1]]:
+                return charge(cell, 0, load, points[k][1])
+            k = (k + 1) % len(points)
+        charge(cell, 0, load, max(range(ring.shards), key=room.__getitem__))
+
     pieces: list[tuple[int, int, int, int]] = []
     over = []
-    for cell in sorted(loads):
+    for cell in sorted(single, key=lambda c: (-loads[c], c)):  # the largest first, small ones even out
+        put_whole(cell, loads[cell], first[cell])
+    for cell in sorted(set(loads) - single):
         at = put(cell, 0, loads[cell], first[cell])
         if at < loads[cell]:
             over.append((cell, at, loads[cell], first[cell]))
@@ -121,8 +138,10 @@ def assign(docs: DataFrame, ring: Ring, slack: float = 0.001, id_col: str = "doc
     rows = rows.withColumn("cell", ring.cell_of(F.col("id"), F.col("crc")))
     rows = common.cut_lineage(rows.groupBy("cell", "id", "size", "crc").agg(F.count(F.lit(1)).alias("copies")))
 
-    totals = rows.groupBy("cell").agg(F.sum(F.col("size") * F.col("copies")).alias("load")).collect()
-    pieces = resolve(ring, {r["cell"]: r["load"] for r in totals}, slack)
+    totals = rows.groupBy("cell").agg(F.sum(F.col("size") * F.col("copies")).alias("load"),
+                                      F.sum("copies").alias("rows")).collect()  # at most ring.cells rows
+    pieces = resolve(ring, {r["cell"]: r["load"] for r in totals}, slack,
+                     frozenset(r["cell"] for r in totals if r["rows"] == 1))
     frame = pd.DataFrame([(c, i, lo, hi, s) for i, (c, lo, hi, s) in enumerate(pieces)],
                          columns=["cell", "piece", "lo", "hi", "shard"])
     table = F.broadcast(docs.sparkSession.createDataFrame(
