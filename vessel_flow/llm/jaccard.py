@@ -6,23 +6,30 @@ shingles.  Shingles are XOR-hashed into a sketch of S segments, and a shingle
 that only one set holds changes one segment, so the number of unlike segments
 never exceeds the symmetric difference.
 
-* Size bands: a band's bounds grow by 1/t, so partners lie in one band or in
-  neighbours; a set joins in its own band and in the next one.  A band's
-  largest difference D gives S = D + 1 + spare segments.
+* Size bands: a set joins in its own band and, where a partner 1/t times its
+  size lies in the next one, in that too.  A band's largest difference D gives
+  S = D + 1 + spare segments.
 * Pigeonhole: linked sets agree in at least ``spare + 1`` segments.  A set
   with at most ``spare`` empty segments therefore agrees with each partner in
   one that is not empty, and only those become join keys; a set with more
   empty ones joins on these too.  No link is lost.
+* Prefix: the more segments linked sets must agree in, the more keys a set can
+  leave out.  With e empty segments it agrees with each partner in at least
+  ``spare + 1 - e`` that are not empty.  Each set leaves out the ``spare - e``
+  keys that most sets share (ties by key, one order for all sets): of the keys
+  that two linked sets share, both leave out only the widest, and the least
+  wide one stays with both.  So a passage that many documents hold makes no
+  candidates.
 * Verification: pairs that share a key are first tested by a bit sketch of
-  fixed length, whose Hamming distance also bounds the difference from below,
-  then by their exact sets.
+  about a bit a shingle, whose Hamming distance also bounds the difference
+  from below, then by their exact sets.
 
 Equal sets are one node from the start.  Components are built in rounds, so
-that large groups are never expanded into all pairs: first every set is
-compared with the one partner it shares most keys with, among the smallest
-sets of its keys; then, among sets whose components still differ, with the
-smallest and largest set of each key; last, all pairs of sets that share a key
-and still lie in different components.
+that large groups are never expanded into all pairs.  The candidates of a set are
+the smallest and the largest set of each of its keys.  First every set is
+compared with the candidate that it shares most keys with; then with those in
+other components; last, all pairs of sets that share a key and still lie in
+different components.
 
 Defined cases: a null text, or one without words, has no shingles and is
 linked with nothing; fewer words than a shingle are one shingle; rows equal in
@@ -38,13 +45,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common
 from .components import components
 from .repetition import WordHashes, ngram_hashes
 
-SKETCH_LONGS = 16
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -88,7 +94,7 @@ class Bands:
 
     def of(self, size: int) -> int:
         while self.bounds[-1] <= size:
-            self.bounds.append(-(-self.bounds[-1] * 100 // self.params.percent))
+            self.bounds.append(max(self.bounds[-1] + 1, self.bounds[-1] * 3 // 2))
         return int(np.searchsorted(self.bounds, size, side="right")) - 1
 
     def segments(self, band: int) -> tuple[int, int]:
@@ -97,14 +103,16 @@ class Bands:
         while len(self.bounds) <= band + 1:
             self.of(self.bounds[-1])
         most = self.params.differ(2 * (self.bounds[band + 1] - 1))
-        spare = max(-(-6 * (most + 1) // 100), min(2 * (most + 1), 8))
+        # more spare segments than the smallest sets of a band are likely to leave empty
+        spare = max(-(-3 * (most + 1) // 10), min(2 * (most + 1), 8))
         return (most + 1 + spare, spare) if most else (0, 0)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """Join keys of a set: one for each segment that it joins on."""
-        own = self.of(len(s))
-        out = []
-        for band in (own, own + 1):
+    def keys(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Join keys of a set, one for each segment that it joins on, and their
+        tags: twice the number of keys that it can leave out in the band (-1:
+        none, its empty segments are used), plus 1 for the next band."""
+        out, tags = [], []
+        for k, band in enumerate (range(self.of(len(s)), self.of(len(s) * 100 // self.params.percent) + 1)):
             total, spare = self.segments(band)
             if not total:
                 continue
@@ -112,38 +120,51 @@ class Bands:
             at = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1])
             salt = mix(seg[at] + np.uint64((band + 1) << 32))
             out.append(mix(np.bitwise_xor.reduceat(mix(s + np.uint64(1)), at) ^ salt))
-            if total - len(at) > spare:
+            left = max(-1, spare - (total - len(at)))
+            if left < 0:
                 empty = np.setdiff1d(np.arange(total, dtype=np.uint64), seg[at])
                 out.append(mix(mix(empty + np.uint64((band + 1) << 32))))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            tags.append(np.full(total if left < 0 else len(at), 2 * left + k, np.int32))
+        if not out:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return np.concatenate(out), np.concatenate(tags)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    bits = mix(s ^ np.uint64(0x5EED)) & np.uint64(64 * SKETCH_LONGS - 1)
-    return np.packbits(np.bincount(bits.astype(np.int64), minlength=64 * SKETCH_LONGS) & 1).view(np.int64)
+    """Parity bits, at least one a shingle; the number of longs is a power of
+    two, so that a longer sketch folds onto a shorter one by XOR of its halves."""
+    size = 64 * max(4, 1 << (max(len(s) - 1, 1) // 64).bit_length())
+    bits = mix(s ^ np.uint64(0x5EED)) & np.uint64(size - 1)
+    return np.packbits(np.bincount(bits.astype(np.int64), minlength=size) & 1).view(np.int64)
 
 
 def sets(docs: DataFrame, params: Params) -> DataFrame:
-    """(doc_id, k, n, sid) of every row; sid is null without shingles."""
+    """(doc_id, k, n, sid, sketch) of every row; sid and sketch are null
+    without shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             found = [shingles(t.as_py(), hashes, params.words) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([len(s) for s in found], pa.int64()),
-                 pa.array([set_id(s) if len(s) else None for s in found], pa.int64())], ["doc_id", "k", "n", "sid"])
-    return docs.select("doc_id", "k", "text").mapInArrow(run, "doc_id long, k long, n long, sid long")
+                 pa.array([set_id(s) if len(s) else None for s in found], pa.int64()),
+                 pa.array([sketch(s) if len(s) else None for s in found], pa.list_(pa.int64()))],
+                ["doc_id", "k", "n", "sid", "sketch"])
+    return docs.select("doc_id", "k", "text").mapInArrow(
+        run, "doc_id long, k long, n long, sid long, sketch array<long>")
 
 
 def shared_keys(docs: DataFrame, params: Params) -> DataFrame:
-    """(key, sid) of all keys that two or more different sets share."""
+    """(key, sid, tag) of all keys that two or more different sets share."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, seen = WordHashes(), Bands(params), set()
 
-        def out(parts: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
-            keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
-            sids = np.repeat(np.array([i for _, i in parts], np.int64), [len(k) for k, _ in parts])
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sids)], ["key", "sid"])
+        def out(parts: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+            keys = np.concatenate([k for k, _, _ in parts]) if parts else np.zeros(0, np.uint64)
+            tags = np.concatenate([t for _, t, _ in parts]) if parts else np.zeros(0, np.int32)
+            sids = np.repeat(np.array([i for _, _, i in parts], np.int64), [len(k) for k, _, _ in parts])
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sids), pa.array(tags)],
+                                              ["key", "sid", "tag"])
 
         for b in batches:
             parts, held = [], 0
@@ -155,7 +176,7 @@ def shared_keys(docs: DataFrame, params: Params) -> DataFrame:
                 if len(seen) > 500_000:  # equal sets that come later are found again after the exchange
                     seen.clear()
                 seen.add(sid)
-                parts.append((bands.keys(s), sid))
+                parts.append((*bands.keys(s), sid))
                 held += len(parts[-1][0])
                 if held > 200_000:
                     yield out(parts)
@@ -164,26 +185,37 @@ def shared_keys(docs: DataFrame, params: Params) -> DataFrame:
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose key stands in a row beside them; sorted input."""
-        last = None  # (key, sid, whether it was given out)
+        last = None  # (key, sid, tag, whether it was given out)
         for b in batches:
-            key, sid = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            key, sid, tag = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             if last is not None:
-                key, sid = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], sid])
+                key, sid, tag = (np.concatenate([[x], c]) for x, c in zip(last, (key, sid, tag)))
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])])
-            key, sid = key[new], sid[new]
+            key, sid, tag = key[new], sid[new], tag[new]
             if not len(key):
                 continue
             same = key[1:] == key[:-1]
             mask = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            given = bool(last and last[2])
-            held = (int(key[-1]), int(sid[-1]), bool(mask[-1]) if len(key) > 1 else given)
+            given = bool(last and last[3])
+            held = (key[-1], sid[-1], tag[-1], bool(mask[-1]) if len(key) > 1 else given)
             if given:
                 mask[0] = False
             last = held
-            yield pa.RecordBatch.from_arrays([pa.array(key[mask]), pa.array(sid[mask])], ["key", "sid"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[mask]), pa.array(sid[mask]),
+                                              pa.array(tag[mask].astype(np.int32))], ["key", "sid", "tag"])
 
-    keyed = docs.select("text").mapInArrow(emit, "key long, sid long")
-    return keyed.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(runs, "key long, sid long")
+    schema = "key long, sid long, tag int"
+    keyed = docs.select("text").mapInArrow(emit, schema)
+    return keyed.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(runs, schema)
+
+
+def needed(keys: DataFrame) -> DataFrame:
+    """``keys`` without the widest of each set, as many as it can leave out.
+    A window's group is the shared keys of one set in one band."""
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
+    widest = Window.partitionBy("sid", "tag").orderBy(F.desc("sets"), "key")
+    return (keys.join(sizes, "key").withColumn("rank", F.row_number().over(widest))
+            .where("rank > shiftright(tag, 1)").select("key", "sid"))
 
 
 def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
@@ -199,7 +231,7 @@ def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
 
 
 def members(docs: DataFrame, wanted: DataFrame, params: Params) -> DataFrame:
-    """(sid, n, sketch, shingles) of the sets of the texts with keys ``wanted``."""
+    """(sid, shingles) of the sets of the texts with keys ``wanted``."""
     held = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, params.filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,29 +246,30 @@ def members(docs: DataFrame, wanted: DataFrame, params: Params) -> DataFrame:
                 seen.add(k)
                 s = shingles(t.as_py(), hashes, params.words)
                 if len(s):
-                    rows.append((set_id(s), len(s), sketch(s), s.tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())],
-                ["sid", "n", "sketch", "shingles"])
+                    rows.append((set_id(s), s.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
+                                              pa.array([r[1] for r in rows], pa.binary())], ["sid", "shingles"])
 
     slot = F.pmod(F.xxhash64("k", F.lit("bitmap")), F.lit(1 << params.filter_bits))
     return (docs.select(slot.alias("slot"), "k", "text")
-            .mapInArrow(run, "sid long, n long, sketch array<long>, shingles binary").dropDuplicates(["sid"]))
+            .mapInArrow(run, "sid long, shingles binary").dropDuplicates(["sid"]))
 
 
 def near(pairs: DataFrame, nodes: DataFrame, params: Params) -> DataFrame:
     """Pairs (a, b) that neither their sizes nor their bit sketches part."""
     side = lambda c: nodes.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"),
                                   F.col("sketch").alias(f"s{c}"))
-    apart = " + ".join(f"bit_count(sa[{i}] ^ sb[{i}])" for i in range(SKETCH_LONGS))
+    # partners' sizes are alike, so the longer sketch has at most twice the longs
+    fold = lambda x, y: (f"if(size({x}) > size({y}), transform(sequence(0, size({y}) - 1), "
+                         f"i -> {x}[i] ^ {x}[i + size({y})]), {x})")
+    apart = f"aggregate(zip_with({fold('sa', 'sb')}, {fold('sb', 'sa')}, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
     return (pairs.join(side("a"), "a").join(side("b"), "b")
             .where(f"100 * least(na, nb) >= {params.percent} * greatest(na, nb)")
             .where(f"({100 + params.percent}) * ({apart}) <= ({100 - params.percent}) * (na + nb)")
-            .select("a", "b"))
+            .select(*pairs.columns))
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, params: Params) -> DataFrame:
+def linked(pairs: DataFrame, shingled: DataFrame, params: Params) -> DataFrame:
     """The pairs (a, b) whose exact sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,8 +280,8 @@ def linked(pairs: DataFrame, nodes: DataFrame, params: Params) -> DataFrame:
                 keep.append(100 * both >= params.percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: nodes.select(F.col("sid").alias(c), F.col("shingles").alias(f"s{c}"))
-    return (near(pairs, nodes, params).join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+    side = lambda c: shingled.select(F.col("sid").alias(c), F.col("shingles").alias(f"s{c}"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
             .mapInArrow(run, "a long, b long"))
 
 
@@ -257,39 +290,53 @@ def classes(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id",
     of its text, root names its component (null without shingles)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("text"))
     found = common.stored(sets(docs, params), "jaccard-sets")
-    keys = common.stored(shared_keys(docs, params), "jaccard-keys")
+    keys = common.stored(needed(common.stored(shared_keys(docs, params), "jaccard-keys")), "jaccard-needed")
     touched = keys.select("sid").distinct()
-    wanted = found.where("sid is not null").join(touched, "sid", "left_semi").groupBy("sid").agg(F.min("k").alias("k"))
-    nodes = common.stored(members(docs, wanted.select("k"), params), "jaccard-nodes")
+    nodes = common.stored(
+        found.where("sid is not null").join(touched, "sid", "left_semi").groupBy("sid")
+        .agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-nodes")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """Shingles of all sets of the pairs."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        return common.stored(members(docs, nodes.join(wanted, "sid", "left_semi").select("k"), params),
+                             "jaccard-shingles")
 
-    pair = lambda df: df.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
+    # candidates: the ends of each key, by the number of keys they share
     ends = keys.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
-    best = (keys.join(ends, "key").where("sid <> lo").groupBy("sid", "lo").count()
-            .groupBy("sid").agg(F.max_by("lo", F.struct("count", "lo")).alias("other")))
-    links = common.stored(linked(pair(best).distinct(), nodes, params), "jaccard-links")
+    stars = (keys.join(ends, "key").select("sid", F.explode(F.array("lo", "hi")).alias("other")).where("sid <> other")
+             .groupBy(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
+             .agg(F.count(F.lit(1)).alias("shared")))
+    stars = common.stored(near(stars, nodes, params), "jaccard-candidates")
+    shingled = texts_of(stars)
+    each = stars.select(F.explode(F.array("a", "b")).alias("sid"), "a", "b", "shared")
+    best = (each.groupBy("sid").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("pair"))
+            .select("pair.*").distinct())
+    links = common.stored(linked(best, shingled, params), "jaccard-links")
+    roots = components(links)
 
-    def rooted(roots: DataFrame) -> DataFrame:
-        """Keys whose sets lie in two or more components."""
-        named = keys.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
-            "key", "sid", F.coalesce("root", "sid").alias("root"))
-        mixed = named.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q")
-        return common.stored(named.join(mixed.select("key"), "key", "left_semi"), "jaccard-open")
+    def root_of(df: DataFrame, c: str) -> DataFrame:
+        return df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(
+            f"root_{c}", F.coalesce(f"root_{c}", c))
 
-    roots = components(links)
-    still = rooted(roots)
-    far = still.groupBy("key").agg(F.min(F.struct("sid", "root")).alias("lo"), F.max(F.struct("sid", "root")).alias("hi"))
-    stars = (still.join(far, "key").select("sid", "root", F.explode(F.array("lo", "hi")).alias("x"))
-             .where("root <> x.root").select("sid", F.col("x.sid").alias("other")))
-    more = common.stored(linked(pair(stars).distinct(), nodes, params), "jaccard-links")
-    links = links.unionByName(more)
+    more = root_of(root_of(stars, "a"), "b").where("root_a <> root_b").select("a", "b").join(best, ["a", "b"], "left_anti")
+    links = links.unionByName(common.stored(linked(more, shingled, params), "jaccard-links"))
     roots = components(links)
 
-    left = rooted(roots)
-    rest = (left.alias("x").join(left.alias("y"), F.expr("x.key = y.key and x.sid < y.sid and x.root <> y.root"))
+    # keys whose sets still lie in two or more components, one for all keys that the same sets share
+    rooted = root_of(keys, "sid")
+    mixed = (rooted.groupBy("key").agg(
+        F.min("root_sid").alias("p"), F.max("root_sid").alias("q"), F.count(F.lit(1)).alias("sets"),
+        F.bit_xor(F.xxhash64("sid")).alias("who")).where("p <> q")
+        .groupBy("p", "q", "sets", "who").agg(F.min("key").alias("key")))
+    left = common.stored(rooted.join(mixed.select("key"), "key", "left_semi"), "jaccard-open")
+    rest = (left.alias("x").join(left.alias("y"), F.expr("x.key = y.key and x.sid < y.sid and x.root_sid <> y.root_sid"))
             .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-            .join(pair(stars).distinct(), ["a", "b"], "left_anti"))
-    links = links.unionByName(common.stored(linked(rest, nodes, params), "jaccard-links"))
-    roots = components(links)
+            .join(stars, ["a", "b"], "left_anti"))
+    rest = common.stored(near(rest, nodes, params), "jaccard-rest")
+    if not rest.isEmpty():
+        links = links.unionByName(common.stored(linked(rest, texts_of(rest), params), "jaccard-links"))
+        roots = components(links)
 
     named = found.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
         "doc_id", "k", "n", "sid", F.coalesce("root", "sid").alias("root"))
