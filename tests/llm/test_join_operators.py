@@ -65,8 +65,16 @@ def test_keys_of_linked_sets_meet():
         b = np.unique(np.concatenate([rest, r.integers(0, 2 ** 64, gone - (size - len(rest)) if gone > size - len(rest) else 0, dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 80 * (len(a) + len(b) - both) and not np.array_equal(a, b):
-            assert len(np.intersect1d(bands.keys(a), bands.keys(b)))
-        apart = int(np.unpackbits((jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint8)).sum())
+            (ka, ta), (kb, tb) = bands.keys(a), bands.keys(b)
+            shared = np.intersect1d(ka, kb)
+            assert len(shared)
+            # in each band they share more keys than either side leaves out
+            for tag in np.unique(ta):
+                mine = np.intersect1d(ka[ta == tag], kb)
+                assert not len(mine) or len(mine) > tag >> 1
+        x, y = sorted((jaccard.sketch(a), jaccard.sketch(b)), key=len)
+        y = y if len(y) == len(x) else y[:len(x)] ^ y[len(x):]
+        apart = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
         assert apart <= len(a) + len(b) - 2 * both
 
 

@@ -21,7 +21,7 @@ from . import common
 from .spans import holds_any, let, places
 
 #: kind, pattern, group of the value, least characters of it, words of which one must be there (lower case).
-#: The first three are the base kinds.
+#: The first three are the base kinds; a hex match is a maximal run, so its least length can stand in the pattern.
 KINDS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8,
      ["password", "passwd", "secret", "token", "apikey", "api_key"]),
@@ -57,7 +57,6 @@ def candidate_spans(text: Column) -> Column:
     def of_kind(k: int, low: Column) -> Column:
         _, pattern, group, least, words = KINDS[k]
         value = lambda x: F.substring(text, x["e"] - x["n"] + 1, x["n"])
-        # the third base kind: a maximal run, so the length can stand in the pattern
         found = F.transform(
             F.filter(places(text, F.lit(pattern), group), lambda x: x["n"] >= least),
             lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"),
