@@ -1,8 +1,9 @@
 """License scan by ordered signature rules, with built-in functions only.
 
-A rule is (label, priority, keyword, pattern).  A text is tested for a few
-words that every rule needs; then each rule's keyword decides whether its
-pattern is tried, and places are taken only where it is found.  Detections are resolved by intervals: sorted by start
+A rule is (label, priority, words, pattern); its words are read from its
+pattern and stand in all that it can match.  A text without any word of a
+small cover of the rules is skipped; else the patterns are tried whose words
+it holds, all of them.  Detections are resolved by intervals: sorted by start
 and falling length, one that lies inside an earlier one is dropped; of equal
 intervals the one with the higher priority, then the earlier rule, stays.
 
@@ -15,6 +16,8 @@ null and empty texts have no words, labels ('') or places, and score 0.
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,199 +25,221 @@ from .spans import NOT_WORD, WORD, holds_any, let, places, walk, words
 
 BASE = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
 
-#: Each rule needs one of these.
-GATES = ["licen", "copyright", "spdx", "permission is hereby", "redistribution and use", "public domain", "copyleft",
-         "free software", "warranty"]
-
-# label | identifier | pattern of the name in running text (after its keyword, which it must contain)
+# label | identifier | pattern of the name in running text
 _NAMES = r"""
-mit|MIT|mit|mit licen[sc]e
-mit-0|MIT-0|mit no attribution|mit no attribution licen[sc]e
-mit-modern|MIT-Modern-Variant|mit modern|mit modern variant
-x11|X11|x11|x11 licen[sc]e
-isc|ISC|isc|isc licen[sc]e
-apache-1.0|Apache-1.0|apache|apache (software )?licen[sc]e,? (version |v)?1\.0
-apache-1.1|Apache-1.1|apache|apache (software )?licen[sc]e,? (version |v)?1\.1
-apache-2.0|Apache-2.0|apache|apache (software )?licen[sc]e,? ?\(?(version |v)?2(\.0)?
-bsd-2-clause|BSD-2-Clause|bsd|(simplified|freebsd|2-clause|two-clause) bsd|bsd[ -](2|two)[ -]clause
-bsd-3-clause|BSD-3-Clause|bsd|(new|revised|modified|3-clause|three-clause) bsd|bsd[ -](3|three)[ -]clause
-bsd-4-clause|BSD-4-Clause|bsd|(original|4-clause|four-clause) bsd|bsd[ -](4|four)[ -]clause
-bsd-0-clause|0BSD|bsd|zero[ -]clause bsd|0bsd
-bsd-patent|BSD-2-Clause-Patent|bsd|bsd[ -+]+patent
-bsd|BSD|bsd|bsd licen[sc]e
-gpl-1.0|GPL-1.0|general public|gnu general public licen[sc]e,? (version |v)1
-gpl-1.0|GPL-1.0|gpl|gpl-?v?1(\.0)?
-gpl-2.0|GPL-2.0|general public|gnu general public licen[sc]e,? (version |v)2
-gpl-2.0|GPL-2.0|gpl|gpl-?v?2(\.0)?
-gpl-3.0|GPL-3.0|general public|gnu general public licen[sc]e,? (version |v)3
-gpl-3.0|GPL-3.0|gpl|gpl-?v?3(\.0)?
-lgpl-2.0|LGPL-2.0|library general|gnu library general public licen[sc]e
-lgpl-2.0|LGPL-2.0|lgpl|lgpl-?v?2\.0
-lgpl-2.1|LGPL-2.1|lesser general|gnu lesser general public licen[sc]e,? (version |v)2\.1
-lgpl-2.1|LGPL-2.1|lgpl|lgpl-?v?2\.1
-lgpl-3.0|LGPL-3.0|lesser general|gnu lesser general public licen[sc]e,? (version |v)3
-lgpl-3.0|LGPL-3.0|lgpl|lgpl-?v?3(\.0)?
-agpl-3.0|AGPL-3.0|affero|gnu affero general public licen[sc]e
-agpl-3.0|AGPL-3.0|agpl|agpl-?v?3(\.0)?
-gfdl-1.2|GFDL-1.2|documentation|gnu free documentation licen[sc]e,? (version |v)1\.2
-gfdl-1.3|GFDL-1.3|documentation|gnu free documentation licen[sc]e,? (version |v)1\.3
-gfdl|GFDL|documentation|gnu free documentation licen[sc]e
-mpl-1.0|MPL-1.0|mozilla|mozilla public licen[sc]e,? (version |v)?1\.0
-mpl-1.1|MPL-1.1|mozilla|mozilla public licen[sc]e,? (version |v)?1\.1
-mpl-2.0|MPL-2.0|mozilla|mozilla public licen[sc]e,? (version |v)?2(\.0)?
-npl-1.0|NPL-1.0|netscape|netscape public licen[sc]e
-epl-1.0|EPL-1.0|eclipse|eclipse public licen[sc]e( -)?,? (version |v)?1(\.0)?
-epl-2.0|EPL-2.0|eclipse|eclipse public licen[sc]e( -)?,? (version |v)?2(\.0)?
-edl-1.0|EDL-1.0|eclipse|eclipse distribution licen[sc]e
-cddl-1.0|CDDL-1.0|common development|common development and distribution licen[sc]e,? (version |v)?1\.0
-cddl-1.1|CDDL-1.1|common development|common development and distribution licen[sc]e,? (version |v)?1\.1
-cpl-1.0|CPL-1.0|common public|common public licen[sc]e
-cpal-1.0|CPAL-1.0|common public|common public attribution licen[sc]e
-ipl-1.0|IPL-1.0|ibm|ibm public licen[sc]e
-apsl-2.0|APSL-2.0|apple|apple public source licen[sc]e
-artistic-1.0|Artistic-1.0|artistic|artistic licen[sc]e,? (version |v)?1(\.0)?
-artistic-2.0|Artistic-2.0|artistic|artistic licen[sc]e,? (version |v)?2(\.0)?
-artistic|Artistic|artistic|artistic licen[sc]e
-boost-1.0|BSL-1.0|boost|boost software licen[sc]e
-business-source|BUSL-1.1|business source|business source licen[sc]e
-cc0-1.0|CC0-1.0|cc0|cc0( 1\.0)?( universal)?
-cc-by-1.0|CC-BY-1.0|attribution|(creative commons|cc) attribution 1\.0
-cc-by-2.0|CC-BY-2.0|attribution|(creative commons|cc) attribution 2\.0
-cc-by-2.5|CC-BY-2.5|attribution|(creative commons|cc) attribution 2\.5
-cc-by-3.0|CC-BY-3.0|attribution|(creative commons|cc) attribution 3\.0
-cc-by-4.0|CC-BY-4.0|attribution|(creative commons|cc) attribution 4\.0
-cc-by-sa-2.0|CC-BY-SA-2.0|attribution|(creative commons|cc) attribution[ -]share ?alike 2\.0
-cc-by-sa-3.0|CC-BY-SA-3.0|attribution|(creative commons|cc) attribution[ -]share ?alike 3\.0
-cc-by-sa-4.0|CC-BY-SA-4.0|attribution|(creative commons|cc) attribution[ -]share ?alike 4\.0
-cc-by-nc-3.0|CC-BY-NC-3.0|attribution|(creative commons|cc) attribution[ -]non ?commercial 3\.0
-cc-by-nc-4.0|CC-BY-NC-4.0|attribution|(creative commons|cc) attribution[ -]non ?commercial 4\.0
-cc-by-nd-4.0|CC-BY-ND-4.0|attribution|(creative commons|cc) attribution[ -]no ?deriv\w* 4\.0
-cc-by-nc-sa-4.0|CC-BY-NC-SA-4.0|attribution|(creative commons|cc) attribution[ -]non ?commercial[ -]share ?alike 4\.0
-cc-by-nc-nd-4.0|CC-BY-NC-ND-4.0|attribution|(creative commons|cc) attribution[ -]non ?commercial[ -]no ?deriv\w* 4\.0
-cc|CC|creative commons|creative commons licen[sc]e
-pddl-1.0|PDDL-1.0|public domain|public domain dedication and licen[sc]e
-odbl-1.0|ODbL-1.0|open d|open database licen[sc]e
-odc-by-1.0|ODC-By-1.0|open data|open data commons attribution licen[sc]e
-ogl-uk-3.0|OGL-UK-3.0|open government|open government licen[sc]e
-unlicense|Unlicense|unlicense|the unlicense
-wtfpl|WTFPL|public licen|do what the f\S+ you want to public licen[sc]e
-zlib|Zlib|zlib|zlib( ?/ ?libpng)? licen[sc]e
-libpng|Libpng|libpng|libpng licen[sc]e
-ofl-1.1|OFL-1.1|open font|(sil )?open font licen[sc]e
-ecl-2.0|ECL-2.0|educational community|educational community licen[sc]e
-efl-2.0|EFL-2.0|eiffel|eiffel forum licen[sc]e
-eupl-1.1|EUPL-1.1|european union|european union public licen[sc]e,? (version |v\.? ?)?1\.1
-eupl-1.2|EUPL-1.2|european union|european union public licen[sc]e,? (version |v\.? ?)?1\.2
-cecill-2.1|CECILL-2.1|cecill|cecill( free software)? licen[sc]e
-cecill-b|CECILL-B|cecill|cecill-b
-cecill-c|CECILL-C|cecill|cecill-c
-ms-pl|MS-PL|microsoft|microsoft public licen[sc]e
-ms-rl|MS-RL|microsoft|microsoft reciprocal licen[sc]e
-ms-eula|MS-EULA|microsoft|microsoft software licen[sc]e terms
-ncsa|NCSA|ncsa|(university of illinois ?/ ?)?ncsa open source licen[sc]e
-nasa-1.3|NASA-1.3|nasa|nasa open source agreement
-ntp|NTP|ntp|ntp licen[sc]e
-osl-3.0|OSL-3.0|open software|open software licen[sc]e
-afl-3.0|AFL-3.0|academic free|academic free licen[sc]e
-php-3.01|PHP-3.01|php|php licen[sc]e
-postgresql|PostgreSQL|postgresql|postgresql licen[sc]e
-psf-2.0|PSF-2.0|python|(python software foundation|psf) licen[sc]e
-python-2.0|Python-2.0|python|python licen[sc]e
-qpl-1.0|QPL-1.0|q public|q public licen[sc]e
-ruby|Ruby|ruby|ruby licen[sc]e
-sleepycat|Sleepycat|sleepycat|sleepycat licen[sc]e
-sspl-1.0|SSPL-1.0|server side|server side public licen[sc]e
-elastic-2.0|Elastic-2.0|elastic|elastic licen[sc]e
-tcl|TCL|tcl|tcl ?/ ?tk licen[sc]e
-upl-1.0|UPL-1.0|universal permissive|universal permissive licen[sc]e
-vim|Vim|vim|vim licen[sc]e
-w3c|W3C|w3c|w3c software (notice and )?licen[sc]e
-watcom-1.0|Watcom-1.0|watcom|sybase open watcom public licen[sc]e
-xnet|Xnet|x.net|x\.net licen[sc]e
-zpl-2.1|ZPL-2.1|zope|zope public licen[sc]e
-beerware|Beerware|beer|beer-?ware licen[sc]e
-blueoak-1.0.0|BlueOak-1.0.0|blue oak|blue oak model licen[sc]e
-bsl-check|JSON|json|json licen[sc]e
-curl|curl|curl|curl licen[sc]e
-fair|Fair|fair|fair licen[sc]e
-hpnd|HPND|historical permission|historical permission notice and disclaimer
-icu|ICU|icu|icu licen[sc]e
-ijg|IJG|independent jpeg|independent jpeg group licen[sc]e
-imagemagick|ImageMagick|imagemagick|imagemagick licen[sc]e
-intel|Intel|intel|intel open source licen[sc]e
-latex-1.3c|LPPL-1.3c|latex|latex project public licen[sc]e
-liliq-p-1.1|LiLiQ-P-1.1|liliq|licence libre du qu.bec
-lucent-1.02|LPL-1.02|lucent|lucent public licen[sc]e
-mulan-2.0|MulanPSL-2.0|mulan|mulan permissive software licen[sc]e
-naist|NAIST-2003|naist|naist licen[sc]e
-nokia|Nokia|nokia|nokia open source licen[sc]e
-openldap-2.8|OLDAP-2.8|openldap|openldap public licen[sc]e
-openssl|OpenSSL|openssl|openssl licen[sc]e
-ppl-3.0|PPL-3.0|parity|parity public licen[sc]e
-rpl-1.5|RPL-1.5|reciprocal|reciprocal public licen[sc]e
-sgi-b-2.0|SGI-B-2.0|sgi|sgi free software licen[sc]e b
-simpl-2.0|SimPL-2.0|simple public|simple public licen[sc]e
-sissl|SISSL|sun industry|sun industry standards source licen[sc]e
-spl-1.0|SPL-1.0|sun public|sun public licen[sc]e
-unicode|Unicode-DFS-2016|unicode|unicode(, inc\.)? licen[sc]e agreement
-wxwindows|wxWindows|wxwindows|wxwindows library licen[sc]e
-yahoo-1.1|YPL-1.1|yahoo|yahoo!? public licen[sc]e
+mit|MIT|mit licen[sc]e
+mit-0|MIT-0|mit no attribution licen[sc]e
+mit-modern|MIT-Modern-Variant|mit modern variant
+x11|X11|x11 licen[sc]e
+isc|ISC|isc licen[sc]e
+apache-1.0|Apache-1.0|apache (software )?licen[sc]e,? (version |v)?1\.0
+apache-1.1|Apache-1.1|apache (software )?licen[sc]e,? (version |v)?1\.1
+apache-2.0|Apache-2.0|apache (software )?licen[sc]e,? ?\(?(version |v)?2(\.0)?
+bsd-2-clause|BSD-2-Clause|(simplified|freebsd|2-clause|two-clause) bsd|bsd[ -](2|two)[ -]clause
+bsd-3-clause|BSD-3-Clause|(new|revised|modified|3-clause|three-clause) bsd|bsd[ -](3|three)[ -]clause
+bsd-4-clause|BSD-4-Clause|(original|4-clause|four-clause) bsd|bsd[ -](4|four)[ -]clause
+bsd-0-clause|0BSD|zero[ -]clause bsd|0bsd
+bsd-patent|BSD-2-Clause-Patent|bsd[ -+]+patent
+bsd|BSD|bsd licen[sc]e
+gpl-1.0|GPL-1.0|gnu general public licen[sc]e,? (version |v)1
+gpl-1.0|GPL-1.0|gpl-?v?1(\.0)?
+gpl-2.0|GPL-2.0|gnu general public licen[sc]e,? (version |v)2
+gpl-2.0|GPL-2.0|gpl-?v?2(\.0)?
+gpl-3.0|GPL-3.0|gnu general public licen[sc]e,? (version |v)3
+gpl-3.0|GPL-3.0|gpl-?v?3(\.0)?
+lgpl-2.0|LGPL-2.0|gnu library general public licen[sc]e
+lgpl-2.0|LGPL-2.0|lgpl-?v?2\.0
+lgpl-2.1|LGPL-2.1|gnu lesser general public licen[sc]e,? (version |v)2\.1
+lgpl-2.1|LGPL-2.1|lgpl-?v?2\.1
+lgpl-3.0|LGPL-3.0|gnu lesser general public licen[sc]e,? (version |v)3
+lgpl-3.0|LGPL-3.0|lgpl-?v?3(\.0)?
+agpl-3.0|AGPL-3.0|gnu affero general public licen[sc]e
+agpl-3.0|AGPL-3.0|agpl-?v?3(\.0)?
+gfdl-1.2|GFDL-1.2|gnu free documentation licen[sc]e,? (version |v)1\.2
+gfdl-1.3|GFDL-1.3|gnu free documentation licen[sc]e,? (version |v)1\.3
+gfdl|GFDL|gnu free documentation licen[sc]e
+mpl-1.0|MPL-1.0|mozilla public licen[sc]e,? (version |v)?1\.0
+mpl-1.1|MPL-1.1|mozilla public licen[sc]e,? (version |v)?1\.1
+mpl-2.0|MPL-2.0|mozilla public licen[sc]e,? (version |v)?2(\.0)?
+npl-1.0|NPL-1.0|netscape public licen[sc]e
+epl-1.0|EPL-1.0|eclipse public licen[sc]e( -)?,? (version |v)?1(\.0)?
+epl-2.0|EPL-2.0|eclipse public licen[sc]e( -)?,? (version |v)?2(\.0)?
+edl-1.0|EDL-1.0|eclipse distribution licen[sc]e
+cddl-1.0|CDDL-1.0|common development and distribution licen[sc]e,? (version |v)?1\.0
+cddl-1.1|CDDL-1.1|common development and distribution licen[sc]e,? (version |v)?1\.1
+cpl-1.0|CPL-1.0|common public licen[sc]e
+cpal-1.0|CPAL-1.0|common public attribution licen[sc]e
+ipl-1.0|IPL-1.0|ibm public licen[sc]e
+apsl-2.0|APSL-2.0|apple public source licen[sc]e
+artistic-1.0|Artistic-1.0|artistic licen[sc]e,? (version |v)?1(\.0)?
+artistic-2.0|Artistic-2.0|artistic licen[sc]e,? (version |v)?2(\.0)?
+artistic|Artistic|artistic licen[sc]e
+boost-1.0|BSL-1.0|boost software licen[sc]e
+business-source|BUSL-1.1|business source licen[sc]e
+cc0-1.0|CC0-1.0|cc0( 1\.0)?( universal)?
+cc-by-1.0|CC-BY-1.0|(creative commons|cc) attribution 1\.0
+cc-by-2.0|CC-BY-2.0|(creative commons|cc) attribution 2\.0
+cc-by-2.5|CC-BY-2.5|(creative commons|cc) attribution 2\.5
+cc-by-3.0|CC-BY-3.0|(creative commons|cc) attribution 3\.0
+cc-by-4.0|CC-BY-4.0|(creative commons|cc) attribution 4\.0
+cc-by-sa-2.0|CC-BY-SA-2.0|(creative commons|cc) attribution[ -]share ?alike 2\.0
+cc-by-sa-3.0|CC-BY-SA-3.0|(creative commons|cc) attribution[ -]share ?alike 3\.0
+cc-by-sa-4.0|CC-BY-SA-4.0|(creative commons|cc) attribution[ -]share ?alike 4\.0
+cc-by-nc-3.0|CC-BY-NC-3.0|(creative commons|cc) attribution[ -]non ?commercial 3\.0
+cc-by-nc-4.0|CC-BY-NC-4.0|(creative commons|cc) attribution[ -]non ?commercial 4\.0
+cc-by-nd-4.0|CC-BY-ND-4.0|(creative commons|cc) attribution[ -]no ?deriv\w* 4\.0
+cc-by-nc-sa-4.0|CC-BY-NC-SA-4.0|(creative commons|cc) attribution[ -]non ?commercial[ -]share ?alike 4\.0
+cc-by-nc-nd-4.0|CC-BY-NC-ND-4.0|(creative commons|cc) attribution[ -]non ?commercial[ -]no ?deriv\w* 4\.0
+cc|CC|creative commons licen[sc]e
+pddl-1.0|PDDL-1.0|public domain dedication and licen[sc]e
+odbl-1.0|ODbL-1.0|open database licen[sc]e
+odc-by-1.0|ODC-By-1.0|open data commons attribution licen[sc]e
+ogl-uk-3.0|OGL-UK-3.0|open government licen[sc]e
+unlicense|Unlicense|the unlicense
+wtfpl|WTFPL|do what the f\S+ you want to public licen[sc]e
+zlib|Zlib|zlib( ?/ ?libpng)? licen[sc]e
+libpng|Libpng|libpng licen[sc]e
+ofl-1.1|OFL-1.1|(sil )?open font licen[sc]e
+ecl-2.0|ECL-2.0|educational community licen[sc]e
+efl-2.0|EFL-2.0|eiffel forum licen[sc]e
+eupl-1.1|EUPL-1.1|european union public licen[sc]e,? (version |v\.? ?)?1\.1
+eupl-1.2|EUPL-1.2|european union public licen[sc]e,? (version |v\.? ?)?1\.2
+cecill-2.1|CECILL-2.1|cecill( free software)? licen[sc]e
+cecill-b|CECILL-B|cecill-b
+cecill-c|CECILL-C|cecill-c
+ms-pl|MS-PL|microsoft public licen[sc]e
+ms-rl|MS-RL|microsoft reciprocal licen[sc]e
+ms-eula|MS-EULA|microsoft software licen[sc]e terms
+ncsa|NCSA|(university of illinois ?/ ?)?ncsa open source licen[sc]e
+nasa-1.3|NASA-1.3|nasa open source agreement
+ntp|NTP|ntp licen[sc]e
+osl-3.0|OSL-3.0|open software licen[sc]e
+afl-3.0|AFL-3.0|academic free licen[sc]e
+php-3.01|PHP-3.01|php licen[sc]e
+postgresql|PostgreSQL|postgresql licen[sc]e
+psf-2.0|PSF-2.0|(python software foundation|psf) licen[sc]e
+python-2.0|Python-2.0|python licen[sc]e
+qpl-1.0|QPL-1.0|q public licen[sc]e
+ruby|Ruby|ruby licen[sc]e
+sleepycat|Sleepycat|sleepycat licen[sc]e
+sspl-1.0|SSPL-1.0|server side public licen[sc]e
+elastic-2.0|Elastic-2.0|elastic licen[sc]e
+tcl|TCL|tcl ?/ ?tk licen[sc]e
+upl-1.0|UPL-1.0|universal permissive licen[sc]e
+vim|Vim|vim licen[sc]e
+w3c|W3C|w3c software (notice and )?licen[sc]e
+watcom-1.0|Watcom-1.0|sybase open watcom public licen[sc]e
+xnet|Xnet|x\.net licen[sc]e
+zpl-2.1|ZPL-2.1|zope public licen[sc]e
+beerware|Beerware|beer-?ware licen[sc]e
+blueoak-1.0.0|BlueOak-1.0.0|blue oak model licen[sc]e
+bsl-check|JSON|json licen[sc]e
+curl|curl|curl licen[sc]e
+fair|Fair|fair licen[sc]e
+hpnd|HPND|historical permission notice and disclaimer
+icu|ICU|icu licen[sc]e
+ijg|IJG|independent jpeg group licen[sc]e
+imagemagick|ImageMagick|imagemagick licen[sc]e
+intel|Intel|intel open source licen[sc]e
+latex-1.3c|LPPL-1.3c|latex project public licen[sc]e
+liliq-p-1.1|LiLiQ-P-1.1|licence libre du qu.bec
+lucent-1.02|LPL-1.02|lucent public licen[sc]e
+mulan-2.0|MulanPSL-2.0|mulan permissive software licen[sc]e
+naist|NAIST-2003|naist licen[sc]e
+nokia|Nokia|nokia open source licen[sc]e
+openldap-2.8|OLDAP-2.8|openldap public licen[sc]e
+openssl|OpenSSL|openssl licen[sc]e
+ppl-3.0|PPL-3.0|parity public licen[sc]e
+rpl-1.5|RPL-1.5|reciprocal public licen[sc]e
+sgi-b-2.0|SGI-B-2.0|sgi free software licen[sc]e b
+simpl-2.0|SimPL-2.0|simple public licen[sc]e
+sissl|SISSL|sun industry standards source licen[sc]e
+spl-1.0|SPL-1.0|sun public licen[sc]e
+unicode|Unicode-DFS-2016|unicode(, inc\.)? licen[sc]e agreement
+wxwindows|wxWindows|wxwindows library licen[sc]e
+yahoo-1.1|YPL-1.1|yahoo!? public licen[sc]e
 """
 
-# label | priority | keyword | pattern of a passage that stands in the license or its notice
+# label | priority | pattern of a passage that stands in the license or its notice
 _PASSAGES = r"""
-mit|90|permission is hereby|permission is hereby granted, free of charge, to any person obtaining a copy
-isc|90|permission to use|permission to use, copy, modify, and(/or)? distribute this software for any purpose
-bsd|85|redistribution and use|redistribution and use in source and binary forms
-bsd-3-clause|92|endorse or promote|neither the name of .{1,80}? may be used to endorse or promote
-bsd-4-clause|92|advertising materials|all advertising materials mentioning features or use of this software
-gpl|88|free software|this program is free software[:;,] you can redistribute it
-lgpl|88|free software|this library is free software[:;,] you can redistribute it
-gpl-2.0|91|either version 2|either version 2 of the licen[sc]e, or
-gpl-3.0|91|either version 3|either version 3 of the licen[sc]e, or
-gpl-2.0|91|version 2 only|version 2 only of the licen[sc]e
-agpl-3.0|89|remote network|remote network interaction; use with the gnu general public licen[sc]e
-mpl-2.0|91|source code form|this source code form is subject to the terms of the mozilla public licen[sc]e
-unlicense|92|released into the public domain|this is free and unencumbered software released into the public domain
-wtfpl|92|do what the|everyone is permitted to copy and distribute verbatim or modified copies
-zlib|88|provided 'as-is'|this software is provided 'as-is', without any express or implied warranty
-boost-1.0|90|boost|distributed under the boost software licen[sc]e, version 1\.0
-public-domain|70|public domain|(released|placed|dedicated) (in|into|to) the public domain
-public-domain|40|public domain|public domain
-proprietary|75|all rights reserved|copyright .{1,80}? all rights reserved
-proprietary|75|confidential|confidential and proprietary .{0,40}?licen[sc]e
-no-warranty|30|without warranty|without warranty of any kind
-no-warranty|30|without any warranty|without any warranty
-no-warranty|35|merchantability|implied warrant(y|ies) of merchantability
-copyright|20|copyright|copyright (\(c\) |\xA9 ?)?(19|20)[0-9]{2}
-copyleft|25|copyleft|copyleft
+mit|90|permission is hereby granted, free of charge, to any person obtaining a copy
+isc|90|permission to use, copy, modify, and(/or)? distribute this software for any purpose
+bsd|85|redistribution and use in source and binary forms
+bsd-3-clause|92|neither the name of .{1,80}? may be used to endorse or promote
+bsd-4-clause|92|all advertising materials mentioning features or use of this software
+gpl|88|this program is free software[:;,] you can redistribute it
+lgpl|88|this library is free software[:;,] you can redistribute it
+gpl-2.0|91|either version 2 of the licen[sc]e, or
+gpl-3.0|91|either version 3 of the licen[sc]e, or
+gpl-2.0|91|version 2 only of the licen[sc]e
+agpl-3.0|89|remote network interaction; use with the gnu general public licen[sc]e
+mpl-2.0|91|this source code form is subject to the terms of the mozilla public licen[sc]e
+unlicense|92|this is free and unencumbered software released into the public domain
+wtfpl|92|everyone is permitted to copy and distribute verbatim or modified copies
+zlib|88|this software is provided 'as-is', without any express or implied warranty
+boost-1.0|90|distributed under the boost software licen[sc]e, version 1\.0
+public-domain|70|(released|placed|dedicated) (in|into|to) the public domain
+public-domain|40|public domain
+proprietary|75|copyright .{1,80}? all rights reserved
+proprietary|75|confidential and proprietary .{0,40}?licen[sc]e
+no-warranty|30|without warranty of any kind
+no-warranty|30|without any warranty
+no-warranty|35|implied warrant(y|ies) of merchantability
+copyright|20|copyright (\(c\) |\xA9 ?)?(19|20)[0-9]{2}
+copyleft|25|copyleft
 """
 
 _UNDER = r"(licen[sc]ed|released|distributed|published|provided|(made )?available) under (the )?(terms of )?(the )?(gnu )?"
 
 
+def needed_words(pattern: str) -> list[str]:
+    """Lower-case words that stand in every text ``pattern`` matches: what is
+    left of it without groups, classes, escapes and optional characters.  Of
+    alternatives only words that each of them has."""
+    pattern = pattern.lower()
+    while (bare := re.sub(r"\((?:[^()\\]|\\.)*\)", "\0", pattern)) != pattern:
+        pattern = bare
+    runs = []
+    for branch in pattern.split("|"):
+        for cut in (r"\\x[0-9a-f]{2}|\\.", r"\[[^]]*\]", r".\{[^}]*\}", r".[?*]"):
+            branch = re.sub(cut, "\0", branch)
+        runs.append(re.findall(r"[a-z0-9][a-z0-9-]+[a-z0-9]", branch))
+    return [w for w in dict.fromkeys(runs[0]) if all(any(w in x for x in other) for other in runs[1:])]
+
+
+def cover(needs: list[list[str]]) -> list[str]:
+    """Words of which each list of ``needs`` holds one, so that a text without
+    all of them holds no list whole: the most common one, then long ones of
+    the lists that leave the least choice."""
+    out = [Counter(w for words in needs for w in words).most_common(1)[0][0]]
+    for words in sorted(needs, key=len):
+        if not any(g in w for g in out for w in words):
+            out.append(max(words, key=len))
+    return [g for g in out if not any(h != g and h in g for h in out)]
+
+
 def rule_table() -> list[dict]:
     """All rules in order: passages first, then identifiers, statements and names."""
     out = []
 
-    def add(label: str, priority: int, keyword: str, pattern: str) -> None:
+    def add(label: str, priority: int, pattern: str, words: list[str]) -> None:
         # any white space may stand where the pattern has a blank
-        out.append({"o": len(out), "label": label, "prio": priority, "kw": keyword,
+        out.append({"o": len(out), "label": label, "prio": priority, "kws": words,
                     "rx": "(?i)" + pattern.replace(" ", r"\s+" if r"\s+" not in pattern else " ").replace("(", "(?:")
                           .replace("(?:?", "(?").replace(r"\(?:", r"\(")})
 
     for line in _PASSAGES.strip().splitlines():
-        label, priority, keyword, pattern = line.split("|", 3)
-        add(label, int(priority), keyword, pattern)
-    names = [line.split("|", 3) for line in _NAMES.strip().splitlines()]
+        label, priority, pattern = line.split("|", 2)
+        add(label, int(priority), pattern, needed_words(pattern))
+    names = [line.split("|", 2) for line in _NAMES.strip().splitlines()]
     for label, ident in dict.fromkeys((n[0], n[1]) for n in names):
         end = r"(?![\w.+-])" if not ident[-1].isdigit() else r"(-only|-or-later|\+)?(?![\w.+])"
-        add(label, 100, "spdx-license-identifier",
-            r"spdx-license-identifier:\s*\(?" + ident.replace(".", r"\.") + end)
-    for label, _, keyword, pattern in names:
-        add(label, 80, keyword, _UNDER + f"({pattern})(?!\\w)")
-    for label, _, keyword, pattern in names:
-        add(label, 60, keyword, f"(?<!\\w)({pattern})(?!\\w)")
+        pattern = r"spdx-license-identifier:\s*\(?" + ident.replace(".", r"\.") + end
+        add(label, 100, pattern, needed_words(pattern))
+    for label, _, pattern in names:
+        add(label, 80, _UNDER + f"({pattern})(?!\\w)", ["under", *needed_words(pattern)])
+    for label, _, pattern in names:
+        add(label, 60, f"(?<!\\w)({pattern})(?!\\w)", needed_words(pattern))
     return out
 
 
@@ -240,17 +265,20 @@ def _base(text: Column) -> Column:
 _DETECTION = "struct<s:int,len:int,prio:int,o:int,label:string>"
 
 
-def _detections(text: Column, low: Column) -> Column:
+def _detections(text: Column, low: Column, table: list[dict]) -> Column:
     """Surviving detections of all rules, in the order of their intervals."""
-    rules = F.from_json(F.lit(json.dumps(rule_table())),
-                        "array<struct<o:int,label:string,prio:int,kw:string,rx:string>>")
+    rules = F.from_json(F.lit(json.dumps(table)),
+                        "array<struct<o:int,label:string,prio:int,kws:array<string>,rx:string>>")
 
     def of_rule(r: Column) -> Column:
         return F.transform(places(text, r["rx"]), lambda x: F.struct(
             x["s"].alias("s"), (x["s"] - x["e"]).alias("len"), (-r["prio"]).alias("prio"), r["o"].alias("o"),
             r["label"].alias("label")))
 
-    found = F.array_sort(F.flatten(F.transform(F.filter(rules, lambda r: F.contains(low, r["kw"]) & F.rlike(text, r["rx"])), of_rule)))
+    words_of_all = F.lit(sorted({w for r in table for w in r["kws"]}))
+    may = let(F.filter(words_of_all, lambda w: ~F.contains(low, w)), lambda absent: F.filter(
+        rules, lambda r: ~F.arrays_overlap(r["kws"], absent) & F.rlike(text, r["rx"])))
+    found = F.array_sort(F.flatten(F.transform(may, of_rule)))
 
     def keep(acc: Column, d: Column) -> Column:
         inside = d["s"] - d["len"] <= acc["end"]
@@ -265,8 +293,10 @@ def _detections(text: Column, low: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of counts, places and labels for each row of ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    gated = let(F.lower(text), lambda low: F.when(holds_any(low, GATES), F.struct(
-        _base(text).alias("base"), _detections(text, low).alias("rules"))))
+    table = rule_table()
+    gate = cover([r["kws"] for r in table] + [list(phrase) for phrase in BASE.values()])
+    gated = let(F.lower(text), lambda low: F.when(holds_any(low, gate), F.struct(
+        _base(text).alias("base"), _detections(text, low, table).alias("rules"))))
     rows = docs.select(F.col(id_col).alias("doc_id"),
                        F.size(words(text)).cast("long").alias("n_words"), gated.alias("found"))
     hits = F.filter(F.coalesce(F.col("found.base"), F.array().cast(
