@@ -32,10 +32,11 @@ def least(rx, pick=0, blank=" "):
 def brute(text):
     found = sorted((m.start(), m.start() - m.end(), -r["prio"], r["o"], r["label"]) for r in license_rules.rule_table()
                    for m in re.finditer(r["rx"], text, re.ASCII))
-    labels, end, best = set(), 0, 0
-    for s, length, prio, _, label in found:
-        if s - length > end:
-            end, best = s - length, max(best, -prio)
+    gaps = {r["o"] for r in license_rules.rule_table() if r.get("gap")}
+    labels, end, best, at = set(), 0, 0, -1
+    for s, length, prio, o, label in found:
+        if s - length > end and s != at:
+            end, at, best = (end, s, max(best, -prio)) if o in gaps else (s - length, at, max(best, -prio))
             labels.add(label)
     return labels, best
 
@@ -68,3 +69,21 @@ def test_names_without_the_word_license(spark):
                         "Creative Commons Attribution 4.0", "NASA Open Source Agreement", "nothing of it"])
     assert list(got.values()) == ["gpl-3.0", "cc0-1.0", "agpl-3.0", "bsd-2-clause", "bsd-0-clause", "cc-by-4.0",
                                   "nasa-1.3", ""]
+
+
+def test_wrapped_texts_of_every_rule(spark):
+    check(spark, [least(r["rx"], -1, "\n   ") for r in license_rules.rule_table()])
+
+
+def test_white_space_and_gaps(spark):
+    holder = "the " + "very long name of a holder " * 9000
+    bsd = "Neither the name of\n%s nor the names of its\ncontributors may be\nused to endorse or promote products"
+    got = check(spark, [
+        "GNU General\nPublic License version 2", "GNU Lesser\nGeneral Public License, version  3",
+        "either\nversion 2 of the License, or", "without\nwarranty of any kind", "Tcl/Tk License",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0", "bsd  3-clause", bsd % "Foo", bsd % holder,
+        "Copyright 2020 Foo\n\nAll rights reserved", "Copyright 2020 Foo, under the MIT License, all rights reserved",
+        "copyright of all, neither the name of it " * 3000 + "rights reserved may be used to endorse or promote"])
+    assert list(got.values())[:11] == [
+        "gpl,gpl-2.0", "gpl,lgpl-3.0", "gpl-2.0", "no-warranty", "tcl", "cc-by-nc-sa-4.0", "bsd-3-clause", "bsd-3-clause",
+        "bsd-3-clause", "proprietary", "mit,proprietary"]

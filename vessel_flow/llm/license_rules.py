@@ -6,6 +6,8 @@ small cover of the rules is skipped; else the patterns are tried whose words
 it holds, all of them.  Detections are resolved by intervals: sorted by start
 and falling length, one that lies inside an earlier one is dropped; of equal
 intervals the one with the higher priority, then the earlier rule, stays.
+One with a gap of any length drops only what begins where it does, so that
+nothing in the gap is lost.
 
 Base phrases are counted apart and always give their label.
 
@@ -39,7 +41,7 @@ bsd-2-clause|BSD-2-Clause|(simplified|freebsd|2-clause|two-clause) bsd|bsd[ -](2
 bsd-3-clause|BSD-3-Clause|(new|revised|modified|3-clause|three-clause) bsd|bsd[ -](3|three)[ -]clause
 bsd-4-clause|BSD-4-Clause|(original|4-clause|four-clause) bsd|bsd[ -](4|four)[ -]clause
 bsd-0-clause|0BSD|zero[ -]clause bsd|0bsd
-bsd-patent|BSD-2-Clause-Patent|bsd[ -+]+patent
+bsd-patent|BSD-2-Clause-Patent|bsd[ +-]+patent
 bsd|BSD|bsd licen[sc]e
 gpl-1.0|GPL-1.0|gnu general public licen[sc]e,? (version |v)1
 gpl-1.0|GPL-1.0|gpl-?v?1(\.0)?
@@ -160,12 +162,13 @@ wxwindows|wxWindows|wxwindows library licen[sc]e
 yahoo-1.1|YPL-1.1|yahoo!? public licen[sc]e
 """
 
-# label | priority | pattern of a passage that stands in the license or its notice
+# label | priority | pattern of a passage that stands in the license or its notice; a <gap> is any text without what is
+# before it, and of any length
 _PASSAGES = r"""
 mit|90|permission is hereby granted, free of charge, to any person obtaining a copy
 isc|90|permission to use, copy, modify, and(/or)? distribute this software for any purpose
 bsd|85|redistribution and use in source and binary forms
-bsd-3-clause|92|neither the name of .{1,80}? may be used to endorse or promote
+bsd-3-clause|92|neither the name of <gap> may be used to endorse or promote
 bsd-4-clause|92|all advertising materials mentioning features or use of this software
 gpl|88|this program is free software[:;,] you can redistribute it
 lgpl|88|this library is free software[:;,] you can redistribute it
@@ -180,8 +183,8 @@ zlib|88|this software is provided 'as-is', without any express or implied warran
 boost-1.0|90|distributed under the boost software licen[sc]e, version 1\.0
 public-domain|70|(released|placed|dedicated) (in|into|to) the public domain
 public-domain|40|public domain
-proprietary|75|copyright .{1,80}? all rights reserved
-proprietary|75|confidential and proprietary .{0,40}?licen[sc]e
+proprietary|75|copyright <gap> all rights reserved
+proprietary|75|confidential and proprietary [\s\S]{0,40}?licen[sc]e
 no-warranty|30|without warranty of any kind
 no-warranty|30|without any warranty
 no-warranty|35|implied warrant(y|ies) of merchantability
@@ -201,7 +204,7 @@ def needed_words(pattern: str) -> list[str]:
         pattern = bare
     runs = []
     for branch in pattern.split("|"):
-        for cut in (r"\\x[0-9a-f]{2}|\\.", r"\[[^]]*\]", r".\{[^}]*\}", r".[?*]"):
+        for cut in ("<gap>", r"\\x[0-9a-f]{2}|\\.", r"\[[^]]*\]", r".\{[^}]*\}", r".[?*]"):
             branch = re.sub(cut, "\0", branch)
         runs.append(re.findall(r"[a-z0-9][a-z0-9-]+[a-z0-9]", branch))
     return [w for w in dict.fromkeys(runs[0]) if all(any(w in x for x in other) for other in runs[1:])]
@@ -223,10 +226,12 @@ def rule_table() -> list[dict]:
     out = []
 
     def add(label: str, priority: int, pattern: str, words: list[str]) -> None:
+        opening, gap, _ = pattern.partition("<gap>")
+        rx = pattern.replace("<gap>", f"((?!{opening})[\\s\\S])+?")
         # any white space may stand where the pattern has a blank
-        out.append({"o": len(out), "label": label, "prio": priority, "kws": words,
-                    "rx": "(?i)" + pattern.replace(" ", r"\s+" if r"\s+" not in pattern else " ").replace("(", "(?:")
-                          .replace("(?:?", "(?").replace(r"\(?:", r"\(")})
+        rx = rx.replace("[ -]", r"[\s-]+").replace("[ +-]", r"[\s+-]").replace(" ?", r"\s*").replace(" ", r"\s+")
+        out.append({"o": len(out), "label": label, "prio": priority, "kws": words, "gap": bool(gap),
+                    "rx": "(?i)" + rx.replace("(", "(?:").replace("(?:?", "(?").replace(r"\(?:", r"\(")})
 
     for line in _PASSAGES.strip().splitlines():
         label, priority, pattern = line.split("|", 2)
@@ -262,18 +267,15 @@ def _base(text: Column) -> Column:
     return F.array(*[one(k, w) for k, w in BASE.items()])
 
 
-_DETECTION = "struct<s:int,len:int,prio:int,o:int,label:string>"
-
-
 def _detections(text: Column, low: Column, table: list[dict]) -> Column:
     """Surviving detections of all rules, in the order of their intervals."""
     rules = F.from_json(F.lit(json.dumps(table)),
-                        "array<struct<o:int,label:string,prio:int,kws:array<string>,rx:string>>")
+                        "array<struct<o:int,label:string,prio:int,kws:array<string>,gap:boolean,rx:string>>")
 
     def of_rule(r: Column) -> Column:
         return F.transform(places(text, r["rx"]), lambda x: F.struct(
             x["s"].alias("s"), (x["s"] - x["e"]).alias("len"), (-r["prio"]).alias("prio"), r["o"].alias("o"),
-            r["label"].alias("label")))
+            r["label"].alias("label"), r["gap"].alias("gap")))
 
     words_of_all = F.lit(sorted({w for r in table for w in r["kws"]}))
     may = let(F.filter(words_of_all, lambda w: ~F.contains(low, w)), lambda absent: F.filter(
@@ -281,12 +283,14 @@ def _detections(text: Column, low: Column, table: list[dict]) -> Column:
     found = F.array_sort(F.flatten(F.transform(may, of_rule)))
 
     def keep(acc: Column, d: Column) -> Column:
-        inside = d["s"] - d["len"] <= acc["end"]
+        end = d["s"] - d["len"]
+        inside = (end <= acc["end"]) | (d["s"] == acc["at"])
         return F.when(inside, acc).otherwise(F.struct(
-            (d["s"] - d["len"]).alias("end"), F.array_union(acc["labels"], F.array(d["label"])).alias("labels"),
+            F.when(d["gap"], acc["end"]).otherwise(end).alias("end"), F.when(d["gap"], d["s"]).otherwise(acc["at"]).alias("at"),
+            F.array_union(acc["labels"], F.array(d["label"])).alias("labels"),
             F.greatest(acc["best"], -d["prio"]).alias("best")))
 
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("best"))
+    start = F.struct(F.lit(0).alias("end"), F.lit(-1).alias("at"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("best"))
     return F.aggregate(found, start, keep)
 
 
