@@ -20,6 +20,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import common
 from .spans import holds_any, let, places
 
+#: A private key runs to its END line; where that is missing or prose comes before it, through the lines of base64 after
+#: its header.
+_B64 = r"(?:\s|\\[nrt]|[\"'+,#*>])*+[A-Za-z0-9+/=]"
+_PEM = (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+        r"(?:(?:(?!-----|[a-z]{1,20} [a-z]{1,20} [a-z]{1,20} [a-z]{1,20} )[\s\S])*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+        rf"|(?:(?:\s|\\[nr])*+(?:Proc-Type|DEK-Info): [A-Za-z0-9,-]*+)*+(?:{_B64}{{16,}}+)++(?:{_B64}++\s*+\z)?|)")
+
 #: kind, pattern, group of the value, least characters of it, words of which one must be there (lower case).
 #: The first three are the base kinds; a hex match is a maximal run, so its least length can stand in the pattern.
 KINDS = [
@@ -32,7 +39,7 @@ KINDS = [
     ("google", r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{35}", 0, 39, ["aiza"]),
     ("stripe", r"(?<![A-Za-z0-9])[rs]k_live_[0-9a-zA-Z]{16,}", 0, 24, ["k_live_"]),
     ("jwt", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30, ["eyj"]),
-    ("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 27, ["private key-----"]),
+    ("pem", _PEM, 0, 27, ["private key-----"]),
 ]
 BASE_KINDS = 3
 #: A value held by at least this many owners, or repositories, is a copied example.
@@ -43,10 +50,28 @@ EXAMPLE_WORDS = ["example", "changeme", "placeholder", "password", "xxxx", "dumm
 _SPAN = "struct<s:int,k:int,e:int,h:bigint,odd:boolean>"
 
 
-def _random_looking(value: Column) -> Column:
-    """At least 6 different characters, a digit, and no word of an example."""
-    chars = F.array_distinct(F.split(value, ""))
-    return (F.size(chars) >= 6) & value.rlike("[0-9]") & ~holds_any(F.lower(value), EXAMPLE_WORDS)
+def _value(kind: str, span: Column) -> Column:
+    """What tells one secret of a kind from another: of a private key the
+    base64 of its body, however it is wrapped or quoted."""
+    if kind != "pem":
+        return span
+    return F.regexp_replace(span, r"-----[A-Z ]+-----|(Proc-Type|DEK-Info): [A-Za-z0-9,-]*|\\[nrt]|[^A-Za-z0-9+/=]", "")
+
+
+def _random_looking(kind: str, value: Column, after: Column) -> Column:
+    """At least 6 different characters and no word of an example.  A private
+    key's body has 24 characters; it may hold such a word by chance, from 64 on.
+    An assigned value without a digit is no plain name (dotted, called, indexed
+    or compared), and is long or mixed."""
+    varied = F.size(F.array_distinct(F.split(value, ""))) >= 6
+    plain = ~holds_any(F.lower(value), EXAMPLE_WORDS)
+    if kind == "pem":
+        return varied & (F.char_length(value) >= 24) & (plain | (F.char_length(value) >= 64))
+    if kind != "assign":
+        return varied & plain
+    name = value.rlike(r"^=|^[A-Za-z_]+([.][A-Za-z_]+)+$") | after.isin("(", "[")
+    mixed = value.rlike(r"[a-z][A-Z].*[a-z][A-Z]|(?i)[bcdfghjklmnpqrstvwxz]{5}")
+    return varied & plain & (value.rlike("[0-9]") | ~name & ((F.char_length(value) >= 12) | mixed))
 
 
 def candidate_spans(text: Column) -> Column:
@@ -55,12 +80,13 @@ def candidate_spans(text: Column) -> Column:
     none = F.array().cast(f"array<{_SPAN}>")
 
     def of_kind(k: int, low: Column) -> Column:
-        _, pattern, group, least, words = KINDS[k]
-        value = lambda x: F.substring(text, x["e"] - x["n"] + 1, x["n"])
+        kind, pattern, group, least, words = KINDS[k]
+        value = lambda x: _value(kind, F.substring(text, x["e"] - x["n"] + 1, x["n"]))
+        odd = lambda x: _random_looking(kind, value(x), F.substring(text, x["e"] + 1, F.lit(1)))
         found = F.transform(
             F.filter(places(text, F.lit(pattern), group), lambda x: x["n"] >= least),
             lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"),
-                               F.xxhash64(value(x)).alias("h"), _random_looking(value(x)).alias("odd")))
+                               F.xxhash64(value(x)).alias("h"), odd(x).alias("odd")))
         gate = holds_any(low, words) if words else text.rlike(pattern)
         return F.when(gate, found).otherwise(none)
 
@@ -122,9 +148,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     text = F.col(text_col)
 
     def cut(acc: Column, x: Column) -> Column:
-        return F.when(x["s"] < acc["at"], acc).otherwise(F.struct(
-            x["e"].alias("at"), F.concat(acc["out"], F.array(
-                F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).alias("out")))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(
+            F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)))).alias("out"))
 
     clean = F.aggregate("__live", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), cut,
                         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(
