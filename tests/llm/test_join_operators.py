@@ -235,6 +235,23 @@ def test_main_text(weights):
     html_model.main_text(deep, weights)
 
 
+def test_left_out_end_tags_lose_no_article(weights):
+    article = "<article><h1>The title</h1><p>One two three.</p></article>"
+    before = ["<form><input list=x><datalist id=x><option value=a><option value=b></datalist></form>",
+              "<form><select><option>A<option>B</select></form>", "<form><select><option>A<option>B</form>",
+              "<select><option>A<optgroup label=l><option>B", "<button>Go", "<form><button>Go</form>",
+              "<button>Go</button><button>Go", "<noscript>", "<template>", "<noscript><p>Turn it on</p></noscript>",
+              "<template><div>a<template><p>b</p></template>c</div></template>", "<svg><path d='M0'>", "<svg><title>x</svg>",
+              "<svg><title>t</title><text>x</text></svg>", "<svg/>", "<svg><svg/><p>x</p></svg>", "<title>a <button></title><button><p>x</p></button>", "<button><div>Go</div></button>",
+              "<!-- <noscript> --><script>'<noscript>'</script>", "<style>p{}</style><textarea><p>x</textarea>",
+              "<a title=it's></a>", '<a title="5" tall"></a>', "<a title = 'x>y' b=c\"></a>", '<a href=x="5></a>']
+    for part in before:
+        assert html_model.main_text(f"<body>{part}{article}</body>", weights) == "The title\n\nOne two three.", part
+    inside = "<article><p>One <button><div>x</div></button>two <svg><text>x</svg>three<select><option>x</select>.</p></article>"
+    assert html_model.main_text(inside, weights) == "One two three."
+    dom.parse("<a b=c " * 3000 + "=" * 3000)
+
+
 def test_extract_rows(spark, weights):
     rows = [(1, "u", "<article><h1>a</h1><p>b c</p></article>"), (None, None, None), (2, "u", ""), (2, "u", "")]
     got = sorted(map(repr, map(tuple, html_model.extract(pages(spark, rows), weights).collect())))

@@ -8,7 +8,10 @@ from dataclasses import dataclass, field
 
 # fixed values: element kinds of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg select option button".split())
+RAW = frozenset("script style title textarea iframe".split())  # up to the end tag their content is no markup
+#: Ordinary elements whose content is no text of the page.  One without an end tag ends where its parent does or a block
+#: begins; noscript and template, which hold blocks, are then no elements.
+ASIDE = frozenset("svg select option optgroup button noscript template".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table "
@@ -16,12 +19,16 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("html head body".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
             "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"),
-            "tfoot": ("tbody", "tr", "td", "th"), "option": ("option",)}
-LISTS = frozenset("table ul ol dl menu".split())
-SCOPE = frozenset("table ul ol dl div article section body html td th".split())
+            "tfoot": ("tbody", "tr", "td", "th"), "option": ("option",),
+            "optgroup": ("option", "optgroup")}
+LISTS = frozenset("table ul ol dl menu".split()) | ASIDE
+SCOPE = frozenset("table ul ol dl div article section body html td th".split()) | ASIDE
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-                   re.S)
+_ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?+)*+"  # a quoted value begins after "=" only
+_MARK = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})>", re.S)
+_ASIDE_MARK = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|iframe)\b.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)(svg|select|button|noscript|template)(?![^\s/>])({_ATTRS})>", re.S | re.I)
 _CUT = re.compile(r"</?[a-zA-Z][^>]*\Z")  # a tag that the page's end cuts off
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
@@ -46,6 +53,20 @@ class Page:
     blocks: list[tuple[int, str]]  # (node, text) in page order
 
 
+def _ended(source: str) -> set[int]:
+    """Starts of the elements of ``ASIDE`` that have an end tag."""
+    open_at: dict[str, list[int]] = {}
+    out = set()
+    for m in _ASIDE_MARK.finditer(source):
+        if m[3] and not m[4].rstrip().endswith("/"):
+            mine = open_at.setdefault(m[3].lower(), [])
+            if not m[2]:
+                mine.append(m.start())
+            elif mine:
+                out.add(mine.pop())
+    return out
+
+
 def parse(source: str | None) -> Page:
     """The block-level tree of a page.  Inline elements only count for the
     share of link text; text belongs to the nearest block element."""
@@ -55,6 +76,8 @@ def parse(source: str | None) -> Page:
     open_tags: list[tuple[str, int]] = [("#root", 0)]  # inline ones point at their block
     held: list[str] = []
     links = link_chars = 0
+    aside, loose = 0, False  # where the outermost open element of ASIDE stands, and that it has no end tag
+    ended = _ended(source)
 
     def flush() -> None:
         nonlocal link_chars
@@ -70,18 +93,17 @@ def parse(source: str | None) -> Page:
         link_chars = 0
 
     def close(down_to: int) -> None:
-        nonlocal links
-        for tag, _ in open_tags[down_to:]:
-            if tag in BLOCK:
-                flush()
-            links -= tag == "a"
+        nonlocal links, aside
+        if any(tag in BLOCK for tag, _ in open_tags[down_to:aside or None]):
+            flush()  # while the block is still open
+        links -= sum(tag == "a" for tag, _ in open_tags[down_to:])
         del open_tags[down_to:]
+        if aside >= down_to:
+            aside = 0
 
     def close_open(tags: tuple[str, ...], barrier: frozenset[str]) -> None:
         for k in range(len(open_tags) - 1, 0, -1):
             if open_tags[k][0] in tags:
-                # flush while the block is still open, then drop it and what is inside
-                flush()
                 close(k)
                 return
             if open_tags[k][0] in barrier:
@@ -91,7 +113,7 @@ def parse(source: str | None) -> Page:
     while at < end:
         m = _MARK.search(source, at)
         stop = m.start() if m else end
-        if stop > at:
+        if stop > at and not aside:
             piece = source[at:stop] if m else _CUT.sub("", source[at:stop])
             held.append(piece)
             if links > 0:
@@ -105,27 +127,33 @@ def parse(source: str | None) -> Page:
         if m[1]:  # an end tag
             for k in range(len(open_tags) - 1, 0, -1):
                 if open_tags[k][0] == tag:
-                    if tag in BLOCK or any(t in BLOCK for t, _ in open_tags[k:]):
-                        flush()
                     close(k)
                     break
             continue
         if tag == "br":
-            held.append(" ")
+            if not aside:
+                held.append(" ")
             continue
-        if tag in BLOCK:
-            if tag in CLOSES_P:
-                close_open(("p",), SCOPE)
-            if tag in SIBLINGS:
-                close_open(SIBLINGS[tag], LISTS)
+        if tag in BLOCK and aside and loose:
+            close(aside)
+        if tag in CLOSES_P:
+            close_open(("p",), SCOPE)
+        if tag in SIBLINGS:
+            close_open(SIBLINGS[tag], LISTS)
+        if tag in BLOCK and not aside:
             flush()
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
-        if tag in RAW:  # its content is no text of the page
+        if tag in RAW and not (tag == "title" and aside and any(t == "svg" for t, _ in open_tags[aside:])):
+            # its content is no text of the page
             shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = shut.end() if shut else end
             continue
-        if tag in BLOCK:
+        if tag in ("noscript", "template") and m.start() not in ended:
+            continue
+        if tag in ASIDE and not aside:
+            aside, loose = len(open_tags), m.start() not in ended
+        if tag in BLOCK and not aside:
             parent = open_tags[-1][1]
             nodes.append(Node(tag, parent, m[3]))
             nodes[parent].children.append(len(nodes) - 1)
