@@ -53,6 +53,17 @@ def test_sharding_of_no_rows(spark):
     assert _shards(spark, frame(spark, [])) == []
 
 
+def test_sharding_deals_out_a_hot_row(spark):
+    hot = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("hot").alias("text"))
+    docs = hot.unionByName(spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("row").alias("text")))
+    out = sharding.assign(docs, sharding.Ring(8, vnodes=50, cells=4096))
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(tasks) == 205_000 and max(tasks) <= 45_000
+    slots = out.groupBy("shard").agg(F.count("slot").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m"))
+    assert all(r.n == r.d == r.m + 1 for r in slots.collect())
+    assert out.where("doc_id is null").count() == 200_000
+
+
 def test_overflow_continues_clockwise():
     ring = sharding.Ring(3, vnodes=4, cells=64)
     points, first = ring.points(), ring.first_point(ring.points())

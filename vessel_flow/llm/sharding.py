@@ -15,7 +15,8 @@ cut, and its shard is charged with the whole of it.
 
 Defined cases: a null text has size 16 and checksum 0; null and repeated ids
 are placed like any other row; rows that agree in id, size and checksum are
-counted first, so that a hot row is no hot group; an empty table gives no rows.
+counted first, placed as a group and expanded in runs of bounded length, so
+that a hot row is no hot group; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import common
 
 OPEN_END = 1 << 62
+#: Most copies of a row that are expanded at once.
+RUN = 10_000
 
 
 @dataclass(frozen=True)
@@ -148,18 +151,27 @@ def assign(docs: DataFrame, ring: Ring, slack: float = 0.001, id_col: str = "doc
         frame, "cell int, piece int, lo long, hi long, shard int"))  # at most cells + points rows
 
     in_cell = Window.partitionBy("cell").orderBy(F.xxhash64("id", "crc"), "id", "size", "crc")
+    # the middle of copy k lies at before + k * size + size div 2, so a piece holds copies first to last - 1
+    copies_below = lambda end: F.greatest(F.lit(0).cast("long"), F.least(
+        F.col("copies"), F.expr(f"({end} - before - size div 2 + size - 1) div size")))
     placed = (rows
               .withColumn("before", F.sum(F.col("size") * F.col("copies")).over(in_cell) - F.col("size") * F.col("copies"))
-              .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-              .withColumn("start", F.col("before") + (F.col("copy") - 1) * F.col("size"))
               .join(table, "cell")
-              .where("start + size div 2 >= lo and start + size div 2 < hi"))
-    in_piece = Window.partitionBy("cell", "piece").orderBy("start")
-    placed = common.cut_lineage(placed.select("id", "size", "crc", "cell", "piece", "shard",
-                                              F.row_number().over(in_piece).alias("rank")))
+              .withColumn("n", copies_below("hi") - copies_below("lo")).where("n > 0"))
+    in_piece = Window.partitionBy("cell", "piece").orderBy("before")
+    placed = common.cut_lineage(placed.select("id", "size", "crc", "cell", "piece", "shard", "n", (
+        F.sum("n").over(in_piece) - F.col("n")).alias("rank")))
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    base = (placed.groupBy("shard", "piece").count()
+    base = (placed.groupBy("shard", "piece").agg(F.sum("n").alias("count"))
             .select("piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base")))
-    return (placed.join(F.broadcast(base), "piece")  # as many rows as pieces at most
+    placed = placed.join(F.broadcast(base), "piece")  # as many rows as pieces at most
+    # a group of many copies is dealt out in runs before it is expanded
+    runs = (placed.where(F.col("n") > RUN)
+            .withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
+            .withColumn("rank", F.col("rank") + F.col("at"))
+            .withColumn("n", F.least(F.col("n") - F.col("at"), F.lit(RUN))).drop("at")
+            .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return (placed.where(F.col("n") <= RUN).unionByName(runs)
+            .withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
             .select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard",
-                    (F.col("base") + F.col("rank") - 1).cast("long").alias("slot"), "cell"))
+                    (F.col("base") + F.col("rank") + F.col("k")).cast("long").alias("slot"), "cell"))
