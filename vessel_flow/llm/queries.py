@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import arc_warc, common, html_model, jaccard, license_rules, packing, quality_ftrl, repetition, secrets, sharding, winnow
+from . import (arc_warc, common, html_model, jaccard, license_rules, orchard, packing, quality_ftrl, recompression,
+               repetition, secrets, sharding, spelling, winnow)
 
 PACKING = packing.Params(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                          public_tokenizers.PATTERN)
@@ -54,6 +57,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.decontaminate(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup(common.read(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(common.read(spark, sf_dir, "documents"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = orchard.cluster(common.read(spark, sf_dir, "embeddings"))
+    digests = {i: hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for i, c in enumerate(centroids.tolist())}
+    return found.withColumn("centroid_sha256", orchard.by_cluster(digests, "string"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_html": op2_html,
@@ -65,11 +82,42 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
+    "op11_recompression": op11_recompression,
+    "op12_spelling": op12_spelling,
+    "op13_clustering": op13_clustering,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """Exhaustive search, a pair of tables for each round."""
+    cte = [rf"""
+      whole AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+      grid AS (SELECT vec_id, row_number() OVER () AS r, list_transform(v, lambda x: CAST(floor(256 * x) AS BIGINT)) AS v FROM whole),
+      c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM grid
+        ORDER BY c LIMIT {k})"""]
+    for i in range(rounds + 1):
+        cte.append(f"""
+      a{i} AS (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min([d, c]) AS best FROM (
+        SELECT r, vec_id, g.v, c, CAST(list_sum(list_transform(list_zip(g.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+        FROM grid g, c{i}) GROUP BY r)""")
+        if i < rounds:
+            cte.append(f"""
+      m{i} AS (SELECT c, list(m ORDER BY j) AS v FROM (
+        SELECT best[2] AS c, j, CAST((sum(v[j]) - ((sum(v[j]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+        FROM a{i}, range(1, 65) t(j) GROUP BY ALL) GROUP BY c),
+      c{i + 1} AS (SELECT c{i}.c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} ON c{i}.c = m{i}.c)""")
+    return "WITH " + ",".join(cte) + f"""
+      SELECT vec_id, CAST(best[2] AS INT) AS cluster, best[1] AS distance,
+        CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+      FROM a{rounds} JOIN c{rounds} ON c = best[2]"""
+
+
 ORACLE: dict[str, str] = {
     "op4_warc": """
       WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
@@ -122,4 +170,19 @@ ORACLE: dict[str, str] = {
         CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
         coalesce(n_hit, 0) > 0 AS contaminated
       FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+    "op11_recompression": r"""
+      WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      windows AS (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS place
+        FROM d, unnest(range(1, len(w) - 18)) t(i)),
+      gone AS (SELECT DISTINCT doc_id, i + j AS i FROM windows, range(0, 20) t(j) WHERE place > 1),
+      kept AS (
+        SELECT d.doc_id, count(gone.i) AS n_removed,
+          string_agg(d.w[t.i], ' ' ORDER BY t.i) FILTER (WHERE gone.i IS NULL) AS kept
+        FROM d CROSS JOIN LATERAL unnest(range(1, len(w) + 1)) t(i) LEFT JOIN gone ON gone.doc_id = d.doc_id AND gone.i = t.i
+        GROUP BY d.doc_id)
+      SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+        sha256(coalesce(kept, '')) AS kept_sha256
+      FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op13_clustering": _clustering_sql(),
 }
