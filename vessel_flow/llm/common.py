@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,18 +20,44 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder of ``spark.checkpoint.dir``."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_workspace.get() or checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Makes a finished write drop the shuffle files that led to it.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_workspace: ContextVar[str | None] = ContextVar("workspace", default=None)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.  This cuts
-    the lineage, and lets later steps read single columns of it."""
+    the lineage, and lets later steps read single columns of it.  The shuffle
+    files of the step go at its end: nothing reads them any more."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """All folders that operators make inside are removed at the end.  Results
+    must be written elsewhere by then."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
+    token = _workspace.set(folder)
+    try:
+        yield
+    finally:
+        _workspace.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -14,14 +14,18 @@ the same wherever the stretch occurs.  The widest inner symbol stands for the
 stretch, and a stretch without one (it consists of one or two runs) stands for
 itself.  Stretches beside each other mostly have the same widest symbol.
 
+* Whole texts first: texts with the same words have the same digest.  Of each
+  such group the row with the smallest id goes on; all windows of the others
+  start earlier there.
 * Round 1 in Spark: how often does each chosen symbol occur?  Equal stretches
   have the same symbol, so what occurs once holds no repeat and is left alone.
 * Round 2: stretches of shared symbols are compared whole, by a hash of all
-  their words beside the symbol's name, and those that also start earlier
-  (smaller id, then smaller start) are told.
+  their words beside the symbol's name (96 bits), and those that also start
+  earlier (smaller id, then smaller start) are told.  Each task first tells
+  the repeats among its own stretches and hands on one row for each different
+  stretch, so a frequent one has at most as many rows as there are tasks.
 
-Both rounds count by partial aggregates and join by name, where AQE splits a
-name with many occurrences; lists are never longer than a document.
+Lists are never longer than a document.
 
 Defined cases: a null text has no words; fewer words than a window are kept;
 a null id comes before all others; rows of one id are one document, whose equal
@@ -37,7 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common
 from .repetition import WordHashes, ngram_hashes
@@ -51,6 +55,7 @@ class Params:
     window: int = 20
     rounds: int = 3  # of pairs; symbols stand for 2^rounds words at most, or runs
     block: int = 200_000  # words parsed at once
+    held: int = 2_000_000  # stretches of a task that are compared at once
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -155,13 +160,22 @@ def _windows(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np
 
 def parse(docs: DataFrame, params: Params) -> DataFrame:
     """(doc_id, key, n_words, sha, at, name) of every row: the symbols that
-    stand for its windows, each from window ``at`` to the next one's."""
+    stand for its windows, each from window ``at`` to the next one's.  A text
+    whose words the task has met before has none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for b in batches:
             for lo, hi, words, h in _blocks(b.column(2), hashes, params.block):
                 sizes = np.array([len(w) for w in words], np.int64)
                 doc, base, at = _windows(sizes, params.window)
+                sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
+                new = np.ones(len(sha), bool)
+                for i, x in enumerate(sha):
+                    new[i] = x not in seen
+                    seen.add(x)
+                if len(seen) > 500_000:
+                    seen.clear()
+                at = at[new[doc[at]]]
                 cuts = np.zeros(0, np.int64)
                 name = np.zeros(0, np.uint64)
                 if len(at):
@@ -176,7 +190,7 @@ def parse(docs: DataFrame, params: Params) -> DataFrame:
                 starts = (cuts - base[doc[cuts]] if len(cuts) else cuts).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(sizes),
-                    pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string()),
+                    pa.array(sha, pa.string()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(starts)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(name.view(np.int64)))],
                     ["doc_id", "key", "n_words", "sha", "at", "name"])
@@ -185,54 +199,114 @@ def parse(docs: DataFrame, params: Params) -> DataFrame:
         run, "doc_id long, key long, n_words long, sha string, at array<int>, name array<long>")
 
 
-def _stretches(docs: DataFrame, shared: DataFrame, params: Params) -> DataFrame:
-    """(doc_id, key, name, at, hash) of the windows of shared symbols, a list
-    for each row.  ``shared`` has lists (at, till, name) for each key."""
+def _stretches(docs: DataFrame, lists: DataFrame, params: Params) -> DataFrame:
+    """(key, doc_id, at, hash, check, late) of the windows of shared symbols.
+    ``lists`` has ``doc_id`` and the lists at, till, name for each key; ``late``
+    tells that the task holds the same window with an earlier place."""
+    kinds = [("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("check", pa.int32())]
+
+    def told(parts: list[tuple]) -> pa.RecordBatch:
+        key, doc, known, at, h, check = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((at, doc, known, check, h))  # an unknown id comes first
+        s = [x[order] for x in (h, check, known, doc, at)]
+        same = (s[0][1:] == s[0][:-1]) & (s[1][1:] == s[1][:-1])
+        # the first row of each window, then all rows of the same place as that
+        group = np.concatenate([[0], np.cumsum(~same)])
+        first = np.concatenate([[0], np.flatnonzero(~same) + 1])[group]
+        late = np.zeros(len(order), bool)
+        late[order] = (s[2] != s[2][first]) | (s[3] != s[3][first]) | (s[4] != s[4][first])
+        columns = [pa.array(key), pa.array(doc, mask=~known), pa.array(at), pa.array(h), pa.array(check), pa.array(late)]
+        return pa.RecordBatch.from_arrays(columns, [*(k for k, _ in kinds), "late"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen, parts, held = WordHashes(), set(), [], 0
         for b in batches:
+            keys = b.column(0).to_pylist()
+            new = np.ones(len(keys), bool)
+            for i, k in enumerate(keys):  # equal rows
+                new[i] = k not in seen
+                seen.add(k)
+            if len(seen) > 500_000:
+                seen.clear()
+            b = b.filter(pa.array(new))
+            known = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            key, doc = b.column(0).to_numpy(), b.column(1).fill_null(0).to_numpy()
             for lo, hi, words, h in _blocks(b.column(2), hashes, params.block):
-                base, parts = 0, []
-                full = mix(ngram_hashes(h, params.window)) if len(h) >= params.window else h
-                for w, runs in zip(words, b.column(3)[lo:hi].to_pylist()):
-                    at = np.concatenate([np.arange(r["at"], r["till"]) for r in runs])
-                    name = np.repeat(np.array([r["name"] for r in runs], np.int64), [r["till"] - r["at"] for r in runs])
-                    parts.append((at, name, full[at + base].view(np.int64)))
-                    base += len(w)
-                ends = pa.array(np.cumsum([0] + [len(p[0]) for p in parts]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([p[k] for p in parts])))
-                         for k in range(3)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo:hi], b.column(1)[lo:hi], lists[0].cast(pa.list_(pa.int32())), lists[1], lists[2]],
-                    ["doc_id", "key", "at", "name", "hash"])
-
-    return (docs.join(shared, "key").select("doc_id", "key", "text", "runs")
-            .mapInArrow(run, "doc_id long, key long, at array<int>, name array<long>, hash array<long>"))
-
-
-def _without(docs: DataFrame, repeats: DataFrame, params: Params) -> DataFrame:
-    """(key, n_removed, kept, kept_sha256) of the rows with repeated windows;
-    ``repeats`` has the list of their starts for each key."""
+                base = np.concatenate([[0], np.cumsum([len(w) for w in words])])[:-1]
+                at, till, name = (b.column(c).slice(lo, hi - lo) for c in (3, 4, 5))
+                runs = np.diff(at.offsets.to_numpy())
+                at, till, name = (x.flatten().to_numpy() for x in (at, till, name))
+                size = (till - at).astype(np.int64)
+                within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                start = np.repeat(at, size) + within
+                row = np.repeat(np.repeat(np.arange(hi - lo), runs), size)
+                full = mix(ngram_hashes(h, params.window))
+                parts.append((key[lo:hi][row], doc[lo:hi][row], known[lo:hi][row], start.astype(np.int32),
+                              full[base[row] + start].view(np.int64), np.repeat(name.astype(np.int32), size)))
+                held += len(start)
+                if held > params.held:
+                    yield told(parts)
+                    parts, held = [], 0
+        if parts:
+            yield told(parts)
+
+    return (docs.join(lists, "key").select("key", lists["doc_id"], "text", "at", "till", "name")
+            .mapInArrow(run, "key long, doc_id long, at int, hash long, check int, late boolean"))
+
+
+def _joined(flagged: DataFrame, params: Params) -> DataFrame:
+    """(key, start, till): the stretches that repeated windows (key, at) cover,
+    lists for each key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def give(key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (at[1:] > at[:-1] + params.window)
+            start = np.flatnonzero(new)
+            end = np.append(start[1:], len(key)) - 1
+            of = key[start]
+            rows = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            lists = pa.array(np.append(rows, len(of)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([
+                pa.array(of[rows]), pa.ListArray.from_arrays(lists, pa.array(at[start])),
+                pa.ListArray.from_arrays(lists, pa.array(at[end] + np.int32(params.window)))], ["key", "start", "till"])
+
+        key, at = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        for b in batches:
+            key, at = np.concatenate([key, b.column(0).to_numpy()]), np.concatenate([at, b.column(1).to_numpy()])
+            if len(key):  # the last document may go on
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut:
+                    yield give(key[:cut], at[:cut])
+                key, at = key[cut:], at[cut:]
+        if len(key):
+            yield give(key, at)
+
+    n = int(flagged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (flagged.repartition(n, "key").sortWithinPartitions("key", "at")
+            .mapInArrow(run, "key long, start array<int>, till array<int>"))
+
+
+def _without(docs: DataFrame, stretches: DataFrame, texts: bool) -> DataFrame:
+    """(key, n_removed, kept_sha256[, kept]) of the rows of which something is
+    removed; ``stretches`` as ``_joined`` gives them."""
+    kinds = [("key", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
+    kinds = kinds if texts else kinds[:3]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for key, text, starts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                words = split(text.as_py())
-                at = np.asarray(starts.values)
-                step = np.zeros(len(words) + 1, np.int64)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + params.window, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                kept = b" ".join(words[i] for i in np.flatnonzero(~gone))
-                rows.append((key, int(gone.sum()), kept.decode("utf-8", "surrogatepass"),
-                             hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))],
-                ["key", "n_removed", "kept", "kept_sha256"])
-
-    return (docs.join(repeats, "key").select("key", "text", "starts")
-            .mapInArrow(run, "key long, n_removed long, kept string, kept_sha256 string"))
+            for key, text, start, till in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                words, since, parts, gone = split(text.as_py()), 0, [], 0
+                for lo, hi in zip(start, till):
+                    parts += words[since:lo]
+                    since, gone = hi, gone + hi - lo
+                kept = b" ".join(parts + words[since:])
+                rows.append((key, gone, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "surrogatepass")] if texts else [])))
+            cols = list(zip(*rows)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds)], [k for k, _ in kinds])
+
+    return (docs.join(stretches, "key").select("key", "text", "start", "till")
+            .mapInArrow(run, "key long, n_removed long, kept_sha256 string" + ", kept string" * texts))
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -240,23 +314,23 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        common.row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
 
-def repeats(docs: DataFrame, parsed: DataFrame, params: Params) -> DataFrame:
-    """(key, starts): the windows of each row that start earlier elsewhere."""
+def repeats(docs: DataFrame, parsed: DataFrame, firsts: DataFrame, params: Params) -> DataFrame:
+    """(key, start, till): the stretches of each chosen row that start earlier
+    elsewhere.  ``firsts`` has the key and the document of the chosen rows."""
     runs = F.expr("""transform(sequence(0, size(at) - 1), i -> struct(at[i] as at,
         if(i + 1 < size(at), at[i + 1], cast(n_words - {0} + 1 as int)) as till, name[i] as name))""".format(params.window))
-    occurs = (parsed.where(F.size("at") > 0).select("key", F.explode(runs).alias("run"))
-              .select("key", "run", F.col("run.name").alias("name")))
+    occurs = (parsed.where(F.size("at") > 0).join(firsts.select("key", F.col("doc_id").alias("first")), "key")
+              .select("key", "first", F.explode(runs).alias("run")).select("key", "first", "run", F.col("run.name").alias("name")))
     # each place of a symbol in a row is a run of its own
     shared = occurs.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    lists = occurs.join(shared, "name").groupBy("key").agg(F.collect_set("run").alias("runs"))
-    windows = common.stored(_stretches(docs, lists, params), "recompression-windows")
-    windows = (windows.select("doc_id", "key", F.explode(F.arrays_zip("at", "name", "hash")).alias("w"))
-               .select("doc_id", "key", "w.*"))
-    place = F.struct("doc_id", "at")
-    first = (windows.groupBy("name", "hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-             .where("not (first <=> last)").select("name", "hash", "first"))
-    return (windows.join(first, ["name", "hash"]).where(~place.eqNullSafe(F.col("first")))
-            .groupBy("key").agg(F.collect_set("at").alias("starts")))
+    lists = (occurs.join(shared, "name").groupBy("key").agg(F.first("first").alias("doc_id"), F.collect_set("run").alias("runs"))
+             .select("key", "doc_id", F.col("runs.at"), F.col("runs.till"), F.col("runs.name")))
+    windows = common.stored(_stretches(docs, common.stored(lists, "recompression-runs"), params), "recompression-windows")
+    # a row for each different window of a task
+    places = Window.partitionBy("hash", "check").orderBy("doc_id", "at")
+    later = windows.where(~F.col("late")).withColumn("rank", F.rank().over(places)).where("rank > 1")
+    flagged = windows.where("late").select("key", "at").unionByName(later.select("key", "at"))
+    return common.stored(_joined(flagged, params), "recompression-repeats")
 
 
 def dedup(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text",
@@ -266,14 +340,23 @@ def dedup(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
     the words that stay, joined by blanks."""
     docs = _source(docs, id_col, text_col)
     parsed = common.stored(parse(docs, params), "recompression-symbols")
-    changed = _without(docs, repeats(docs, parsed, params), params)
-    changed = changed.dropDuplicates(["key"]) if texts else changed.groupBy("key").agg(
-        F.first("n_removed").alias("n_removed"), F.first("kept_sha256").alias("kept_sha256"))
-    out = parsed.join(changed, "key", "left").select(
-        "doc_id", "key", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *(["kept"] if texts else []))
+    firsts = common.stored(parsed.groupBy("sha").agg(
+        F.min(F.struct("doc_id")).alias("first"), F.max_by("key", F.size("at")).alias("key"))
+        .select("sha", "first.doc_id", "key"), "recompression-firsts")
+    changed = _without(docs, repeats(docs, parsed, firsts, params), texts)
+    changed = changed.groupBy("key").agg(*[F.first(c).alias(c) for c in changed.columns if c != "key"])
+    chosen = firsts.select("sha", F.col("doc_id").alias("first"), "key").join(changed, "key", "left").drop("key")
+    own = F.col("doc_id").eqNullSafe(F.col("first"))
+    whole = ~own & (F.col("n_words") >= params.window)  # all of it stands in the group's first text
+    out = parsed.select("doc_id", "key", "n_words", "sha").join(chosen, "sha").select(
+        "doc_id", "key", "n_words",
+        F.when(whole, F.col("n_words")).when(own, F.col("n_removed")).alias("n_removed"),
+        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).when(own, F.col("kept_sha256")).alias("kept_sha256"), "sha",
+        *([F.when(whole, F.lit("")).when(own, F.col("kept")).alias("kept")] if texts else []))
+    out = (out.withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
+           .withColumn("kept_sha256", F.coalesce("kept_sha256", "sha")).drop("sha"))
     if not texts:
         return out.drop("key")
-    whole = docs.select("key", "text").dropDuplicates(["key"])
     plain = F.array_join(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""), " ")
-    return out.join(whole, "key").withColumn("kept", F.coalesce("kept", plain)).drop("key", "text")
+    source = docs.select("key", plain.alias("plain")).dropDuplicates(["key"])
+    return out.join(source, "key").withColumn("kept", F.coalesce("kept", "plain")).drop("key", "plain")
