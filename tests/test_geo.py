@@ -56,3 +56,39 @@ def test_nearest_port_matches_brute_force(spark):
         best = min(((model.haversine(a, b, la, lo, 1.0), o, n) for o, n, s, la, lo in ports), default=None)
         exp = best[2] if best and best[0] <= lim else None
         assert got[(a, b)] == exp, (a, b, best)
+
+
+def test_fine_outlines_are_cut_into_strips(spark):
+    """A strip holds a bounded number of edges, and the answer is that of brute force."""
+    rnd = random.Random(11)
+    polys = [(0, "A", star(10.3, 10.2, 3.4, 3.42, 3000, rnd)), (1, "B", star(13, 11, 2, 2.05, 700, rnd)),
+             (2, "C", star(8.5, 8.5, 0.2, 0.4, 5, rnd))]
+    pts = [(rnd.uniform(5, 17), rnd.uniform(5, 15)) for _ in range(1500)]
+    pts += [(float(k), float(j)) for k in range(6, 16) for j in range(6, 15)] + [(x, y) for x, y, _, _ in polys[0][2][::50]]
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in pts], "LON double, LAT double")
+    p = DEFAULT.with_(cell_edges=16)
+    cells = state_cells(rings(spark, polys), p)
+    most = max(len(c["edges"]) for r in cells.collect() for strip in r["strips"] for c in strip)
+    plain = max(len(c["edges"]) for r in state_cells(rings(spark, polys), DEFAULT.with_(cell_edges=10 ** 6)).collect()
+                for strip in r["strips"] for c in strip)
+    assert 3 * most < plain  # more than cell_edges where the outline runs along a parallel
+    got = {(r["LON"], r["LAT"]): r["State"] for r in tag_states(df, cells, p).collect()}
+    bad = [(x, y) for x, y in pts
+           if got[(x, y)] != next((n for o, n, e in polys if model.point_in_poly(e, x, y)), None)]
+    assert not bad, bad[:5]
+
+
+def test_byte_bounds_hold(spark):
+    from pyspark.sql import functions as F
+    from vessel_flow.operators.geo import port_bytes, state_bytes
+    rnd = random.Random(2)
+    for n, p in ((30, DEFAULT), (900, DEFAULT.with_(cell_edges=16))):
+        shape = rings(spark, [(0, "A", star(10, 10, 2, 5, n, rnd)), (1, "B", star(12, 12, 1, 2, 40, rnd))])
+        size = F.aggregate(F.flatten("strips"), F.lit(0).cast("long"), lambda a, c: a + 96 + 32 * F.size(c["edges"]))
+        real = state_cells(shape, p).agg(F.sum(size + 64)).first()[0]
+        assert real <= state_bytes(shape, p).first()[0]
+    ports = spark.createDataFrame([(k, f"P{k}", "S", rnd.uniform(-80, 80), rnd.uniform(-180, 180)) for k in range(40)]
+                                  + [(99, "POLE", "N", 89.95, 0.0)],
+                                  "ordinal int, name string, state string, lat double, lon double")
+    real = port_cells(ports).agg(F.sum(F.size("ports").cast("long") * 96 + 64)).first()[0]
+    assert real <= port_bytes(ports).first()[0]

@@ -67,3 +67,20 @@ def test_split_plan_spreads_hot_vessels_over_chunks(spark):
     # route sums of hot vessels: partial aggregate, then an exchange on the route key
     table = plan_of(s.table)
     assert "partial_sum" in table and "hashpartitioning(period" in table
+
+
+def test_other_windows_use_no_percentile(spark):
+    from vessel_flow.params import DEFAULT
+    plan = plan_of(stages(spark, SF, DEFAULT.with_(smooth_window=7)).smoothed).lower()
+    assert "percentile" not in plan and "lag(" in plan
+
+
+def test_no_hot_vessel_writes_nothing(spark):
+    """Without a hot vessel nothing is saved before the plan runs."""
+    import os
+    folder = spark.sparkContext.getCheckpointDir() or ""
+    folder = folder.removeprefix("file:")
+    count = lambda: sum(len(f) for _, _, f in os.walk(folder)) if folder else 0
+    before = count()
+    routes.routes(stages(spark, SF).table)
+    assert count() == before

@@ -143,10 +143,10 @@ def test_pipeline_sinks_round_trip(spark, scratch):
     sinks.write_transfers(out["transfers"], f"{scratch}/transfers")
     sinks.write_matrix_csv(out["transfers"], f"{scratch}/matrix")
     sinks.write_routes_wide_csv(out["route_table"], f"{scratch}/wide")
-    r = spark.read.parquet(f"{scratch}/routes").collect()
+    r = sinks.stored(spark, f"{scratch}/routes", sinks.ROUTE_SCHEMA).collect()
     assert sorted((x["start_state"], x["end_state"]) for x in r) == [("A", "C"), ("C", "A")]
     assert all(json.loads(x["state_emissions"]).keys() == {"B"} for x in r)
-    t = {(x["source_state"], x["dest_state"]): x["amount"] for x in spark.read.parquet(f"{scratch}/transfers").collect()}
+    t = {(x["source_state"], x["dest_state"]): x["amount"] for x in sinks.stored(spark, f"{scratch}/transfers", sinks.TRANSFER_SCHEMA).collect()}
     assert set(t) == {("A", "B"), ("C", "B")}
     m = spark.read.option("header", True).csv(f"{scratch}/matrix").collect()
     assert sorted(m[0].asDict()) == ["B", "States with carbon transfer out", "Year"]
@@ -184,7 +184,8 @@ def test_header_fallback_when_a_file_cannot_be_opened_directly(spark, scratch, m
     def unreadable(it):  # as if the file system were unknown to pyarrow
         import pandas as pd
         for pdf in it:
-            yield pd.DataFrame({"path": pdf["path"], "header": None, "error": "ArrowInvalid: unknown scheme"})
+            yield pd.DataFrame({"path": pdf["path"], "header": None, "error": "ArrowInvalid: unknown scheme",
+                                "source_file": pdf["source_file"]})
     monkeypatch.setattr(mod, "_read_first_lines", unreadable)
     scan = mod.read_ais_csv(spark, d)
     assert [(r["MMSI"], r["LAT"]) for r in scan.rows.collect()] == [("9", "30.5")]
@@ -220,13 +221,14 @@ def test_emission_job_runs_pending_periods_only(spark, scratch):
     assert run_emission_job(spark, ais(spark, jan), ps, rg, out, p) == [202401]
     assert run_emission_job(spark, ais(spark, jan + feb), ps, rg, out, p) == [202402]   # January is done
     assert run_emission_job(spark, ais(spark, jan + feb), ps, rg, out, p) == []
-    r = spark.read.parquet(f"{out}/routes")
+    r = sinks.stored(spark, f"{out}/routes", sinks.ROUTE_SCHEMA)
     assert sorted((x["period"], x["start_state"], x["end_state"]) for x in r.collect()) == \
         [(202401, "A", "C"), (202402, "A", "C")]
     assert sorted(x["period"] for x in spark.read.parquet(f"{out}/done").collect()) == [202401, 202402]
     # the yearly transfer sums hold both months, not only the last run's
-    flows = spark.read.parquet(f"{out}/flows")
-    t = {(x["source_state"], x["dest_state"]): x["amount"] for x in spark.read.parquet(f"{out}/transfers").collect()}
+    flows = sinks.stored(spark, f"{out}/flows", sinks.FLOW_SCHEMA)
+    t = {(x["source_state"], x["dest_state"]): x["amount"]
+         for x in sinks.stored(spark, f"{out}/transfers", sinks.TRANSFER_SCHEMA).collect()}
     assert set(flows.select("period").distinct().toPandas()["period"]) == {202401, 202402}
     assert math.isclose(sum(t.values()), flows.agg(F.sum("amount")).first()[0], rel_tol=1e-12)
 
@@ -445,3 +447,123 @@ def test_burst_is_cut_by_rows(spark):
     sizes = [r["count"] for r in h.ingested.groupBy("chunk").count().collect()]
     assert len(sizes) == math.ceil(rows.count() / PBURST.chunk_rows) and max(sizes) <= PBURST.chunk_rows
     assert [r["seq"] for r in h.ingested.orderBy("BaseDateTime").collect()] == list(range(1, rows.count() + 1))
+
+
+def test_mixed_headers_are_one_scan_without_a_list_of_files(spark, scratch, monkeypatch):
+    """Two eras of like size: every line is read by its own file's header, and
+    no file name reaches the driver."""
+    for k in range(30):
+        cols = ["MMSI", "BaseDateTime", "LAT", "LON", "SOG", "VesselType"]
+        values = [str(k), "2024-01-01T00:00:00", "30.0", "-80.0", "0.1", "70"]
+        turn = slice(None, None, -1) if k % 2 else slice(None)
+        _write(f"{scratch}/AIS_2024_01_{k + 1:02d}.csv", ",".join(cols[turn]) + "\r\n" + ",".join(values[turn]) + "\r\n\r\n")
+    scan = ais_csv.read_ais_csv(spark, scratch)
+    assert sorted((int(r["MMSI"]), r["LAT"], r["VesselType"]) for r in scan.rows.collect()) == [(k, "30.0", "70") for k in range(30)]
+    plan = scan.rows._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]
+    assert plan.count("FileScan text") == 1 and "AIS_2024_01_01.csv" not in plan and "Union" not in plan
+    small = ais_csv.read_ais_csv(spark, scratch, p=ais_csv.DEFAULT.with_(broadcast_max_bytes=1))
+    assert small.rows.count() == 30
+
+
+def test_every_line_is_a_row_or_in_quarantine(spark, scratch):
+    _write(f"{scratch}/AIS_2024_01_01.csv", "\ufeff" + STD + '1,2024-01-01T00:00:00,30,-80,0.1,0,70,"1,5"\n' + STD +
+           "1,2024-01-01T00:00:00,30,-80,0.1,0,70,1,9\n2,noon,30,-80,0.1,0,70,1\n,2024-01-01T00:00:00,30,-80,0.1,0,70,1\n3,2024\n")
+    scan = ais_csv.read_ais_csv(spark, scratch)
+    kept, bad = scan.rows.collect(), scan.quarantine.collect()
+    assert [r["Status"] for r in kept] == ["1,5"] and scan.lines.count() == 5
+    assert sorted((r["reason"], r["line"]) for r in bad) == [
+        ("does not fit the header", "1,2024-01-01T00:00:00,30,-80,0.1,0,70,1,9"), ("does not fit the header", "3,2024"),
+        ("no time", "2,noon,30,-80,0.1,0,70,1"), ("no vessel", ",2024-01-01T00:00:00,30,-80,0.1,0,70,1")]
+    assert all(r["source_file"].endswith("AIS_2024_01_01.csv") for r in bad)
+
+
+def test_an_archive_of_many_members_spreads_over_tasks(spark, scratch):
+    with zipfile.ZipFile(f"{scratch}/AIS_2024_01_01.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(24):
+            z.writestr(f"part_{k}.csv", STD + "".join(f"{k},2024-01-01T00:{m:02d}:00,30,-80,0.1,0,70,1\n" for m in range(50)))
+    lines = ais_csv.zip_lines(spark, scratch, member_bytes=100)
+    tasks = lines.where("line is not null").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(tasks) > 8 and sum(r["count"] for r in tasks) == 24 * 50
+    rows, status = ais_csv.read_zipped_ais(spark, scratch)
+    assert rows.count() == 1200 and [(r["csv_members"], r["lines"], r["has_csv"]) for r in status.collect()] == [(24, 1200, True)]
+
+
+def test_members_are_read_by_ranges(scratch, monkeypatch):
+    """Only the bytes of the named members are read, whatever else the archive holds."""
+    import os
+    import random
+    path = f"{scratch}/AIS_2024_01_01.zip"
+    noise = random.Random(1).randbytes(3_000_000)
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("big.csv", noise)
+        z.writestr("small.csv", STD + "1,2024-01-01T00:00:00,30,-80,0.1,0,70,1\n")
+    import pandas as pd
+    read = []
+    plain = ais_csv._seekable
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def read(self, n=-1):
+            out = self.f.read(n) if n >= 0 else self.f.read()
+            read.append(len(out))
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            self.f.close()
+
+    monkeypatch.setattr(ais_csv, "_seekable", lambda p: Counted(plain(p)))
+    members = pd.concat(ais_csv._members([pd.DataFrame({"path": [path]})]))
+    assert list(members["member"]) == ["big.csv", "small.csv"] and sum(read) < 100_000
+    read.clear()
+    out = pd.concat(ais_csv._inflate_members([members[members["member"] == "small.csv"]]))
+    assert len(out) == 2 and sum(read) < 100_000 < os.path.getsize(path)
+
+
+def test_ingest_stream_keeps_the_quarantine(spark, scratch):
+    from vessel_flow.streaming import incremental_ingest
+    os.makedirs(f"{scratch}/in")
+    _write(f"{scratch}/in/AIS_2024_01_01.csv", STD + "1,2024-01-01T00:00:00,30,-80,0.1,0,70,1\n2,noon,30,-80,0.1,0,70,1\n")
+    incremental_ingest(spark, f"{scratch}/in", f"{scratch}/out", checkpoint=f"{scratch}/ckpt")
+    assert [r["reason"] for r in spark.read.parquet(f"{scratch}/out_quarantine").collect()] == ["no time"]
+
+
+def test_reentry_from_buckets_has_no_vessel_exchange(spark, scratch):
+    from vessel_flow.operators import routes as R
+    from vessel_flow.plans.pipeline import routes_from_trajectory, trajectory_output
+    from vessel_flow.plans.queries import stages
+    from vessel_flow.sources import staged
+    s = stages(spark, "/root/testdata/sf0.001")
+    staged.write_staged(trajectory_output(s.trajectory), f"{scratch}/staged", 4)
+    table = routes_from_trajectory(staged.read_staged(spark, f"{scratch}/staged"), placed=True)
+    plan = R.routes(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Bucketed: true" in plan, plan
+    key = lambda t: sorted((r["MMSI"], r["start_time"], r["end_port"], round(r["total_emissions"], 6))
+                           for r in R.routes(t).collect())
+    assert key(table) == key(s.table)
+
+
+def test_saved_hot_vessel_is_cut_by_rows(spark):
+    """Re-entry with and without ``seq``: the windows of a hot vessel are keyed by chunk."""
+    from vessel_flow.operators import routes as R
+    from vessel_flow.params import DEFAULT
+    from vessel_flow.plans.pipeline import routes_from_trajectory, trajectory_output
+    from vessel_flow.plans.queries import stages
+    s = stages(spark, "/root/testdata/sf0.001")
+    saved = trajectory_output(s.trajectory)
+    p = DEFAULT.with_(hot_vessel_rows=20, chunk_rows=7)
+    key = lambda t: sorted((r["MMSI"], r["start_time"], r["end_port"], round(r["total_emissions"], 6))
+                           for r in R.routes(t).collect())
+    want = key(s.table)
+    for part in (saved, saved.drop("seq", "period", "year")):
+        table = routes_from_trajectory(part, p)
+        assert "chunk" in table._jdf.queryExecution().optimizedPlan().toString() or key(table) == want
+        assert key(table) == want

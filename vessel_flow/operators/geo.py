@@ -3,8 +3,10 @@
 Both are equi-joins on a grid cell against a dimension-sized cell table:
 
 * states: each polygon ring's bounding box is spread over the cells it
-  covers; a cell row holds the candidate polygons (ordinal, name, and the
-  polygon's edges that meet the cell's latitude band) sorted by ordinal.
+  covers; a cell is cut into strips of latitude, as many as keep a strip to
+  about ``cell_edges`` edges of a polygon (more where an outline runs along a
+  parallel), so that a fine outline costs a point little more than a coarse one.  A strip holds the candidate polygons (ordinal,
+  name, and the edges that a point there can meet) sorted by ordinal.
   The exact test is a closed point-in-polygon over the edges; the lowest
   ordinal among matches wins (R-Q20).  A cell that no edge touches is
   decided once, at its centre.
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import (cell_index, central_angle_sql, lon_cell_index, lon_half_width_deg,
@@ -32,21 +34,52 @@ from ..params import DEFAULT, Params
 from ..session import cut_lineage
 
 _EPS = 1e-9
+#: A cell has at most 2^MOST_SPLITS strips.
+MOST_SPLITS = 10
 
 
-def bounded_broadcast(cells: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def bounded_broadcast(cells: DataFrame, p: Params = DEFAULT, most: DataFrame | None = None) -> DataFrame:
     """A cell table with a broadcast hint if its rows (a fixed part for each
-    cell and candidate, 32 bytes for each edge) stay within the bound.  The
-    table is saved first, so that the check and the joins compute it once."""
+    cell and candidate, 32 bytes for each edge) stay within the bound.
+
+    ``most`` is an upper bound of those bytes from the map alone: if it already
+    fits, nothing else is computed.  Otherwise the table is saved, so that the
+    check and the joins compute it once, and measured."""
+    if most is not None and (most.first()[0] or 0) <= p.broadcast_max_bytes:
+        return F.broadcast(cells)
     cells = cut_lineage(cells)
-    if "cands" in cells.columns:
-        size = F.aggregate("cands", F.lit(0).cast("long"), lambda a, c: a + 96 + 32 * F.size(c["edges"]))
+    if "strips" in cells.columns:
+        size = F.aggregate(F.flatten("strips"), F.lit(0).cast("long"), lambda a, c: a + 96 + 32 * F.size(c["edges"]))
     else:
         size = F.size("ports").cast("long") * 96
     total = cells.agg(F.sum(size + 64)).first()[0] or 0
     return F.broadcast(cells) if total <= p.broadcast_max_bytes else cells
 
 
+def state_bytes(rings: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """At most so many bytes has ``state_cells``: each polygon in each cell of
+    its rings' boxes, with all its edges in each strip."""
+    s = p.state_cell_deg
+    xmin, ymin, xmax, ymax = _ring_bbox(F.col("edges"))
+    span = lambda lo, hi: cell_index(hi + _EPS, s) - cell_index(lo - _EPS, s) + 1
+    polys = rings.groupBy("ordinal").agg(
+        F.sum((span(xmin, xmax) * span(ymin, ymax)).cast("double")).alias("cells"), F.sum(F.size("edges")).alias("edges"))
+    return polys.agg(F.sum(F.col("cells") * (160 + 32 * F.col("edges"))) * F.max(_strips(F.col("edges"), p)))
+
+
+def _strips(edges: Column, p: Params) -> Column:
+    """Number of strips of a cell whose polygons have at most so many edges: a
+    power of two, so that the bounds are exact."""
+    return F.when(edges <= p.cell_edges, 1).otherwise(F.pow(F.lit(2.0), F.least(
+        F.ceil(F.log2(edges / F.lit(float(p.cell_edges)))), F.lit(MOST_SPLITS)))).cast("int")
+
+
+def port_bytes(ports: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """At most so many bytes has ``port_cells``: each port in all its cells."""
+    ys, xs = _port_cover(p)
+    return ports.agg(F.sum((F.size(ys) * F.size(xs)).cast("long") * 160))
+
+
 def _ring_bbox(edges):
     xs = F.transform(edges, lambda e: F.least(e.x1, e.x2))
     xe = F.transform(edges, lambda e: F.greatest(e.x1, e.x2))
@@ -56,7 +89,7 @@ def _ring_bbox(edges):
 
 
 def state_cells(rings: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """rings(ordinal, name, edges) -> cells(cell_y, cell_x, cands).
+    """rings(ordinal, name, edges) -> cells(cell_y, cell_x, strips).
 
     ``rings`` holds one row per ring (outer rings, holes, extra parts); a
     polygon is all rings of one ordinal."""
@@ -77,7 +110,12 @@ def state_cells(rings: DataFrame, p: Params = DEFAULT) -> DataFrame:
     # exact and shrinks both the broadcast and the per-point work.
     y0 = F.col("cell_y") * F.lit(float(s)) - _EPS
     y1 = (F.col("cell_y") + 1) * F.lit(float(s)) + _EPS
-    band = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= y0) & (F.least(e["y1"], e["y2"]) <= y1))
+    # The ray goes towards +x, so edges that end before the cell are not met.
+    # (Cells beyond +-180 degrees also serve points on the other side.)
+    west = F.when(F.abs(F.col("cx") * F.lit(float(s)) + F.lit(s / 2)) < 180, F.col("cx") * F.lit(float(s)) - _EPS).otherwise(
+        F.lit(float("-inf")))
+    band = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= y0) & (F.least(e["y1"], e["y2"]) <= y1)
+                    & (F.greatest(e["x1"], e["x2"]) >= west))
     rows = cover.join(polys, "ordinal").select("cell_y", "cell_x", "cx", "ordinal", "name", band.alias("edges"))
     # A cell that no candidate edge touches (edge boxes against the closed
     # cell, a superset test) has one answer for all its points: the lowest
@@ -89,12 +127,36 @@ def state_cells(rings: DataFrame, p: Params = DEFAULT) -> DataFrame:
                    f"AND least(e.y1, e.y2) <= {y0c} + {float(s)!r}D + {_EPS!r}D)")
     centre = F.expr(point_in_edges_sql("edges", f"({x0} + {half})", f"({y0c} + {half})"))
     rows = rows.select("*", touch.alias("_touch"), centre.alias("_centre"))
-    return (rows.groupBy("cell_y", "cell_x")
-            .agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "edges"))).alias("cands"),
-                 (~F.bool_or("_touch") & (F.count_distinct("cx") == 1)).alias("uniform"),
-                 F.min("cx").alias("ucx"),
-                 F.array_min(F.collect_list(F.when(F.col("_centre"), F.struct("ordinal", "name"))))
-                 .getField("name").alias("uniform_state")))
+    cells = (rows.groupBy("cell_y", "cell_x")
+             .agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "edges"))).alias("cands"),
+                  F.max(F.size("edges")).alias("most"),
+                  (~F.bool_or("_touch") & (F.count_distinct("cx") == 1)).alias("uniform"),
+                  F.min("cx").alias("ucx"),
+                  F.array_min(F.collect_list(F.when(F.col("_centre"), F.struct("ordinal", "name"))))
+                  .getField("name").alias("uniform_state")))
+    cells = cells.withColumn("n", _strips(F.col("most"), p))
+    rest = ["cell_y", "cell_x", "uniform", "ucx", "uniform_state"]
+    plain = cells.where("n = 1").select(*rest, F.array("cands").alias("strips"))
+    # each edge goes to the strips that it meets
+    cut = cells.where("n > 1")
+    edge = (cut.select("cell_y", "cell_x", "n", F.explode("cands").alias("c"))
+            .select("cell_y", "cell_x", "n", "c.ordinal", "c.name", F.explode("c.edges").alias("e")))
+    place = lambda y: F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor(
+        (y - F.col("cell_y") * F.lit(float(s))) * F.col("n") / F.lit(float(s))).cast("int")))
+    strip = F.explode(F.sequence(place(F.least("e.y1", "e.y2") - _EPS), place(F.greatest("e.y1", "e.y2") + _EPS)))
+    filled = (edge.withColumn("strip", strip).groupBy("cell_y", "cell_x", "ordinal", "name", "strip")
+              .agg(F.collect_list("e").alias("edges")).groupBy("cell_y", "cell_x", "strip")
+              .agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "edges"))).alias("cands"))
+              .groupBy("cell_y", "cell_x").agg(F.map_from_entries(F.collect_list(F.struct("strip", "cands"))).alias("m")))
+    none = F.array().cast("array<struct<ordinal:int,name:string,edges:array<struct<x1:double,y1:double,x2:double,y2:double>>>>")
+    all_strips = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("m", i), none))
+    return plain.unionByName(cut.join(filled, ["cell_y", "cell_x"]).select(*rest, all_strips.alias("strips")))
+
+
+def candidates_sql(lat: str, s: float) -> str:
+    """The candidates of a point's strip, as SQL over a row joined with its cell."""
+    at = f"cast(floor(({lat} / {float(s)!r}D - cell_y) * size(strips)) as int)"
+    return f"get(strips, least(greatest({at}, 0), size(strips) - 1))"
 
 
 def tag_states(df: DataFrame, cells: DataFrame, p: Params = DEFAULT,
@@ -105,15 +167,25 @@ def tag_states(df: DataFrame, cells: DataFrame, p: Params = DEFAULT,
     pts = df.withColumn("_cy", cell_index(F.col(lat), s)).withColumn("_cx", lon_cell_index(F.col(lon), s))
     c = cells
     j = pts.join(c, (pts["_cy"] == c["cell_y"]) & (pts["_cx"] == c["cell_x"]), "left")
-    hit = F.expr(f"filter(cands, k -> {point_in_edges_sql('k.edges', f'`{lon}`', f'`{lat}`')})")
+    hit = F.expr(f"filter({candidates_sql(f'`{lat}`', s)}, k -> {point_in_edges_sql('k.edges', f'`{lon}`', f'`{lat}`')})")
     same_cell = F.col("uniform") & (cell_index(F.col(lon), s) == F.col("ucx"))
     state = F.when(same_cell, F.col("uniform_state")).otherwise(F.try_element_at(hit, F.lit(1)).getField("name"))
     return (j.withColumn(out, state)
-             .drop("_cy", "_cx", "cell_y", "cell_x", "cands", "uniform", "ucx", "uniform_state"))
+             .drop("_cy", "_cx", "cell_y", "cell_x", "strips", "uniform", "ucx", "uniform_state"))
 
 
 def port_cells(ports: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """ports(ordinal, name, state, lat, lon) -> cells(cell_y, cell_x, ports)."""
+    ys, xs = _port_cover(p)
+    return (ports.select("ordinal", "name", "state", "lat", "lon",
+                         F.explode(ys).alias("cell_y"), xs.alias("_xs"))
+            .select("*", F.explode("_xs").alias("cell_x")).drop("_xs")
+            .groupBy("cell_y", "cell_x")
+            .agg(F.collect_list(F.struct("ordinal", "name", "state", "lat", "lon")).alias("ports")))
+
+
+def _port_cover(p: Params) -> tuple[Column, Column]:
+    """Rows and columns of the cells that a port's cap touches."""
     s = p.port_cell_deg
     r = p.port_radius_deg
     ncols = int(round(360 / s))
@@ -125,11 +197,7 @@ def port_cells(ports: DataFrame, p: Params = DEFAULT) -> DataFrame:
         .otherwise(F.transform(F.sequence(lo, hi), lambda v: F.pmod(v, F.lit(ncols))))
     ys = F.sequence(cell_index(F.greatest(F.col("lat") - r - _EPS, F.lit(-90.0)), s),
                     cell_index(F.least(F.col("lat") + r + _EPS, F.lit(90.0)), s))
-    return (ports.select("ordinal", "name", "state", "lat", "lon",
-                         F.explode(ys).alias("cell_y"), xs.alias("_xs"))
-            .select("*", F.explode("_xs").alias("cell_x")).drop("_xs")
-            .groupBy("cell_y", "cell_x")
-            .agg(F.collect_list(F.struct("ordinal", "name", "state", "lat", "lon")).alias("ports")))
+    return ys, xs
 
 
 def match_ports(df: DataFrame, cells: DataFrame, p: Params = DEFAULT) -> DataFrame:

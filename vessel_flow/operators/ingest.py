@@ -69,7 +69,7 @@ def only_periods(df: DataFrame, periods: list[int], p: Params = DEFAULT) -> Data
     return df.where(period_columns(_to_ntz(df, "BaseDateTime"), p.period)[0].isin(wanted))
 
 
-def typed_ais(df: DataFrame, p: Params = DEFAULT, extra: list[str] | None = None) -> DataFrame:
+def typed_ais(df: DataFrame, p: Params = DEFAULT, extra: list[str | Column] | None = None) -> DataFrame:
     """String or typed AIS rows -> typed rows.
 
     VesselType is read as a double first so that "70.0" survives; MMSI that is
@@ -84,7 +84,7 @@ def typed_ais(df: DataFrame, p: Params = DEFAULT, extra: list[str] | None = None
         _num(df, "SOG", T.DoubleType()).alias("SOG"),
         _num(df, "VesselType", T.DoubleType()).alias("VesselType"),
     ]
-    cols += [F.col(c) for c in OPTIONAL_COLUMNS if c in df.columns] + [F.col(c) for c in extra or []]
+    cols += [F.col(c) for c in OPTIONAL_COLUMNS if c in df.columns] + (extra or [])
     return df.select(*cols)
 
 

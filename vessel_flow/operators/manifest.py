@@ -83,5 +83,5 @@ def ingest_manifest(spark: SparkSession, csv_dir: str, years: list[int],
         out["archives"] = archives
     if report:
         scan = read_ais_csv(spark, csv_dir)
-        out["dropped"], out["rejects"] = ingest_report(scan.rows), scan.rejects
+        out["dropped"], out["rejects"] = ingest_report(scan.lines), scan.rejects
     return out

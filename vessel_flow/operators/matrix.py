@@ -70,6 +70,13 @@ def merge_periods(monthly_flows: DataFrame) -> DataFrame:
     return transfer_long(monthly_flows)
 
 
+def period_sums(flows: DataFrame) -> DataFrame:
+    """Partial sums of flows by period and state pair, to be kept (C9).  A
+    year's sums are those of its periods, so a period that is done again costs
+    its own flows and a few rows of the others."""
+    return flows.groupBy("year", "period", "source_state", "dest_state").agg(F.sum("amount").alias("amount"))
+
+
 def union_wide(tables: list[DataFrame]) -> DataFrame:
     """Union wide tables whose state columns differ; gaps 0."""
     out = tables[0]

@@ -14,6 +14,25 @@ def vessel_counts(ingested: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("records"), F.count_distinct("MMSI").alias("vessels")))
 
 
+def vessel_bitmaps(ingested: DataFrame) -> DataFrame:
+    """(period, bucket, vessels): the vessels of each period as exact bitmaps,
+    one for each 32,768 vessel numbers.  They are small, can be kept for each
+    period, and give the distinct vessels of any set of periods."""
+    number = F.col("MMSI")
+    return (ingested.groupBy("period", F.bitmap_bucket_number(number).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("vessels")))
+
+
+def vessels_in(bitmaps: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Distinct vessels (A5) of each range (first, last) of periods, from kept
+    bitmaps alone: no position is read."""
+    periods = bitmaps.select("period").distinct()  # a handful a year
+    wanted = periods.join(F.broadcast(ranges), F.expr("period between first and last"))  # the caller's ranges
+    merged = (bitmaps.join(wanted, "period").groupBy("first", "last", "bucket")
+              .agg(F.bitmap_count(F.bitmap_or_agg("vessels")).alias("n")))
+    return merged.groupBy("first", "last").agg(F.sum("n").alias("vessels"))
+
+
 def run_metrics(stages) -> DataFrame:
     """Records, vessels, kept rows, stop rows, routes and flows per period.
 

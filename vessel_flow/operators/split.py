@@ -38,7 +38,7 @@ from __future__ import annotations
 import math
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.emission import is_slow
@@ -60,9 +60,10 @@ def vessel_stats(ing: DataFrame) -> DataFrame:
 
 
 def hot_vessels(stats: DataFrame, p: Params = DEFAULT) -> DataFrame | None:
-    """(period, MMSI, n_total) of every hot vessel-period, or None without any."""
-    hot = cut_lineage(stats.filter(F.col("n") > p.hot_vessel_rows).withColumnRenamed("n", "n_total"))
-    return None if hot.isEmpty() else hot
+    """(period, MMSI, n_total) of every hot vessel-period, or None without any.
+    One aggregate tells that there is none; only a set with rows is saved."""
+    hot = stats.filter(F.col("n") > p.hot_vessel_rows).withColumnRenamed("n", "n_total")
+    return None if hot.isEmpty() else cut_lineage(hot)
 
 
 def mark_hot(ing: DataFrame, hot: DataFrame) -> DataFrame:
@@ -92,38 +93,41 @@ def _carry(df: DataFrame, summary: DataFrame) -> DataFrame:
     return df.join(summary, CKEY, "left")
 
 
+def numbered(rows: DataFrame, hot: DataFrame, p: Params, bag: list) -> DataFrame:
+    """Round 0: ``seq`` in track order and the row's ``chunk``."""
+    slices = math.ceil(hot.agg(F.sum("n_total")).first()[0] / p.chunk_rows)
+    order = [F.col(c).asc_nulls_last() for c in RAW_ORDER]
+    # the range bounds are sampled anew for each plan, so the slices are fixed by a checkpoint
+    h = _keep(rows.repartitionByRange(slices, *VKEY, *order).withColumn("slice", F.spark_partition_id()), bag)
+    count = h.groupBy(*VKEY, "slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*VKEY).orderBy("slice").rowsBetween(*BEFORE)
+    offset = count.select(*VKEY, "slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy(*VKEY, "slice").orderBy(*order))
+    # a slice is about one chunk of rows: as many summaries as slices and hot vessels
+    h = h.withColumn("_place", place).join(F.broadcast(offset), [*VKEY, "slice"])
+    h = h.withColumn("seq", (F.col("_offset") + F.col("_place")).cast("int")).drop("slice", "_place", "_offset")
+    return _keep(h.withColumn("chunk", chunk_of(F.col("seq"), p)), bag)
+
+
+def chunk_of(seq: Column, p: Params) -> Column:
+    return F.floor((seq - 1) / p.chunk_rows).cast("int")
+
+
 class HotStages:
     """The stages of hot rows, each round run when it is first asked for.
     ``persisted`` holds the rounds' checkpoints."""
 
     def __init__(self, hot_rows: DataFrame, hot: DataFrame, p: Params = DEFAULT):
         self.p, self.persisted = p, []
-        total = hot.agg(F.sum("n_total")).first()[0]
-        self.ingested = self._numbered(hot_rows, math.ceil(total / p.chunk_rows))
-
-    def _numbered(self, rows: DataFrame, slices: int) -> DataFrame:
-        """Round 0: ``seq`` in track order and the row's ``chunk``."""
-        order = [F.col(c).asc_nulls_last() for c in RAW_ORDER]
-        # the range bounds are sampled anew for each plan, so the slices are fixed by a checkpoint
-        h = _keep(rows.repartitionByRange(slices, *VKEY, *order).withColumn("slice", F.spark_partition_id()),
-                  self.persisted)
-        count = h.groupBy(*VKEY, "slice").agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.partitionBy(*VKEY).orderBy("slice").rowsBetween(*BEFORE)
-        offset = count.select(*VKEY, "slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-        place = F.row_number().over(Window.partitionBy(*VKEY, "slice").orderBy(*order))
-        # a slice is about one chunk of rows: as many summaries as slices and hot vessels
-        h = h.withColumn("_place", place).join(F.broadcast(offset), [*VKEY, "slice"])
-        h = h.withColumn("seq", (F.col("_offset") + F.col("_place")).cast("int")).drop("slice", "_place", "_offset")
-        chunk = F.floor((F.col("seq") - 1) / self.p.chunk_rows).cast("int")
-        return _keep(h.withColumn("chunk", chunk), self.persisted)
+        self.ingested = numbered(hot_rows, hot, p, self.persisted)
 
     @cached_property
     def smoothed(self) -> DataFrame:
         """Round 1: rows within ``halo`` rows of a chunk are copied into it;
         the windows of its own rows are then whole."""
         p = self.p
-        halo, size = p.smooth_window // 2 + 1, p.chunk_rows
-        of = lambda seq: F.floor((seq - 1) / size).cast("int")
+        halo = p.smooth_window // 2 + 1
+        of = lambda seq: chunk_of(seq, p)
         first = self.ingested.where("seq = 1").select(*VKEY, F.col("VesselType").alias("first_type"))
         near = F.sequence(F.greatest(of(F.col("seq") - halo), F.lit(0)),
                           of(F.least(F.col("seq") + halo, F.col("n_total"))))

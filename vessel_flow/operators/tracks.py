@@ -65,11 +65,14 @@ def _median3_sql(prev: str, cur: str, nxt: str) -> str:
 
 def rolling_median(c: str, window: int, key=KEY, order=ORDER) -> Column:
     """Centred rolling median over ``window`` rows of a track in ``order``."""
+    spec = f"PARTITION BY {', '.join(key)} ORDER BY " + ", ".join(f"{o} ASC NULLS LAST" for o in order)
     if window == 3:
-        spec = (f"PARTITION BY {', '.join(key)} ORDER BY " + ", ".join(f"{o} ASC NULLS LAST" for o in order))
         return F.expr(_median3_sql(f"lag({c}, 1) OVER ({spec})", c, f"lead({c}, 1) OVER ({spec})"))
-    w = Window.partitionBy(*key).orderBy(*[F.col(o).asc_nulls_last() for o in order])
-    return F.percentile(F.col(c), 0.5).over(w.rowsBetween(-(window // 2), window - 1 - window // 2))
+    # the rows around, sorted: no frame is evaluated for each row
+    near = [f"lag({c}, {-k}) OVER ({spec})" if k < 0 else f"lead({c}, {k}) OVER ({spec})" if k else c
+            for k in range(-(window // 2), window - window // 2)]
+    run = f"array_sort(filter(array({', '.join(near)}), v -> v IS NOT NULL))"
+    return F.expr(f"get(transform(array({run}), s -> (get(s, (size(s) - 1) div 2) + get(s, size(s) div 2)) / 2), 0)")
 
 
 def smooth_tracks(df: DataFrame, p: Params = DEFAULT, key=KEY) -> DataFrame:

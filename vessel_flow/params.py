@@ -33,6 +33,7 @@ class Params:
     # --- engine choices (not reference values) -----------------------------
     period: str = "year"               # "year" or "month": voyages never cross a period
     state_cell_deg: float = 1.0        # grid cell for the polygon join
+    cell_edges: int = 64               # edges of a polygon in one strip of a cell, about
     port_cell_deg: float = 0.5         # grid cell for the port join
     broadcast_max_bytes: int = 256 << 20  # cell tables above this use a shuffle join
     track_partitions: int | None = None  # partitions of the vessel exchange (None: spark.sql.shuffle.partitions)

@@ -30,6 +30,9 @@ IRREGULAR = """a.LON >= b.x0 - 0.005 AND a.LAT <= b.y0 + 1.995 AND CASE WHEN b.o
   THEN a.LAT - b.y0 + 0.005 >= a.LON - b.x0 + 0.012
   ELSE a.LON <= b.x0 + 2.005 AND a.LAT >= b.y0 - 0.005 AND NOT (a.LON BETWEEN b.x0 + 1.105 AND b.x0 + 1.505
        AND a.LAT BETWEEN b.y0 + 1.305 AND b.y0 + 1.605) END"""
+#: ``fixtures.dense_states``: above the saw, whose height is linear on each half tooth.
+DENSE = """a.LON >= b.x0 - 0.003 AND a.LON <= b.x0 + 2.003 AND a.LAT <= b.y0 + 1.995 AND a.LAT >= b.y0 + 1.0537
+  + 0.5 * (1 - abs(2 * ((a.LON - b.x0 + 0.003) * 1500 / 2.006 - floor((a.LON - b.x0 + 0.003) * 1500 / 2.006)) - 1))"""
 NATION_PORTS = """
       SELECT n_nationkey AS ordinal, 'PORT ' || n_name AS name, n_name AS state,
              CAST(25 + 2 * (n_nationkey // 5) + 1 AS DOUBLE) AS lat,
@@ -46,6 +49,35 @@ BURST = """(SELECT * REPLACE (CASE WHEN user_id % 10 <> 0 THEN TIMESTAMP '2024-0
   + to_microseconds((event_id * 7919) % 60000000) ELSE ts END AS ts) FROM events)"""
 
 
+def shifted_sql(unit: str, n: int) -> str:
+    """``fixtures.shifted_events``; ``unit`` is to_days or to_years."""
+    return f"(SELECT * REPLACE (ts + {unit}(CAST({n} * (user_id % 3) AS INTEGER)) AS ts) FROM events)"
+
+
+def daily_sql(headers: list[list[str]]) -> str:
+    """The lines of ``fixtures.write_daily_csv``: all_lines, and lines of the
+    files that have every column, with the reason why a line gives no row."""
+    text = {
+        "MMSI": "CASE WHEN k = 29 THEN 'x' || MMSI WHEN event_id % 5 = 0 THEN MMSI || '.0' ELSE CAST(MMSI AS VARCHAR) END",
+        "BaseDateTime": "CASE WHEN k = 21 THEN 'noon' ELSE strftime(BaseDateTime, '%Y-%m-%dT%H:%M:%S.%f') END",
+        "LAT": "CAST(CAST(LAT AS DECIMAL(9, 2)) AS VARCHAR)", "LON": "CAST(CAST(LON AS DECIMAL(9, 2)) AS VARCHAR)",
+        "SOG": "CAST(CAST(SOG AS DECIMAL(18, 6)) AS VARCHAR)", "VesselType": "CAST(VesselType AS VARCHAR)",
+        "Heading": "'511'", "IMO": "'IMO' || MMSI", "Status": "'5'"}
+    row = lambda names: "concat_ws(',', " + ", ".join(text[n] for n in names) + ")"
+    lines = "\n".join(f"WHEN {v} THEN CASE k WHEN 7 THEN {row(h)} || ',surplus' WHEN 13 THEN {row(h[:3])} ELSE {row(h)} END"
+                      for v, h in enumerate(headers))
+    ais = ais_sql().replace("SELECT CAST(", "SELECT event_id, CAST(", 1)
+    return f"""
+    WITH ais AS (
+      SELECT *, event_id % 40 AS k, CAST(BaseDateTime AS DATE) AS day, dayofyear(BaseDateTime) % {len(headers)} AS variant,
+        strftime(BaseDateTime, 'AIS_%Y_%m_%d.csv') AS file FROM ({ais}) a),
+    all_lines AS (SELECT *, CASE variant {lines} END AS line FROM ais),
+    lines AS (
+      SELECT *, CASE WHEN k IN (7, 13) THEN 'does not fit the header' WHEN k = 29 THEN 'no vessel'
+        WHEN k = 21 THEN 'no time' END AS reason
+      FROM all_lines WHERE variant < {len(headers) - 1})"""
+
+
 def ais_sql(type_rule: str = "freight", vessel: str = "user", nulls: bool = False, events: str = "events") -> str:
     vt = "70 + user_id % 20" if type_rule == "freight" else "60 + user_id % 40"
     mmsi = {"user": "user_id", "user_day": "user_id * 1000 + dayofyear(ts)", "one": "1"}[vessel]
@@ -100,7 +132,8 @@ def chain(p: Params = DEFAULT, type_rule: str = "freight", vessel: str = "user",
         CASE WHEN n_rows > 3 THEN median(SOG) OVER w3 ELSE SOG END AS SOG,
         first_value(VesselType) OVER ({w}) AS first_type
       FROM numbered
-      WINDOW w3 AS ({w} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+      WINDOW w3 AS ({w} ROWS BETWEEN {p.smooth_window // 2} PRECEDING
+                             AND {p.smooth_window - 1 - p.smooth_window // 2} FOLLOWING)),
     slowed AS (
       SELECT *, coalesce(SOG < {_d(p.slow_sog)}, false) AS slow FROM smoothed),
     changed AS (

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import sinks
-from ..operators import emissions, geo, ingest, matrix, routes, split, tracks
+from ..operators import emissions, geo, ingest, matrix, metrics, routes, split, tracks
 from ..params import DEFAULT, Params
 
 TRAJECTORY_COLUMNS = emissions.TRAJECTORY_COLUMNS
@@ -75,8 +75,9 @@ def build_stages(ais: DataFrame, state_rings: DataFrame, ports: DataFrame,
     runs unchanged."""
     ing0 = ingest.ingest(ais, p)
     # built and size-checked when first read, shared by all joins of the run
-    cells = Stages(p, {"states": lambda s: geo.bounded_broadcast(geo.state_cells(state_rings, p), p),
-                       "ports": lambda s: geo.bounded_broadcast(geo.port_cells(ports, p), p)})
+    cells = Stages(p, {
+        "states": lambda s: geo.bounded_broadcast(geo.state_cells(state_rings, p), p, geo.state_bytes(state_rings, p)),
+        "ports": lambda s: geo.bounded_broadcast(geo.port_cells(ports, p), p, geo.port_bytes(ports, p))})
     out = None
     if p.split_hot:
         hot = split.hot_vessels(split.vessel_stats(ing0), p)
@@ -154,14 +155,34 @@ def trajectory_output(traj: DataFrame) -> DataFrame:
                          for c in ("period", "year", *TRAJECTORY_COLUMNS, "seq")])
 
 
-def routes_from_trajectory(traj: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def routes_from_trajectory(traj: DataFrame, p: Params = DEFAULT, placed: bool = False) -> DataFrame:
     """The route table from a saved trajectory in the 11-column schema.
-    Keys are derived from the time, ``seq`` from the sort order where absent."""
+    Keys are derived from the time, ``seq`` from the sort order where absent.
+
+    Vessel-periods above ``hot_vessel_rows`` rows go through the chunked rounds,
+    as in ``build_stages``: numbered by slices, stays resolved across chunks.
+    A ``placed`` trajectory lies in buckets by vessel (``sources.staged``) and is
+    not dealt out again."""
     if "period" not in traj.columns:
         traj = traj.select(*ingest.period_columns(F.col("BaseDateTime"), p.period), *traj.columns)
-    traj = ingest.partition_by_vessel(traj, n=p.track_partitions)
+    hot = split.hot_vessels(split.vessel_stats(traj), p) if p.split_hot else None
+    if hot is None:
+        return _plain_routes(traj, p, placed)
+    marked = split.mark_hot(traj, hot)
+    cold = _plain_routes(marked.where(~F.col("hot")).drop("hot", "n_total"), p, placed)
+    bag: list[DataFrame] = []
+    rows = marked.where("hot").drop("hot")
+    rows = (rows.withColumn("chunk", split.chunk_of(F.col("seq"), p)) if "seq" in traj.columns
+            else split.numbered(rows, hot, p, bag))
+    table = routes.route_table(split.hot_stays(rows.drop("n_total"), bag), split.VKEY)
+    return _union(cold, table)
+
+
+def _plain_routes(traj: DataFrame, p: Params, placed: bool) -> DataFrame:
+    if not placed:
+        traj = ingest.partition_by_vessel(traj, n=p.track_partitions)
     if "seq" not in traj.columns:
-        order = [F.col(c).asc_nulls_last() for c in ("BaseDateTime", "LAT", "LON", "SOG")]
+        order = [F.col(c).asc_nulls_last() for c in ("BaseDateTime", "LAT", "LON", "SOG", "VesselType")]
         traj = traj.withColumn("seq", F.row_number().over(Window.partitionBy(*ingest.KEY).orderBy(*order)))
     return routes.route_table(routes.mark_stays(traj))
 
@@ -170,7 +191,7 @@ def emission_pipeline(spark: SparkSession, ais: DataFrame, ports: DataFrame, sta
                       p: Params = DEFAULT, stage_dir: str | None = None,
                       periods: list[int] | None = None) -> dict[str, DataFrame]:
     """All outputs of one run: trajectory, routes (with state map), transit
-    states, flows, transfer sums and rejects.
+    states, flows, transfer sums, rejects and the vessels' bitmaps.
 
     ``periods`` selects the input's periods, in every mode.  The route table
     is persisted (one row per route, small) because four outputs read it.
@@ -190,7 +211,7 @@ def emission_pipeline(spark: SparkSession, ais: DataFrame, ports: DataFrame, sta
         # no re-partitioning by vessel: the route sums aggregate partially
         # per input split and shuffle only (route, state) partials, so a hot
         # vessel's routes spread over many tasks
-        staged = (spark.read.schema(s.marked_all.schema).parquet(stage_dir)
+        staged = (sinks.stored(spark, stage_dir, s.marked_all.schema)
                   .where(F.col("period").isin([int(x) for x in periods])).select(*names))
         marked = staged.filter(~F.col("rejected"))
         rejects = emissions.split_rejects(staged)[1]
@@ -204,5 +225,6 @@ def emission_pipeline(spark: SparkSession, ais: DataFrame, ports: DataFrame, sta
         "flows": flows,
         "transfers": matrix.transfer_long(flows),
         "rejects": rejects,
+        "vessels": metrics.vessel_bitmaps(s.typed),
         "route_table": table,
     }

@@ -8,17 +8,21 @@ are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import sinks
 from ..operators import emissions, ingest, manifest, matrix, metrics, ports, routes, tracks
 from ..params import DEFAULT, Params
-from ..sources import fixtures as fx
+from ..session import checkpoint_dir
+from ..sources import ais_csv, dimensions, fixtures as fx, staged
 from . import oracle as O
-from .pipeline import Stages, build_stages, routes_from_trajectory
+from .job import run_emission_job
+from .pipeline import Stages, build_stages, emission_pipeline, routes_from_trajectory, trajectory_output
 
 R = O.R
 P12 = DEFAULT.with_(merge_gap_hours=12.0)
@@ -328,6 +332,235 @@ def q_rejects(spark, sf):
     return stages(spark, sf).rejects
 
 
+# --- files and stored tables: written to the shared folder and read back ----------
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _daily_scan(spark, sf) -> ais_csv.CsvScan:
+    """All events as daily CSV files with four headers and faulty lines."""
+    return ais_csv.read_ais_csv(spark, fx.write_daily_csv(fx.table(spark, sf, "events"), _folder(spark, "days")))
+
+
+def _file(path: str = "source_file") -> Column:
+    return F.regexp_extract(path, r"(AIS_[0-9_]+\.csv)", 1).alias("file")
+
+
+DAY_ROW = ["MMSI", "BaseDateTime", "LAT", "LON", "SOG", "VesselType", "Status", "IMO"]
+
+
+def q_csv_days(spark, sf):
+    return rounded(ingest.typed_ais(_daily_scan(spark, sf).rows, extra=["source_file"]).select(*DAY_ROW, _file()))
+
+
+def q_csv_quarantine(spark, sf):
+    return _daily_scan(spark, sf).quarantine.select(_file(), "line", "reason")
+
+
+def q_csv_report(spark, sf):
+    """Per accepted file: lines, rows, quarantined lines and the ingest's counts."""
+    scan = _daily_scan(spark, sf)
+    split_ = scan.lines.groupBy("source_file").agg(
+        F.count_if(F.col("reason").isNull()).alias("kept"), F.count_if(F.col("reason").isNotNull()).alias("quarantined"))
+    return (ais_csv.ingest_report(scan.lines).join(split_, "source_file")
+            .select(_file(), "rows", "malformed", "no_vessel", "no_time", "dropped", "kept", "quarantined"))
+
+
+def q_csv_rejects(spark, sf):
+    return _daily_scan(spark, sf).rejects.select(
+        _file("path"), "reason")
+
+
+def q_csv_month_glob(spark, sf):
+    """Only the files of the month's first nine days, by their names."""
+    days = fx.write_daily_csv(fx.table(spark, sf, "events"), _folder(spark, "days"))
+    rows = ais_csv.read_ais_csv(spark, days, glob="AIS_*_0[1-9].csv").rows
+    return rows.groupBy(_file()).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def q_zip_days(spark, sf):
+    rows, _ = ais_csv.read_zipped_ais(spark, fx.write_daily_zips(fx.table(spark, sf, "events"), _folder(spark, "zips")))
+    return rounded(ingest.typed_ais(rows, extra=["member"]).select(*DAY_ROW[:6], "member"))
+
+
+def q_zip_status(spark, sf):
+    _, status = ais_csv.read_zipped_ais(spark, fx.write_daily_zips(fx.table(spark, sf, "events"), _folder(spark, "zips")))
+    return status.select("day", "csv_members", "lines", "has_csv")
+
+
+def q_ingest_manifest(spark, sf):
+    """Files of even days and archives of days that 3 divides, as folders."""
+    ev = fx.table(spark, sf, "events")
+    csv = fx.write_daily_csv(ev.where(F.dayofmonth("ts") % 2 == 0), _folder(spark, "days"))
+    zips = fx.write_daily_zips(ev.where(F.dayofmonth("ts") % 3 == 0), _folder(spark, "zips"))
+    years = [r[0] for r in ev.select(F.year("ts")).distinct().collect()]
+    return manifest.ingest_manifest(spark, csv, years, zips)["tally"]
+
+
+def q_state_geojson(spark, sf):
+    """Polygons read from a GeoJSON file."""
+    ev, nat = fx.table(spark, sf, "events"), fx.table(spark, sf, "nation")
+    rings = dimensions.read_states_geojson(spark, fx.write_geojson(nat, _folder(spark, "map")), one_feature_per_line=True)
+    return build_stages(fx.ais_from_events(ev), rings, fx.ports_from_nation(nat)).states.select(*ROW, "State")
+
+
+def q_ports_csv(spark, sf):
+    """World ports from CSV text, built, written as the port CSV and read again."""
+    at = _folder(spark, "ports")
+    fx.world_ports_from_supplier(fx.table(spark, sf, "supplier")).write.option("header", True).csv(f"{at}/world")
+    built = ports.build_ports(dimensions.read_world_ports(spark, f"{at}/world"),
+                              fx.states_from_nation(fx.table(spark, sf, "nation")))
+    sinks.write_ports_csv(built, f"{at}/us")
+    return rounded(dimensions.read_ports_csv(spark, f"{at}/us").drop("ordinal"))
+
+
+def month_stages(spark, sf, p=PMONTH) -> Stages:
+    """Three months of positions."""
+    ev, nat = fx.table(spark, sf, "events"), fx.table(spark, sf, "nation")
+    return build_stages(fx.ais_from_events(fx.shifted_events(ev, "DAY", 31)), fx.states_from_nation(nat),
+                        fx.ports_from_nation(nat), p)
+
+
+def q_routes_stored(spark, sf):
+    """Routes of three months, written and read back, the map parsed again."""
+    at = _folder(spark, "routes")
+    sinks.write_routes(month_stages(spark, sf).table, at)
+    m = F.map_values(F.from_json("state_emissions", "map<string,double>"))
+    return rounded(sinks.stored(spark, at, sinks.ROUTE_SCHEMA).select(
+        "year", "period", F.col("mmsi").alias("MMSI"), "start_port", "start_state", "end_port", "end_state",
+        "total_emissions", F.aggregate(m, F.lit(0.0), lambda a, x: a + x).alias("transit")))
+
+
+def q_flows_replaced(spark, sf):
+    """Flows of odd vessels, then one month replaced by those of all vessels
+    and another by none."""
+    at = _folder(spark, "flows")
+    flows = routes.transfer_flows(routes.transit_emissions(month_stages(spark, sf).table))
+    sinks.write_flows(flows.where("MMSI % 2 = 1"), at)
+    sinks.write_flows(flows.where("period = 202402"), at, [202402, 202403])
+    back = sinks.stored(spark, at, sinks.FLOW_SCHEMA)
+    return rounded(back.groupBy("year", "period", "source_state", "dest_state").agg(
+        F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("flows")))
+
+
+def q_trajectory_stored(spark, sf):
+    """Routes from a written trajectory."""
+    at = _folder(spark, "trajectory")
+    sinks.write_trajectory(trajectory_output(month_stages(spark, sf).trajectory), at)
+    return rounded(routes.routes(routes_from_trajectory(dimensions.read_trajectory(spark, at), PMONTH)).select(*ROUTE_OUT))
+
+
+def q_period_rows(spark, sf):
+    """Rows by period and label of a written trajectory, read without a schema."""
+    at = _folder(spark, "trajectory")
+    sinks.write_trajectory(trajectory_output(month_stages(spark, sf).trajectory), at)
+    return dimensions.read_period_outputs(spark, at).groupBy("period", "Label").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _job(spark, sf) -> str:
+    """The whole job over three years, the first two in a run of their own."""
+    nat, out = fx.table(spark, sf, "nation"), _folder(spark, "job")
+    ais = fx.ais_from_events(fx.shifted_events(fx.table(spark, sf, "events"), "YEAR", 1))
+    first = ais.select(F.min(F.year("BaseDateTime"))).first()[0]
+    for years in ([first, first + 1], None):
+        run_emission_job(spark, ais, fx.ports_from_nation(nat), fx.states_from_nation(nat), out, years=years)
+    return out
+
+
+def q_job_transfers(spark, sf):
+    return rounded(sinks.stored(spark, f"{_job(spark, sf)}/transfers", sinks.TRANSFER_SCHEMA))
+
+
+def q_job_periods(spark, sf):
+    """Done markers of the job with the rows it wrote for each period."""
+    out = _job(spark, sf)
+    count = lambda t, schema: (sinks.stored(spark, f"{out}/{t}", schema).groupBy("period")
+                               .agg(F.count(F.lit(1)).alias(t)))
+    return (sinks.stored(spark, f"{out}/done", sinks.DONE_SCHEMA).select("period")
+            .join(count("trajectory", sinks.TRAJECTORY_SCHEMA), "period", "left")
+            .join(count("routes", sinks.ROUTE_SCHEMA), "period", "left")
+            .join(count("flows", sinks.FLOW_SCHEMA), "period", "left"))
+
+
+def q_pipeline_years(spark, sf):
+    """The pipeline itself over three years in one plan."""
+    nat = fx.table(spark, sf, "nation")
+    ais = fx.ais_from_events(fx.shifted_events(fx.table(spark, sf, "events"), "YEAR", 1))
+    out = emission_pipeline(spark, ais, fx.ports_from_nation(nat), fx.states_from_nation(nat),
+                            stage_dir=_folder(spark, "stage"))
+    return rounded(out["routes"].select(*ROUTE_OUT))
+
+
+def q_state_tag_dense(spark, sf):
+    """Polygons with thousands of edges."""
+    nat = fx.table(spark, sf, "nation")
+    return build_stages(fx.ais_from_events(fx.table(spark, sf, "events")), fx.dense_states(nat),
+                        fx.ports_from_nation(nat)).states.select(*ROW, "State")
+
+
+def q_smooth_5(spark, sf):
+    return _smooth_out(stages(spark, sf, DEFAULT.with_(smooth_window=5), nulls=True))
+
+
+def q_smooth_7(spark, sf):
+    return _smooth_out(stages(spark, sf, DEFAULT.with_(smooth_window=7), nulls=True))
+
+
+def q_vessels_in_ranges(spark, sf):
+    """Distinct vessels of all ranges of months, from the bitmaps kept of each month."""
+    at = _folder(spark, "vessels")
+    sinks.write_vessel_bitmaps(metrics.vessel_bitmaps(month_stages(spark, sf).typed), at)
+    kept = sinks.stored(spark, at, sinks.BITMAP_SCHEMA)
+    months = kept.select("period").distinct()
+    ranges = months.select(F.col("period").alias("first")).join(
+        months.select(F.col("period").alias("last")), F.expr("first <= last"))
+    return metrics.vessels_in(kept, ranges)
+
+
+def q_transfers_incremental(spark, sf):
+    """Kept sums of each month, one month of them done again, then the year."""
+    at = _folder(spark, "sums")
+    sums = matrix.period_sums(routes.transfer_flows(routes.transit_emissions(month_stages(spark, sf).table)))
+    sinks.write_period_sums(sums.withColumn("amount", F.when(F.col("period") == 202402, -1.0).otherwise(F.col("amount"))), at)
+    sinks.write_period_sums(sums.where("period = 202402"), at, [202402])
+    return rounded(matrix.transfer_long(sinks.stored(spark, at, sinks.FLOW_SCHEMA)))
+
+
+def q_routes_from_stage(spark, sf):
+    """Re-entry from a trajectory kept in buckets by vessel."""
+    at = _folder(spark, "staged")
+    staged.write_staged(trajectory_output(month_stages(spark, sf).trajectory), at, 8)
+    return rounded(routes.routes(routes_from_trajectory(staged.read_staged(spark, at), PMONTH, placed=True)).select(*ROUTE_OUT))
+
+
+def _from_csv(df: DataFrame, text: list[str]) -> DataFrame:
+    return rounded(df.select(*[F.col(f"`{c}`") if c in text else F.col(f"`{c}`").cast(
+        "long" if c in ("Year", "MMSI") else "double").alias(c) for c in df.columns]))
+
+
+WIDE_TEXT = ["Start Port", "Start State", "End Port", "End State"]
+OUT_STATES = "States with carbon transfer out"
+
+
+def q_routes_wide_csv(spark, sf):
+    at = _folder(spark, "wide")
+    sinks.write_routes_wide_csv(stages(spark, sf).table, at, fx.STATE_NAMES)
+    return _from_csv(spark.read.option("header", True).csv(at), WIDE_TEXT)
+
+
+def q_matrix_csv(spark, sf):
+    at = _folder(spark, "matrix")
+    sinks.write_matrix_csv(_transfers(spark, sf), at, fx.STATE_NAMES)
+    return _from_csv(spark.read.option("header", True).csv(at), [OUT_STATES])
+
+
+def q_routes_from_trajectory_burst(spark, sf):
+    """Re-entry with one vessel that holds all rows."""
+    saved = burst_stages(spark, sf).trajectory.select(*emissions.TRAJECTORY_COLUMNS)
+    return rounded(routes.routes(routes_from_trajectory(saved, PBURST)).select(*ROUTE_OUT))
+
+
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "freight_filter": q_freight_filter,
     "vessel_counts": q_vessel_counts,
@@ -378,6 +611,32 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "transit_map": q_transit_map,
     "routes_from_trajectory": q_routes_from_trajectory,
     "ingest_tally_archives": q_ingest_tally_archives,
+    "csv_days": q_csv_days,
+    "csv_quarantine": q_csv_quarantine,
+    "csv_report": q_csv_report,
+    "csv_rejects": q_csv_rejects,
+    "csv_month_glob": q_csv_month_glob,
+    "zip_days": q_zip_days,
+    "zip_status": q_zip_status,
+    "ingest_manifest": q_ingest_manifest,
+    "state_geojson": q_state_geojson,
+    "ports_csv": q_ports_csv,
+    "routes_stored": q_routes_stored,
+    "flows_replaced": q_flows_replaced,
+    "trajectory_stored": q_trajectory_stored,
+    "period_rows": q_period_rows,
+    "job_transfers": q_job_transfers,
+    "job_periods": q_job_periods,
+    "pipeline_years": q_pipeline_years,
+    "routes_wide_csv": q_routes_wide_csv,
+    "matrix_csv": q_matrix_csv,
+    "routes_from_trajectory_burst": q_routes_from_trajectory_burst,
+    "state_tag_dense": q_state_tag_dense,
+    "smooth_5": q_smooth_5,
+    "smooth_7": q_smooth_7,
+    "vessels_in_ranges": q_vessels_in_ranges,
+    "transfers_incremental": q_transfers_incremental,
+    "routes_from_stage": q_routes_from_stage,
 }
 
 
@@ -512,6 +771,75 @@ def _sql() -> dict[str, str]:
              'stop row without coordinates' AS reason
       FROM co2 WHERE (period, MMSI) IN (SELECT (period, MMSI) FROM rejected) GROUP BY period, MMSI"""
     q["rejects"] = c(rejects)
+    days = O.daily_sql(fx.DAILY_HEADERS)
+    q["csv_days"] = days + f"""
+      SELECT MMSI, BaseDateTime, round(LAT, {R}) AS LAT, round(LON, {R}) AS LON, round(SOG, {R}) AS SOG,
+        CAST(VesselType AS DOUBLE) AS VesselType, CASE WHEN variant = 2 THEN '5' END AS Status,
+        CASE WHEN variant = 1 THEN 'IMO' || MMSI END AS IMO, file
+      FROM lines WHERE reason IS NULL"""
+    q["csv_quarantine"] = days + "\nSELECT file, line, reason FROM lines WHERE reason IS NOT NULL"
+    # a line that is cut off still has what stands before the cut
+    q["csv_report"] = days + """
+      SELECT file, count(*) AS rows, count(*) FILTER (WHERE k IN (7, 13)) AS malformed,
+        count(*) FILTER (WHERE no_vessel) AS no_vessel, count(*) FILTER (WHERE no_time) AS no_time,
+        count(*) FILTER (WHERE no_vessel OR no_time) AS dropped, count(*) FILTER (WHERE reason IS NULL) AS kept,
+        count(*) FILTER (WHERE reason IS NOT NULL) AS quarantined
+      FROM (SELECT *, k = 29 OR (k = 13 AND variant = 1) AS no_vessel, k = 21 OR (k = 13 AND variant = 1) AS no_time FROM lines)
+      GROUP BY file"""
+    q["csv_rejects"] = days + f"""
+      SELECT DISTINCT file, 'missing columns VesselType; found {', '.join(fx.DAILY_HEADERS[3])}' AS reason
+      FROM all_lines WHERE variant = 3"""
+    q["csv_month_glob"] = days + "\nSELECT file, count(*) AS rows FROM lines WHERE reason IS NULL AND day(day) < 10 GROUP BY file"
+    q["zip_days"] = f"""
+      SELECT MMSI, BaseDateTime, round(LAT, {R}) AS LAT, round(LON, {R}) AS LON, round(SOG, {R}) AS SOG,
+        CAST(VesselType AS DOUBLE) AS VesselType,
+        strftime(BaseDateTime, 'AIS_%Y_%m_%d_') || (MMSI % 8) || '.csv' AS member
+      FROM ({O.ais_sql()}) a"""
+    q["zip_status"] = """
+      SELECT CAST(ts AS DATE) AS day, CAST(count(DISTINCT user_id % 8) AS INTEGER) AS csv_members, count(*) AS lines,
+        true AS has_csv FROM events GROUP BY 1"""
+    q["ingest_manifest"] = q["ingest_tally_archives"]
+    q["state_geojson"] = q["state_tag"]
+    q["ports_csv"] = (f"SELECT \"Main Port Name\" AS name, state, round(\"Latitude\", {R}) AS lat, "
+                      f"round(\"Longitude\", {R}) AS lon FROM ({q['us_ports']})")
+    months = {"p": PMONTH, "events": O.shifted_sql("to_days", 31)}
+    q["routes_stored"] = c(f"""
+      SELECT r.year, r.period, r.MMSI, r.start_port, r.start_state, r.end_port, r.end_state,
+        round(any_value(r.total_emissions), {R}) AS total_emissions, round(sum(t.emissions), {R}) AS transit
+      FROM routes r LEFT JOIN transit t ON t.period = r.period AND t.MMSI = r.MMSI AND t.start_time = r.start_time
+      GROUP BY r.year, r.period, r.MMSI, r.start_time, r.start_port, r.start_state, r.end_port, r.end_state""", **months)
+    q["flows_replaced"] = c(f"""
+      SELECT year, period, source_state, dest_state, round(sum(amount), {R}) AS amount, count(*) AS flows
+      FROM flows WHERE period = 202402 OR (period <> 202403 AND MMSI % 2 = 1)
+      GROUP BY year, period, source_state, dest_state""", **months)
+    q["trajectory_stored"] = c(_row(ROUTE_OUT, "routes", doubles=("total_emissions",)), **months)
+    q["period_rows"] = c("SELECT period, Label, count(*) AS rows FROM traj GROUP BY period, Label", **months)
+    years = {"events": O.shifted_sql("to_years", 1)}
+    q["job_transfers"] = c(_row(["year", "source_state", "dest_state", "amount"], "transfers", doubles=("amount",)), **years)
+    q["job_periods"] = c("""
+      SELECT t.period, t.trajectory, r.routes, f.flows
+      FROM (SELECT period, count(*) AS trajectory FROM traj GROUP BY period) t
+      LEFT JOIN (SELECT period, count(*) AS routes FROM routes GROUP BY period) r ON t.period = r.period
+      LEFT JOIN (SELECT period, count(*) AS flows FROM flows GROUP BY period) f ON t.period = f.period""", **years)
+    q["pipeline_years"] = c(_row(ROUTE_OUT, "routes", doubles=("total_emissions",)), **years)
+    states = ", ".join(f'"{n}"' for n in fx.STATE_NAMES)
+    q["routes_wide_csv"] = f"""
+      SELECT CAST(year AS BIGINT) AS "Year", MMSI, start_port AS "Start Port", start_state AS "Start State",
+        end_port AS "End Port", end_state AS "End State", total_emissions AS "Total Emissions", {states}
+      FROM ({q["routes_wide"]})"""
+    q["matrix_csv"] = f"""
+      SELECT CAST(year AS BIGINT) AS "Year", source_state AS "{OUT_STATES}", {states} FROM ({q["transfer_matrix"]})"""
+    q["routes_from_trajectory_burst"] = q["routes_split_burst"]
+    q["state_tag_dense"] = c("SELECT period, MMSI, BaseDateTime, poly_state AS State FROM traj", inside=O.DENSE)
+    q["smooth_5"] = c(sm, DEFAULT.with_(smooth_window=5), nulls=True)
+    q["smooth_7"] = c(sm, DEFAULT.with_(smooth_window=7), nulls=True)
+    q["vessels_in_ranges"] = c("""
+      SELECT a.period AS first, b.period AS last, count(DISTINCT t.MMSI) AS vessels
+      FROM (SELECT DISTINCT period FROM typed) a JOIN (SELECT DISTINCT period FROM typed) b ON a.period <= b.period
+      JOIN typed t ON t.period BETWEEN a.period AND b.period GROUP BY a.period, b.period""", **months)
+    q["transfers_incremental"] = c(_row(["year", "source_state", "dest_state", "amount"], "transfers", doubles=("amount",)),
+                                   **months)
+    q["routes_from_stage"] = q["trajectory_stored"]
     q["rejects_nulls"] = c(rejects, vessel="user_day", nulls=True)
     return q
 

@@ -1,6 +1,7 @@
 """Sinks (K1-K9).  Parquet outputs are partitioned by year (and period); a
-write names its periods and replaces exactly their partitions, also where the
-new result is smaller or empty.  Wide CSV forms keep the reference's headers."""
+write names its periods and replaces exactly their rows in one switch, also
+where the new result is smaller or empty (see ``versions``); ``stored`` reads
+them.  Wide CSV forms keep the reference's headers."""
 
 from __future__ import annotations
 
@@ -8,12 +9,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions
 from .operators import matrix, routes as R
 
+#: A folder, or a table of a run that is committed later.
+Target = str | tuple[versions.Run, str]
 
 ROUTE_SCHEMA = ("year int, period int, mmsi long, start_port string, start_state string, end_port string, "
                 "end_state string, total_emissions double, state_emissions string")
 FLOW_SCHEMA = "year int, period int, source_state string, dest_state string, amount double"
+BITMAP_SCHEMA = "period int, bucket long, vessels binary"
 TRANSFER_SCHEMA = "year int, source_state string, dest_state string, amount double"
 TRAJECTORY_SCHEMA = ("period int, year int, seq int, MMSI long, BaseDateTime timestamp_ntz, LAT double, LON double, "
                      "SOG double, VesselType int, Label string, TimeDiff double, CO2 double, State string, "
@@ -22,46 +27,47 @@ REJECT_SCHEMA = "period int, MMSI long, rows long, stop_rows_without_position lo
 DONE_SCHEMA = "period int, finished_at timestamp"
 
 
-def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table of these sinks; no rows where nothing was ever written."""
+def stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The live rows of a table of these sinks (see ``versions``): of a folder
+    with its own version record, or of a table of the folder above it.  A plain
+    folder of Parquet files is read as it is.  No rows where nothing was ever
+    written (None without a schema)."""
+    path = path.rstrip("/")
+    top, _, table = path.rpartition("/")
+    for root, name in ((path, ""), (top, table)):
+        found = versions.Store(spark, root).read(name, schema)
+        if found is not None:
+            return found
     try:
-        return spark.read.schema(schema).parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema) if schema else None
 
 
-def replace_periods(df: DataFrame, path: str, periods: list[int] | None = None, key: str = "period",
+def replace_periods(df: DataFrame, target: Target, periods: list[int] | None = None, key: str = "period",
                     parts: list[str] | None = None) -> None:
-    """Writes ``df`` partitioned by ``parts`` (default: ``key``) and replaces
-    the partitions of all ``periods`` (default: those in ``df``), also of
-    those that have no row any more.
+    """Replaces the rows of all ``periods`` (default: those in ``df``), also of
+    those that have no row any more, by ``df``, partitioned by ``parts``.
 
-    Rows are dealt by partition and a salt, so that a period is written by
-    several tasks with a file each, and not by every task of the plan."""
-    parts, spark = parts or [key], df.sparkSession
+    With a folder's path as ``target`` this is a run of its own: readers see
+    the old rows until all new ones are written.  With (run, table) the rows
+    belong to a larger run and show when that one is committed."""
     if periods is None:
         periods = [r[0] for r in df.select(key).distinct().collect()]  # a handful a year
-    drop_partitions(spark, path, key, periods)
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(periods)))
-    plain = [F.col(c) for c, t in df.dtypes if c not in parts and "<" not in t]
-    (df.repartition(*parts, F.pmod(F.xxhash64(*plain), F.lit(salts)))
-     .write.mode("append").partitionBy(*parts).parquet(path))
-
-
-def drop_partitions(spark: SparkSession, path: str, key: str, values: list[int]) -> None:
-    """Removes the partitions ``key=value`` of the named values below ``path``."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for value in values:
-        for pattern in (f"{key}={value}", f"*=*/{key}={value}"):
-            for found in fs.globStatus(hadoop.Path(root, pattern)) or []:
-                fs.delete(found.getPath(), True)
-
-
-def write_routes(route_table: DataFrame, path: str, periods: list[int] | None = None) -> None:
+    if not isinstance(target, str):
+        run, table = target
+        run.write(df, periods, table, key, parts)
+        return
+    store = versions.Store(df.sparkSession, target)
+    run = store.begin()
+    run.write(df, periods, "", key, parts)
+    run.commit()
+    store.vacuum()
+
+
+def write_routes(route_table: DataFrame, path: Target, periods: list[int] | None = None) -> None:
     """K1: routes, long form; the transit map as JSON text (null if none)."""
     out = R.routes_with_state_map(route_table).select(
         "year", "period", F.col("MMSI").alias("mmsi"), "start_port", "start_state", "end_port", "end_state",
@@ -69,7 +75,7 @@ def write_routes(route_table: DataFrame, path: str, periods: list[int] | None =
     replace_periods(out, path, periods, parts=["year", "period"])
 
 
-def write_transfers(transfers: DataFrame, path: str, years: list[int] | None = None) -> None:
+def write_transfers(transfers: DataFrame, path: Target, years: list[int] | None = None) -> None:
     """K2: summed transfers (year, source_state, dest_state, amount).
 
     A year's partition is replaced as a whole, so ``transfers`` must cover
@@ -78,18 +84,29 @@ def write_transfers(transfers: DataFrame, path: str, years: list[int] | None = N
     replace_periods(transfers.select("year", "source_state", "dest_state", "amount"), path, years, key="year")
 
 
-def write_flows(flows: DataFrame, path: str, periods: list[int] | None = None) -> None:
+def write_flows(flows: DataFrame, path: Target, periods: list[int] | None = None) -> None:
     """K4: raw (unsummed) flows per period, for a later merge."""
     replace_periods(flows.select("year", "period", "source_state", "dest_state", "amount"), path, periods,
                     parts=["year", "period"])
 
 
-def write_trajectory(traj: DataFrame, path: str, periods: list[int] | None = None) -> None:
+def write_period_sums(sums: DataFrame, path: Target, periods: list[int] | None = None) -> None:
+    """Partial transfer sums by period (``matrix.period_sums``), for C9."""
+    replace_periods(sums.select("year", "period", "source_state", "dest_state", "amount"), path, periods,
+                    parts=["year", "period"])
+
+
+def write_vessel_bitmaps(bitmaps: DataFrame, path: Target, periods: list[int] | None = None) -> None:
+    """The vessels of each period as bitmaps (``metrics.vessel_bitmaps``), for A5."""
+    replace_periods(bitmaps, path, periods)
+
+
+def write_trajectory(traj: DataFrame, path: Target, periods: list[int] | None = None) -> None:
     """K7: the trajectory of accepted vessels, partitioned by period."""
     replace_periods(traj, path, periods)
 
 
-def write_rejects(rejects: DataFrame, path: str, periods: list[int] | None = None) -> None:
+def write_rejects(rejects: DataFrame, path: Target, periods: list[int] | None = None) -> None:
     """One row per rejected vessel."""
     replace_periods(rejects, path, periods)
 

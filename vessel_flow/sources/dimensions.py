@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import ring_edges
-from ..sinks import TRAJECTORY_SCHEMA
+from ..sinks import TRAJECTORY_SCHEMA, stored
 
 PORT_CSV_SCHEMA = "`Main Port Name` string, state string, Latitude double, Longitude double"
 
@@ -63,7 +63,7 @@ def read_world_ports(spark: SparkSession, path: str) -> DataFrame:
 def read_trajectory(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A staged trajectory (S9), written by ``sinks.write_trajectory``."""
     if fmt == "parquet":
-        return spark.read.schema(TRAJECTORY_SCHEMA).parquet(path)
+        return stored(spark, path, TRAJECTORY_SCHEMA)
     # the 11 columns, in the file's own order of columns, with their types
     text = spark.read.option("header", True).csv(path)
     types = {c.split()[0]: c.split()[1] for c in TRAJECTORY_SCHEMA.split(", ")}
@@ -73,4 +73,4 @@ def read_trajectory(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
 def read_period_outputs(spark: SparkSession, path: str) -> DataFrame:
     """All period outputs of a table (S10); partition columns come back as
     columns and differing columns merge by name."""
-    return spark.read.option("mergeSchema", True).parquet(path)
+    return stored(spark, path)

@@ -29,7 +29,8 @@ def incremental_ingest(spark: SparkSession, src: str, dest: str, name: str = "ai
     """Process the files under ``src`` not seen before; returns counters.
 
     ``dest`` gets the ingested rows partitioned by (period, batch);
-    ``dest + "_rejects"`` the files rejected by the header check.  The
+    ``dest + "_rejects"`` the files rejected by the header check, and
+    ``dest + "_quarantine"`` the lines that gave no row.  The
     stream's checkpoint lives in the shared ``spark.checkpoint.dir`` unless
     ``checkpoint`` names another shared folder."""
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/{name}"
@@ -45,12 +46,13 @@ def incremental_ingest(spark: SparkSession, src: str, dest: str, name: str = "ai
         paths = [r["path"] for r in batch.collect()]
         if not paths:
             return
-        scan = read_ais_csv(spark, paths, glob)
-        rows = ingest(scan.rows, p).withColumn("batch", F.lit(f"{stream}-{epoch}"))
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("period", "batch").parquet(dest))
-        (scan.rejects.withColumn("batch", F.lit(f"{stream}-{epoch}")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(dest + "_rejects"))
+        scan = read_ais_csv(spark, paths, glob, p=p)
+        label = F.lit(f"{stream}-{epoch}")
+        (ingest(scan.rows, p).withColumn("batch", label).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("period", "batch").parquet(dest))
+        for out, name in ((scan.rejects, "rejects"), (scan.quarantine, "quarantine")):
+            (out.withColumn("batch", label).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{dest}_{name}"))
         done["batches"] += 1
         done["files"] += len(paths)
 
