@@ -54,5 +54,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's result over all of ``documents``."""
     docs = common.read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = common.scratch(spark, f"pipeline-{name}")
+        with common.workspace(spark):  # what the operators write on the way goes with the stage
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
