@@ -1,6 +1,8 @@
 """Main text of pages by a tree-structured graphical model.
 
-Every block-level DOM node has a label, content or not.  A node's potential is
+Every block-level DOM node has a label, content or not, and so has an inline
+element with a class, id or role, such as an advert inside a paragraph; an
+inline node's edge to its parent is of a kind of its own.  A node's potential is
 linear in features of its tag, class, id and text; parent and child share a
 potential for each pair of labels.  On the page's tree sum-product message
 passing is exact: messages go up from the leaves and down from the root, and
@@ -17,6 +19,7 @@ text, a very long or deep one takes time in proportion to its length.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import defaultdict
@@ -40,16 +43,20 @@ def _bucket(n: float, *bounds: float) -> int:
     return sum(n >= b for b in bounds)
 
 
-def features(node: dom.Node) -> tuple[list[str], str]:
-    """Features of a node, and the kind of the edge to its parent."""
-    out = ["bias", f"tag={node.tag}"]
+def features(node: dom.Node, parent: str = "") -> tuple[list[str], str]:
+    """Features of a node below an element ``parent``, and the kind of the edge
+    to it."""
+    out = [f"inline={node.tag}"] if node.inline else ["bias", f"tag={node.tag}", f"tag={parent}>{node.tag}"]
     part = node.tag in _PARTS
     if node.attrs:
         values = node.attributes()
         tokens = {t.lower() for a in _NAMED for t in _TOKEN.findall(values.get(a, ""))}
         out += [f"name={t}" for t in sorted(tokens) if len(t) > 1]
         part = part or bool(tokens)
-    out.append(f"chars={_bucket(node.chars, 1, 40, 120, 300)}")
+    if node.inline:  # its text is a part of the parent's
+        return out, "inline"
+    size = _bucket(node.chars, 1, 40, 120, 300)
+    out += [f"chars={size}", f"chars={node.tag}:{size}"]
     if node.chars:
         out.append(f"links={_bucket(node.link_chars / node.chars, 0.01, 0.5)}")
     return out, "part" if part else "flow"
@@ -61,13 +68,18 @@ def _add(a: float, b: float) -> float:
     return m + math.log(math.exp(a - m) + math.exp(b - m))
 
 
-def marginals(page: dom.Page, w: Weights) -> tuple[list[float], list[tuple[float, ...]]]:
+def all_features(page: dom.Page) -> list[tuple[list[str], str]]:
+    return [features(n, page.nodes[n.parent].tag if n.parent >= 0 else "") for n in page.nodes]
+
+
+def marginals(page: dom.Page, w: Weights, told: list[tuple[list[str], str]] | None = None
+              ) -> tuple[list[float], list[tuple[float, ...]]]:
     """P(content) of every node, and the four joint probabilities of parent
     and child for every edge (by child)."""
     nodes = page.nodes
-    told = [features(n) for n in nodes]
+    told = told or all_features(page)
     up = [[0.0, sum(w.get(f, 0.0) for f in fs)] for fs, _ in told]  # evidence at and below a node
-    pair = {k: [[w.get(f"edge={k}{a}{b}", 0.0) for b in (0, 1)] for a in (0, 1)] for k in ("part", "flow")}
+    pair = {k: [[w.get(f"edge={k}{a}{b}", 0.0) for b in (0, 1)] for a in (0, 1)] for k in ("part", "flow", "inline")}
     sent = [(0.0, 0.0)] * len(nodes)
     for c in range(len(nodes) - 1, 0, -1):  # children come after their parents
         e, (u0, u1) = pair[told[c][1]], up[c]
@@ -106,14 +118,15 @@ def train(sources: list[str], rounds: int = 80, rate: float = 0.3, decay: float
     """Weights that climb the pages' likelihood (full gradients, AdaGrad)."""
     pages = [dom.parse(s) for s in sources]
     labels = [truth(p) for p in pages]
+    told = [all_features(p) for p in pages]
     w: Weights = defaultdict(float)
     seen: Weights = defaultdict(float)
     for _ in range(rounds):
         grad: Weights = defaultdict(float)
-        for page, y in zip(pages, labels):
-            one, joint = marginals(page, w)
+        for page, y, known in zip(pages, labels, told):
+            one, joint = marginals(page, w, known)
             for k, node in enumerate(page.nodes):
-                fs, kind = features(node)
+                fs, kind = known[k]
                 for f in fs:
                     grad[f] += y[k] - one[k]
                 if k:
@@ -132,12 +145,19 @@ def main_text(source: str | None, w: Weights) -> str:
     if not page.blocks:
         return ""
     one, _ = marginals(page, w)
-    return "\n\n".join(text for node, text in page.blocks if one[node] > 0.5)
+    texts = (" ".join("".join(text for node, text in block if one[node] > 0.5).split()) for block in page.blocks)
+    return "\n\n".join(filter(None, texts))
+
+
+@functools.cache
+def default_weights() -> Weights:
+    """Weights of the labelled pages, fitted once in a process."""
+    return train(labelled_pages.pages())
 
 
 def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    w = train(labelled_pages.pages()) if weights is None else weights
+    w = default_weights() if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
