@@ -127,10 +127,13 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: s
     """Weights learned from labelled rows that are not held out."""
     chosen = (labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
               .where(F.col("__label").isNotNull() & F.col("__id").isNotNull() & ~held_out(F.col("__id")))
-              .withColumn("__order", F.xxhash64("__id", F.lit("sample")))
+              .distinct().withColumn("__order", F.xxhash64("__id", F.lit("sample")))
               .orderBy("__order", "__id", "__label").limit(params.sample))
+    # one text for each sampled id and label, however many rows the id has: that with the smallest hash
     rows = (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
             .join(F.broadcast(chosen), "__id")  # at most params.sample rows
+            .groupBy("__order", "__id", "__label")
+            .agg(F.min_by("__text", F.struct(F.xxhash64("__text"), "__text")).alias("__text"))
             .select("__order", "__label", "__text"))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
