@@ -30,15 +30,28 @@ def least(rx, pick=0, blank=" "):
 
 
 def brute(text):
-    found = sorted((m.start(), m.start() - m.end(), -r["prio"], r["o"], r["label"]) for r in license_rules.rule_table()
+    found = sorted((m.start(), m.start() - m.end(), -r["prio"], r["o"], r["label"], r["gap"]) for r in license_rules.rule_table()
                    for m in re.finditer(r["rx"], text, re.ASCII))
-    gaps = {r["o"] for r in license_rules.rule_table() if r.get("gap")}
-    labels, end, best, at = set(), 0, 0, -1
-    for s, length, prio, o, label in found:
-        if s - length > end and s != at:
-            end, at, best = (end, s, max(best, -prio)) if o in gaps else (s - length, at, max(best, -prio))
+    labels, best, gap_at, held = set(), 0, -1, None  # held: (end, priority, label)
+    for s, length, prio, o, label, gap in found:
+        overlaps = held is not None and s < held[0]
+        if s == gap_at or overlaps and (s - length <= held[0] or -prio <= held[1]):
+            continue
+        if gap:
+            gap_at, best = s, max(best, -prio)
             labels.add(label)
-    return labels, best
+            continue
+        if held and not overlaps:
+            labels.add(held[2])
+            best = max(best, held[1])
+        held = (s - length, -prio, label)
+    if held:
+        labels.add(held[2])
+        best = max(best, held[1])
+    known = {ident.lower(): label for ident, label, _ in license_rules.names()}
+    spdx = {known.get(re.sub(r"(-only|-or-later|\+|\.)+$", "", word)) for line in re.findall(
+        r"spdx-license-identifier:[ \t]*([^\r\n]*)", text.lower()) for word in re.split(r"[^a-z0-9.+-]+", line)} - {None}
+    return labels | spdx, 100 if spdx else best
 
 
 def check(spark, texts):
@@ -87,3 +100,20 @@ def test_white_space_and_gaps(spark):
     assert list(got.values())[:11] == [
         "gpl,gpl-2.0", "gpl,lgpl-3.0", "gpl-2.0", "no-warranty", "tcl", "cc-by-nc-sa-4.0", "bsd-3-clause", "bsd-3-clause",
         "bsd-3-clause", "proprietary", "mit,proprietary"]
+
+
+def test_spdx_expressions_and_short_forms(spark):
+    got = check(spark, [
+        "SPDX-License-Identifier: MIT OR Apache-2.0", "SPDX-License-Identifier: (GPL-2.0-or-later WITH x) AND BSD-3-Clause\nMPL",
+        "GNU GPL v2", "GNU GPL version 3", "LGPL 2.1", "MPL 2.0", "Apache 2.0", "Licensed under Apache 2.0", "MIT licensed",
+        "Licensed under CC BY 4.0", "licensed under a CC BY-SA 4.0", "CC-BY-4.0", "Lesser General Public License, version 2.1",
+        "the 3-clause BSD license", "the JSON license", "confidential and proprietary " + "x " * 99 + "license",
+        "simple example of emitted episodes"])
+    assert list(got.values()) == [
+        "apache-2.0,mit", "bsd-3-clause,gpl-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "mpl-2.0", "apache-2.0", "apache-2.0", "mit",
+        "cc-by-4.0", "cc-by-sa-4.0", "cc-by-4.0", "gpl,lgpl-2.1", "bsd-3-clause", "json", "proprietary", ""]
+
+
+def test_rules_are_written_by_hand():
+    table = license_rules.rule_table()
+    assert len(table) > 300 and len({r["rx"] for r in table}) == len(table)

@@ -1,13 +1,15 @@
 """License scan by ordered signature rules, with built-in functions only.
 
-A rule is (label, priority, words, pattern); its words are read from its
-pattern and stand in all that it can match.  A text without any word of a
-small cover of the rules is skipped; else the patterns are tried whose words
-it holds, all of them.  Detections are resolved by intervals: sorted by start
-and falling length, one that lies inside an earlier one is dropped; of equal
-intervals the one with the higher priority, then the earlier rule, stays.
-One with a gap of any length drops only what begins where it does, so that
-nothing in the gap is lost.
+A rule is (label, priority, words, pattern), written by hand: passages and
+notices, names, short forms.  Its words are read from its pattern and stand in
+all that it can match.  A text without any word of a small cover of the rules is
+skipped; else the patterns are tried whose words it holds, all of them.
+Detections are resolved by intervals, from left to right: sorted by start and
+falling length, one that lies inside the one before it is dropped; of equal
+intervals and of those that overlap in part the one with the higher priority
+stays, then the former.  One with a gap of any length drops only what begins
+where it does, so that nothing in the gap is lost.  License identifiers are read
+from whole ``SPDX-License-Identifier`` expressions.
 
 Base phrases are counted apart and always give their label.
 
@@ -135,7 +137,7 @@ xnet|Xnet|x\.net licen[sc]e
 zpl-2.1|ZPL-2.1|zope public licen[sc]e
 beerware|Beerware|beer-?ware licen[sc]e
 blueoak-1.0.0|BlueOak-1.0.0|blue oak model licen[sc]e
-bsl-check|JSON|json licen[sc]e
+json|JSON|json licen[sc]e
 curl|curl|curl licen[sc]e
 fair|Fair|fair licen[sc]e
 hpnd|HPND|historical permission notice and disclaimer
@@ -184,15 +186,175 @@ boost-1.0|90|distributed under the boost software licen[sc]e, version 1\.0
 public-domain|70|(released|placed|dedicated) (in|into|to) the public domain
 public-domain|40|public domain
 proprietary|75|copyright <gap> all rights reserved
-proprietary|75|confidential and proprietary [\s\S]{0,40}?licen[sc]e
+proprietary|75|confidential and proprietary <gap> licen[sc]e
 no-warranty|30|without warranty of any kind
 no-warranty|30|without any warranty
 no-warranty|35|implied warrant(y|ies) of merchantability
 copyright|20|copyright (\(c\) |\xA9 ?)?(19|20)[0-9]{2}
 copyleft|25|copyleft
+mit|84|the above copyright notice and this permission notice shall be included in all copies
+mit|86|subject to the terms of the mit licen[sc]e
+apache-2.0|92|licensed under the apache licen[sc]e, version 2\.0
+apache-2.0|86|unless required by applicable law or agreed to in writing, software
+apache-1.1|88|this product includes software developed by the apache software foundation
+bsd|82|redistributions of source code must retain the above copyright notice
+bsd|82|redistributions in binary form must reproduce the above copyright notice
+bsd|86|use of this source code is governed by a bsd-style licen[sc]e
+bsd-4-clause|88|this product includes software developed by the university of california
+gpl|80|you should have received a copy of the gnu general public licen[sc]e
+lgpl|84|you should have received a copy of the gnu (lesser|library) general public licen[sc]e
+agpl-3.0|86|you should have received a copy of the gnu affero general public licen[sc]e
+gpl|87|under the terms of the gnu general public licen[sc]e
+lgpl|88|under the terms of the gnu (lesser|library) general public licen[sc]e
+agpl-3.0|88|under the terms of the gnu affero general public licen[sc]e
+gfdl|88|under the terms of the gnu free documentation licen[sc]e
+mpl-2.0|90|if a copy of the mpl was not distributed with this file
+mpl-1.1|89|the contents of this file are subject to the mozilla public licen[sc]e
+cddl-1.0|89|subject to the terms of the common development and distribution licen[sc]e
+epl-1.0|86|made available under the terms of the eclipse public licen[sc]e
+zlib|86|altered source versions must be plainly marked as such
+boost-1.0|91|free of charge, to any person or organization obtaining a copy of the software
+hpnd|86|permission to use, copy, modify,? and distribute this software and its documentation for any purpose
+postgresql|87|for any purpose, without fee, and without a written agreement is hereby granted
+unlicense|91|anyone is free to copy, modify, publish, use, compile, sell, or distribute this software
+json|93|the software shall be used for good, not evil
+beerware|92|you can buy me a beer in return
+ofl-1.1|92|this font software is licensed under the sil open font licen[sc]e
+cc0-1.0|90|dedicated the work to the public domain by waiving all of his or her rights
+cc-by-4.0|90|licensed under a creative commons attribution 4\.0 international licen[sc]e
+cc-by-sa-4.0|90|licensed under a creative commons attribution[ -]share ?alike 4\.0 international licen[sc]e
+psf-2.0|90|this licen[sc]e agreement is between the python software foundation
+openssl|88|this product includes software developed by the openssl project
+ms-pl|86|this licen[sc]e governs use of the accompanying software
+elastic-2.0|90|you may not provide the software to third parties as a hosted or managed service
+business-source|88|change licen[sc]e: <gap> additional use grant
+eupl-1.2|86|licensed under the eupl
+artistic-2.0|86|this package is free software; you can redistribute it
+proprietary|74|unauthorized (copying|reproduction|use|distribution) of this (file|software|document|material)
+proprietary|72|no part of this <gap> may be reproduced
+proprietary|70|trade secrets? of
+no-warranty|30|provided .as is. without warrant(y|ies) of any kind
+no-warranty|32|in no event shall the (authors?|copyright holders?) (or contributors )?be liable
 """
 
-_UNDER = r"(licen[sc]ed|released|distributed|published|provided|(made )?available) under (the )?(terms of )?(the )?(gnu )?"
+# label | pattern of a short form of the name
+_FORMS = r"""
+mit|mit[ -]licen[sc]ed
+mit|mit/x11
+mit|mit[ -]style licen[sc]e
+mit|expat licen[sc]e
+isc|isc[ -]licen[sc]ed
+isc|isc[ -]style licen[sc]e
+apache-2.0|apache-?2(\.0)?
+apache-2.0|apache (v|version )?2\.0
+apache-2.0|asl ?2\.0
+apache-1.1|apache (v|version )?1\.1
+apache|apache software licen[sc]e
+apache|apache[ -]licen[sc]ed
+bsd|bsd[ -]licen[sc]ed
+bsd|bsd[ -]style licen[sc]e
+bsd-2-clause|(2|two)[ -]clause bsd licen[sc]e
+bsd-3-clause|(3|three)[ -]clause bsd licen[sc]e
+bsd-4-clause|(4|four)[ -]clause bsd licen[sc]e
+bsd-3-clause|bsd licen[sc]e \(?(3|three)[ -]clause
+bsd-2-clause|bsd licen[sc]e \(?(2|two)[ -]clause
+gpl-2.0|gnu gpl,? (version |v\.?)?2(\.0)?
+gpl-3.0|gnu gpl,? (version |v\.?)?3(\.0)?
+gpl-2.0|gpl,? (version |v\.? ?)2(\.0)?
+gpl-3.0|gpl,? (version |v\.? ?)3(\.0)?
+gpl-2.0|general public licen[sc]e,? (version |v\.? ?)2
+gpl-3.0|general public licen[sc]e,? (version |v\.? ?)3
+gpl|gnu gpl
+gpl|gpl[ -]licen[sc]ed
+gpl|gnu general public licen[sc]e
+gpl-2.0|gplv2\+?
+gpl-3.0|gplv3\+?
+lgpl-2.0|(gnu )?lgpl,? (version |v\.? ?)?2\.0
+lgpl-2.1|(gnu )?lgpl,? (version |v\.? ?)?2\.1
+lgpl-3.0|(gnu )?lgpl,? (version |v\.? ?)?3(\.0)?
+lgpl-2.1|lesser general public licen[sc]e,? (version |v\.? ?)?2\.1
+lgpl-3.0|lesser general public licen[sc]e,? (version |v\.? ?)?3
+lgpl|gnu lgpl
+lgpl|lgpl[ -]licen[sc]ed
+lgpl|(gnu )?lesser general public licen[sc]e
+lgpl-2.1|lgplv2\.1\+?
+lgpl-3.0|lgplv3\+?
+agpl-3.0|(gnu )?agpl,? (version |v\.? ?)?3(\.0)?
+agpl-3.0|affero general public licen[sc]e,? (version |v\.? ?)?3
+agpl-3.0|agplv3\+?
+agpl-3.0|affero gpl
+gfdl|gnu fdl
+gfdl|free documentation licen[sc]e
+mpl-1.1|mpl (v|version )?1\.1
+mpl-2.0|mpl (v|version )?2(\.0)?
+mpl-2.0|mpl-2\.0
+mpl|mozilla public licen[sc]e
+epl-1.0|epl (v|version )?1(\.0)?
+epl-2.0|epl (v|version )?2(\.0)?
+epl|eclipse public licen[sc]e
+cddl-1.0|cddl (v|version )?1(\.0)?
+cddl|common development and distribution licen[sc]e
+artistic|perl artistic
+boost-1.0|boost licen[sc]e
+business-source|bsl 1\.1
+business-source|busl-1\.1
+sspl-1.0|sspl ?v?1(\.0)?
+elastic-2.0|elv2
+elastic-2.0|elastic licen[sc]e 2\.0
+cc0-1.0|cc-zero
+cc0-1.0|creative commons zero
+cc-by-2.0|cc-by[ -]2\.0
+cc-by-2.5|cc-by[ -]2\.5
+cc-by-3.0|cc-by[ -]3\.0
+cc-by-4.0|cc-by[ -]4\.0
+cc-by-sa-2.0|cc-by-sa[ -]2\.0
+cc-by-sa-3.0|cc-by-sa[ -]3\.0
+cc-by-sa-4.0|cc-by-sa[ -]4\.0
+cc-by-nc-3.0|cc-by-nc[ -]3\.0
+cc-by-nc-4.0|cc-by-nc[ -]4\.0
+cc-by-nd-4.0|cc-by-nd[ -]4\.0
+cc-by-nc-sa-4.0|cc-by-nc-sa[ -]4\.0
+cc-by-nc-nd-4.0|cc-by-nc-nd[ -]4\.0
+cc-by-4.0|licen[sc]ed? under (a |the )?(terms of the )?cc by 4\.0
+cc-by-3.0|licen[sc]ed? under (a |the )?(terms of the )?cc by 3\.0
+cc-by-sa-4.0|licen[sc]ed? under (a |the )?(terms of the )?cc by[ -]sa 4\.0
+cc-by-sa-3.0|licen[sc]ed? under (a |the )?(terms of the )?cc by[ -]sa 3\.0
+cc-by-nc-4.0|licen[sc]ed? under (a |the )?(terms of the )?cc by[ -]nc 4\.0
+cc-by-nd-4.0|licen[sc]ed? under (a |the )?(terms of the )?cc by[ -]nd 4\.0
+cc|creativecommons\.org/licenses
+cc-by-4.0|creativecommons\.org/licenses/by/4\.0
+cc-by-sa-4.0|creativecommons\.org/licenses/by-sa/4\.0
+cc-by-sa-3.0|creativecommons\.org/licenses/by-sa/3\.0
+cc-by-nc-4.0|creativecommons\.org/licenses/by-nc/4\.0
+cc0-1.0|creativecommons\.org/publicdomain/zero/1\.0
+apache-2.0|apache\.org/licenses/license-2\.0
+mit|opensource\.org/licen[sc]es?/mit
+bsd|opensource\.org/licen[sc]es?/bsd-license
+gpl|gnu\.org/licenses/gpl
+lgpl|gnu\.org/licenses/lgpl
+agpl-3.0|gnu\.org/licenses/agpl
+mpl-2.0|mozilla\.org/mpl/2\.0
+boost-1.0|boost\.org/license_1_0
+unlicense|unlicense\.org
+wtfpl|wtfpl
+zlib|zlib[ -]licen[sc]ed
+eupl-1.2|eupl[ -](v\.? ?)?1\.2
+eupl-1.1|eupl[ -](v\.? ?)?1\.1
+cecill-2.1|cecill[ -](v\.? ?)?2\.1
+psf-2.0|psf[ -]licen[sc]e
+python-2.0|python-2\.0
+ms-pl|ms-pl
+ms-rl|ms-rl
+osl-3.0|osl[ -]3\.0
+afl-3.0|afl[ -]3\.0
+ncsa|uiuc licen[sc]e
+odbl-1.0|odbl
+pddl-1.0|pddl
+beerware|beer-?ware
+"""
+
+#: Everything a line says behind the tag; identifiers are told apart by what cannot stand in one.
+_SPDX = r"(?i)spdx-license-identifier:[ \t]*([^\r\n]*)"
 
 
 def needed_words(pattern: str) -> list[str]:
@@ -210,19 +372,32 @@ def needed_words(pattern: str) -> list[str]:
     return [w for w in dict.fromkeys(runs[0]) if all(any(w in x for x in other) for other in runs[1:])]
 
 
+#: Words that many texts hold; a gate takes another one where it can.
+_COMMON = frozenset("provided software versions terms event agreement public university permission without shall copyright "
+                    "this that have received copy source code form file document material product includes".split())
+
+
 def cover(needs: list[list[str]]) -> list[str]:
     """Words of which each list of ``needs`` holds one, so that a text without
-    all of them holds no list whole: the most common one, then long ones of
-    the lists that leave the least choice."""
+    all of them holds no list whole: the most common one, then rare and long
+    ones of the lists that leave the least choice."""
     out = [Counter(w for words in needs for w in words).most_common(1)[0][0]]
     for words in sorted(needs, key=len):
-        if not any(g in w for g in out for w in words):
-            out.append(max(words, key=len))
-    return [g for g in out if not any(h != g and h in g for h in out)]
+        if not any(g == w or len(g) > 3 and g in w for g in out for w in words):
+            out.append(max(words, key=lambda w: (len(w) > 3, w not in _COMMON, len(w))))
+    return [g for g in out if not any(h != g and len(h) > 3 and h in g for h in out)]
+
+
+def gate(low: Column, words: list[str]) -> Column:
+    """Does a lower-cased text hold one of ``words``?  Short ones only where a
+    word begins: no rule has one elsewhere."""
+    short = [w for w in words if len(w) <= 3]
+    out = holds_any(low, [w for w in words if len(w) > 3])
+    return out | low.rlike("(?<![a-z])(?:" + "|".join(short) + ")") if short else out
 
 
 def rule_table() -> list[dict]:
-    """All rules in order: passages first, then identifiers, statements and names."""
+    """All rules in order: passages and notices, names, short forms."""
     out = []
 
     def add(label: str, priority: int, pattern: str, words: list[str]) -> None:
@@ -236,18 +411,29 @@ def rule_table() -> list[dict]:
     for line in _PASSAGES.strip().splitlines():
         label, priority, pattern = line.split("|", 2)
         add(label, int(priority), pattern, needed_words(pattern))
-    names = [line.split("|", 2) for line in _NAMES.strip().splitlines()]
-    for label, ident in dict.fromkeys((n[0], n[1]) for n in names):
-        end = r"(?![\w.+-])" if not ident[-1].isdigit() else r"(-only|-or-later|\+)?(?![\w.+])"
-        pattern = r"spdx-license-identifier:\s*\(?" + ident.replace(".", r"\.") + end
-        add(label, 100, pattern, needed_words(pattern))
-    for label, _, pattern in names:
-        add(label, 80, _UNDER + f"({pattern})(?!\\w)", ["under", *needed_words(pattern)])
-    for label, _, pattern in names:
+    for _, label, pattern in names():
         add(label, 60, f"(?<!\\w)({pattern})(?!\\w)", needed_words(pattern))
+    for line in _FORMS.strip().splitlines():
+        label, pattern = line.split("|", 1)
+        add(label, 58, f"(?<![\\w./-])({pattern})(?![\\w])", needed_words(pattern))
     return out
 
 
+def names() -> list[list[str]]:
+    """[identifier, label, pattern] of every license."""
+    return [[ident, label, pattern] for label, ident, pattern in (x.split("|", 2) for x in _NAMES.strip().splitlines())]
+
+
+def spdx_labels(text: Column) -> Column:
+    """Labels of all identifiers in the license expressions of a text."""
+    known = {ident.lower(): label for ident, label, _ in names()}
+    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    idents = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_SPDX), F.lit(1)), lambda x: F.split(
+        F.lower(x), r"[^a-z0-9.+-]+")))
+    bare = F.transform(idents, lambda x: F.regexp_replace(x, r"(-only|-or-later|\+|\.)+$", ""))
+    return F.array_distinct(F.filter(F.transform(bare, lambda x: F.try_element_at(table, x)), lambda x: x.isNotNull()))
+
+
 def base_pattern(phrase: tuple[str, ...]) -> str:
     return f"(?i)(?<!{WORD})" + f"{NOT_WORD}+".join(phrase) + f"(?!{WORD})"
 
@@ -282,24 +468,43 @@ def _detections(text: Column, low: Column, table: list[dict]) -> Column:
         rules, lambda r: ~F.arrays_overlap(r["kws"], absent) & F.rlike(text, r["rx"])))
     found = F.array_sort(F.flatten(F.transform(may, of_rule)))
 
+    none = F.array().cast("array<string>")
+
+    def told(acc: Column) -> Column:
+        """The labels with that of the detection that is held back."""
+        return F.when(acc["label"].isNull(), acc["labels"]).otherwise(F.array_union(acc["labels"], F.array(acc["label"])))
+
     def keep(acc: Column, d: Column) -> Column:
         end = d["s"] - d["len"]
-        inside = (end <= acc["end"]) | (d["s"] == acc["at"])
-        return F.when(inside, acc).otherwise(F.struct(
-            F.when(d["gap"], acc["end"]).otherwise(end).alias("end"), F.when(d["gap"], d["s"]).otherwise(acc["at"]).alias("at"),
-            F.array_union(acc["labels"], F.array(d["label"])).alias("labels"),
-            F.greatest(acc["best"], -d["prio"]).alias("best")))
+        overlaps = (d["s"] < acc["end"]) & acc["label"].isNotNull()
+        # of partly overlapping ones the higher priority stays, then the former
+        drop = (d["s"] == acc["gap_at"]) | overlaps & ((end <= acc["end"]) | (-d["prio"] <= acc["prio"]))
+        taken = F.struct(
+            end.alias("end"), acc["gap_at"].alias("gap_at"), (-d["prio"]).alias("prio"), d["label"].alias("label"),
+            F.when(overlaps, acc["labels"]).otherwise(told(acc)).alias("labels"),
+            F.when(overlaps, acc["best"]).otherwise(F.greatest(acc["best"], acc["prio"])).alias("best"))
+        # a detection with a gap drops only what begins where it does
+        gap = F.struct(acc["end"].alias("end"), d["s"].alias("gap_at"), acc["prio"].alias("prio"), acc["label"].alias("label"),
+                       F.array_union(acc["labels"], F.array(d["label"])).alias("labels"),
+                       F.greatest(acc["best"], -d["prio"]).alias("best"))
+        return F.when(drop, acc).when(d["gap"], gap).otherwise(taken)
 
-    start = F.struct(F.lit(0).alias("end"), F.lit(-1).alias("at"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("best"))
-    return F.aggregate(found, start, keep)
+    start = F.struct(F.lit(0).alias("end"), F.lit(-1).alias("gap_at"), F.lit(0).alias("prio"),
+                     F.lit(None).cast("string").alias("label"), none.alias("labels"), F.lit(0).alias("best"))
+    spdx = spdx_labels(text)
+    return let(F.struct(F.aggregate(found, start, keep, lambda acc: F.struct(
+        told(acc).alias("labels"), F.greatest(acc["best"], acc["prio"]).alias("best"))).alias("rules"),
+        F.when(F.contains(low, F.lit("spdx-license-identifier")), spdx).otherwise(none).alias("spdx")),
+        lambda x: F.struct(F.array_union(x["rules"]["labels"], x["spdx"]).alias("labels"),
+                           F.when(F.size(x["spdx"]) > 0, 100).otherwise(x["rules"]["best"]).alias("best")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of counts, places and labels for each row of ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     table = rule_table()
-    gate = cover([r["kws"] for r in table] + [list(phrase) for phrase in BASE.values()])
-    gated = let(F.lower(text), lambda low: F.when(holds_any(low, gate), F.struct(
+    chosen = cover([r["kws"] for r in table] + [list(phrase) for phrase in BASE.values()] + [["spdx-license-identifier"]])
+    gated = let(F.lower(text), lambda low: F.when(gate(low, chosen), F.struct(
         _base(text).alias("base"), _detections(text, low, table).alias("rules"))))
     rows = docs.select(F.col(id_col).alias("doc_id"),
                        F.size(words(text)).cast("long").alias("n_words"), gated.alias("found"))
