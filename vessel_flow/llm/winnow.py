@@ -37,38 +37,50 @@ def exact(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.translate(w, UPPER, LOWER))
 
 
-def _grams(h: Column, n: Column, k: int) -> Column:
-    """Hash of the k words from each position, in the high half of a long, and
-    the position in the low half: of equal hashes the leftmost is smallest."""
-    return F.transform(F.sequence(F.lit(0), n - k), lambda i: F.shiftleft(
-        F.hash(*[F.get(h, i + j) for j in range(k)]).cast("long"), 32) + i)
+_FINGERPRINT = "struct<hash:long,at:int,length:int>"
 
 
-def fingerprints(tokens: Column, length: int = WINDOW) -> Column:
-    """Winnowed hashes; for shorter lengths all hashes of that many words.
-    Words that are equal after lower-casing A-Z have equal hashes."""
-    def select(h: Column) -> Column:
-        n = F.size(h)
-        if length < WINDOW:
-            return F.when(n >= length, _grams(h, n, length))
-        return F.when(n >= WINDOW, let(_grams(h, n, K), lambda g: F.array_distinct(F.transform(
-            F.sequence(F.lit(0), n - WINDOW), lambda i: F.least(*[F.get(g, i + j) for j in range(W)])))))
-    return let(F.transform(tokens, lambda w: F.xxhash64(F.lower(w))), select)
+def _at_places(h: Column, places: Column, k: int, length: int) -> Column:
+    """The 64-bit hashes of the k words from each place."""
+    return F.transform(places, lambda i: F.struct(
+        F.xxhash64(*[F.get(h, i + j) for j in range(k)]).alias("hash"), i.alias("at"), F.lit(length).alias("length")))
 
 
-def _exploded(rows: DataFrame, length: int, *keep: str) -> DataFrame:
-    """One row a fingerprint: hash, position, length."""
-    return (rows.select(*keep, F.explode(fingerprints(words(F.coalesce("text", F.lit(""))), length)).alias("f"))
-            .select(*keep, F.shiftright("f", 32).cast("int").alias("hash"),
-                    F.col("f").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"), F.lit(length).alias("length")))
+def _of_length(h: Column, length: int) -> Column:
+    n = F.size(h)
+    if length < WINDOW:
+        return F.when(n >= length, _at_places(h, F.sequence(F.lit(0), n - length), length, length))
+    # K words' hash in the high half of a long and the place in the low half: of equal hashes the leftmost is smallest
+    grams = F.transform(F.sequence(F.lit(0), n - K), lambda i: F.shiftleft(
+        F.hash(*[F.get(h, i + j) for j in range(K)]).cast("long"), 32) + i)
+    chosen = let(grams, lambda g: F.array_distinct(F.transform(
+        F.sequence(F.lit(0), n - WINDOW), lambda i: F.least(*[F.get(g, i + j) for j in range(W)]))))
+    places = F.transform(chosen, lambda x: x.bitwiseAND(0xFFFFFFFF).cast("int"))
+    return F.when(n >= WINDOW, _at_places(h, places, K, length))
+
+
+def fingerprints(tokens: Column, lengths: list[int]) -> Column:
+    """Of all ``lengths``: winnowed hashes for a whole window, all hashes of that
+    many words for a shorter one.  Words that are equal after lower-casing A-Z
+    have equal hashes."""
+    none = F.array().cast(f"array<{_FINGERPRINT}>")
+    return let(F.transform(tokens, lambda w: F.xxhash64(F.lower(w))), lambda h: F.concat(
+        *[F.coalesce(_of_length(h, length), none) for length in lengths]))
+
+
+def _exploded(rows: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
+    """One row a fingerprint: hash, at, length.  The words are split once for
+    all lengths."""
+    tokens = words(F.coalesce("text", F.lit("")))
+    return rows.select(*keep, F.explode(fingerprints(tokens, lengths)).alias("f")).select(*keep, "f.*")
 
 
 def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         item_col: str = "item_id") -> DataFrame:
+         item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """key -> n_hit, items: hit words and sorted item ids of contaminated rows."""
     items = common.stored(
         bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"),
-                     F.col("text")).withColumn("words", exact(words(F.coalesce("text", F.lit("")))))
+                     F.col(item_text_col).alias("text")).withColumn("words", exact(words(F.coalesce("text", F.lit("")))))
         .where(F.size("words") > 0).withColumn("length", F.least(F.size("words"), F.lit(WINDOW))), "bench-items")
     windows = common.stored(
         items.select("item", F.explode(F.transform(
@@ -78,14 +90,12 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most WINDOW values
 
     rows = docs.select(common.row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    found = None
-    for length in lengths:
-        own = items.where(F.col("length") == length)
-        table = common.stored(_exploded(own, length).select("hash").distinct(), "bench-fingerprints")
-        part = _exploded(rows, length, "key").join(table, "hash", "left_semi").select("key", "at", "length")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    if not lengths:
         return docs.sparkSession.createDataFrame([], "key long, n_hit long, items array<string>")
+    # an item has fingerprints of its own length only
+    own = _exploded(items.withColumnRenamed("length", "own"), lengths, "own").where("length = own")
+    table = common.stored(own.select("hash", "length").distinct(), "bench-fingerprints")
+    found = _exploded(rows, lengths, "key").join(table, ["hash", "length"], "left_semi").select("key", "at", "length")
     near = common.stored(found.groupBy("key").agg(F.collect_set(F.struct("at", "length")).alias("found")),
                          "winnow-hits")
 
