@@ -191,6 +191,15 @@ def _pem(seed, lines=6, end=True, line="\n"):
     return line.join(["-----BEGIN RSA PRIVATE KEY-----", *body, *["-----END RSA PRIVATE KEY-----"] * end])
 
 
+def test_texts_without_a_candidate_pass_by(spark):
+    """The gate of ``redact`` holds every text with a span, and both parts together are all rows."""
+    rows = frame(spark).select("doc_id", "text", secrets.may_hold(F.col("text")).alias("maybe"),
+                               F.size(secrets.candidate_spans(F.coalesce("text", F.lit("")))).alias("n")).collect()
+    assert all(r.maybe for r in rows if r.n > 0) and any(r.n > 0 for r in rows) and any(not r.maybe for r in rows)
+    out = secrets.redact(frame(spark))
+    assert out.columns == frame(spark).columns and out.count() == len(documents())
+
+
 def test_private_keys_are_cut_whole(spark):
     body = _pem(2, end=False)[32:]
     locked = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"

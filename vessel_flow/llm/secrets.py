@@ -140,9 +140,22 @@ def scan(docs: DataFrame, **columns: str) -> DataFrame:
         .alias("live_spans"), "key"))
 
 
+def may_hold(text: Column) -> Column:
+    """False only for texts without any candidate span: what ``candidate_spans``
+    asks before it looks for places."""
+    low = F.lower(text)
+    out = F.lit(False)
+    for _, pattern, _, _, words in KINDS:
+        out = out | (holds_any(low, words) if words else text.rlike(pattern))
+    return F.coalesce(out, F.lit(False))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]",
            **columns: str) -> DataFrame:
-    """``docs`` with each live credential replaced by ``mark``; columns as before."""
+    """``docs`` with each live credential replaced by ``mark``; columns as before.
+    Rows without a candidate pass by; only the others meet the corpus's verdict."""
+    maybe = may_hold(F.col(text_col))
+    whole, docs = docs.where(~maybe), docs.where(maybe)
     found = common.cut_lineage(candidates(docs, id_col, text_col, **columns))
     key = common.row_key(F.col(id_col), F.col(text_col))
     text = F.col(text_col)
@@ -157,4 +170,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     live = live_spans(found).select(F.col("key").alias("__key"), F.col("live").alias("__live"))
     joined = docs.withColumn("__key", key).join(live, "__key", "left")
     return joined.withColumn(text_col, F.when(F.col("__live").isNotNull(), clean).otherwise(text)).drop(
-        "__key", "__live")
+        "__key", "__live").unionByName(whole)
