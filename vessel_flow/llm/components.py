@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = common.stored(_star(_star(both, False), True), "links")
+        before, edges = edges, common.stored(_star(_star(both, False), True), "links")
+        common.discard(before)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             break

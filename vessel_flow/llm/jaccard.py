@@ -28,8 +28,11 @@ Equal sets are one node from the start.  Components are built in rounds, so
 that large groups are never expanded into all pairs.  The candidates of a set are
 the smallest and the largest set of each of its keys.  First every set is
 compared with the candidate that it shares most keys with; then with those in
-other components; last, all pairs of sets that share a key and still lie in
-different components.
+other components; last, pairs of sets that share a key and still lie in
+different components are tested by their bit sketches, in numpy blocks of at
+most ``tile`` by ``tile`` sets: first the nearest pair of each two components
+becomes a row and is verified, then, in blocks with more, all that pass between
+components that are still apart.
 
 Defined cases: a null text, or one without words, has no shingles and is
 linked with nothing; fewer words than a shingle are one shingle; rows equal in
@@ -59,6 +62,7 @@ class Params:
     words: int = 5
     percent: int = 80  # linked if 100 * intersection >= percent * union
     filter_bits: int = 24  # of the bitmap that picks texts to verify
+    tile: int = 1024  # sets of one key that are compared in one task at most
 
     def differ(self, total: int) -> int:
         """Largest symmetric difference of linked sets with ``total`` members."""
@@ -107,82 +111,93 @@ class Bands:
         spare = max(-(-3 * (most + 1) // 10), min(2 * (most + 1), 8))
         return (most + 1 + spare, spare) if most else (0, 0)
 
-    def keys(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Join keys of a set, one for each segment that it joins on, and their
-        tags: twice the number of keys that it can leave out in the band (-1:
-        none, its empty segments are used), plus 1 for the next band."""
-        out, tags = [], []
-        for k, band in enumerate (range(self.of(len(s)), self.of(len(s) * 100 // self.params.percent) + 1)):
+    def keys(self, s: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """Join keys of a set in each band that it joins, one for each segment,
+        and their tag: twice the number of keys that it can leave out in the
+        band (-1: none, its empty segments are used), plus 1 for the next band."""
+        out = []
+        for k, band in enumerate(range(self.of(len(s)), self.of(len(s) * 100 // self.params.percent) + 1)):
             total, spare = self.segments(band)
             if not total:
                 continue
             seg = ((s >> np.uint64(32)) * np.uint64(total)) >> np.uint64(32)
             at = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1])
             salt = mix(seg[at] + np.uint64((band + 1) << 32))
-            out.append(mix(np.bitwise_xor.reduceat(mix(s + np.uint64(1)), at) ^ salt))
+            keys = mix(np.bitwise_xor.reduceat(mix(s + np.uint64(1)), at) ^ salt)
             left = max(-1, spare - (total - len(at)))
             if left < 0:
                 empty = np.setdiff1d(np.arange(total, dtype=np.uint64), seg[at])
-                out.append(mix(mix(empty + np.uint64((band + 1) << 32))))
-            tags.append(np.full(total if left < 0 else len(at), 2 * left + k, np.int32))
-        if not out:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        return np.concatenate(out), np.concatenate(tags)
+                keys = np.concatenate([keys, mix(mix(empty + np.uint64((band + 1) << 32)))])
+            out.append((keys, 2 * left + k))
+        return out
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity bits, at least one a shingle; the number of longs is a power of
-    two, so that a longer sketch folds onto a shorter one by XOR of its halves."""
-    size = 64 * max(4, 1 << (max(len(s) - 1, 1) // 64).bit_length())
+#: The fine sketch has so many bits for each one of the plain sketch: a pair that it does not part is nearly linked.
+FINE = 4
+
+
+def sketch(s: np.ndarray, times: int = 1) -> np.ndarray:
+    """Parity bits, at least ``times`` a shingle; the number of longs is a power
+    of two, so that a longer sketch folds onto a shorter one by XOR of its halves."""
+    size = 64 * times * max(4, 1 << (max(len(s) - 1, 1) // 64).bit_length())
     bits = mix(s ^ np.uint64(0x5EED)) & np.uint64(size - 1)
     return np.packbits(np.bincount(bits.astype(np.int64), minlength=size) & 1).view(np.int64)
 
 
-def sets(docs: DataFrame, params: Params) -> DataFrame:
-    """(doc_id, k, n, sid, sketch) of every row; sid and sketch are null
-    without shingles."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            found = [shingles(t.as_py(), hashes, params.words) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in found], pa.int64()),
-                 pa.array([set_id(s) if len(s) else None for s in found], pa.int64()),
-                 pa.array([sketch(s) if len(s) else None for s in found], pa.list_(pa.int64()))],
-                ["doc_id", "k", "n", "sid", "sketch"])
-    return docs.select("doc_id", "k", "text").mapInArrow(
-        run, "doc_id long, k long, n long, sid long, sketch array<long>")
+def fold(x: np.ndarray, size: int) -> np.ndarray:
+    while len(x) > size:
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return x
 
 
-def shared_keys(docs: DataFrame, params: Params) -> DataFrame:
-    """(key, sid, tag) of all keys that two or more different sets share."""
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bands, seen = WordHashes(), Bands(params), set()
+def _lists(parts: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, kind)))
 
-        def out(parts: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
-            keys = np.concatenate([k for k, _, _ in parts]) if parts else np.zeros(0, np.uint64)
-            tags = np.concatenate([t for _, t, _ in parts]) if parts else np.zeros(0, np.int32)
-            sids = np.repeat(np.array([i for _, _, i in parts], np.int64), [len(k) for k, _, _ in parts])
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sids), pa.array(tags)],
-                                              ["key", "sid", "tag"])
 
+def parse(docs: DataFrame, params: Params) -> DataFrame:
+    """(doc_id, k, n, sid, sketch, fine, bands) of every row; sid is null and
+    the sketches are empty without shingles.  ``bands`` holds the join keys of the set, with
+    their tag; a set that the task has met before needs none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, bands, seen = WordHashes(), Bands(params), set()
+        none = np.zeros(0, np.int64)
         for b in batches:
-            parts, held = [], 0
-            for t in b.column(0):
+            n, sids, plain, fine, keys, tags, counts, held, since = [], [], [], [], [], [], [], 0, 0
+            for i, t in enumerate(b.column(2)):
                 s = shingles(t.as_py(), hashes, params.words)
+                n.append(len(s))
                 sid = set_id(s) if len(s) else None
-                if sid is None or sid in seen:
-                    continue
-                if len(seen) > 500_000:  # equal sets that come later are found again after the exchange
-                    seen.clear()
-                seen.add(sid)
-                parts.append((*bands.keys(s), sid))
-                held += len(parts[-1][0])
-                if held > 200_000:
-                    yield out(parts)
-                    parts, held = [], 0
-            yield out(parts)
+                sids.append(sid)
+                long = sketch(s, FINE) if len(s) else none
+                plain.append(fold(long, len(long) // FINE))
+                fine.append(long.tobytes() if len(s) else None)
+                found = []
+                if len(s) and sid not in seen:
+                    if len(seen) > 500_000:  # equal sets that come later are found again after the exchange
+                        seen.clear()
+                    seen.add(sid)
+                    found = bands.keys(s)
+                counts.append(len(found))
+                for k, tag in found:
+                    keys.append(k.view(np.int64))
+                    tags.append(tag)
+                    held += len(k)
+                if held > 200_000 or i + 1 == len(b):
+                    each = pa.StructArray.from_arrays([pa.array(tags, pa.int32()), _lists(keys, np.int64)], ["tag", "keys"])
+                    ends = pa.array(np.cumsum([0, *counts]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0)[since:i + 1], b.column(1)[since:i + 1], pa.array(n, pa.int64()), pa.array(sids, pa.int64()),
+                         _lists(plain, np.int64), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(ends, each)],
+                        ["doc_id", "k", "n", "sid", "sketch", "fine", "bands"])
+                    n, sids, plain, fine, keys, tags, counts, held, since = [], [], [], [], [], [], [], 0, i + 1
+    return docs.select("doc_id", "k", "text").mapInArrow(
+        run, "doc_id long, k long, n long, sid long, sketch array<long>, fine binary, "
+             "bands array<struct<tag: int, keys: array<long>>>")
 
+
+def shared_keys(parsed: DataFrame) -> DataFrame:
+    """(key, sid, tag) of all keys that two or more different sets share."""
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose key stands in a row beside them; sorted input."""
         last = None  # (key, sid, tag, whether it was given out)
@@ -204,9 +219,9 @@ def shared_keys(docs: DataFrame, params: Params) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key[mask]), pa.array(sid[mask]),
                                               pa.array(tag[mask].astype(np.int32))], ["key", "sid", "tag"])
 
-    schema = "key long, sid long, tag int"
-    keyed = docs.select("text").mapInArrow(emit, schema)
-    return keyed.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(runs, schema)
+    keyed = (parsed.select("sid", F.explode("bands").alias("band"))
+             .select(F.explode("band.keys").alias("key"), "sid", "band.tag"))
+    return keyed.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(runs, "key long, sid long, tag int")
 
 
 def needed(keys: DataFrame) -> DataFrame:
@@ -269,6 +284,148 @@ def near(pairs: DataFrame, nodes: DataFrame, params: Params) -> DataFrame:
             .select(*pairs.columns))
 
 
+class _Sketches:
+    """Bit sketches of several lengths, compared pair by pair: by number of
+    longs, those of that length and those of twice it, folded onto it."""
+
+    def __init__(self, sketches: list[np.ndarray]):
+        self.longs = np.fromiter(map(len, sketches), np.int64, len(sketches))
+        self.rows, self.place = {}, {}
+        for size in np.unique(self.longs).tolist():
+            fits = np.flatnonzero((self.longs == size) | (self.longs == 2 * size))
+            self.rows[size] = np.stack([fold(sketches[i], size) for i in fits]).view(np.uint64)
+            self.place[size] = np.zeros(len(sketches), np.int64)
+            self.place[size][fits] = np.arange(len(fits))
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Hamming distances of pairs."""
+        out, short = np.zeros(len(i), np.int64), np.minimum(self.longs[i], self.longs[j])
+        for size, table in self.rows.items():
+            at = np.flatnonzero(short == size)
+            for part in np.array_split(at, 1 + len(at) * size // 2_000_000):
+                p, q = self.place[size][i[part]], self.place[size][j[part]]
+                out[part] = np.bitwise_count(table[p] ^ table[q]).sum(axis=1, dtype=np.int64)
+        return out
+
+    def all_pairs(self, rows: np.ndarray, keep) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (i, j) of ``rows`` for which ``keep(i, j, distance)``, tested
+        row against row in blocks; i stands before j."""
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size in np.unique(self.longs[rows]).tolist():
+            some, table = rows[self.longs[rows] == size], self.rows[size]
+            for other in (some, rows[self.longs[rows] == 2 * size]):
+                if not len(other):
+                    continue
+                mine, theirs = table[self.place[size][some]], table[self.place[size][other]]
+                step = max(1, 1_000_000 // (len(other) * size))
+                for at in range(0, len(some), step):
+                    d = np.bitwise_count(mine[at:at + step, None, :] ^ theirs[None, :, :]).sum(axis=2, dtype=np.int64)
+                    i, j = some[at:at + step, None], other[None, :]
+                    ok = keep(i, j, d)
+                    x, y = np.nonzero(ok & (i < j) if other is some else ok)
+                    left.append(np.minimum(some[at + x], other[y]))
+                    right.append(np.maximum(some[at + x], other[y]))
+        return np.concatenate(left), np.concatenate(right)
+
+
+#: Rows of a block from which on it is compared as a matrix of its own.
+LARGE = 128
+
+
+def block_pairs(block: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray, fine: list[np.ndarray],
+                params: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) and fine distances of the pairs inside each block (rows of
+    a block stand together) that belong to different components and that neither
+    sizes nor bit sketches part.  ``side``: 0 for a block of one tile; of a
+    block of two tiles (1 and 2) only pairs across are tested."""
+    plain = _Sketches([fold(x, len(x) // FINE) for x in fine])
+    allowed = lambda i, j, d: (100 + params.percent) * d <= (100 - params.percent) * (n[i] + n[j])
+    apt = lambda i, j: ((root[i] != root[j]) & ((side[i] == 0) | (side[i] != side[j]))
+                        & (100 * np.minimum(n[i], n[j]) >= params.percent * np.maximum(n[i], n[j])))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    starts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+    small = np.ones(len(block), bool)
+    for lo, hi in zip(starts[:-1], starts[1:]):
+        if hi - lo >= LARGE:
+            small[lo:hi] = False
+            i, j = plain.all_pairs(np.arange(lo, hi), lambda i, j, d: allowed(i, j, d) & apt(i, j))
+            left.append(i)
+            right.append(j)
+    rest, step = np.flatnonzero(small), 1
+    while step < len(rest):
+        i = np.flatnonzero(block[rest[step:]] == block[rest[:-step]])
+        if not len(i):
+            break
+        i, j = rest[i], rest[i + step]
+        ok = apt(i, j)
+        i, j = i[ok], j[ok]
+        ok = allowed(i, j, plain.apart(i, j))
+        left.append(i[ok])
+        right.append(j[ok])
+        step += 1
+    i, j = np.concatenate(left), np.concatenate(right)
+    d = _Sketches(fine).apart(i, j)
+    ok = allowed(i, j, d)
+    return i[ok], j[ok], d[ok]
+
+
+def blocks(members: DataFrame, params: Params) -> DataFrame:
+    """(block, side, sid, root, n, fine): the sets of each key, those of a key
+    of more than ``params.tile`` sets under each pair of its tiles, so that no
+    task holds a whole large key.  ``members``: (key, sets, sid, root, n, fine)."""
+    tiles = F.ceil(F.col("sets") / F.lit(params.tile)).cast("int")
+    return (members.withColumn("tile", F.pmod(F.xxhash64("sid"), tiles).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+            .select(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("block"),
+                    F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2)
+                    .alias("side"), "sid", "root", "n", "fine"))
+
+
+def pairs_in_blocks(dealt: DataFrame, params: Params, every: bool) -> DataFrame:
+    """(a, b, block): pairs of sets in a common block and different components
+    that may be linked; ``dealt`` as ``blocks`` gives them.
+
+    Pairs are tested in numpy, and only those that pass become rows; unless
+    ``every``, only the nearest of a block between any two components, with the
+    block's number if there are more (else null)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def give(rows: list[tuple]) -> pa.RecordBatch:
+            block, side, sid, root, n = (np.array(c, np.int64) for c in list(zip(*rows))[:5])
+            i, j, d = block_pairs(block, side, root, n, [np.frombuffer(r[5], np.int64) for r in rows], params)
+            more = np.ones(len(i), bool)
+            if not every:
+                p, q = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+                order = np.lexsort((d / (n[i] + n[j]), q, p, block[i]))
+                i, j, p, q = i[order], j[order], p[order], q[order]
+                new = np.ones(len(i), bool)
+                new[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1]) | (block[i[1:]] != block[i[:-1]])
+                at = np.flatnonzero(new)
+                more = np.diff(np.append(at, len(i))) > 1
+                i, j = i[at], j[at]
+            a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(block[i], mask=~more)], ["a", "b", "block"])
+
+        begin = 0  # of the last block in held
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[-1][0] != row[0]:
+                    if len(held) >= 4 * params.tile:
+                        yield give(held)
+                        held = []
+                    begin = len(held)
+                held.append(row)
+                if begin and len(held) - begin > 2 * params.tile:
+                    yield give(held[:begin])
+                    held, begin = held[begin:], 0
+        if held:
+            yield give(held)
+
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, "a long, b long, block long")
+
+
 def linked(pairs: DataFrame, shingled: DataFrame, params: Params) -> DataFrame:
     """The pairs (a, b) whose exact sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,12 +446,17 @@ def classes(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id",
     """(doc_id, n_shingles, component_id, k, root) of every row; k is the hash
     of its text, root names its component (null without shingles)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("text"))
-    found = common.stored(sets(docs, params), "jaccard-sets")
-    keys = common.stored(needed(common.stored(shared_keys(docs, params), "jaccard-keys")), "jaccard-needed")
+    whole = common.stored(parse(docs, params), "jaccard-parsed")
+    shared = common.stored(shared_keys(whole), "jaccard-keys")
+    found = common.stored(whole.drop("bands"), "jaccard-sets")
+    common.discard(whole)
+    keys = common.stored(needed(shared), "jaccard-needed")
+    common.discard(shared)
     touched = keys.select("sid").distinct()
     nodes = common.stored(
         found.where("sid is not null").join(touched, "sid", "left_semi").groupBy("sid")
-        .agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-nodes")
+        .agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine")),
+        "jaccard-nodes")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """Shingles of all sets of the pairs."""
@@ -315,7 +477,7 @@ def classes(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id",
     links = common.stored(linked(best, shingled, params), "jaccard-links")
     roots = components(links)
 
-    def root_of(df: DataFrame, c: str) -> DataFrame:
+    def root_of(df: DataFrame, c: str) -> DataFrame:  # by the latest roots
         return df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(
             f"root_{c}", F.coalesce(f"root_{c}", c))
 
@@ -329,14 +491,25 @@ def classes(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id",
         F.min("root_sid").alias("p"), F.max("root_sid").alias("q"), F.count(F.lit(1)).alias("sets"),
         F.bit_xor(F.xxhash64("sid")).alias("who")).where("p <> q")
         .groupBy("p", "q", "sets", "who").agg(F.min("key").alias("key")))
-    left = common.stored(rooted.join(mixed.select("key"), "key", "left_semi"), "jaccard-open")
-    rest = (left.alias("x").join(left.alias("y"), F.expr("x.key = y.key and x.sid < y.sid and x.root_sid <> y.root_sid"))
-            .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
-    rest = common.stored(near(rest, nodes, params), "jaccard-rest")
-    if not rest.isEmpty():
-        links = links.unionByName(common.stored(linked(rest, texts_of(rest), params), "jaccard-links"))
+    # each set goes with its sketch to the blocks of its keys; pairs are tested there
+    def dealt() -> DataFrame:
+        here = root_of(keys.join(mixed.select("key", "sets"), "key"), "sid").withColumnRenamed("root_sid", "root")
+        return blocks(here.join(nodes.select("sid", "n", "fine"), "sid"), params)
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        pairs = common.stored(pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "jaccard-rest")
+        return common.stored(linked(pairs, texts_of(pairs), params), "jaccard-links")
+
+    mixed = common.stored(mixed, "jaccard-mixed")
+    nearest = common.stored(pairs_in_blocks(dealt(), params, every=False), "jaccard-nearest")
+    if not nearest.isEmpty():
+        links = links.unionByName(tested(nearest))
         roots = components(links)
+        open_ = nearest.where("block is not null").select("block").distinct()
+        if not open_.isEmpty():  # what else is near between components that are still apart
+            rest = dealt().join(open_, "block", "left_semi")
+            links = links.unionByName(tested(pairs_in_blocks(rest, params, every=True)))
+            roots = components(links)
 
     named = found.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
         "doc_id", "k", "n", "sid", F.coalesce("root", "sid").alias("root"))
@@ -349,11 +522,11 @@ def classes(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id",
 def one_of_each(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """The row with the smallest id of each group, with its columns; rows
     without shingles all stay."""
-    k = F.xxhash64("text")
     keep = classes(docs, params).where("doc_id <=> component_id and root is not null")
     # of equal ids in one group the text with the smallest hash, and of equal rows one
-    keep = keep.groupBy("doc_id", "root").agg(F.min("k").alias("__k")).select(F.col("doc_id").alias("__id"), "__k")
+    keep = keep.groupBy("doc_id", "root").agg(F.min("k").alias("k")).select(F.xxhash64("doc_id", "k").alias("__k"))
     has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.where(has_words).withColumn("__k", k)
-    kept = rows.join(keep, (rows["doc_id"].eqNullSafe(keep["__id"])) & (rows["__k"] == keep["__k"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__k"]).drop("__k").unionByName(docs.where(~has_words))
+    rows = docs.where(has_words).withColumn("__k", F.xxhash64("doc_id", F.xxhash64("text")))
+    # one exchange of the texts, by row key, serves the join and the choice among equal rows
+    kept = rows.join(keep, "__k", "left_semi").dropDuplicates(["__k"])
+    return kept.select(*docs.columns).unionByName(docs.where(~has_words))
