@@ -206,16 +206,21 @@ def _stretches(docs: DataFrame, lists: DataFrame, params: Params) -> DataFrame:
     kinds = [("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("check", pa.int32())]
 
     def told(parts: list[tuple]) -> pa.RecordBatch:
-        key, doc, known, at, h, check = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((at, doc, known, check, h))  # an unknown id comes first
-        s = [x[order] for x in (h, check, known, doc, at)]
-        same = (s[0][1:] == s[0][:-1]) & (s[1][1:] == s[1][:-1])
-        # the first row of each window, then all rows of the same place as that
-        group = np.concatenate([[0], np.cumsum(~same)])
-        first = np.concatenate([[0], np.flatnonzero(~same) + 1])[group]
+        """Rows of several blocks: (keys, documents, whether they are known) of
+        the texts, and text, start, hash and check of each stretch."""
+        sizes = [len(p[0]) for p in parts]
+        key, doc, known, row, at, h, check = (np.concatenate(c) for c in zip(*parts))
+        row = row + np.repeat(np.cumsum(sizes) - sizes, [len(p[3]) for p in parts])
+        # places as one number: the document's rank (an unknown one comes first), then the start
+        rank = np.where(known, np.unique(doc, return_inverse=True)[1] + 1, 0)
+        place = (rank[row] << 32) | at
+        order = np.lexsort((place, h))
+        here, hash_, check_ = place[order], h[order], check[order]
+        same = (hash_[1:] == hash_[:-1]) & (check_[1:] == check_[:-1])
+        first = np.concatenate([[0], np.flatnonzero(~same) + 1])[np.concatenate([[0], np.cumsum(~same)])]
         late = np.zeros(len(order), bool)
-        late[order] = (s[2] != s[2][first]) | (s[3] != s[3][first]) | (s[4] != s[4][first])
-        columns = [pa.array(key), pa.array(doc, mask=~known), pa.array(at), pa.array(h), pa.array(check), pa.array(late)]
+        late[order] = here != here[first]
+        columns = [pa.array(key[row]), pa.array(doc[row], mask=~known[row]), pa.array(at), pa.array(h), pa.array(check), pa.array(late)]
         return pa.RecordBatch.from_arrays(columns, [*(k for k, _ in kinds), "late"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +246,7 @@ def _stretches(docs: DataFrame, lists: DataFrame, params: Params) -> DataFrame:
                 start = np.repeat(at, size) + within
                 row = np.repeat(np.repeat(np.arange(hi - lo), runs), size)
                 full = mix(ngram_hashes(h, params.window))
-                parts.append((key[lo:hi][row], doc[lo:hi][row], known[lo:hi][row], start.astype(np.int32),
+                parts.append((key[lo:hi], doc[lo:hi], known[lo:hi], row, start.astype(np.int32),
                               full[base[row] + start].view(np.int64), np.repeat(name.astype(np.int32), size)))
                 held += len(start)
                 if held > params.held:
