@@ -16,7 +16,8 @@ needs it is first asked for):
 
 0. row numbers: hot rows are range-partitioned in track order, so bursts are
    cut by rows and not by time; a running sum of the slices' counts gives
-   every row its global ``seq``, and ``chunk`` = (seq - 1) / chunk_rows;
+   every row its global ``seq``, and ``chunk`` = (seq - 1) / chunk_rows
+   (small chunks share a slice, see ``slice_count``);
 1. halo: rows near a chunk's edge are copied to the chunks beside it
    (smoothing and slow flags, for any smoothing window);
 2. start of a slow run that is open when the chunk begins, and end of the
@@ -93,9 +94,16 @@ def _carry(df: DataFrame, summary: DataFrame) -> DataFrame:
     return df.join(summary, CKEY, "left")
 
 
+def slice_count(n: int, partitions: int, p: Params) -> int:
+    """Slices of ``n`` hot rows: one for each chunk's worth of rows, but beyond
+    the session's partitions none below ``slice_rows`` rows.  A slice is a task
+    and sends a sample and its bounds to the driver, a chunk is only a key."""
+    return min(math.ceil(n / p.chunk_rows), max(partitions, math.ceil(n / p.slice_rows)))
+
+
 def numbered(rows: DataFrame, hot: DataFrame, p: Params, bag: list) -> DataFrame:
     """Round 0: ``seq`` in track order and the row's ``chunk``."""
-    slices = math.ceil(hot.agg(F.sum("n_total")).first()[0] / p.chunk_rows)
+    slices = slice_count(hot.agg(F.sum("n_total")).first()[0], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), p)
     order = [F.col(c).asc_nulls_last() for c in RAW_ORDER]
     # the range bounds are sampled anew for each plan, so the slices are fixed by a checkpoint
     h = _keep(rows.repartitionByRange(slices, *VKEY, *order).withColumn("slice", F.spark_partition_id()), bag)
@@ -103,7 +111,7 @@ def numbered(rows: DataFrame, hot: DataFrame, p: Params, bag: list) -> DataFrame
     before = Window.partitionBy(*VKEY).orderBy("slice").rowsBetween(*BEFORE)
     offset = count.select(*VKEY, "slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     place = F.row_number().over(Window.partitionBy(*VKEY, "slice").orderBy(*order))
-    # a slice is about one chunk of rows: as many summaries as slices and hot vessels
+    # as many summaries as slices and hot vessels
     h = h.withColumn("_place", place).join(F.broadcast(offset), [*VKEY, "slice"])
     h = h.withColumn("seq", (F.col("_offset") + F.col("_place")).cast("int")).drop("slice", "_place", "_offset")
     return _keep(h.withColumn("chunk", chunk_of(F.col("seq"), p)), bag)

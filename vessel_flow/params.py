@@ -40,6 +40,7 @@ class Params:
     split_hot: bool = True             # split vessel-periods with very many rows into row chunks
     hot_vessel_rows: int = 5_000_000   # a vessel-period above this many rows is "hot"
     chunk_rows: int = 2_000_000        # rows per chunk of a hot vessel
+    slice_rows: int = 100_000          # fewest rows of a range slice, where there are more slices than partitions
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
