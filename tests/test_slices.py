@@ -30,3 +30,13 @@ def test_forced_split_runs_in_a_session_s_partitions(spark):
     assert sliced.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = [r["count"] for r in out.groupBy(*split.CKEY).count().collect()]
     assert max(sizes) <= PSPLIT.chunk_rows
+
+
+def test_every_round_of_a_forced_split_runs_in_a_session_s_partitions(spark):
+    p = PSPLIT.with_(hot_vessel_rows=0)
+    rows = ingest.ingest(fx.ais_from_events(fx.table(spark, SF, "events")))
+    hot = split.hot_vessels(split.vessel_stats(rows), p)
+    h = split.HotStages(split.mark_hot(rows, hot).where("hot").drop("hot"), hot, p)
+    assert h.co2.count() > 0
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(h.persisted) == 5 and all(d.rdd.getNumPartitions() <= most for d in h.persisted)
