@@ -40,3 +40,9 @@ def test_every_round_of_a_forced_split_runs_in_a_session_s_partitions(spark):
     assert h.co2.count() > 0
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert len(h.persisted) == 5 and all(d.rdd.getNumPartitions() <= most for d in h.persisted)
+
+
+def test_one_vessel_in_small_chunks_runs_in_a_session_s_partitions(spark):
+    out, sliced = _first_round(spark, PBURST.with_(chunk_rows=20), "one")
+    assert out.select("chunk").distinct().count() > 40
+    assert sliced.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
