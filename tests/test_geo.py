@@ -92,3 +92,26 @@ def test_byte_bounds_hold(spark):
                                   "ordinal int, name string, state string, lat double, lon double")
     real = port_cells(ports).agg(F.sum(F.size("ports").cast("long") * 96 + 64)).first()[0]
     assert real <= port_bytes(ports).first()[0]
+
+
+def test_a_saw_along_a_parallel_is_cut_into_columns(spark):
+    """Teeth that every strip of latitude would hold; the answer is that of brute force."""
+    rnd = random.Random(5)
+    n = 1200
+    saw = [(9.99 + k * 2.4 / n, 10.2 + 0.5 * (k % 2)) for k in range(n + 1)]
+    pts = saw + [(12.39, 11.9), (9.99, 11.9)]
+    flat = [(x1, y1, x2, y2) for (x1, y1), (x2, y2) in zip(pts, pts[1:] + pts[:1])]
+    upright = [(y1, x1 + 20, y2, x2 + 20) for x1, y1, x2, y2 in flat]
+    polys = [(0, "FLAT", flat), (1, "UPRIGHT", upright), (2, "BELOW", [(9.5, 9.5, 13, 9.5), (13, 9.5, 13, 10.6),
+                                                                     (13, 10.6, 9.5, 10.6), (9.5, 10.6, 9.5, 9.5)])]
+    polys = [(o, m, [tuple(map(float, e)) for e in edges]) for o, m, edges in polys]
+    at = [(rnd.uniform(9.8, 12.6), rnd.uniform(9.9, 12.1)) for _ in range(1200)]
+    at += [(rnd.uniform(9.9, 12.1), rnd.uniform(29.8, 32.6)) for _ in range(800)]
+    at += [(x, y) for x, y, _, _ in (flat + upright)[::40]] + [(float(x), 10.5) for x in (9, 10, 11, 12, 370, -350)]
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in at], "LON double, LAT double")
+    cells = state_cells(rings(spark, polys))
+    assert max(len(c["edges"]) for r in cells.collect() for strip in r["strips"] for c in strip) <= 2 * DEFAULT.cell_edges
+    got = {(r["LON"], r["LAT"]): r["State"] for r in tag_states(df, cells).collect()}
+    bad = [(x, y) for x, y in at
+           if got[(x, y)] != next((m for o, m, e in polys if model.point_in_poly(e, x, y)), None)]
+    assert not bad, bad[:5]

@@ -46,19 +46,21 @@ def haversine_nm(lat1, lon1, lat2, lon2, radius_nm: float = 3440.0) -> Column:
     return central_angle(lat1, lon1, lat2, lon2) * F.lit(float(radius_nm))
 
 
-def point_in_edges_sql(edges: str, x: str, y: str) -> str:
+def point_in_edges_sql(edges: str, x: str, y: str, flips: str | None = None) -> str:
     """Closed point-in-polygon test as SQL: on an edge, or an odd number of
     crossings.  ``edges`` is an array of ``struct<x1,y1,x2,y2>``.  The ray goes
     towards +x; a horizontal edge never counts as crossed (``nullif`` keeps
     ANSI division safe), and the half-open rule ``(y1 > y) != (y2 > y)`` counts
-    a vertex once."""
+    a vertex once.  ``flips``, an array of latitudes, stands for edges that are
+    wholly east of the point: each one at or below ``y`` changes the parity."""
     on_edge = (f"(({x} - e.x1) * (e.y2 - e.y1) = ({y} - e.y1) * (e.x2 - e.x1) "
                f"AND {x} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) "
                f"AND {y} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2))")
     crosses = (f"((e.y1 > {y}) != (e.y2 > {y}) "
                f"AND {x} < (e.x2 - e.x1) * ({y} - e.y1) / nullif(e.y2 - e.y1, 0D) + e.x1)")
     return (f"(exists({edges}, e -> {on_edge}) OR "
-            f"aggregate({edges}, 0, (acc, e) -> acc + CASE WHEN {crosses} THEN 1 ELSE 0 END) % 2 = 1)")
+            f"(aggregate({edges}, 0, (acc, e) -> acc + CASE WHEN {crosses} THEN 1 ELSE 0 END)"
+            + (f" + size(filter({flips}, f -> f <= {y}))" if flips else "") + ") % 2 = 1)")
 
 
 def ring_edges(ring: Column) -> Column:

@@ -3,10 +3,11 @@
 Both are equi-joins on a grid cell against a dimension-sized cell table:
 
 * states: each polygon ring's bounding box is spread over the cells it
-  covers; a cell is cut into strips of latitude, as many as keep a strip to
-  about ``cell_edges`` edges of a polygon (more where an outline runs along a
-  parallel), so that a fine outline costs a point little more than a coarse one.  A strip holds the candidate polygons (ordinal,
-  name, and the edges that a point there can meet) sorted by ordinal.
+  covers; a cell of many edges is cut into strips of latitude or columns of
+  longitude, as many as keep one to about ``cell_edges`` edges of a polygon, so
+  that a fine outline costs a point little more than a coarse one.  A strip holds
+  the candidate polygons sorted by ordinal (name, the edges that a point there
+  can meet, and the latitudes where the parity of those east of it changes).
   The exact test is a closed point-in-polygon over the edges; the lowest
   ordinal among matches wins (R-Q20).  A cell that no edge touches is
   decided once, at its centre.
@@ -15,8 +16,8 @@ Both are equi-joins on a grid cell against a dimension-sized cell table:
   test is the great-circle angle <= r; the minimum of (angle, ordinal) wins,
   which equals "nearest, then cut off" (R-Q8, R-Q10).
 
-A cell table has one row per cell, so the left join never multiplies track
-rows, and its size depends only on the map and the port list.  It is
+A cell table has one row per cell, and a point reads one of the cell's boxes, so
+the left joins never multiply track rows; its size depends only on the map and the port list.  It is
 broadcast after its bytes are checked against ``broadcast_max_bytes``; a
 larger one is joined by a shuffle on the cell key.
 """
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import (cell_index, central_angle_sql, lon_cell_index, lon_half_width_deg,
@@ -136,42 +137,124 @@ def state_cells(rings: DataFrame, p: Params = DEFAULT) -> DataFrame:
                   .getField("name").alias("uniform_state")))
     cells = cells.withColumn("n", _strips(F.col("most"), p))
     rest = ["cell_y", "cell_x", "uniform", "ucx", "uniform_state"]
-    plain = cells.where("n = 1").select(*rest, F.array("cands").alias("strips"))
-    # each edge goes to the strips that it meets
-    cut = cells.where("n > 1")
-    edge = (cut.select("cell_y", "cell_x", "n", F.explode("cands").alias("c"))
-            .select("cell_y", "cell_x", "n", "c.ordinal", "c.name", F.explode("c.edges").alias("e")))
-    place = lambda y: F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor(
-        (y - F.col("cell_y") * F.lit(float(s))) * F.col("n") / F.lit(float(s))).cast("int")))
-    strip = F.explode(F.sequence(place(F.least("e.y1", "e.y2") - _EPS), place(F.greatest("e.y1", "e.y2") + _EPS)))
-    filled = (edge.withColumn("strip", strip).groupBy("cell_y", "cell_x", "ordinal", "name", "strip")
-              .agg(F.collect_list("e").alias("edges")).groupBy("cell_y", "cell_x", "strip")
-              .agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "edges"))).alias("cands"))
-              .groupBy("cell_y", "cell_x").agg(F.map_from_entries(F.collect_list(F.struct("strip", "cands"))).alias("m")))
-    none = F.array().cast("array<struct<ordinal:int,name:string,edges:array<struct<x1:double,y1:double,x2:double,y2:double>>>>")
-    all_strips = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("m", i), none))
-    return plain.unionByName(cut.join(filled, ["cell_y", "cell_x"]).select(*rest, all_strips.alias("strips")))
-
-
-def candidates_sql(lat: str, s: float) -> str:
-    """The candidates of a point's strip, as SQL over a row joined with its cell."""
-    at = f"cast(floor(({lat} / {float(s)!r}D - cell_y) * size(strips)) as int)"
-    return f"get(strips, least(greatest({at}, 0), size(strips) - 1))"
+    no_flips = F.array().cast("array<double>")
+    plain = cells.where("n = 1").select(*rest, F.lit(False).alias("across"), F.array(F.transform(
+        "cands", lambda c: F.struct(c["ordinal"], c["name"], c["edges"], no_flips.alias("flips")))).alias("strips"))
+    finest = rings.groupBy("ordinal").agg(F.sum(F.size("edges")).alias("n")).agg(F.max("n")).first()[0] or 0
+    if finest <= p.cell_edges:
+        return plain
+    wrapped = (F.count_distinct("cx") > 1) | F.bool_or(F.abs(F.col("cx") * F.lit(float(s)) + F.lit(s / 2)) >= 180)
+    heads = cells.where("n > 1").drop("cands", "most").join(
+        rows.groupBy("cell_y", "cell_x").agg(wrapped.alias("wrapped")), ["cell_y", "cell_x"])
+    return cut_lineage(plain.unionByName(_cut_cells(heads, rows, s).select(*rest, "across", "strips")))
+
+
+_CELL = ["cell_y", "cell_x"]
+_CAND = [*_CELL, "cx", "ordinal", "name"]
+
+
+def _cut_cells(heads: DataFrame, rows: DataFrame, s: float) -> DataFrame:
+    """Cells of many edges in ``n`` boxes each: strips of latitude or columns of
+    longitude (``across``), whichever leaves fewer edges in the fullest one.
+
+    A box holds a polygon's edges that meet it.  Those wholly east of it are
+    crossed by every ray of their latitudes, so only the parity of their ends at
+    or below a point's latitude counts: ``flips`` are the latitudes of ends that
+    do not cancel out (an outline that stays east leaves none).  A ``wrapped``
+    cell also serves points of the other side: strips of all edges, no flips."""
+    n, size = F.col("n"), F.lit(float(s))
+    at = lambda v, cell: F.floor((v - F.col(cell) * size) * n / size).cast("int")
+    inside = lambda v: F.greatest(F.lit(0), F.least(n - 1, v))
+    east = at(F.least("e.x1", "e.x2") - _EPS, "cx")
+    edge = (rows.select(*_CAND, F.explode("edges").alias("e"))
+            .join(heads.select(*_CELL, "n", "wrapped"), _CELL)
+            # columns west of ``x_lo`` have the edge wholly in their east
+            .select("*", F.greatest(F.lit(0), F.least(n, east)).alias("x_lo"),
+                    inside(at(F.greatest("e.x1", "e.x2") + _EPS, "cx")).alias("x_hi"),
+                    inside(at(F.least("e.y1", "e.y2") - _EPS, "cell_y")).alias("y_lo"),
+                    inside(at(F.greatest("e.y1", "e.y2") + _EPS, "cell_y")).alias("y_hi"))
+            .withColumn("near", F.col("wrapped") | (F.col("x_lo") < n)))
+    # the most edges of a strip and of a column: +1 where an edge begins, -1 after its end
+    ends = F.array(*[F.struct(F.lit(axis == "x").alias("across"), pos.alias("pos"), F.lit(d).alias("d"))
+                     for axis in "xy" for pos, d in ((F.col(f"{axis}_lo"), 1), (F.col(f"{axis}_hi") + 1, -1))])
+    steps = (edge.where("near AND NOT wrapped").select(*_CELL, F.inline(ends)).groupBy(*_CELL, "across", "pos")
+             .agg(F.sum("d").alias("d")))
+    depth = F.sum("d").over(Window.partitionBy(*_CELL, "across").orderBy("pos"))
+    most = (steps.select(*_CELL, "across", depth.alias("most")).groupBy(*_CELL)
+            .agg((F.max(F.when(F.col("across"), F.col("most"))) < F.max(F.when(~F.col("across"), F.col("most")))).alias("across")))
+    heads = heads.join(most, _CELL, "left").withColumn("across", F.coalesce("across", F.lit(False)))
+    edge = edge.join(heads.select(*_CELL, "across"), _CELL)
+    boxes = F.when(F.col("across"), F.sequence("x_lo", F.greatest("x_lo", "x_hi"))).otherwise(F.sequence("y_lo", "y_hi"))
+    held = (edge.where("near").select(*_CAND, F.explode(boxes).alias("box"), "e")
+            .groupBy(*_CAND, "box").agg(F.collect_list("e").alias("edges")))
+    # an end's latitude counts in the columns that have an odd number of such ends in their east
+    columns = F.when(F.col("across"), n).otherwise(F.lit(1))
+    reach = F.when(F.col("across"), F.col("x_lo")).otherwise((F.col("x_lo") >= n).cast("int"))
+    odd = F.filter(F.sequence(F.lit(0), F.col("columns") - 1),
+                   lambda j: F.size(F.filter("reach", lambda r: r > j)) % 2 == 1)
+    flips = (edge.where(~F.col("wrapped") & (reach > 0))
+             .select(*_CAND, columns.alias("columns"), reach.alias("reach"), F.explode(F.array("e.y1", "e.y2")).alias("y"))
+             .groupBy(*_CAND, "columns", "y").agg(F.collect_list("reach").alias("reach"))
+             .select(*_CAND, F.explode(odd).alias("column"), "y")
+             .groupBy(*_CAND, "column").agg(F.collect_list("y").alias("ys")))
+    cands = (rows.select(*_CAND).join(heads.select(*_CELL, "n", "across"), _CELL)
+             .withColumn("box", F.explode(F.sequence(F.lit(0), n - 1)))
+             .withColumn("column", F.when(F.col("across"), F.col("box")).otherwise(F.lit(0))))
+    # latitudes below the box count at all its points
+    part = F.when(F.col("across"), F.lit(0)).otherwise(F.col("box"))
+    parts = F.when(F.col("across"), F.lit(1)).otherwise(n)
+    low = F.col("cell_y") * size + part * size / parts - _EPS
+    high = F.col("cell_y") * size + (part + 1) * size / parts + _EPS
+    base = F.when(F.size(F.filter("ys", lambda y: y <= F.col("low"))) % 2 == 1, F.array(F.lit(float("-inf"))))
+    kept = F.concat(F.coalesce(base, F.array().cast("array<double>")),
+                    F.filter("ys", lambda y: (y > F.col("low")) & (y <= F.col("high"))))
+    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    filled = (cands.join(held, [*_CAND, "box"], "left").join(flips, [*_CAND, "column"], "left")
+              .withColumns({"low": low, "high": high})
+              .select(*_CAND, "box", F.coalesce("edges", none).alias("edges"),
+                      F.coalesce(kept, F.array().cast("array<double>")).alias("flips"))
+              .where("size(edges) > 0 OR size(flips) > 0")
+              .groupBy(*_CELL, "box")
+              .agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "edges", "flips"))).alias("cands"))
+              .groupBy(*_CELL).agg(F.map_from_entries(F.collect_list(F.struct("box", "cands"))).alias("m")))
+    empty = F.array().cast("array<struct<ordinal:int,name:string,edges:array<struct<x1:double,y1:double,x2:double,y2:double>>,"
+                           "flips:array<double>>>")
+    all_boxes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.try_element_at("m", i), empty))
+    return heads.join(filled, _CELL, "left").select(
+        *_CELL, "uniform", F.when(F.col("wrapped"), F.lit(None)).otherwise(F.col("ucx")).cast("int").alias("ucx"),
+        "uniform_state", "across", all_boxes.alias("strips"))
+
+
+def with_hits(df: DataFrame, cells: DataFrame, p: Params, lat: str, lon: str, uniform: bool = True) -> DataFrame:
+    """Left join: ``_state`` of a uniform cell (with ``_same``), else ``_hits``, the
+    polygons that hold the point.  A point reads its cell's head, then the one
+    box that it lies in: a row carries no other box.  Without ``uniform`` all
+    points are tested."""
+    s = p.state_cell_deg
+    head = cells.select("cell_y", "cell_x", "across", "uniform", "ucx", F.col("uniform_state").alias("_state"),
+                        F.size("strips").alias("_n"))
+    box = cells.select(
+        F.col("cell_y").alias("_by"), F.col("cell_x").alias("_bx"), F.posexplode("strips").alias("_bi", "_cands"))
+    j = (df.withColumn("_cy", cell_index(F.col(lat), s)).withColumn("_cx", lon_cell_index(F.col(lon), s)))
+    j = j.join(F.broadcast(head), (F.col("_cy") == F.col("cell_y")) & (F.col("_cx") == F.col("cell_x")), "left")
+    at = F.when(F.col("across"), F.col(lon) / F.lit(float(s)) - F.col("ucx")).otherwise(F.col(lat) / F.lit(float(s)) - F.col("cell_y"))
+    here = F.col("ucx").isNull() | (F.col("_n") == 1) | (cell_index(F.col(lon), s) == F.col("ucx"))
+    j = j.withColumn("_same", F.coalesce(F.lit(uniform) & F.col("uniform") & (cell_index(F.col(lon), s) == F.col("ucx")), F.lit(False)))
+    j = j.withColumn("_at", F.when(here & ~F.col("_same"), F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.floor(
+        at * F.col("_n")).cast("int")))))
+    j = j.join(box, (F.col("_cy") == F.col("_by")) & (F.col("_cx") == F.col("_bx")) & (F.col("_at") == F.col("_bi")), "left")
+    hit = point_in_edges_sql("k.edges", f"`{lon}`", f"`{lat}`", "k.flips")
+    return (j.withColumn("_hits", F.expr(f"filter(_cands, k -> {hit})"))
+             .drop("_cy", "_cx", "cell_y", "cell_x", "across", "uniform", "ucx", "_n", "_at", "_by", "_bx", "_bi", "_cands"))
 
 
 def tag_states(df: DataFrame, cells: DataFrame, p: Params = DEFAULT,
                lat: str = "LAT", lon: str = "LON", out: str = "State") -> DataFrame:
     """Left join: ``out`` = name of the lowest-ordinal polygon containing the
     point (boundary included), null at sea or without coordinates (J1, W11)."""
-    s = p.state_cell_deg
-    pts = df.withColumn("_cy", cell_index(F.col(lat), s)).withColumn("_cx", lon_cell_index(F.col(lon), s))
-    c = cells
-    j = pts.join(c, (pts["_cy"] == c["cell_y"]) & (pts["_cx"] == c["cell_x"]), "left")
-    hit = F.expr(f"filter({candidates_sql(f'`{lat}`', s)}, k -> {point_in_edges_sql('k.edges', f'`{lon}`', f'`{lat}`')})")
-    same_cell = F.col("uniform") & (cell_index(F.col(lon), s) == F.col("ucx"))
-    state = F.when(same_cell, F.col("uniform_state")).otherwise(F.try_element_at(hit, F.lit(1)).getField("name"))
-    return (j.withColumn(out, state)
-             .drop("_cy", "_cx", "cell_y", "cell_x", "strips", "uniform", "ucx", "uniform_state"))
+    j = with_hits(df, cells, p, lat, lon)
+    state = F.when(F.col("_same"), F.col("_state")).otherwise(F.try_element_at("_hits", F.lit(1)).getField("name"))
+    return j.withColumn(out, state).drop("_same", "_state", "_hits")
 
 
 def port_cells(ports: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import cell_index, lon_cell_index, point_in_edges_sql
 from ..params import DEFAULT, Params
-from .geo import bounded_broadcast, candidates_sql, state_bytes, state_cells
+from .geo import bounded_broadcast, state_bytes, state_cells, with_hits
 
 REQUIRED = ["PORT_NAME", "LATITUDE", "LONGITUDE", "COUNTRY"]
 PORT_COLUMNS = ["Main Port Name", "state", "Latitude", "Longitude"]
@@ -35,11 +34,8 @@ def build_ports(raw: DataFrame, rings: DataFrame, p: Params = DEFAULT) -> DataFr
           .select(F.col("PORT_NAME").alias("Main Port Name"),
                   F.col("LATITUDE").cast("double").alias("Latitude"),
                   F.col("LONGITUDE").cast("double").alias("Longitude")))
-    s = p.state_cell_deg
     cells = bounded_broadcast(state_cells(rings, p), p, state_bytes(rings, p))
-    pts = us.withColumn("_cy", cell_index(F.col("Latitude"), s)) \
-            .withColumn("_cx", lon_cell_index(F.col("Longitude"), s))
-    j = pts.join(cells, (pts["_cy"] == cells["cell_y"]) & (pts["_cx"] == cells["cell_x"]), "inner")
-    hits = F.expr(f"filter({candidates_sql('Latitude', s)}, k -> {point_in_edges_sql('k.edges', 'Longitude', 'Latitude')})")
-    return (j.select("*", F.explode(hits).alias("_hit"))
+    # every polygon of a uniform cell that holds the point counts, not only the first
+    j = with_hits(us, cells, p, "Latitude", "Longitude", uniform=False)
+    return (j.select("*", F.explode("_hits").alias("_hit"))
             .select("Main Port Name", F.col("_hit")["name"].alias("state"), "Latitude", "Longitude"))
