@@ -115,3 +115,28 @@ def test_a_saw_along_a_parallel_is_cut_into_columns(spark):
     bad = [(x, y) for x, y in at
            if got[(x, y)] != next((m for o, m, e in polys if model.point_in_poly(e, x, y)), None)]
     assert not bad, bad[:5]
+
+
+def test_dense_ports_are_cut_into_boxes(spark):
+    """Ports of many densities, some at one position, some in a tight cluster: no box
+    holds many but the cluster's, and the answer is that of brute force."""
+    rnd = random.Random(21)
+    at = [(rnd.uniform(20, 21), rnd.uniform(-71, -70)) for _ in range(1500)]
+    at += at[:200] + [(20.5 + rnd.gauss(0, 0.01), -70.5 + rnd.gauss(0, 0.01)) for _ in range(150)]
+    at += [(rnd.uniform(-0.3, 0.3), rnd.choice([-1, 1]) * rnd.uniform(179.7, 180.0)) for _ in range(150)]
+    order = rnd.sample(range(len(at)), len(at))
+    ports = [(k, f"P{k}", f"S{k % 3}", la, lo) for k, (la, lo) in zip(order, at)]
+    pts = [(rnd.uniform(19.7, 21.3), rnd.uniform(-71.3, -69.7)) for _ in range(500)]
+    pts += [(rnd.uniform(-0.3, 0.3), rnd.choice([-1, 1]) * rnd.uniform(179.7, 180.0)) for _ in range(150)]
+    pts += [(la, lo) for la, lo in at[:50]] + [(20.5, -70.5), (20.25, -70.75), (0.0, 180.0), (0.0, -180.0)]
+    df = spark.createDataFrame([(float(a), float(b), "1", None) for a, b in pts],
+                               "LAT double, LON double, Label string, State string")
+    pdf = spark.createDataFrame(ports, "ordinal int, name string, state string, lat double, lon double")
+    cells = port_cells(pdf)
+    sizes = sorted(len(r["ports"]) for r in cells.collect())
+    assert sizes[-1] < 200 and sizes[int(len(sizes) * 0.9)] <= 2 * DEFAULT.cell_ports
+    got = {(r["LAT"], r["LON"]): r["PortName"] for r in match_ports(df, cells).collect()}
+    lim = math.radians(0.2)
+    for a, b in pts:
+        best = min((model.haversine(a, b, la, lo, 1.0), o, n) for o, n, s, la, lo in ports)
+        assert got[(a, b)] == (best[2] if best[0] <= lim else None), (a, b, best)

@@ -14,7 +14,9 @@ Both are equi-joins on a grid cell against a dimension-sized cell table:
 * ports: each port is spread over the cells its 0.2 degree cap touches
   (longitude half-width asin(sin r / cos lat), wrapped at +-180).  The exact
   test is the great-circle angle <= r; the minimum of (angle, ordinal) wins,
-  which equals "nearest, then cut off" (R-Q8, R-Q10).
+  which equals "nearest, then cut off" (R-Q8, R-Q10).  Where ports are dense,
+  a cell is cut into boxes that hold only ports which are nearest somewhere in
+  the box.
 
 A cell table has one row per cell, and a point reads one of the cell's boxes, so
 the left joins never multiply track rows; its size depends only on the map and the port list.  It is
@@ -37,6 +39,10 @@ from ..session import cut_lineage
 _EPS = 1e-9
 #: A cell has at most 2^MOST_SPLITS strips.
 MOST_SPLITS = 10
+#: A port cell has at most 2^MOST_LEVELS x 2^MOST_LEVELS boxes.
+MOST_LEVELS = 8
+#: The lists of a port cell's boxes hold at most so many times the ports of the cell.
+MOST_GROWTH = 16
 
 
 def bounded_broadcast(cells: DataFrame, p: Params = DEFAULT, most: DataFrame | None = None) -> DataFrame:
@@ -76,9 +82,11 @@ def _strips(edges: Column, p: Params) -> Column:
 
 
 def port_bytes(ports: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """At most so many bytes has ``port_cells``: each port in all its cells."""
+    """At most so many bytes has ``port_cells``: each port in all its cells, and
+    MOST_GROWTH times where they are cut into boxes."""
     ys, xs = _port_cover(p)
-    return ports.agg(F.sum((F.size(ys) * F.size(xs)).cast("long") * 160))
+    most = 160 if _few(ports, p) else 160 * MOST_GROWTH
+    return ports.agg(F.sum((F.size(ys) * F.size(xs)).cast("long") * most))
 
 
 def _ring_bbox(edges):
@@ -258,13 +266,70 @@ def tag_states(df: DataFrame, cells: DataFrame, p: Params = DEFAULT,
 
 
 def port_cells(ports: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """ports(ordinal, name, state, lat, lon) -> cells(cell_y, cell_x, ports)."""
+    """ports(ordinal, name, state, lat, lon) -> cells(cell_y, cell_x, ports); with
+    more than ``cell_ports`` ports a row for each box of a cell (see ``_port_boxes``)."""
     ys, xs = _port_cover(p)
-    return (ports.select("ordinal", "name", "state", "lat", "lon",
-                         F.explode(ys).alias("cell_y"), xs.alias("_xs"))
-            .select("*", F.explode("_xs").alias("cell_x")).drop("_xs")
-            .groupBy("cell_y", "cell_x")
-            .agg(F.collect_list(F.struct("ordinal", "name", "state", "lat", "lon")).alias("ports")))
+    # of ports at one position only the first can be the nearest
+    alone = (ports.groupBy("lat", "lon").agg(F.min(F.struct("ordinal", "name", "state")).alias("k"))
+             .select("k.ordinal", "k.name", "k.state", "lat", "lon"))
+    cells = (alone.select("ordinal", "name", "state", "lat", "lon",
+                          F.explode(ys).alias("cell_y"), xs.alias("_xs"))
+             .select("*", F.explode("_xs").alias("cell_x")).drop("_xs")
+             .groupBy("cell_y", "cell_x")
+             .agg(F.collect_list(F.struct("ordinal", "name", "state", "lat", "lon")).alias("ports")))
+    return cells if _few(ports, p) else _port_boxes(cells, p)
+
+
+def _few(ports: DataFrame, p: Params) -> bool:
+    return ports.limit(p.cell_ports + 1).count() <= p.cell_ports
+
+
+def _nearest_candidates(boxes: DataFrame, p: Params) -> DataFrame:
+    """Drops the ports that are nearest to no point of their box: no point lies
+    farther than ``rho`` from the centre, so a port farther from it than the
+    centre's nearest port by more than 2 ``rho`` is never the nearest, and one
+    beyond the radius by more than ``rho`` is out of reach."""
+    s = float(p.port_cell_deg)
+    n = F.col("n")
+    rho = F.lit(math.radians(s) * math.sqrt(0.5)) / n
+    angle = central_angle_sql("_lat", "_lon", "q.lat", "q.lon")
+    near = F.least(F.array_min("_d.d") + 2 * rho, F.lit(math.radians(p.port_radius_deg)) + rho) + F.lit(_EPS)
+    return (boxes.withColumn("_lat", (F.col("cell_y") + (F.col("box_y") + 0.5) / n) * s)
+            .withColumn("_lon", (F.col("cell_x") + (F.col("box_x") + 0.5) / n) * s)
+            .withColumn("_d", F.expr(f"transform(ports, q -> named_struct('d', {angle}, 'q', q))"))
+            .withColumn("_near", near)
+            .withColumn("ports", F.expr("transform(filter(_d, c -> c.d <= _near), c -> c.q)"))
+            .drop("_lat", "_lon", "_d", "_near").where("size(ports) > 0"))
+
+
+def _port_boxes(cells: DataFrame, p: Params) -> DataFrame:
+    """cells(cell_y, cell_x, ports) -> (cell_y, cell_x, n, box_y, box_x, ports): a
+    cell in n x n boxes, each with the ports that are nearest to some point in it.
+
+    A cell is quartered while a box of it has more than ``cell_ports`` ports and its
+    lists stay within MOST_GROWTH times the cell's own one (ports may be too close
+    together to part), so a point's work does not grow with the port list, nor the
+    table faster than it."""
+    cell = ["cell_y", "cell_x"]
+    one = cells.select(*cell, F.lit(1).alias("n"), F.lit(0).alias("box_y"), F.lit(0).alias("box_x"), "ports")
+    boxes = cut_lineage(_nearest_candidates(one, p)
+                        .withColumns({"more": F.size("ports") > p.cell_ports, "base": F.size("ports").cast("long")}))
+    for _ in range(MOST_LEVELS):
+        if boxes.where("more").isEmpty():
+            break
+        quarter = F.explode(F.array(*[F.struct((F.col("box_y") * 2 + i).alias("box_y"), (F.col("box_x") * 2 + j).alias("box_x"))
+                                      for i in (0, 1) for j in (0, 1)])).alias("_q")
+        finer = cut_lineage(_nearest_candidates(
+            boxes.where("more").select(*cell, "base", (F.col("n") * 2).alias("n"), quarter, "ports")
+            .select(*cell, "base", "n", "_q.box_y", "_q.box_x", "ports"), p))
+        told = finer.groupBy(*cell).agg(
+            (F.sum(F.size("ports").cast("long")) <= MOST_GROWTH * F.first("base")).alias("_good"),
+            (F.max(F.size("ports")) > p.cell_ports).alias("_more"))
+        kept = (boxes.join(told, cell, "left").where("NOT coalesce(_good, false)")
+                .withColumn("more", F.lit(False)).drop("_good", "_more"))
+        boxes = cut_lineage(kept.unionByName(finer.join(told.where("_good"), cell).withColumn("more", F.col("_more"))
+                                             .drop("_good", "_more")))
+    return boxes.drop("more", "base")
 
 
 def _port_cover(p: Params) -> tuple[Column, Column]:
@@ -290,13 +355,19 @@ def match_ports(df: DataFrame, cells: DataFrame, p: Params = DEFAULT) -> DataFra
     limit = math.radians(p.port_radius_deg)
     pts = (df.withColumn("_cy", cell_index(F.col("LAT"), s))
              .withColumn("_cx", lon_cell_index(F.col("LON"), s)))
-    c = cells
-    j = pts.join(c, (pts["_cy"] == c["cell_y"]) & (pts["_cx"] == c["cell_x"])
-                 & (pts["Label"] == F.lit("1")), "left")
+    on = (F.col("_cy") == F.col("cell_y")) & (F.col("_cx") == F.col("cell_x")) & (F.col("Label") == F.lit("1"))
+    if "n" in cells.columns:
+        heads = cells.groupBy(F.col("cell_y").alias("_hy"), F.col("cell_x").alias("_hx")).agg(F.first("n").alias("_n"))
+        pts = pts.join(F.broadcast(heads), (F.col("_cy") == F.col("_hy")) & (F.col("_cx") == F.col("_hx")), "left")
+        at = lambda v: F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.floor(
+            (v / F.lit(float(s)) - F.floor(v / F.lit(float(s)))) * F.col("_n")).cast("int")))
+        pts = pts.withColumn("_by", at(F.col("LAT"))).withColumn("_bx", at(F.col("LON"))).drop("_hy", "_hx", "_n")
+        on = on & (F.col("_by") == F.col("box_y")) & (F.col("_bx") == F.col("box_x"))
+    j = pts.join(cells, on, "left")
     angle = central_angle_sql("LAT", "LON", "q.lat", "q.lon")
     best = F.expr(f"array_min(filter(transform(ports, q -> named_struct('d', {angle}, 'ordinal', q.ordinal, "
                   f"'name', q.name, 'state', q.state)), q -> q.d <= {limit!r}D))")
     j = j.withColumn("_best", best)
     return (j.withColumn("PortName", F.col("_best").getField("name"))
              .withColumn("State", F.coalesce(F.col("_best").getField("state"), F.col("State")))
-             .drop("_cy", "_cx", "cell_y", "cell_x", "ports", "_best"))
+             .drop("_cy", "_cx", "_by", "_bx", "cell_y", "cell_x", "n", "box_y", "box_x", "ports", "_best"))

@@ -35,6 +35,7 @@ class Params:
     state_cell_deg: float = 1.0        # grid cell for the polygon join
     cell_edges: int = 64               # edges of a polygon in one strip of a cell, about
     port_cell_deg: float = 0.5         # grid cell for the port join
+    cell_ports: int = 32               # candidate ports of a cell or box, about
     broadcast_max_bytes: int = 256 << 20  # cell tables above this use a shuffle join
     track_partitions: int | None = None  # partitions of the vessel exchange (None: spark.sql.shuffle.partitions)
     split_hot: bool = True             # split vessel-periods with very many rows into row chunks
