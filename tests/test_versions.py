@@ -109,3 +109,23 @@ def test_periods_without_a_schema(spark, scratch):
     sinks.replace_periods(rows(spark, (1, 1.0)), at)
     sinks.replace_periods(rows(spark, (2, 2.0)).withColumn("more", F.lit("x")), at)
     assert sorted((r.period, r.amount, r.more) for r in read_period_outputs(spark, at).collect()) == [(1, 1.0, None), (2, 2.0, "x")]
+
+
+def test_a_write_without_named_periods_computes_its_rows_once(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from vessel_flow import sinks
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def told(x):
+        seen.add(1)
+        return float(x)
+
+    rows = spark.range(300).select(F.lit(2024).alias("year"), (F.col("id") % 3).cast("int").alias("period"),
+                                   F.lit("A").alias("source_state"), F.lit("B").alias("dest_state"), told("id").alias("amount"))
+    sums = rows.groupBy("year", "period", "source_state", "dest_state").agg(F.sum("amount").alias("amount")).where("amount > 0")
+    sinks.write_period_sums(sums, f"{scratch}/sums")
+    assert {r["period"]: r["amount"] for r in sinks.stored(spark, f"{scratch}/sums", sinks.FLOW_SCHEMA).collect()} == {
+        k: float(sum(range(k, 300, 3))) for k in range(3)}
+    assert seen.value == 300

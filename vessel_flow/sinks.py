@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import versions
 from .operators import matrix, routes as R
+from .session import cut_lineage
 
 #: A folder, or a table of a run that is committed later.
 Target = str | tuple[versions.Run, str]
@@ -55,6 +56,7 @@ def replace_periods(df: DataFrame, target: Target, periods: list[int] | None = N
     the old rows until all new ones are written.  With (run, table) the rows
     belong to a larger run and show when that one is committed."""
     if periods is None:
+        df = cut_lineage(df)  # read for its periods and for the write, computed once
         periods = [r[0] for r in df.select(key).distinct().collect()]  # a handful a year
     if not isinstance(target, str):
         run, table = target
