@@ -269,15 +269,16 @@ def port_cells(ports: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """ports(ordinal, name, state, lat, lon) -> cells(cell_y, cell_x, ports); with
     more than ``cell_ports`` ports a row for each box of a cell (see ``_port_boxes``)."""
     ys, xs = _port_cover(p)
-    # of ports at one position only the first can be the nearest
-    alone = (ports.groupBy("lat", "lon").agg(F.min(F.struct("ordinal", "name", "state")).alias("k"))
-             .select("k.ordinal", "k.name", "k.state", "lat", "lon"))
-    cells = (alone.select("ordinal", "name", "state", "lat", "lon",
+    few = _few(ports, p)
+    if not few:  # of ports at one position only the first can be the nearest
+        ports = (ports.groupBy("lat", "lon").agg(F.min(F.struct("ordinal", "name", "state")).alias("k"))
+                 .select("k.ordinal", "k.name", "k.state", "lat", "lon"))
+    cells = (ports.select("ordinal", "name", "state", "lat", "lon",
                           F.explode(ys).alias("cell_y"), xs.alias("_xs"))
              .select("*", F.explode("_xs").alias("cell_x")).drop("_xs")
              .groupBy("cell_y", "cell_x")
              .agg(F.collect_list(F.struct("ordinal", "name", "state", "lat", "lon")).alias("ports")))
-    return cells if _few(ports, p) else _port_boxes(cells, p)
+    return cells if few else _port_boxes(cells, p)
 
 
 def _few(ports: DataFrame, p: Params) -> bool:
