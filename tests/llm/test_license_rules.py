@@ -117,3 +117,21 @@ def test_spdx_expressions_and_short_forms(spark):
 def test_rules_are_written_by_hand():
     table = license_rules.rule_table()
     assert len(table) > 300 and len({r["rx"] for r in table}) == len(table)
+
+
+def test_a_text_is_asked_only_for_the_rules_of_the_words_it_holds():
+    table = license_rules.rule_table()
+    chosen = license_rules.cover([r["kws"] for r in table])
+    groups = {g["word"]: g["rules"] for g in license_rules.by_gate(table, chosen)}
+    assert sorted(r["o"] for rules in groups.values() for r in rules) == [r["o"] for r in table]
+    assert all(any(g in w for w in r["kws"]) for g, rules in groups.items() for r in rules)
+    # words of everyday prose lead to a few rules, not to all
+    assert all(len(groups.get(g, [])) <= 10 for g in ("mit", "beer", "osl", "asl", "nasa"))
+
+
+def test_only_texts_with_a_base_phrase_are_walked_through(spark):
+    texts = ["mit der license", "the MIT,\n License; mit license", "permit license", "General  Public License", "mit licensed", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in license_rules.scan(docs).collect()}
+    empty = (0, None, None, "")
+    assert rows == {0: empty, 1: (2, 1, 3, "mit"), 2: empty, 3: (1, 0, 0, "gpl"), 4: empty, 5: empty}

@@ -396,6 +396,16 @@ def gate(low: Column, words: list[str]) -> Column:
     return out | low.rlike("(?<![a-z])(?:" + "|".join(short) + ")") if short else out
 
 
+def by_gate(table: list[dict], chosen: list[str]) -> list[dict]:
+    """The rules under the word of ``chosen`` (their cover) that each of them
+    needs, so that a text is asked only for the other words of a few rules."""
+    groups: dict[str, list[dict]] = {}
+    for r in table:
+        key = next(g for g in chosen if any(g == w or len(g) > 3 and g in w for w in r["kws"]))
+        groups.setdefault(key, []).append(r)
+    return [{"word": g, "rules": rules} for g, rules in groups.items()]
+
+
 def rule_table() -> list[dict]:
     """All rules in order: passages and notices, names, short forms."""
     out = []
@@ -438,8 +448,11 @@ def base_pattern(phrase: tuple[str, ...]) -> str:
     return f"(?i)(?<!{WORD})" + f"{NOT_WORD}+".join(phrase) + f"(?!{WORD})"
 
 
-def _base(text: Column) -> Column:
-    """struct(label, n, first, last) of each base phrase; starts count words."""
+def _base(text: Column, low: Column) -> Column:
+    """struct(label, n, first, last) of each base phrase; starts count words.
+    Only a text that holds the phrase is walked through."""
+    none = F.array().cast("array<struct<p:string,m:string,v:string>>")
+
     def one(label: str, phrase: tuple[str, ...]) -> Column:
         def tell(found: Column) -> Column:
             n = F.size(found)
@@ -449,23 +462,26 @@ def _base(text: Column) -> Column:
             return F.struct(F.lit(label).alias("label"), n.alias("n"),
                             F.when(n > 0, word_no(found[0]["p"])).alias("first"),
                             F.when(n > 0, word_no(last)).alias("last"))
-        return let(walk(text, F.lit(base_pattern(phrase))), tell)
+        pattern = F.lit(base_pattern(phrase))
+        held = F.rlike(text, pattern)
+        for w in phrase:
+            held = F.contains(low, F.lit(w)) & held
+        return let(F.when(held, walk(text, pattern)).otherwise(none), tell)
     return F.array(*[one(k, w) for k, w in BASE.items()])
 
 
-def _detections(text: Column, low: Column, table: list[dict]) -> Column:
+def _detections(text: Column, low: Column, table: list[dict], chosen: list[str]) -> Column:
     """Surviving detections of all rules, in the order of their intervals."""
-    rules = F.from_json(F.lit(json.dumps(table)),
-                        "array<struct<o:int,label:string,prio:int,kws:array<string>,gap:boolean,rx:string>>")
+    groups = F.from_json(F.lit(json.dumps(by_gate(table, chosen))), "array<struct<word:string,rules:array<struct<"
+                         "o:int,label:string,prio:int,kws:array<string>,gap:boolean,rx:string>>>>")
 
     def of_rule(r: Column) -> Column:
         return F.transform(places(text, r["rx"]), lambda x: F.struct(
             x["s"].alias("s"), (x["s"] - x["e"]).alias("len"), (-r["prio"]).alias("prio"), r["o"].alias("o"),
             r["label"].alias("label"), r["gap"].alias("gap")))
 
-    words_of_all = F.lit(sorted({w for r in table for w in r["kws"]}))
-    may = let(F.filter(words_of_all, lambda w: ~F.contains(low, w)), lambda absent: F.filter(
-        rules, lambda r: ~F.arrays_overlap(r["kws"], absent) & F.rlike(text, r["rx"])))
+    rules = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(low, g["word"])), lambda g: g["rules"]))
+    may = F.filter(rules, lambda r: F.forall(r["kws"], lambda w: F.contains(low, w)) & F.rlike(text, r["rx"]))
     found = F.array_sort(F.flatten(F.transform(may, of_rule)))
 
     none = F.array().cast("array<string>")
@@ -505,7 +521,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     table = rule_table()
     chosen = cover([r["kws"] for r in table] + [list(phrase) for phrase in BASE.values()] + [["spdx-license-identifier"]])
     gated = let(F.lower(text), lambda low: F.when(gate(low, chosen), F.struct(
-        _base(text).alias("base"), _detections(text, low, table).alias("rules"))))
+        _base(text, low).alias("base"), _detections(text, low, table, chosen).alias("rules"))))
     rows = docs.select(F.col(id_col).alias("doc_id"),
                        F.size(words(text)).cast("long").alias("n_words"), gated.alias("found"))
     hits = F.filter(F.coalesce(F.col("found.base"), F.array().cast(
